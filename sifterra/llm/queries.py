@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import line_rules, mixing, sharding
 from .common import table
 
 
@@ -43,5 +43,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
-ORACLES = {"op7_mixing": OP7_SQL}
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_rules.apply_rules(docs).drop("source", "text_key")
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+runs AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM words),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM runs),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY r),
+raw_lines AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+split_lines AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    md5(regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')) AS h
+    FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM split_lines GROUP BY r),
+lines AS (SELECT r, source, h, sum(n) AS n FROM split_lines GROUP BY r, source, h),
+ends AS (SELECT r, list(h ORDER BY h)[:2] AS two FROM lines GROUP BY r),
+held AS (SELECT source, h, count(DISTINCT CASE WHEN len(two) < 2 THEN '' WHEN h = two[1] THEN two[2] ELSE two[1] END) AS c FROM lines JOIN ends USING (r) GROUP BY source, h),
+hosts AS (SELECT source, count(DISTINCT text) AS c FROM docs GROUP BY source),
+frequent AS (SELECT held.source, h FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.c > 10 AND held.c > hosts.c * 0.10::DOUBLE),
+gone AS (SELECT r, sum(n) AS n, count(*) AS c FROM lines JOIN frequent f ON lines.h = f.h AND lines.source IS NOT DISTINCT FROM f.source GROUP BY r),
+figures AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.c, 0) AS BIGINT) AS n_lines_removed, CAST(len(w) - coalesce(gone.n, 0) AS BIGINT) AS n_words_left
+    FROM docs JOIN words USING (r) LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= n_words * 0.2::DOUBLE AS kept FROM figures
+"""
+
+
+QUERIES = {"op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+ORACLES = {"op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
