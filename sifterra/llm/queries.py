@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, mixing, sharding
+from . import jaccard_join, line_rules, mixing, sharding
 from .common import table
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join_similar(docs, width=4, threshold=(85, 100))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs)
@@ -74,5 +79,5 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
-QUERIES = {"op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
 ORACLES = {"op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
