@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import binaries
+from .kernels import binaries, slices
 
 REMEMBERED = 300_000
 
@@ -92,7 +92,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, extra: list[str], c
     source = docs.select(F.col(id_col), F.col(text_col), *extra)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             arrays = score([x or b"" for x in binaries(batch.column(1))], [batch.column(2 + i).to_pylist() for i in range(len(extra))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, arrays)], names=names)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .kernels import WordHashes, binaries, windows
+from .kernels import WordHashes, binaries, slices, windows
 
 SYMBOL_BYTES = b"#*$%&|<>"
 DIGITS = re.compile(rb"[0-9]+")
@@ -75,7 +75,7 @@ def describe(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
 
     def scan(batches):
         known, row = WordHashes(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             raw = [x or b"" for x in binaries(batch.column(len(keep)))]
             facts = list(zip(*(_facts(x, known) for x in raw), strict=True)) or [()] * 6
             arrays = [pa.array(range(row, row + len(raw)), pa.int64()), *(pa.array(x, pa.int64()) for x in facts[:5])]

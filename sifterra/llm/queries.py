@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_rules, mixing, sharding
-from .common import table
+from . import jaccard_join, line_rules, mixing, quality_fm, sharding, toxicity
+from .common import fold, held_out, table
+
+
+def _trained_on(modulus: int, remainder: int):
+    """Training rows: known ids outside the held-out fold."""
+    return lambda doc_id: fold(doc_id, modulus) != remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit_toxicity(docs, labels, _trained_on(3, 1))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_fm.fit_quality(docs, labels, _trained_on(5, 0))
+    scored = quality_fm.score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +98,5 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_quality_fm": op3_quality_fm, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
 ORACLES = {"op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}

@@ -16,17 +16,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import mix
 from .features import N_STRUCTURE, Rows, bounded_sample, score_texts, sigmoid, structure
 
 #: Most training rows of either label.
 SAMPLE_PER_LABEL = 4_000
 #: Kinds of lexical units: whole word, then its first 4, 5 and 6 letters.
 BEGINNINGS = (0, 4, 5, 6)
-KIND_BITS = 20
+KIND_BITS = 28
 #: Groups that each kind's lexicon is dealt to, one voter each.
 GROUPS = 4
 #: Most units that the classifier weighs.
 UNITS = 8_192
+#: Least likelihood-ratio statistic of a unit.
+EVIDENCE = 60.0
+#: A lexicon unit is so many times as frequent under one label.
+SURE = 30.0
 REMEMBERED = 300_000
 
 
@@ -63,7 +68,8 @@ class LabelModel:
         logs = np.log(self.given)
         gap = np.zeros(len(votes))
         for j in range(votes.shape[1]):
-            gap += self.weight[j] * (logs[j, 1] - logs[j, 0])[votes[:, j] + 1]
+            said = (logs[j, 1] - logs[j, 0]) * [1, 0, 1]  # who abstains says nothing
+            gap += self.weight[j] * said[votes[:, j] + 1]
         return sigmoid(gap + np.log(self.prior / (1 - self.prior)))
 
 
@@ -91,6 +97,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, *, rounds: int = 12, l
             scale = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
             joint += cov / scale[:, None] / scale[None, :] / 2
         np.fill_diagonal(joint, 0)
+        joint[-1] = joint[:, -1] = 0  # the last voter sums up others by its making and isn't discounted for that
         correlation = joint
         weight = 1.0 / (1.0 + np.where(np.abs(joint) > linked, np.abs(joint), 0).sum(axis=1))
         model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), given, weight, correlation)
@@ -116,11 +123,12 @@ class ToxicityModel:
     label_model: LabelModel
 
     def votes(self, at: np.ndarray, form: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.side) + len(self.limits), np.int64)
+        out = np.zeros(len(self.side) + len(self.limits) + 1, np.int64)
         said = self.voter[at]
         said = np.unique(said[said >= 0])
         out[said] = self.side[said]
-        out[len(self.side) :] = np.where(form > self.limits, self.pattern_side, 0)
+        out[len(self.side) : -1] = np.where(form > self.limits, self.pattern_side, 0)
+        out[-1] = 1 if (out[: len(self.side)] > 0).any() else -1  # the toxic lexicons together
         return out
 
     def raw(self, numbers: np.ndarray, form: np.ndarray) -> float:
@@ -138,21 +146,39 @@ def parse(text: bytes, known: Units) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(units, np.int64, len(units)), np.array(structure(text, text.split()))
 
 
+def copy_weights(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """One over the size of each row's group of near copies.
+
+    Copies of one text would make its chance words look like evidence. Rows are grouped by the least hash of their
+    units that few rows hold; near copies mostly agree on it, other rows hardly ever.
+    """
+    often = np.bincount(flat)[flat]
+    rare = often <= max(3, n // 50)
+    least = np.full(n, np.iinfo(np.uint64).max)
+    np.minimum.at(least, row[rare], mix(flat[rare].astype(np.uint64), 40))
+    _, where, size = np.unique(least, return_inverse=True, return_counts=True)
+    return 1.0 / size[where]
+
+
 def fit(numbers: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, *, steps: int = 300) -> ToxicityModel:
     """Lexicons, voters, label model and classifier from a bounded set of training rows."""
-    size = len(BEGINNINGS) << KIND_BITS
     flat, row = np.concatenate(numbers), np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
-    positive, negative = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    hit = np.bincount(flat[labels[row] == 1], minlength=size)
-    miss = np.bincount(flat[labels[row] == 0], minlength=size)
-    rate1, rate0 = (hit + 0.1) / positive, (miss + 0.1) / negative
+    present, where = np.unique(flat, return_inverse=True)
+    counted = copy_weights(where, row, len(numbers))
+    positive, negative = max(1.0, counted[labels == 1].sum()), max(1.0, counted[labels == 0].sum())
+    hit = np.bincount(where, counted[row] * (labels[row] == 1))
+    miss = np.bincount(where, counted[row] * (labels[row] == 0))
+    rate1, rate0 = (hit + 0.5) / positive, (miss + 0.5) / negative
     gap = np.log(rate1 / rate0)
-    strength = np.abs(gap) * np.sqrt(hit / positive + miss / negative)
-    strength[hit + miss < 3] = 0
-    units = np.sort(np.argsort(-strength, kind="stable")[:UNITS])
-    units = units[strength[units] > 0]
+    # the likelihood ratio against "no tie", which a few chance hits among millions of units don't reach
+    share = positive / (positive + negative)
+    seen = np.maximum(hit + miss, 1e-9)
+    strength = 2 * (hit * np.log(np.maximum(hit, 1e-9) / (seen * share)) + miss * np.log(np.maximum(miss, 1e-9) / (seen * (1 - share))))
+    picked = np.sort(np.argsort(-strength, kind="stable")[:UNITS])
+    picked = picked[strength[picked] > EVIDENCE]
+    units, gap = present[picked], gap[picked]
     # a lexicon takes units that are nearly always of one label, at equal class sizes
-    sure = np.where(gap[units] > np.log(9.0), 1, np.where(gap[units] < -np.log(9.0), -1, 0))
+    sure = np.where(gap > np.log(SURE), 1, np.where(gap < -np.log(SURE), -1, 0))
     kind, group = units >> KIND_BITS, units % GROUPS
     voter = np.where(sure != 0, (kind * GROUPS + group) * 2 + (sure > 0), -1)
     n_lexicons = len(BEGINNINGS) * GROUPS * 2
@@ -161,7 +187,7 @@ def fit(numbers: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, *, ste
     over = forms > limits
     toxic_share = (over & (labels == 1)[:, None]).sum(axis=0) / positive
     clean_share = (over & (labels == 0)[:, None]).sum(axis=0) / negative
-    model = ToxicityModel(units, np.zeros(len(units)), voter, side, limits, np.where(toxic_share > clean_share, 1, -1), np.zeros(n_lexicons + forms.shape[1]), 0.0, None)
+    model = ToxicityModel(units, np.zeros(len(units)), voter, side, limits, np.where(toxic_share > clean_share, 1, -1), np.zeros(n_lexicons + forms.shape[1] + 1), 0.0, None)
     at = np.searchsorted(units, flat)
     at[at == len(units)] = 0
     held = units[at] == flat if len(units) else np.zeros(len(flat), bool)
@@ -173,7 +199,8 @@ def fit(numbers: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, *, ste
     # logistic regression on the posterior labels, classes at equal weight
     rows = Rows([], [])
     rows.size, rows.number, rows.row, rows.value = np.diff(starts), at, row, np.ones(len(at))
-    weight = np.where(soft > 0.5, 0.5 / max(1, (soft > 0.5).sum()), 0.5 / max(1, (soft <= 0.5).sum()))
+    yes = soft > 0.5
+    weight = counted * np.where(yes, 0.5 / max(1.0, counted[yes].sum()), 0.5 / max(1.0, counted[~yes].sum()))
     n, k = len(units), votes.shape[1]
     theta, m, v = np.zeros(n + k + 1), np.zeros(n + k + 1), np.zeros(n + k + 1)
     for step in range(1, steps + 1):
