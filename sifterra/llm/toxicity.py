@@ -31,7 +31,7 @@ UNITS = 8_192
 #: Least likelihood-ratio statistic of a unit.
 EVIDENCE = 60.0
 #: A lexicon unit is so many times as frequent under one label.
-SURE = 30.0
+SURE = 100.0
 REMEMBERED = 300_000
 
 
