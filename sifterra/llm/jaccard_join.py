@@ -9,14 +9,16 @@ each of ``ORDERS`` orders before its sets are compared:
 * order 3 is a pure hash order.
 
 Order 1 makes the posting lists.  Documents with equal sets are one class
-beforehand.  Every document is first compared with the smallest id of each of its lists,
-which costs no more than the lists' length, and only lists that still hold
-documents of different components are compared in full, in blocks of bounded
-size and never as emitted pairs.
+beforehand.  Every document is first compared with up to four leaders of each of
+its lists, which costs a few times the lists' length, and only longer lists that
+still hold documents of different components are compared in full, in blocks of
+bounded size and never as emitted pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise
 from .components import components, find
-from .kernels import WordHashes, binaries, mix, shingles
+from .kernels import mix, shingle_sets, slices
 
 ORDERS = 3
 #: Counters of the frequency sketch; one byte of each is broadcast.
@@ -35,8 +37,10 @@ SKETCH = 1 << 20
 GATHERED = 2_000_000
 #: Most bits of the filter for the documents whose sets are fetched (16 MB broadcast). More documents make it less selective, not wrong.
 FILTER_BITS = 1 << 27
-#: Documents compared together.
-BLOCK, LEADER_BLOCK = 128, 256
+#: Documents compared with one leader at a time.
+LEADER_BLOCK = 256
+#: Tokens of either side of a block (8 bytes each).
+BLOCK_TOKENS, MINOR_TOKENS = 1_000_000, 300_000
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -56,13 +60,11 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens, 77) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, width: int, known: WordHashes, wanted=None):
-    """(row, set) for each row with an id that ``wanted`` lets pass."""
-    ids = batch.column(0)
-    rows = range(len(ids)) if wanted is None else np.flatnonzero(wanted(ids.to_numpy(zero_copy_only=False))).tolist()
+def _sets(batch: pa.RecordBatch, width: int, wanted=None):
+    """(row, set) for each row whose third column ``wanted`` lets pass."""
+    rows = range(batch.num_rows) if wanted is None else np.flatnonzero(wanted(batch.column(2).to_numpy(zero_copy_only=False))).tolist()
     picked = batch.column(1) if wanted is None else batch.column(1).take(pa.array(rows, pa.int64()))
-    for row, raw in zip(rows, binaries(picked), strict=True):
-        yield row, shingles(known.of((raw or b"").lower().split()), width)
+    yield from zip(rows, shingle_sets(picked, width), strict=True)
 
 
 def _counted(gathered: list[np.ndarray]):
@@ -79,7 +81,7 @@ def summarise(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, f1, f2) of set size and fingerprint, and rows (bucket, count, NULL, NULL) of the sketch, marked by ``doc``."""
 
     def scan(batches):
-        known, gathered, held = WordHashes(), [], 0
+        gathered, held = [], 0
         names = ["doc", "id", "n", "f1", "f2"]
 
         def counts():
@@ -87,9 +89,9 @@ def summarise(docs: DataFrame, width: int) -> DataFrame:
             nulls = pa.nulls(len(used), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(used), bool)), pa.array(used), pa.array(totals), nulls, nulls], names=names)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, f1, f2 = [], [], []
-            for _, tokens in _sets(batch, width, known):
+            for _, tokens in _sets(batch, width):
                 n.append(len(tokens))
                 f1.append(np.bitwise_xor.reduce(mix(tokens, 91)).view(np.int64) if len(tokens) else 0)
                 f2.append(np.add.reduce(mix(tokens, 92)).view(np.int64) if len(tokens) else 0)
@@ -113,22 +115,20 @@ def frequency_classes(summary: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, num: int, den: int, classes: Broadcast) -> DataFrame:
-    """(id, tokens of the prefix under order 1) of every document with a set."""
+    """(id, set size, prefix under order 1) of every document with a set."""
 
     def scan(batches):
-        known = WordHashes()
-        for batch in batches:
-            ids, found = [], []
+        for batch in slices(batches, 1):
+            ids, sizes, found = [], [], []
             source = batch.column(0).to_pylist()
-            for row, tokens in _sets(batch, width, known):
+            for row, tokens in _sets(batch, width):
                 if len(tokens) and source[row] is not None:
                     ids.append(source[row])
+                    sizes.append(len(tokens))
                     found.append(prefix(tokens, 1, prefix_length(len(tokens), num, den), classes.value).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(found)], names=["id", "n", "tokens"])
 
-    return docs.mapInArrow(scan, "id long, tokens array<long>")
+    return docs.mapInArrow(scan, "id long, n long, tokens array<long>")
 
 
 class IdFilter:
@@ -151,37 +151,59 @@ class IdFilter:
         return (self.held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def fetch_sets(docs: DataFrame, ids: DataFrame, width: int, num: int, den: int, classes: Broadcast) -> DataFrame:
-    """(id, set, prefixes under orders 2 and 3) of the documents in ``ids``, and of a few more; texts are not shuffled."""
+def long_prefix(n: int, num: int, den: int) -> tuple[int, int]:
+    """Length of order 3's prefix and how many of its tokens a partner must share: L = n - alpha + l holds l shared ones."""
+    short = prefix_length(n, num, den)
+    need = max(1, min(n - short + 1, short))
+    return short - 1 + need, need
+
+
+def fetch(docs: DataFrame, ids: DataFrame, width: int, num: int, den: int, classes: Broadcast, whole: bool) -> DataFrame:
+    """(id, n, set) of the documents in ``ids``, and of a few more, or else (id, n, p2, p3, need) for the filters; texts are not shuffled.
+
+    The filters' tokens are cut to 32 bits: a collision can only let a pair through.
+    """
     passing = IdFilter(ids)
+    cut = lambda tokens: (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
     def scan(batches):
-        known = WordHashes()
-        for batch in batches:
-            ids, parts = [], ([], [], [])
+        for batch in slices(batches, 1):
+            ids, sizes, sets, p2, p3, needs = [], [], [], [], [], []
             source = batch.column(0).to_pylist()
-            test = pa.RecordBatch.from_arrays([batch.column(2), batch.column(1)], names=["at", "text"])
-            for row, tokens in _sets(test, width, known, passing.wanted):
+            for row, tokens in _sets(batch, width, passing.wanted):
                 if len(tokens) and source[row] is not None:
                     ids.append(source[row])
-                    length = prefix_length(len(tokens), num, den)
-                    for part, x in zip(parts, (tokens, prefix(tokens, 2, length, classes.value), prefix(tokens, 3, length, classes.value)), strict=True):
-                        part.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names=["id", "tokens", "p2", "p3"])
+                    sizes.append(len(tokens))
+                    if whole:
+                        sets.append(tokens.tobytes())
+                    else:
+                        length, need = long_prefix(len(tokens), num, den)
+                        p2.append(cut(prefix(tokens, 2, prefix_length(len(tokens), num, den), classes.value)))
+                        p3.append(cut(prefix(tokens, 3, length, classes.value)))
+                        needs.append(need)
+            head = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*head, pa.array(sets, pa.binary())], names=["id", "n", "tokens"])
+            else:
+                yield pa.RecordBatch.from_arrays([*head, _lists(p2, np.int32), _lists(p3, np.int32), pa.array(needs, pa.int32())], names=["id", "n", "p2", "p3", "need"])
+
+    schema = "id long, n long, tokens binary" if whole else "id long, n long, p2 array<int>, p3 array<int>, need int"
+    return docs.select("id", "text", passing.column().alias("at")).mapInArrow(scan, schema)
 
-    return docs.select("id", "text", passing.column().alias("at")).mapInArrow(scan, "id long, tokens binary, p2 binary, p3 binary")
+
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
 
 
 class _Flat:
     """Token arrays of several documents as codes in one array."""
 
-    def __init__(self, raw: list[bytes]):
-        parts = [np.frombuffer(x, np.uint64) for x in raw]
+    def __init__(self, parts: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in parts])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         values, self.codes = np.unique(np.concatenate(parts), return_inverse=True)
         self.flags = np.zeros(len(values), bool)
-        self.often = np.bincount(self.codes)
 
     def of(self, i: int) -> np.ndarray:
         return self.codes[self.starts[i] : self.starts[i] + self.sizes[i]]
@@ -195,30 +217,38 @@ class _Flat:
         return out
 
 
-def verify(block: pd.DataFrame, num: int, den: int, only_first: bool) -> pd.DataFrame:
-    """Links between documents of different components in a block, as a spanning forest.
+def _compared(block: pd.DataFrame) -> pd.DataFrame:
+    return block.sort_values("first", ascending=False).drop_duplicates("id") if block["id"].duplicated().any() else block
+
 
-    With ``only_first`` the rows marked ``first`` are compared with the rest, else all with all.
-    Documents that share most with the others come first: in a group of copies the
-    original then joins the rest at once and what is joined isn't compared again.
+def survivors(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """The rows of a block that pass the filters of orders 2 and 3 with a row of another component, one of the two marked ``first``."""
+    block = _compared(block)
+    p2, p3 = _Flat(block["p2"].tolist()), _Flat(block["p3"].tolist())
+    n, label, need = (block[c].to_numpy() for c in ("n", "component", "need"))
+    passed = np.zeros(len(block), bool)
+    for i in np.flatnonzero(block["first"].to_numpy()).tolist():
+        other = (label != label[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+        for flat, least in ((p2, 1), (p3, np.minimum(need, need[i]))):
+            if other.any():
+                other &= flat.shared(i) >= least
+        passed |= other
+        passed[i] |= other.any()
+    return block.loc[passed, ["unit", "part", "id", "component", "first"]]
+
+
+def verify(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links of the rows marked ``first`` with rows of other components, as a spanning forest of the components.
+
+    What has been joined isn't compared again.
     """
-    block = block.drop_duplicates(["id", "tokens"])
-    ids, label = block["id"].tolist(), block["component"].to_numpy()
-    sets, p2, p3 = (_Flat(block[c].tolist()) for c in ("tokens", "p2", "p3"))
-    n = sets.sizes
+    block = _compared(block)
+    ids, label, n = block["id"].tolist(), block["component"].to_numpy(), block["n"].to_numpy()
+    sets = _Flat([np.frombuffer(x, np.uint64) for x in block["tokens"]])
     parent: dict[int, int] = {}
-    roots = label.copy()
-    pivots = np.flatnonzero(block["first"].to_numpy()) if only_first else np.argsort(-np.add.reduceat(sets.often[sets.codes], sets.starts) / n, kind="stable")
-    links = []
-    for i in pivots.tolist():
-        other = roots != roots[i]
-        other &= (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-        if not other.any():
-            continue
-        other &= p2.shared(i) > 0
-        if not other.any():
-            continue
-        other &= p3.shared(i) > 0
+    roots, links = label.copy(), []
+    for i in np.flatnonzero(block["first"].to_numpy()).tolist():
+        other = (roots != roots[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
         if not other.any():
             continue
         both = sets.shared(i)
@@ -257,35 +287,63 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     heads = groups.select(F.col("head").alias("id")).distinct()
 
     first = materialise(prefixes(light, width, num, den, classes).join(heads, "id", "left_semi"), "prefixes")
-    postings = first.select("id", F.explode("tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("leader")).filter("size > 1")
+    postings = first.select("id", "n", F.explode("tokens").alias("token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
     shared = materialise(postings.join(lists, "token"), "shared-tokens")
     discard(first)
 
-    # every document against the leaders of its lists
-    pairs = shared.filter("id <> leader").select("leader", "id").distinct()
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_BLOCK).alias("salts"))
-    salted = pairs.join(salts, "leader").select("leader", "salts", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
-    members = materialise(
-        salted.select("leader", "salt", "id", F.lit(False).alias("first")).union(salted.select("leader", "salt", F.col("leader").alias("id"), F.lit(True)).distinct()), "leader-blocks"
-    )
-    sets = fetch_sets(light, members.select("id").distinct(), width, num, den, classes)
-    near = members.join(sets, "id").withColumn("component", F.col("id")).groupBy("leader", "salt").applyInPandas(lambda block: verify(block, num, den, True), "a long, b long")
+    # similar sets have similar sizes: a list is dealt to bands of sizes, each document to its own and the next
+    step = 1.001 * math.log(den / num)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
+    banded = shared.select("token", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    one, hashed = F.struct("id", "n"), F.struct(F.xxhash64("id").alias("h"), F.struct("id", "n").alias("one"))
+    leaders = banded.groupBy("token", "band").agg(F.count("*").alias("size"), F.min(one).alias("l1"), F.max(one).alias("l2"), F.min(hashed)["one"].alias("l3"), F.max(hashed)["one"].alias("l4")).filter("size > 1")
+    leaders = leaders.select("token", "band", "size", F.array_distinct(F.array("l1", "l2", "l3", "l4")).alias("leaders"))
+    banded = materialise(banded.join(leaders, ["token", "band"]), "banded-lists")
+    discard(shared)
+
+    # every document against the leaders of its lists, first under the other orders, then by sets
+    pairs = banded.select("id", "n", F.explode("leaders").alias("l")).select("id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
+    alike = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
+    pairs = materialise(pairs.filter("id <> leader").filter(alike).groupBy(F.least("id", "leader").alias("low"), F.greatest("id", "leader").alias("high")).agg(F.min("leader").alias("leader")), "leader-pairs")
+    pairs = pairs.select("leader", F.when(F.col("leader") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("id"))
+    other = materialise(fetch(light, pairs.select("id").union(pairs.select("leader")).distinct(), width, num, den, classes, False), "other-orders")
+    lead = other.select(F.col("id").alias("leader"), F.col("p2").alias("l2"), F.col("p3").alias("l3"), F.col("need").alias("l_need"))
+    enough = F.size(F.array_intersect("p3", "l3")) >= F.least("need", "l_need")
+    passed = materialise(pairs.join(other, "id").join(lead, "leader").filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
+    discard(other)
+    salts = passed.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_BLOCK).alias("salts"))
+    salted = passed.join(salts, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    members = salted.select("leader", "salt", "id", F.lit(False).alias("first")).union(salted.select("leader", "salt", F.col("leader").alias("id"), F.lit(True)).distinct())
+    members = materialise(members.withColumn("component", F.col("id")), "leader-blocks")
+    sets = fetch(light, members.select("id").distinct(), width, num, den, classes, True)
+    near = members.join(sets, "id").groupBy("leader", "salt").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     near = materialise(near, "leader-links")
     found = materialise(components(near), "leader-components")
 
-    # lists that still hold several components
+    # lists that are not wholly compared by that and still hold several components: all against those outside the largest
     node, component = F.col("node"), F.coalesce("component", "id").alias("component")
-    labelled = shared.join(found, shared["id"] == node, "left").select("token", "id", "size", component)
-    open_lists = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("ids"), F.count("*").alias("size")).filter("low < high")
-    # lists of the same documents are compared once
-    open_lists = open_lists.groupBy("ids", "size").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = labelled.join(open_lists, "token").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rest = rest.select("token", "id", "component", "mine", partner.alias("other"))
-    rest = materialise(rest.select("token", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "id", "component"), "open-blocks")
-    sets = fetch_sets(light, rest.select("id").distinct(), width, num, den, classes)
-    far = rest.join(sets, "id").withColumn("first", F.lit(False)).groupBy("token", "one", "two").applyInPandas(lambda block: verify(block, num, den, False), "a long, b long")
+    labelled = banded.filter(F.col("size") > F.size("leaders") + 1).join(found, banded["id"] == node, "left").select("token", "band", "id", component)
+    labelled = materialise(labelled, "labelled-lists")
+    per = labelled.groupBy("token", "band", "component").agg(F.count("*").alias("c"))
+    largest = per.groupBy("token", "band").agg(F.max(F.struct("c", (-F.col("component")).alias("k")))["k"].alias("k"), F.count("*").alias("several")).filter("several > 1")
+    # lists with the same largest component are compared once, together
+    open_rows = labelled.join(largest, ["token", "band"]).select((-F.col("k")).alias("largest"), "band", "id", "component").distinct()
+    open_rows = materialise(open_rows.withColumn("minor", F.col("component") != F.col("largest")), "open-lists")
+    tokens = F.exp((F.col("band") + 1) * F.lit(step))  # no set of the band has more
+    blocks = open_rows.groupBy("largest", "band").agg(F.ceil(F.count("*") * tokens / BLOCK_TOKENS).alias("blocks"), F.ceil(F.count_if("minor") * tokens / MINOR_TOKENS).alias("minors"))
+    blocked = open_rows.join(blocks, ["largest", "band"])
+    h, upto = F.xxhash64("id"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    sides = [
+        blocked.select("largest", "band", "id", "component", F.lit(False).alias("first"), F.pmod(h, F.col("blocks")).alias("x"), upto("minors").alias("y")),
+        blocked.filter("minor").select("largest", "band", "id", "component", F.lit(True).alias("first"), upto("blocks").alias("x"), F.pmod(h, F.col("minors")).alias("y")),
+    ]
+    units = materialise(sides[0].union(sides[1]).select(F.struct("largest", "band").alias("unit"), F.struct("x", "y").alias("part"), "id", "component", "first"), "open-blocks")
+    filters = fetch(light, units.select("id").distinct(), width, num, den, classes, False)
+    left = units.join(filters, "id").groupBy("unit", "part").applyInPandas(lambda block: survivors(block, num, den), units.schema)
+    left = materialise(left, "open-survivors")
+    sets = fetch(light, left.select("id").distinct(), width, num, den, classes, True)
+    far = left.join(sets, "id").groupBy("unit", "part").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     linked = components(near.union(far))
 
     component = F.when(F.col("n") > 0, F.coalesce("component", "head", "id")).otherwise(F.col("id"))

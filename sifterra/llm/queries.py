@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_rules, mixing, quality_fm, sharding, toxicity
+from . import jaccard_join, langid, line_rules, mixing, quality_fm, sharding, toxicity, vector_dedup
 from .common import fold, held_out, table
 
 
@@ -34,6 +34,21 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95::DOUBLE * a.norm * b.norm),
+near AS (WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON w.b = l.a) SELECT a, min(b) AS m FROM walk GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN near ON near.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.join_similar(docs, width=4, threshold=(85, 100))
@@ -104,5 +119,5 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
-ORACLES = {"op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+ORACLES = {"op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
