@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_rules, mixing, quality_fm, sharding, toxicity, vector_dedup
+from . import jaccard_join, langid, line_rules, mixing, packing, quality_fm, sharding, toxicity, vector_dedup
 from .common import fold, held_out, table
 
 
@@ -49,6 +49,17 @@ FROM embeddings LEFT JOIN near ON near.a = vec_id LEFT JOIN degree ON degree.a =
 """
 
 
+def public_tokenizer() -> dict[str, str]:
+    """Places of the installed byte-level BPE files."""
+    import public_tokenizers
+
+    return {"tokenizer": str(public_tokenizers.path("byte_bpe_50k.json")), "ranks": str(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), **public_tokenizer())
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.join_similar(docs, width=4, threshold=(85, 100))
@@ -119,5 +130,5 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
 ORACLES = {"op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
