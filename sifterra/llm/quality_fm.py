@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import N_STRUCTURE, Hashed, Rows, bounded_sample, score_texts, sigmoid, structure
+from .kernels import binaries, slices
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 5_000
@@ -124,3 +126,20 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, *, id_col
         return [sigmoid(machine.raw(Rows([r[0] for r in rows], [r[1] for r in rows])))]
 
     return score_texts(docs.select(id_col, text_col, F.col(length_col).cast("long").alias("__length")), id_col, text_col, ["__length"], "score double", score)
+
+
+def keep_scored(docs: DataFrame, model: FactorisationMachine | None, least: float, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, in one narrow pass; columns stay as they are."""
+    shared, known = docs.sparkSession.sparkContext.broadcast(model), Hashed(WORD_BINS)
+    at, length = docs.columns.index(text_col), docs.columns.index(length_col)
+
+    def scan(batches):
+        machine = shared.value
+        for batch in slices(batches, at):
+            if machine is not None and batch.num_rows:
+                rows = [_row(text or b"", n, known) for text, n in zip(binaries(batch.column(at)), batch.column(length).to_pylist(), strict=True)]
+                scores = sigmoid(machine.raw(Rows([r[0] for r in rows], [r[1] for r in rows])))
+                batch = batch.filter(pa.array(scores >= least))
+            yield batch
+
+    return docs.mapInArrow(scan, docs.schema)

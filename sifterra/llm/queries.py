@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_rules, mixing, packing, quality_fm, sharding, toxicity, vector_dedup
+from . import chat_tree, jaccard_join, langid, line_rules, mixing, packing, quality_fm, sharding, toxicity, vector_dedup
 from .common import fold, held_out, table
 
 
@@ -93,6 +93,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS ta
 """
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    files = public_tokenizer()
+    segments, paths = chat_tree.build_tree(rows.unionByName(extra), **files)
+    back = chat_tree.read_back(segments, paths, tokenizer=files["tokenizer"])
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    size = lambda c: F.length(c).cast("long")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), chat_tree.digest(turns).alias("turns_sha256"), size("loss_text").alias("loss_chars"),
+        chat_tree.digest(F.col("loss_text")).alias("loss_sha256"), size("formatted").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) + 14 AS n FROM rows),
+talks AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(n) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM talks
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.assign_shards(docs, 24)
@@ -130,5 +155,5 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
-ORACLES = {"op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op9_chat_tree": op9_chat_tree, "op10_sharding": op10_sharding}
+ORACLES = {"op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
