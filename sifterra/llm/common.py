@@ -7,6 +7,7 @@ in tests.  Nothing here depends on how many rows a key holds.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def materialise(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and that nothing reads any more."""
     path = getattr(df, "_sifterra_path", None)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, release
 from .components import components, find
 from .kernels import mix, shingle_sets, slices
 
@@ -131,6 +131,22 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, classes: Broadcast
     return docs.mapInArrow(scan, "id long, n long, tokens array<long>")
 
 
+def in_lists(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, n, token) of the prefixes' tokens that ``lists`` holds, and a few more: the rest needn't be shuffled again."""
+    passing = IdFilter(lists.select(F.col("token").alias("id")))
+    at = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(passing.bits)))
+
+    def scan(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            hit = passing.wanted(batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            row = np.repeat(np.arange(batch.num_rows), sizes)[hit]
+            token = batch.column(2).flatten().to_numpy(zero_copy_only=False)[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(token)], names=["id", "n", "token"])
+
+    return prefixes.select("id", "n", "tokens", at.alias("at")).mapInArrow(scan, "id long, n long, token long")
+
+
 class IdFilter:
     """A one-hash Bloom filter of ids, of at most ``FILTER_BITS`` bits."""
 
@@ -289,8 +305,10 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first = materialise(prefixes(light, width, num, den, classes).join(heads, "id", "left_semi"), "prefixes")
     postings = first.select("id", "n", F.explode("tokens").alias("token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    shared = materialise(postings.join(lists, "token"), "shared-tokens")
+    lists = materialise(lists, "shared-lists")
+    shared = materialise(in_lists(first, lists).join(lists, "token"), "shared-tokens")
     discard(first)
+    release(spark)
 
     # similar sets have similar sizes: a list is dealt to bands of sizes, each document to its own and the next
     step = 1.001 * math.log(den / num)
@@ -312,6 +330,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     enough = F.size(F.array_intersect("p3", "l3")) >= F.least("need", "l_need")
     passed = materialise(pairs.join(other, "id").join(lead, "leader").filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
     discard(other)
+    release(spark)
     salts = passed.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_BLOCK).alias("salts"))
     salted = passed.join(salts, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
     members = salted.select("leader", "salt", "id", F.lit(False).alias("first")).union(salted.select("leader", "salt", F.col("leader").alias("id"), F.lit(True)).distinct())
@@ -320,6 +339,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     near = members.join(sets, "id").groupBy("leader", "salt").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     near = materialise(near, "leader-links")
     found = materialise(components(near), "leader-components")
+    release(spark)
 
     # lists that are not wholly compared by that and still hold several components: all against those outside the largest
     node, component = F.col("node"), F.coalesce("component", "id").alias("component")
@@ -342,6 +362,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     filters = fetch(light, units.select("id").distinct(), width, num, den, classes, False)
     left = units.join(filters, "id").groupBy("unit", "part").applyInPandas(lambda block: survivors(block, num, den), units.schema)
     left = materialise(left, "open-survivors")
+    release(spark)
     sets = fetch(light, left.select("id").distinct(), width, num, den, classes, True)
     far = left.join(sets, "id").groupBy("unit", "part").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     linked = components(near.union(far))
