@@ -24,7 +24,7 @@ from .common import materialise
 from .components import components, find
 
 #: Sampled points that may become pivots, and points of a block.
-PIVOTS, BLOCK = 256, 4_096
+PIVOTS, BLOCK = 256, 3_072
 #: Halvings of the radius for cells.
 LEVELS = 6
 #: Points that a tree node keeps undivided.
