@@ -12,8 +12,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,16 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: with long texts Spark's default of 10,000 fills a worker's memory.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/sifterra/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,6 +71,54 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Most bits of a filter of ids (16 MB broadcast). More ids make it less selective, not wrong.
+FILTER_BITS = 1 << 27
+
+
+class IdFilter:
+    """A one-hash Bloom filter of ids, of at most ``FILTER_BITS`` bits."""
+
+    def __init__(self, ids: DataFrame):
+        n = ids.agg(F.approx_count_distinct("id")).first()[0]
+        self.bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+        at = F.pmod(F.xxhash64("id"), F.lit(self.bits))
+        words = ids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        rows = words.toArrow()  # bits / 64 rows at most
+        held = np.zeros(self.bits // 64, np.int64)
+        held[rows["word"].to_numpy()] = rows["bit"].to_numpy()
+        self.held: Broadcast = ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    def column(self):
+        return F.pmod(F.xxhash64("id"), F.lit(self.bits))
+
+    def wanted(self, at: np.ndarray) -> np.ndarray:
+        return (self.held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def drop_rows(docs: DataFrame, bad: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` (expressions over ``docs``) stand in ``bad``, NULL equal to NULL.
+
+    A bounded filter first tells which rows may be bad: only their texts are shuffled for the exact anti-join.
+    """
+    bad = materialise(bad.select(*keys).distinct(), "bad-keys")
+    passing = IdFilter(bad.select(F.xxhash64(*keys).alias("id")))
+    names = {name: f"__key_{i}" for i, name in enumerate(keys)}
+    marked = docs.withColumns({names[k]: e for k, e in keys.items()})
+    at = F.pmod(F.xxhash64(*names.values()), F.lit(passing.bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        return pd.Series(passing.wanted(x.to_numpy()))
+
+    marked = marked.withColumn("__maybe", maybe(at))
+    other = bad.select(*[F.col(k).alias(f"__bad_{i}") for i, k in enumerate(keys)])
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(names[k]).eqNullSafe(F.col(f"__bad_{i}"))
+        same = one if same is None else same & one
+    return marked.filter(~F.col("__maybe")).unionByName(marked.filter("__maybe").join(other, same, "left_anti")).select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

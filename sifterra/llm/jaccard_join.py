@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release
+from .common import IdFilter, discard, drop_rows, materialise, release
 from .components import components, find
 from .kernels import mix, shingle_sets, slices
 
@@ -35,12 +35,10 @@ ORDERS = 3
 SKETCH = 1 << 20
 #: Tokens that a task gathers before it counts them.
 GATHERED = 2_000_000
-#: Most bits of the filter for the documents whose sets are fetched (16 MB broadcast). More documents make it less selective, not wrong.
-FILTER_BITS = 1 << 27
 #: Documents compared with one leader at a time.
-LEADER_BLOCK = 256
+LEADER_BLOCK = 128
 #: Tokens of either side of a block (8 bytes each).
-BLOCK_TOKENS, MINOR_TOKENS = 1_000_000, 300_000
+BLOCK_TOKENS, MINOR_TOKENS = 500_000, 200_000
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -108,9 +106,9 @@ def summarise(docs: DataFrame, width: int) -> DataFrame:
 
 def frequency_classes(summary: DataFrame) -> np.ndarray:
     """One byte per counter: the binary logarithm of its count. Always ``SKETCH`` bytes."""
-    rows = summary.filter(~F.col("doc")).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = summary.filter(~F.col("doc")).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SKETCH, np.int64)
-    counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return np.ceil(np.log2(counts + 1)).astype(np.uint8)
 
 
@@ -147,26 +145,6 @@ def in_lists(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
     return prefixes.select("id", "n", "tokens", at.alias("at")).mapInArrow(scan, "id long, n long, token long")
 
 
-class IdFilter:
-    """A one-hash Bloom filter of ids, of at most ``FILTER_BITS`` bits."""
-
-    def __init__(self, ids: DataFrame):
-        n = ids.agg(F.approx_count_distinct("id")).first()[0]
-        self.bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
-        at = F.pmod(F.xxhash64("id"), F.lit(self.bits))
-        words = ids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-        rows = words.toPandas()  # bits / 64 rows at most
-        held = np.zeros(self.bits // 64, np.int64)
-        held[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
-        self.held: Broadcast = ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
-
-    def column(self):
-        return F.pmod(F.xxhash64("id"), F.lit(self.bits))
-
-    def wanted(self, at: np.ndarray) -> np.ndarray:
-        return (self.held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-
-
 def long_prefix(n: int, num: int, den: int) -> tuple[int, int]:
     """Length of order 3's prefix and how many of its tokens a partner must share: L = n - alpha + l holds l shared ones."""
     short = prefix_length(n, num, den)
@@ -375,8 +353,8 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows whose id is the smallest of its group of near copies; a repeated id stays once, rows with a NULL id all stay."""
     verdict = materialise(join_similar(docs, id_col=id_col, text_col=text_col, **options), "near-verdict")
-    gone = verdict.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = verdict.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = drop_rows(docs, gone, {id_col: F.col(id_col)})
     repeated = verdict.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
     if repeated:
         kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

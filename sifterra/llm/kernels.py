@@ -7,29 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: Odd multiplier of the polynomial over word hashes.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 400_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Blanks of the contracts, as a table over bytes.
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -139,7 +119,7 @@ def shingle_sets(column: pa.Array, width: int, fold: bool = True) -> Iterator[np
 
 
 #: Text bytes that a worker handles at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:

@@ -11,10 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .kernels import WordHashes, binaries, slices, windows
+from .common import drop_rows, materialise
+from .kernels import BLANK, binaries, flat_bytes, hashed_words, slices, windows
 
-SYMBOL_BYTES = b"#*$%&|<>"
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[list(b"#*$%&|<>")] = True
 DIGITS = re.compile(rb"[0-9]+")
 
 #: A line goes when more of its host's documents hold it than both bounds say.
@@ -29,12 +30,23 @@ _SCHEMA = (
 )
 
 
-def _facts(text: bytes, known: WordHashes) -> tuple:
-    words = text.split()
-    # bytes that begin a code point: all but 10xxxxxx
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    chars = int(np.count_nonzero((flat & 0xC0) != 0x80))
-    symbols = sum(map(text.count, (SYMBOL_BYTES[i : i + 1] for i in range(len(SYMBOL_BYTES)))))
+def _repeated(hashes: np.ndarray) -> int:
+    """Words in 3-word windows that occur twice or more, the first included."""
+    runs = windows(hashes, 3)
+    if len(runs) < 2:
+        return 0
+    order = np.argsort(runs, kind="stable")
+    same = runs[order][1:] == runs[order][:-1]
+    hit = np.zeros(len(runs), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    covered = np.zeros(len(hashes), bool)
+    for shift in range(3):
+        covered[shift : shift + len(hit)] |= hit
+    return int(np.count_nonzero(covered))
+
+
+def _lines(text: bytes) -> tuple[int, list[dict]]:
+    """Lines that repeat an earlier one, and the distinct normalised lines with their words and surroundings."""
     seen, duplicates, lines = set(), 0, {}
     for line in text.split(b"\n"):
         inner = line.split()
@@ -45,20 +57,15 @@ def _facts(text: bytes, known: WordHashes) -> tuple:
         seen.add(line)
         key = hashlib.md5(DIGITS.sub(b"0", b" ".join(inner).lower())).digest()
         lines[key] = lines.get(key, 0) + len(inner)
-    runs = windows(known.of(words), 3)
-    repeated = 0
-    if len(runs) > 1:
-        _, where, counts = np.unique(runs, return_inverse=True, return_counts=True)
-        hit = counts[where] > 1
-        covered = np.zeros(len(words), bool)
-        for shift in range(3):
-            covered[shift : shift + len(hit)] |= hit
-        repeated = int(np.count_nonzero(covered))
     # what the rest of the document looks like, for a line: its smallest other line
     first, second = sorted(lines)[:2] if len(lines) > 1 else (bytes(16), bytes(16))
     number = lambda digest: int.from_bytes(digest[:8], "big", signed=True)
-    entries = [{"line": number(k), "words": n, "context": number(second if k == first else first)} for k, n in lines.items()]
-    return len(words), chars, symbols, duplicates, repeated, entries
+    return duplicates, [{"line": number(k), "words": n, "context": number(second if k == first else first)} for k, n in lines.items()]
+
+
+def _per_row(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(marks)])
+    return sums[at[1:]] - sums[at[:-1]]
 
 
 def describe(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,12 +81,18 @@ def describe(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
     line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("context", pa.int64())]))
 
     def scan(batches):
-        known, row = WordHashes(), TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, len(keep)):
-            raw = [x or b"" for x in binaries(batch.column(len(keep)))]
-            facts = list(zip(*(_facts(x, known) for x in raw), strict=True)) or [()] * 6
-            arrays = [pa.array(range(row, row + len(raw)), pa.int64()), *(pa.array(x, pa.int64()) for x in facts[:5])]
-            arrays += [pa.array(map(xxh3_128_digest, raw), pa.binary()), pa.array(facts[5], line_type)]
+            column = batch.column(len(keep))
+            hashes, first = hashed_words(column, False)
+            data, at = flat_bytes(column)
+            raw = [x or b"" for x in binaries(column)]
+            lines = [_lines(x) for x in raw]
+            repeated = [_repeated(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            # bytes that begin a code point: all but 10xxxxxx
+            figures = [np.diff(first), _per_row(~BLANK[data] & ((data & 0xC0) != 0x80), at), _per_row(SYMBOLS[data], at), [x[0] for x in lines], repeated]
+            arrays = [pa.array(range(row, row + len(raw)), pa.int64()), *(pa.array(x, pa.int64()) for x in figures)]
+            arrays += [pa.array(map(xxh3_128_digest, raw), pa.binary()), pa.array([x[1] for x in lines], line_type)]
             row += len(raw)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=out_names)
 
@@ -127,6 +140,5 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass ``apply_rules``; columns and whole texts stay as they are."""
     id_col, text_col, host_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source")))
     verdict = apply_rules(docs, **options)
-    bad = verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__bad_id"), F.col(host_col).alias("__bad_host"), F.col("text_key").alias("__bad_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__bad_id")) & F.col(host_col).eqNullSafe(F.col("__bad_host")) & (F.xxhash64(text_col) == F.col("__bad_key"))
-    return docs.join(bad, same, "left_anti")
+    bad = verdict.filter(~F.col("kept")).select(id_col, host_col, "text_key")
+    return drop_rows(docs, bad, {id_col: F.col(id_col), host_col: F.col(host_col), "text_key": F.xxhash64(text_col)})
