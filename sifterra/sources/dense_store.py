@@ -39,7 +39,7 @@ def import_npy(spark: SparkSession, path: str | Path, chunk_ids: list[str], dime
         raise ValueError("Dense embeddings row count does not match chunk IDs count")
     if matrix.shape[1] != dimension:
         raise ValueError("Dense embeddings dimension does not match index metadata")
-    table = pd.DataFrame({"chunk_pos": range(len(matrix)), "chunk_id": chunk_ids, "embedding": list(matrix.astype(np.float32))})
+    table = pd.DataFrame({"chunk_pos": range(len(matrix)), "chunk_id": chunk_ids, "embedding": matrix.astype(np.float32).tolist()})
     return spark.createDataFrame(table, "chunk_pos long, chunk_id string, embedding array<float>")
 
 

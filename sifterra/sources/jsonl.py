@@ -94,7 +94,7 @@ def read_jsonl(spark: SparkSession, path: str, record: Callable[[object], dict],
                     rows.append({"pos": at, "error": None} | record(value))
                 except (TypeError, ValueError, KeyError) as error:
                     rows.append({"pos": at, "error": f"Invalid {what} at line {{}}: {error}"})
-            yield pd.DataFrame(rows, columns=["pos", "error", *names]).astype({"pos": "int64"})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="int64" if c == "pos" else object) for c in ("pos", "error", *names)})
 
     lines = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
     parsed = lines.mapInPandas(decode, T.StructType([T.StructField("pos", T.LongType()), T.StructField("error", T.StringType()), *kind.fields]))
