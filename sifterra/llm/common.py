@@ -104,7 +104,7 @@ def drop_rows(docs: DataFrame, bad: DataFrame, keys: dict[str, Column]) -> DataF
     passing = IdFilter(bad.select(F.xxhash64(*keys).alias("id")))
     names = {name: f"__key_{i}" for i, name in enumerate(keys)}
     marked = docs.withColumns({names[k]: e for k, e in keys.items()})
-    at = F.pmod(F.xxhash64(*names.values()), F.lit(passing.bits))
+    at = F.pmod(F.xxhash64(F.xxhash64(*names.values())), F.lit(passing.bits))
 
     @F.pandas_udf("boolean")
     def maybe(x: pd.Series) -> pd.Series:

@@ -156,6 +156,8 @@ def copy_weights(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     rare = often <= max(3, n // 50)
     least = np.full(n, np.iinfo(np.uint64).max)
     np.minimum.at(least, row[rare], mix(flat[rare].astype(np.uint64), 40))
+    alone = least == np.iinfo(np.uint64).max  # without such units a row is nobody's copy
+    least[alone] = np.arange(n, dtype=np.uint64)[alone]
     _, where, size = np.unique(least, return_inverse=True, return_counts=True)
     return 1.0 / size[where]
 
