@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, discard, drop_rows, materialise, release
 from .components import components, find
-from .kernels import mix, shingle_sets, slices
+from .kernels import mix, shingle_sets, slices, trim
 
 ORDERS = 3
 #: Counters of the frequency sketch; one byte of each is broadcast.
 SKETCH = 1 << 20
 #: Tokens that a task gathers before it counts them.
 GATHERED = 2_000_000
+#: Rows of ids and flags (some 50 bytes each) that are broadcast rather than shuffling sets twice.
+BROADCAST_ROWS = 200_000
 #: Documents compared with one leader at a time.
 LEADER_BLOCK = 128
 #: Tokens of either side of a block (8 bytes each).
@@ -190,6 +192,11 @@ def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
 
 
+def if_small(rows: DataFrame) -> DataFrame:
+    """A materialised table of ids, to be broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 class _Flat:
     """Token arrays of several documents as codes in one array."""
 
@@ -228,6 +235,7 @@ def survivors(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
                 other &= flat.shared(i) >= least
         passed |= other
         passed[i] |= other.any()
+    trim()
     return block.loc[passed, ["unit", "part", "id", "component", "first"]]
 
 
@@ -254,6 +262,7 @@ def verify(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
                 links.append((ids[i], ids[j]))
         if other.any():
             roots = np.array([find(parent, int(x)) for x in label])
+    trim()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -295,18 +304,21 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     one, hashed = F.struct("id", "n"), F.struct(F.xxhash64("id").alias("h"), F.struct("id", "n").alias("one"))
     leaders = banded.groupBy("token", "band").agg(F.count("*").alias("size"), F.min(one).alias("l1"), F.max(one).alias("l2"), F.min(hashed)["one"].alias("l3"), F.max(hashed)["one"].alias("l4")).filter("size > 1")
     leaders = leaders.select("token", "band", "size", F.array_distinct(F.array("l1", "l2", "l3", "l4")).alias("leaders"))
-    banded = materialise(banded.join(leaders, ["token", "band"]), "banded-lists")
+    leaders = materialise(leaders, "list-leaders")
+    banded = materialise(banded.join(leaders.filter("size > 2"), ["token", "band"]), "banded-lists")
     discard(shared)
 
     # every document against the leaders of its lists, first under the other orders, then by sets
-    pairs = banded.select("id", "n", F.explode("leaders").alias("l")).select("id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
+    of_two = leaders.filter("size = 2").select(F.get("leaders", F.lit(0)).alias("l"), F.get("leaders", F.lit(1)).alias("i"))  # one row repeated has no second
+    pairs = banded.select(F.struct("id", "n").alias("i"), F.explode("leaders").alias("l")).unionByName(of_two)
+    pairs = pairs.select(F.col("i.id").alias("id"), F.col("i.n").alias("n"), F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
     alike = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
     pairs = materialise(pairs.filter("id <> leader").filter(alike).groupBy(F.least("id", "leader").alias("low"), F.greatest("id", "leader").alias("high")).agg(F.min("leader").alias("leader")), "leader-pairs")
     pairs = pairs.select("leader", F.when(F.col("leader") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("id"))
     other = materialise(fetch(light, pairs.select("id").union(pairs.select("leader")).distinct(), width, num, den, classes, False), "other-orders")
     lead = other.select(F.col("id").alias("leader"), F.col("p2").alias("l2"), F.col("p3").alias("l3"), F.col("need").alias("l_need"))
     enough = F.size(F.array_intersect("p3", "l3")) >= F.least("need", "l_need")
-    passed = materialise(pairs.join(other, "id").join(lead, "leader").filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
+    passed = materialise(other.join(if_small(pairs), "id").join(lead, "leader").filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
     discard(other)
     release(spark)
     salts = passed.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_BLOCK).alias("salts"))
@@ -314,7 +326,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     members = salted.select("leader", "salt", "id", F.lit(False).alias("first")).union(salted.select("leader", "salt", F.col("leader").alias("id"), F.lit(True)).distinct())
     members = materialise(members.withColumn("component", F.col("id")), "leader-blocks")
     sets = fetch(light, members.select("id").distinct(), width, num, den, classes, True)
-    near = members.join(sets, "id").groupBy("leader", "salt").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
+    near = sets.join(if_small(members), "id").groupBy("leader", "salt").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     near = materialise(near, "leader-links")
     found = materialise(components(near), "leader-components")
     release(spark)
@@ -338,11 +350,11 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ]
     units = materialise(sides[0].union(sides[1]).select(F.struct("largest", "band").alias("unit"), F.struct("x", "y").alias("part"), "id", "component", "first"), "open-blocks")
     filters = fetch(light, units.select("id").distinct(), width, num, den, classes, False)
-    left = units.join(filters, "id").groupBy("unit", "part").applyInPandas(lambda block: survivors(block, num, den), units.schema)
+    left = filters.join(if_small(units), "id").groupBy("unit", "part").applyInPandas(lambda block: survivors(block, num, den), units.schema)
     left = materialise(left, "open-survivors")
     release(spark)
     sets = fetch(light, left.select("id").distinct(), width, num, den, classes, True)
-    far = left.join(sets, "id").groupBy("unit", "part").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
+    far = sets.join(if_small(left), "id").groupBy("unit", "part").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     linked = components(near.union(far))
 
     component = F.when(F.col("n") > 0, F.coalesce("component", "head", "id")).otherwise(F.col("id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 #: Bytes hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -118,6 +119,14 @@ def shingle_sets(column: pa.Array, width: int, fold: bool = True) -> Iterator[np
         yield distinct(runs[a : b - width + 1]) if b - a >= width else shingles(hashes[a:b], width)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Text bytes that a worker handles at once.
 SLICE = 1 << 20
 
@@ -132,6 +141,7 @@ def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SLICE, side="right")))
             yield batch.slice(done, upto - done)
             done = upto
+    trim()
 
 
 def binaries(column: pa.Array) -> list[bytes | None]:
