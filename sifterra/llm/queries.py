@@ -155,5 +155,16 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
+OP10_SQL = """
+WITH RECURSIVE bits(n, i, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE i = 8),
+light AS (SELECT row_number() OVER () AS r, doc_id, text, md5(text) AS g, octet_length(encode(coalesce(text, ''))) + 8 AS size FROM documents),
+sums AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w AS place, sum(size) OVER () AS total FROM light WINDOW w AS (ORDER BY g NULLS FIRST, doc_id NULLS FIRST, r ROWS UNBOUNDED PRECEDING)),
+grouped AS (SELECT *, min(before) OVER (PARTITION BY g) AS first, sum(size) OVER (PARTITION BY g) AS bytes FROM sums),
+cut AS (SELECT *, least(23, CAST(floor((CASE WHEN bytes <= 0.02::DOUBLE * total / 24 THEN first ELSE before END) * 24.0::DOUBLE / total) AS INTEGER)) AS shard FROM grouped)
+SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut, crc
+"""
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op9_chat_tree": op9_chat_tree, "op10_sharding": op10_sharding}
-ORACLES = {"op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op10_sharding": OP10_SQL, "op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
