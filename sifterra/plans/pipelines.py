@@ -8,7 +8,6 @@ from enum import StrEnum
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, markdown, statistics
@@ -31,10 +30,8 @@ class IndexingResult:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """``chunk_pos``: (path, index) order made explicit. Counts per path and one running sum over paths, no global sort of chunks."""
-    per = chunks.groupBy("relative_path").agg(F.count("*").alias("n"))
-    before = per.select("relative_path", (F.sum("n").over(W.orderBy("relative_path").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))
-    return chunks.join(before, "relative_path").withColumn("chunk_pos", F.col("before") + F.col("chunk_index")).drop("before")
+    """``chunk_pos``: (path, index) order made explicit, ascending but not dense. A range sort, no single task; write it before use."""
+    return chunks.orderBy("relative_path", "chunk_index").withColumn("chunk_pos", F.monotonically_increasing_id())
 
 
 def build_chunks(spark: SparkSession, root: str | Path, output: str | Path, *, source_name: str = "notes", config: markdown.ChunkerConfig = markdown.ChunkerConfig()) -> IndexingResult:
