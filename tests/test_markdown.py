@@ -27,8 +27,8 @@ CASES = [
     ("Before\n```python\na\nb\n```\nAfter", 1, (3, 1000, 0), [(1, 5), (6, 6)]),
     ("Before\n~~~python\na\nb\n~~~\nAfter", 1, (3, 1000, 0), [(1, 5), (6, 6)]),
     ("```\na\nb\nc", 1, (2, 1000, 0), [(1, 4)]),
-    ("```\ncode\n```\none\ntwo", 1, (3, 1000, 2, 3), [(1, 3), (1, 5)]),
-    ("```\na\nb\nc\nd\n```\none\ntwo", 1, (3, 1000, 2, 3), [(1, 6), (7, 8)]),
+    ("Intro\n```\ncode\n```\none\ntwo", 1, (3, 1000, 2, 3), [(1, 4), (2, 4), (5, 6)]),
+    ("Intro\n```\na\nb\nc\nd\n```\none\ntwo", 1, (3, 1000, 2, 3), [(1, 7), (8, 9)]),
     ("```\n~~~\na\n```\nend", 1, (2, 1000, 0), [(1, 4), (5, 5)]),
     ("a\nb\n\n\nc", 10, (4, 1000, 0), [(10, 11), (14, 14)]),
 ]
