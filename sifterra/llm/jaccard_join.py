@@ -38,7 +38,7 @@ GATHERED = 2_000_000
 #: Rows of ids and flags (some 50 bytes each) that are broadcast rather than shuffling sets twice.
 BROADCAST_ROWS = 200_000
 #: Documents compared with one leader at a time.
-LEADER_BLOCK = 128
+LEADER_BLOCK = 64
 #: Tokens of either side of a block (8 bytes each).
 BLOCK_TOKENS, MINOR_TOKENS = 500_000, 200_000
 
