@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEAT = 50, (50, 100)
 
 _SCHEMA = (
     "__row long, __n_words long, __word_chars long, __n_symbols long, __n_dup_lines long, __n_repeat_words long, "
-    "__content binary, __lines array<struct<line: long, words: int, context: long>>"
+    "__content binary, __lines array<struct<line: long, words: int>>"
 )
 
 
@@ -46,7 +46,7 @@ def _repeated(hashes: np.ndarray) -> int:
 
 
 def _lines(text: bytes) -> tuple[int, list[dict]]:
-    """Lines that repeat an earlier one, and the distinct normalised lines with their words and surroundings."""
+    """Lines that repeat an earlier one, and the distinct normalised lines with their words."""
     seen, duplicates, lines = set(), 0, {}
     for line in text.split(b"\n"):
         inner = line.split()
@@ -57,10 +57,7 @@ def _lines(text: bytes) -> tuple[int, list[dict]]:
         seen.add(line)
         key = hashlib.md5(DIGITS.sub(b"0", b" ".join(inner).lower())).digest()
         lines[key] = lines.get(key, 0) + len(inner)
-    # what the rest of the document looks like, for a line: its smallest other line
-    first, second = sorted(lines)[:2] if len(lines) > 1 else (bytes(16), bytes(16))
-    number = lambda digest: int.from_bytes(digest[:8], "big", signed=True)
-    return duplicates, [{"line": number(k), "words": n, "context": number(second if k == first else first)} for k, n in lines.items()]
+    return duplicates, [{"line": int.from_bytes(k[:8], "big", signed=True), "words": n} for k, n in lines.items()]
 
 
 def _per_row(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -78,7 +75,7 @@ def describe(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
     source = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), _SCHEMA])
     out_names = [*keep, *(part.split()[0] for part in re.findall(r"__\w+ \w+", _SCHEMA))]
-    line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("context", pa.int64())]))
+    line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
 
     def scan(batches):
         row = TaskContext.get().partitionId() << 33
@@ -103,9 +100,8 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, host, base figures, ``n_lines_removed``, ``n_words_left``, ``base_failed``, ``kept``, ``text_key`` (xxhash64 of the text).
 
     Lines are lower-cased, blanks squeezed and digit runs made one 0, then hashed.
-    A line's documents at a host are counted as distinct surroundings: copies and
-    near copies of one document, which share their other lines, count once, so a
-    large group of copies is not mistaken for a template.  Lines held by more
+    A line's documents at a host are counted as distinct contents: exact copies
+    count once, near copies count each.  Lines held by more
     than ``max_share`` of the host's distinct contents and by more than
     ``min_documents`` are removed; a document that keeps less than
     ``min_remaining`` of its words is rejected.  A document also fails with
@@ -118,9 +114,9 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     host = F.col("__host")
     facts = materialise(describe(docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__whole")), text_col="__whole", keep=("__id", "__host", "__key")), "line-facts")
-    lines = facts.select("__row", host, F.explode("__lines").alias("l")).select("__row", host, "l.line", "l.words", "l.context")
+    lines = facts.select("__row", host, "__content", F.explode("__lines").alias("l")).select("__row", host, "__content", "l.line", "l.words")
     contents = facts.select(host, "__content").distinct().groupBy(host).agg(F.count("*").alias("__contents"))
-    held = lines.select(host, "line", "context").distinct().groupBy(host, "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > min_documents)
+    held = lines.select(host, "line", "__content").distinct().groupBy(host, "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > min_documents)
     contents = contents.select(host.alias("__h"), "__contents")
     frequent = held.join(contents, host.eqNullSafe(F.col("__h"))).filter(F.col("documents") > F.col("__contents") * max_share).select(host.alias("__h"), F.col("line").alias("__l"))
     # few lines pass; the size decides at run time whether they are broadcast

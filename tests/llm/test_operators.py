@@ -206,6 +206,17 @@ def test_line_rules(odd, none, spark):
     assert dup["n_repeat_words"] == 9
 
 
+@pytest.mark.parametrize("shared", [2, 20, 40])
+def test_line_rules_many_shared_lines(spark, shared):
+    rng = random.Random(shared)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    template = [words(40) for _ in range(shared)]
+    rows = [(i, "\n".join([*template, words(10)]), "h") for i in range(100)] + [(200 + i, words(80), "h") for i in range(100)]
+    out = {r["doc_id"]: r for r in line_rules.apply_rules(table(spark, rows)).collect()}
+    assert all(out[i]["n_lines_removed"] == shared and out[i]["n_words_left"] == 10 and not out[i]["kept"] for i in range(100))
+    assert all(out[200 + i]["n_lines_removed"] == 0 and out[200 + i]["kept"] for i in range(100))
+
+
 def test_mixing(odd, none, spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(1, 30)), rng.choice(["a", "b", "c", "tiny", None]) if i > 5 else "tiny") for i in range(3000)]
