@@ -8,6 +8,7 @@ the next one's ``docs``.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sifterra.llm import jaccard_join, line_rules, mixing, packing, quality_fm
 from sifterra.llm.common import fold, materialise, table
@@ -18,7 +19,9 @@ LEAST_QUALITY = 0.3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_rules.keep_good(docs)
+    """Texts lose their host's frequent lines, so their lengths are taken anew."""
+    kept = line_rules.keep_good(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_rules.apply_rules(docs).drop("source", "text_key")
+    return line_rules.apply_rules(docs).drop("source", "text_key", "text")
 
 
 OP8_SQL = r"""

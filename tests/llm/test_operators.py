@@ -206,6 +206,26 @@ def test_line_rules(odd, none, spark):
     assert dup["n_repeat_words"] == 9
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_line_rules_clean_texts(spark, monkeypatch, broadcast):
+    import corpus_pipeline
+
+    monkeypatch.setattr(line_rules, "BROADCAST_LINES", broadcast, raising=False)
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    own = {i: [words(45), words(45)] for i in range(40)}
+    notice = "Notice é 漢 %d of 9"
+    rows = [(i, f"{a}\n{notice % i}\n\n{b}\n  NOTICE é 漢 7 of 9", None if i < 20 else "h") for i, (a, b) in own.items()] + [(100, notice % 1 + "\n" + own[0][0] + " " + own[1][0], "other"), (101, None, "h")]
+    docs = table(spark, rows)
+    out = {r["doc_id"]: r for r in line_rules.apply_rules(docs).collect()}
+    assert all(out[i]["text"] == f"{a}\n\n{b}" and (out[i]["n_lines_removed"], out[i]["n_words"], out[i]["n_words_left"]) == (1, 102, 90) for i, (a, b) in own.items())
+    assert out[100]["text"] == rows[-2][1] and out[101]["text"] is None
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got = {r["doc_id"]: (r["text"], r["n_chars"], r["text_key"]) for r in kept.collect()}
+    assert got == {i: (out[i]["text"], len(out[i]["text"]), "x") for i in (*own, 100)}
+
+
 @pytest.mark.parametrize("shared", [2, 20, 40])
 def test_line_rules_many_shared_lines(spark, shared):
     rng = random.Random(shared)
