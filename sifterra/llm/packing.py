@@ -27,8 +27,8 @@ from .kernels import mix, slices, texts
 WINDOW = 1024
 #: Documents indexed together.
 SHARD = 2_048
-#: Rarest terms of a seed that are looked up, and neighbours taken from one look-up.
-QUERY_TERMS, NEIGHBOURS = 24, 16
+#: Neighbours taken from one look-up.
+NEIGHBOURS = 16
 K1, B = 1.5, 0.75
 
 
@@ -92,13 +92,13 @@ class Shard:
         order = np.lexsort((df[term], self.doc))
         order = order[df[term][order] > 1]
         firsts = np.searchsorted(self.doc[order], np.arange(len(words) + 1))
-        self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        self.query = [term[order[a:b]] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
         self.free = np.ones(len(words), bool)
         self.scores = np.zeros(len(words))
         self.at = 0
 
     def neighbours(self, seed: int) -> list[int]:
-        """Unused rows by descending score, then position; none if no row shares a term."""
+        """Unused rows by descending score over all terms of the seed, then position; none if no row shares a term."""
         self.scores[:] = 0
         for t in self.query[seed].tolist():
             a, b = self.start[t], self.start[t + 1]

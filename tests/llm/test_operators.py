@@ -361,6 +361,20 @@ def test_packing_neighbours_share_words():
     assert all(x % 4 == 0 for x in shard.neighbours(0))
 
 
+def test_packing_scores_every_shared_term():
+    rng = random.Random(8)
+    words = [np.array(sorted({zlib.crc32(f"{i % 3}-{rng.randint(0, 300)}".encode()) for _ in range(150)} | {zlib.crc32(f"all{k}".encode()) for k in range(20)}), np.uint64) for i in range(90)]
+    shard, mean = packing.Shard(words), np.mean([len(w) for w in words])
+    df = {t: sum(t in w for w in map(set, words)) for t in {t for w in words for t in w.tolist()}}
+    idf = {t: np.log1p((len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    shard.free[::4] = False
+    for seed in range(0, 90, 4):
+        own = set(words[seed].tolist())
+        score = {i: sum(idf[t] for t in own.intersection(w.tolist())) * (packing.K1 + 1) / (1 + packing.K1 * (1 - packing.B + packing.B * len(w) / mean)) for i, w in enumerate(words) if i % 4}
+        best = sorted(score.values(), reverse=True)[: packing.NEIGHBOURS]
+        assert [score[i] for i in shard.neighbours(seed)] == pytest.approx(best)
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("conv", "segment", "path", "name", "n", "t")})
 
