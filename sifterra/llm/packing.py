@@ -49,7 +49,8 @@ class Tokens:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         vocabulary = self.slow.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if not token[0].isalnum()]] = True
+        # byte-level BPE writes the bytes 0 to 32 and 127 as U+0100 to U+0121: a blank is a letter to isalnum()
+        self.begins[[i for token, i in vocabulary.items() if (not token[0].isalnum() if token[0] < "\x80" else "\u0100" <= token[0] <= "\u0121")]] = True
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:

@@ -375,6 +375,12 @@ def test_packing_scores_every_shared_term():
         assert [score[i] for i in shard.neighbours(seed)] == pytest.approx(best)
 
 
+def test_words_begin_at_blanks():
+    made = packing.Tokens(**public_tokenizer())
+    count = lambda text: len(made.words(made.encode(text)))
+    assert (count(" time year people"), count("time\nyear, day"), count(" naïve 漢字 x")) == (3, 4, 3)
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("conv", "segment", "path", "name", "n", "t")})
 
