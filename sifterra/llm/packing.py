@@ -2,8 +2,9 @@
 
 A document's whole windows need no neighbour and are cut at once.  What is left
 of each document goes to shards: rows are range-partitioned by a minimum hash
-over their words, so texts that share words meet, and every run of ``SHARD``
-rows is a shard with a BM25 index of its own.  A window starts with a seed, the
+over the words of the whole document, so texts that share words meet, and every
+run of ``SHARD`` rows is a shard with a BM25 index of its own, over whole
+documents too.  A window starts with a seed, the
 index returns its unused neighbours, and they fill the window in the order of
 their scores; the last one is cut where the window ends and its rest starts the
 next window.  Only the last window of a partition can fall short.
@@ -140,6 +141,14 @@ def fill(shard: Shard, lengths: list[int], room: int, window: int):
                 waiting = shard.neighbours(row)
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    return (ids.astype("<u2") if len(ids) and ids.max() < 65536 else ids).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u2").astype("<u4")
+
+
 def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids`` (little-endian 32-bit).
 
@@ -152,7 +161,7 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern:
     """
     source = docs.select(F.col(id_col), F.col(text_col))
     id_type = source.schema.fields[0].dataType.simpleString()
-    names = ["id", "tail", "start", "length", "ids_crc32", "doc_tokens", "ids", "sign", "place"]
+    names = ["id", "tail", "start", "length", "ids_crc32", "doc_tokens", "ids", "head", "sign", "place"]
 
     def cut(batches):
         bpe, place = tokens(tokenizer, ranks, pattern), TaskContext.get().partitionId() << 40
@@ -163,22 +172,22 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern:
                 whole = len(ids) // window * window
                 for start in range(0, whole, window):
                     piece = ids[start : start + window].tobytes()
-                    rows.append((False, start, window, zlib.crc32(piece), len(ids), piece if with_ids else None, 0, place))
+                    rows.append((False, start, window, zlib.crc32(piece), len(ids), piece if with_ids else None, None, 0, place))
                     index.append(i)
                     place += 1
                 if whole < len(ids):
                     rest = ids[whole:]
-                    sign = int(bpe.words(rest).min() >> np.uint64(1))
-                    rows.append((True, whole, len(rest), 0, len(ids), rest.tobytes() if with_ids else rest.astype("<u2").tobytes() if rest.max() < 65536 else rest.tobytes(), sign, place))
+                    sign = int(bpe.words(ids).min() >> np.uint64(1))
+                    rows.append((True, whole, len(rest), 0, len(ids), rest.tobytes() if with_ids else _narrow(rest), _narrow(ids[:whole]), sign, place))
                     index.append(i)
                     place += 1
             columns = list(zip(*rows, strict=True)) or [[] for _ in names[1:]]
-            kinds = [pa.bool_(), *[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 2]
+            kinds = [pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 2, *[pa.int64()] * 2]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *arrays], names=names)
 
-    pieces = materialise(source.mapInArrow(cut, f"id {id_type}, tail boolean, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sign long, place long"), "pieces")
-    tails = pieces.filter("tail").select("id", "start", "length", "doc_tokens", "ids", "sign", "place")
+    pieces = materialise(source.mapInArrow(cut, f"id {id_type}, tail boolean, start long, length long, ids_crc32 long, doc_tokens long, ids binary, head binary, sign long, place long"), "pieces")
+    tails = pieces.filter("tail").select("id", "start", "length", "doc_tokens", "ids", "head", "sign", "place")
     tails = tails.repartitionByRange(partitions(docs.sparkSession), "sign", "place").sortWithinPartitions("sign", "place")
     out_names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
 
@@ -189,9 +198,10 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern:
         def flush():
             nonlocal sequence, offset
             table = pa.Table.from_batches(held).combine_chunks()
-            cols = {c: table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "ids")}
-            ids = [np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u2").astype("<u4") for x, n in zip(cols["ids"], cols["length"], strict=True)]
-            shard, rows, index = Shard([bpe.words(x) for x in ids]), [], []
+            cols = {c: table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "ids", "head")}
+            ids = [_wide(x, n) for x, n in zip(cols["ids"], cols["length"], strict=True)]
+            heads = map(_wide, cols["head"], cols["start"])
+            shard, rows, index = Shard([bpe.words(np.concatenate([h, x])) for h, x in zip(heads, ids, strict=True)]), [], []
             for row, start, length, fresh in fill(shard, cols["length"], window - offset, window):
                 if fresh:
                     sequence, offset = sequence + 1, 0

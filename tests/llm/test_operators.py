@@ -375,6 +375,19 @@ def test_packing_scores_every_shared_term():
         assert [score[i] for i in shard.neighbours(seed)] == pytest.approx(best)
 
 
+def test_packing_places_short_rests_by_the_whole_text(spark):
+    rng = random.Random(12)
+    topics = ["time year people way day man thing woman life child world school".split(), "red blue green water fire stone tree house road light dark moon".split()]
+    topic = {i: rng.randint(0, 1) for i in range(256)}
+    docs = spark.createDataFrame([(i, "".join(" " + rng.choice(topics[k]) for _ in range(64))) for i, k in topic.items()], "doc_id long, text string")
+    pieces = packing.pack(docs, window=64, **public_tokenizer()).collect()
+    assert {p["doc_tokens"] for p in pieces} == {65}
+    rests = sorted((p["sequence_id"], p["offset"], topic[p["doc_id"]]) for p in pieces if p["start"])
+    assert len(rests) == 256
+    pairs = [(a, b) for a, b in zip(rests, rests[1:], strict=False) if a[0] == b[0]]
+    assert sum(a[2] == b[2] for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_words_begin_at_blanks():
     made = packing.Tokens(**public_tokenizer())
     count = lambda text: len(made.words(made.encode(text)))
