@@ -141,8 +141,8 @@ split_lines AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS
     FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM split_lines GROUP BY r),
 lines AS (SELECT r, source, h, sum(n) AS n FROM split_lines GROUP BY r, source, h),
-ends AS (SELECT r, list(h ORDER BY h)[:2] AS two FROM lines GROUP BY r),
-held AS (SELECT source, h, count(DISTINCT CASE WHEN len(two) < 2 THEN '' WHEN h = two[1] THEN two[2] ELSE two[1] END) AS c FROM lines JOIN ends USING (r) GROUP BY source, h),
+contents AS (SELECT r, md5(text) AS content FROM docs),
+held AS (SELECT source, h, count(DISTINCT content) AS c FROM lines JOIN contents USING (r) GROUP BY source, h),
 hosts AS (SELECT source, count(DISTINCT text) AS c FROM docs GROUP BY source),
 frequent AS (SELECT held.source, h FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.c > 10 AND held.c > hosts.c * 0.10::DOUBLE),
 gone AS (SELECT r, sum(n) AS n, count(*) AS c FROM lines JOIN frequent f ON lines.h = f.h AND lines.source IS NOT DISTINCT FROM f.source GROUP BY r),
