@@ -71,6 +71,9 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of ids (some 50 bytes each) up to which they are broadcast; beyond, both sides are shuffled. Results are the same.
+BROADCAST_IDS = 200_000
+
 #: Most bits of a filter of ids (16 MB broadcast). More ids make it less selective, not wrong.
 FILTER_BITS = 1 << 27
 

@@ -7,41 +7,56 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .features import bounded_sample, score_texts
+from .common import BROADCAST_IDS, discard, materialise
+from .features import score_texts
 from .kernels import mix
 
-#: Most training documents of a language, and most languages (the largest ones).
+#: Most training documents of a language; they are the least hashes of each of ``SAMPLE_CLASSES`` hash classes.
 SAMPLE_PER_LANGUAGE = 1_500
-MAX_LANGUAGES = 400
+SAMPLE_CLASSES = 16
 #: Hashed n-grams of one, two and three letters.
 BINS = 1 << 12
 SIZES = (1, 2, 3)
 CENTROIDS = 3
-LEAST_SHARE = 0.1
+#: A smaller cluster of a language stays only if no other language's main centroid is nearer to it than its own.
+MINOR_SHARE = 0.1
 #: Characters of a text handled at once.
 PIECE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+#: Word characters but digits; a few of them, such as fractions and Roman numerals, are no letters.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
-    """How often each bin's n-grams occur in the whole text, lower-cased, runs of non-letters as one gap."""
+    """How often each bin's n-grams occur in the whole text, lower-cased, with runs of non-letters and both ends as one gap."""
     total = np.zeros(BINS)
-    for start in range(0, len(text), PIECE):
-        # one earlier piece end is shared, so that no n-gram is lost
-        piece = text[max(0, start - SIZES[-1] + 1) : start + PIECE].lower()
-        codes = np.frombuffer((" " + piece + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lowered = text.lower()
+    held = np.full(1, 32, np.uint64)  # what is already counted, as far as later n-grams reach back
+    for start in range(0, len(lowered) + 1, PIECE):
+        piece = lowered[start : start + PIECE] + (" " if start + PIECE > len(lowered) else "")
+        codes = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         gap = (codes < 65) | ((codes > 90) & (codes < 97)) | ((codes > 122) & (codes < 192))
         codes[gap] = 32
-        codes = codes[~(gap & np.roll(gap, 1)) | (np.arange(len(codes)) == 0)]
-        key = np.zeros(len(codes), np.uint64)
+        after_gap = np.concatenate([held[-1:] == 32, gap[:-1]])
+        codes = np.concatenate([held, codes[~(gap & after_gap)]])
+        key = codes
         for n in range(1, SIZES[-1] + 1):
-            key = (key << np.uint64(21))[: len(codes) - n + 1] | codes[n - 1 :] if n > 1 else codes.copy()
-            if n in SIZES and len(key):
-                total += np.bincount((mix(key, 60 + n) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            if n > 1:
+                key = (key << np.uint64(21))[: max(0, len(codes) - n + 1)] | codes[n - 1 :]
+            fresh = key[max(0, len(held) - n + 1) :]  # those that end in this piece
+            if n in SIZES and len(fresh):
+                total += np.bincount((mix(fresh, 60 + n) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        held = codes[1 - SIZES[-1] :]
     return total
 
 
@@ -55,8 +70,13 @@ class Centroids:
     reach: np.ndarray
 
     def vector(self, total: np.ndarray) -> np.ndarray:
-        v = np.log1p(total) * self.idf
-        return v / max(1e-12, np.linalg.norm(v))
+        return weighed(total, self.idf)
+
+
+def weighed(total: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors of counts."""
+    v = np.log1p(total) * idf
+    return v / np.maximum(1e-12, np.linalg.norm(v, axis=-1, keepdims=True))
 
 
 def spherical_clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,51 +100,85 @@ def spherical_clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray
     return centres
 
 
-def fit(totals: np.ndarray, languages: list[str], *, k: int = CENTROIDS) -> Centroids:
-    """Inverse document frequencies and clustered centroids per language, from a bounded set of count vectors."""
-    idf = np.log((1 + len(totals)) / (1 + (totals > 0).sum(axis=0))) + 1e-3
-    model = Centroids(np.zeros((0, BINS)), [], idf, np.zeros(0))
-    rows = np.array([model.vector(t) for t in totals])
-    vectors, names, reach = [], [], []
-    for name in sorted(set(languages)):
-        own = rows[[x == name for x in languages]]
-        centres = spherical_clusters(own, k)
-        owner, best = np.argmax(own @ centres.T, axis=1), np.max(own @ centres.T, axis=1)
-        for c in range(len(centres)):
-            # a few odd or mislabelled documents make no centroid of a language
-            if (owner == c).sum() >= max(1, LEAST_SHARE * len(own)):
-                vectors.append(centres[c])
-                names.append(name)
-                reach.append(float(np.quantile(best[owner == c], 0.01)))
-    return Centroids(np.array(vectors), names, idf, np.array(reach))
+def language_centroids(totals: list[bytes], idf: np.ndarray, k: int) -> list[tuple[bytes, float, float]]:
+    """(vector, share, reach) of each cluster of one language's documents."""
+    rows = weighed(np.array([np.frombuffer(x, np.uint16) for x in totals]).astype(np.float32), idf.astype(np.float32))
+    centres = spherical_clusters(rows, k)
+    cosines = rows @ centres.T
+    owner, best = np.argmax(cosines, axis=1), np.max(cosines, axis=1)
+    return [(centres[c].astype(np.float32).tobytes(), float((owner == c).mean()), float(np.quantile(best[owner == c], 0.01))) for c in range(len(centres)) if (owner == c).any()]
 
 
-def fit_languages(docs: DataFrame, training: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids | None:
-    """Fit on at most ``per_language`` training documents of each of ``MAX_LANGUAGES`` languages; None without any.
+def settled(found: list[tuple[str, np.ndarray, float, float]], idf: np.ndarray) -> Centroids:
+    """The model of all languages' clusters (language, vector, share, reach).
 
-    The sample goes by a hash of the id. Count vectors reach the driver as short integers of the bins in use.
+    A few odd or mislabelled documents make no centroid: a minor cluster goes if another language's main
+    centroid is nearer to it than its own language's.
+    """
+    found = sorted(found, key=lambda x: (x[0], -x[2], x[1].tobytes()))
+    names, vectors = [x[0] for x in found], np.array([x[1] for x in found], np.float64)
+    top = {}
+    for i, name in enumerate(names):
+        top.setdefault(name, i)
+    main = np.array([x[2] >= MINOR_SHARE for x in found]) | np.isin(np.arange(len(found)), list(top.values()))
+    own = np.array([[a == b for b in names] for a in names])
+    cosines = vectors @ vectors.T
+    kept = [i for i in range(len(found)) if main[i] or not (cosines[i, main & ~own[i]] > cosines[i, main & own[i]].max()).any()]
+    return Centroids(vectors[kept], [names[i] for i in kept], idf, np.array([found[i][3] for i in kept]))
+
+
+def sampled(known: DataFrame, per_language: int) -> DataFrame:
+    """(``__id``, ``__name``) of at most ``per_language`` rows of each language, by hashes of the id alone.
+
+    A language's rows are dealt to hash classes, so no task ranks a whole language, and tasks drop what can't be
+    among the least before they shuffle.
+    """
+    h = F.xxhash64("__id")
+    ranked = known.select("__id", F.col("__lang").alias("__name"), h.alias("__h"), F.pmod(F.xxhash64(h), F.lit(SAMPLE_CLASSES)).alias("__class"))
+    order = W.partitionBy("__name", "__class").orderBy("__h", "__id")
+    least = ranked.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= max(1, per_language // SAMPLE_CLASSES))
+    return least.select("__id", "__name").distinct()
+
+
+def fit_languages(docs: DataFrame, training: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids | None:
+    """Fit on at most ``per_language`` training documents of every language; None without any.
+
+    Count vectors stay with the executors, where each language is clustered on its own.  The driver gets one number
+    for each bin, and ``k`` vectors of 16 KB for each language: the model itself.
     """
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
-    known = known.filter(F.col("__id").isNotNull() & F.col("__lang").isNotNull() & F.col("__text").isNotNull()).filter(training(F.col("__id")))
-    sizes = known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES).collect()
-    picked = None
-    for row in sizes:
-        part = bounded_sample(known.filter(F.col("__lang") == row["__lang"]).select("__id", "__lang"), "__id", per_language)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        return None
-    # two columns of at most per_language * MAX_LANGUAGES rows
-    picked = picked.distinct().withColumnRenamed("__lang", "__name")
-    joined = known.join(F.broadcast(picked), "__id").filter(F.col("__lang") == F.col("__name"))
+    known = known.filter(F.col("__id").isNotNull() & F.col("__lang").isNotNull()).filter(training(F.col("__id")))
+    picked = materialise(sampled(known, per_language), "language-sample")
+    joined = known.join(F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked, "__id").filter((F.col("__lang") == F.col("__name")) & F.col("__text").isNotNull())
 
     def features(raw: list[bytes], extras: list[list]):
         totals = [np.minimum(counts(x.decode("utf-8", "replace")), 65535).astype(np.uint16).tobytes() for x in raw]
         return [totals, extras[0]]
 
-    got = score_texts(joined, "__id", "__text", ["__lang"], "totals binary, lang string", features).orderBy("__id").collect()
-    if not got:
+    vectors = materialise(score_texts(joined, "__id", "__text", ["__lang"], "totals binary, lang string", features), "language-vectors")
+
+    def held(batches):
+        n, df = 0, np.zeros(BINS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                df += np.frombuffer(x.as_py(), np.uint16) > 0
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BINS)), pa.array(np.concatenate([[n], df]))], names=["bin", "n"])
+
+    sums = vectors.select("totals").mapInArrow(held, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # BINS + 1 rows
+    if not sums or not sums[0]["n"]:
         return None
-    return fit(np.array([np.frombuffer(r["totals"], np.uint16) for r in got]).astype(np.float32), [r["lang"] for r in got])
+    idf = np.log((1 + sums[0]["n"]) / (1 + np.array([r["n"] for r in sums[1:]]))) + 1e-3
+
+    def clustered(rows: pd.DataFrame) -> pd.DataFrame:
+        made = language_centroids(rows["totals"].tolist(), idf, k)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [m[0] for m in made], "share": [m[1] for m in made], "reach": [m[2] for m in made]})
+
+    # at most ``per_language`` rows a group, of a fixed size; their order settles the seeds
+    found = vectors.select("lang", "totals", "__id").groupBy("lang").applyInPandas(lambda rows: clustered(rows.sort_values(["__id", "totals"])), "lang string, vector binary, share double, reach double").collect()
+    discard(vectors)
+    discard(picked)
+    return settled([(r["lang"], np.frombuffer(r["vector"], np.float32), r["share"], r["reach"]) for r in found], idf)
 
 
 def identify(docs: DataFrame, model: Centroids | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +189,7 @@ def identify(docs: DataFrame, model: Centroids | None, *, id_col: str = "doc_id"
 
     NULL, empty and letterless texts are ``und`` with score 0 and rejected, and so is every row without a model;
     repeated rows get equal results; very long texts are read whole; an empty table gives no rows; other columns
-    are ignored.
+    are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -143,7 +197,7 @@ def identify(docs: DataFrame, model: Centroids | None, *, id_col: str = "doc_id"
         fitted, names, scores, rejected = shared.value, [], [], []
         for x in raw:
             text = x.decode("utf-8", "replace")
-            if fitted is None or not LETTER.search(text):
+            if fitted is None or not has_letter(text):
                 names.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                 continue
             cosines = fitted.vectors @ fitted.vector(counts(text))
