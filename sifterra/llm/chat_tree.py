@@ -109,7 +109,7 @@ def build_tree(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
                 own, marks, at = [], [], 0
                 for turn in turns:
                     for k, part in enumerate(parts(turn["role"], turn["text"])):
-                        made = bpe.encode(part)
+                        made = bpe.encode_literal(part)
                         if k == 1 and turn["role"] == LOSS_ROLE:
                             marks += [at, at + len(made)]
                         own.append(made)

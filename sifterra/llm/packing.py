@@ -4,17 +4,16 @@ A document's whole windows need no neighbour and are cut at once.  What is left
 of each document goes to shards: rows are range-partitioned by a minimum hash
 over the words of the whole document, so texts that share words meet, and every
 run of ``SHARD`` rows is a shard with a BM25 index of its own, over whole
-documents too.  A window starts with a seed, the
-index returns its unused neighbours, and they fill the window in the order of
-their scores; the last one is cut where the window ends and its rest starts the
-next window.  Only the last window of a partition can fall short.
+documents too.  A window starts with a seed, the index returns its unused
+neighbours, all of them if need be, and they fill the window in the order of
+their scores; the last one is cut where the window ends, and its rest is the
+next window's seed.  Only the last window of a partition can fall short.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,94 +21,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import spread, tokens
 from .common import materialise, partitions
-from .kernels import mix, slices, texts
+from .kernels import flat_bytes, slices, trim
 
 WINDOW = 1024
-#: Documents indexed together.
-SHARD = 2_048
-#: Neighbours taken from one look-up.
-NEIGHBOURS = 16
+#: Most documents that are indexed together, and about the most postings of such a shard.
+SHARD, POSTINGS = 2_048, 1_000_000
+#: A term of more documents is a row of a dense table.
+DENSE = 128
+#: Neighbours that are put in order at first; the others follow if these do not fill the window.
+FIRST = 16
 K1, B = 1.5, 0.75
 
 
-class Tokens:
-    """Ids of byte-level BPE: fast ranks, and the tokenizer file itself for texts that the fast path refuses."""
-
-    def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer)
-        self.slow.encode_special_tokens = True
-        self.fast = None
-        if ranks:
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        vocabulary = self.slow.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        # byte-level BPE writes the bytes 0 to 32 and 127 as U+0100 to U+0121: a blank is a letter to isalnum()
-        self.begins[[i for token, i in vocabulary.items() if (not token[0].isalnum() if token[0] < "\x80" else "\u0100" <= token[0] <= "\u0121")]] = True
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None:
-            try:
-                return np.array(self.fast.encode_ordinary(text), np.uint32)
-            except BaseException as error:  # the Rust side panics on a few extreme texts
-                if type(error).__name__ not in ("PanicException", "ValueError"):
-                    raise
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def words(self, ids: np.ndarray) -> np.ndarray:
-        """A hash for each word: a token that begins with a blank or a sign, and the tokens it continues with."""
-        starts = np.flatnonzero(self.begins[ids])
-        if not len(starts) or starts[0]:
-            starts = np.concatenate([[0], starts])
-        place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
-        return mix(np.add.reduceat(mix(ids.astype(np.uint64) * np.uint64(64) + np.minimum(place, 63).astype(np.uint64), 3), starts), 4)
-
-
-@lru_cache(maxsize=2)
-def tokens(tokenizer: str, ranks: str | None, pattern: str | None) -> Tokens:
-    return Tokens(tokenizer, ranks, pattern)
-
-
 class Shard:
-    """BM25 over the words of a few thousand short rows."""
-
-    def __init__(self, words: list[np.ndarray]):
-        lengths = np.array([len(w) for w in words])
-        doc = np.repeat(np.arange(len(words)), lengths)
-        values, term = np.unique(np.concatenate(words), return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * len(words) + doc, return_counts=True)
-        term, self.doc = pair // len(words), pair % len(words)
-        df = np.bincount(term, minlength=len(values))
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-        ratio = lengths[self.doc] / max(1.0, lengths.mean())
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio))
-        # a row's terms that others hold too, rarest first
-        order = np.lexsort((df[term], self.doc))
-        order = order[df[term][order] > 1]
-        firsts = np.searchsorted(self.doc[order], np.arange(len(words) + 1))
-        self.query = [term[order[a:b]] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-        self.free = np.ones(len(words), bool)
-        self.scores = np.zeros(len(words))
+    """BM25 over the words of a few thousand rows."""
+
+    def __init__(self, terms: np.ndarray, times: np.ndarray, held: np.ndarray):
+        """``terms``: distinct 32-bit terms of a row, row after row; ``times``: how often; ``held``: how many terms a row has."""
+        n = len(held)
+        doc = np.repeat(np.arange(n), held)
+        length = np.bincount(doc, times, n)
+        order = (np.sort((terms.astype(np.uint64) << np.uint64(32)) | np.arange(len(terms), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        terms, doc, tf = terms[order], doc[order], times[order].astype(np.float64)
+        fresh = np.concatenate([np.ones(min(1, len(terms)), bool), terms[1:] != terms[:-1]])
+        df = np.diff(np.append(np.flatnonzero(fresh), len(terms)))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1e-9, length.mean())))
+        # a term of one row leads nowhere
+        shared = np.repeat(df > 1, df)
+        self.df = df[df > 1]
+        self.doc, self.impact = doc[shared], impact[shared]
+        self.start = np.cumsum(self.df) - self.df
+        term = np.repeat(np.arange(len(self.df)), self.df)
+        self.term = term[np.argsort(self.doc, kind="stable")]
+        self.row = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
+        wide = self.df > DENSE
+        self.dense = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.table = np.zeros((int(wide.sum()), n), np.float32)
+        often = wide[term]
+        self.table[self.dense[term[often]], self.doc[often]] = self.impact[often]
+        self.free = np.ones(n, bool)
         self.at = 0
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused rows by descending score over all terms of the seed, then position; none if no row shares a term."""
-        self.scores[:] = 0
-        for t in self.query[seed].tolist():
-            a, b = self.start[t], self.start[t + 1]
-            self.scores[self.doc[a:b]] += self.impact[a:b]
-        self.scores[~self.free] = 0
-        held = np.flatnonzero(self.scores)
-        if len(held) > NEIGHBOURS:
-            held = held[np.argpartition(-self.scores[held], NEIGHBOURS - 1)[:NEIGHBOURS]]
-        return held[np.lexsort((held, -self.scores[held]))].tolist()
+    def scores(self, seed: int) -> np.ndarray:
+        """Every row's score over all terms of the seed."""
+        own = self.term[self.row[seed] : self.row[seed + 1]]
+        wide = self.dense[own]
+        rare = own[wide < 0]
+        at = spread(self.start[rare], self.df[rare])
+        return np.bincount(self.doc[at], self.impact[at], len(self.free)) + self.table[wide[wide >= 0]].sum(axis=0)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """All unused rows that share a term with the seed, by descending score, then position."""
+        scores = self.scores(seed)
+        left = np.flatnonzero(self.free & (scores > 0))
+        while len(left):
+            now = np.ones(len(left), bool)
+            if len(left) > FIRST:
+                now = scores[left] >= np.partition(scores[left], len(left) - FIRST)[len(left) - FIRST]
+            best, left = left[now], left[~now]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
 
     def next(self) -> int | None:
         while self.at < len(self.free) and not self.free[self.at]:
@@ -119,26 +92,24 @@ class Shard:
 
 def fill(shard: Shard, lengths: list[int], room: int, window: int):
     """Yield (row, start, length, new window?) until each row's tokens are dealt; ``room`` is what the open window has left."""
-    waiting: list[int] = []
-    while (seed := shard.next()) is not None:
-        if not waiting:
-            waiting = [seed]
-        while waiting:
-            row = waiting.pop(0)
-            if not shard.free[row]:
-                continue
-            shard.free[row] = False
-            done = 0
-            while done < lengths[row]:
-                fresh = room == 0
-                room = room or window
-                take = min(room, lengths[row] - done)
-                yield row, done, take, fresh
-                done, room = done + take, room - take
-                if fresh:
-                    waiting = []
-            if not waiting and room:
-                waiting = shard.neighbours(row)
+    ranked: Iterator[int] = iter(())
+    while True:
+        row = next(ranked, None)
+        seed = row is None
+        if seed and (row := shard.next()) is None:
+            return
+        shard.free[row] = False
+        done = 0
+        while done < lengths[row]:
+            fresh = room == 0
+            room = room or window
+            take = min(room, lengths[row] - done)
+            yield row, done, take, fresh
+            done, room, seed = done + take, room - take, seed or fresh
+        if not room:
+            ranked = iter(())
+        elif seed:
+            ranked = shard.neighbours(row)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -149,82 +120,101 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u2").astype("<u4")
 
 
+def _terms(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 32-bit terms of each of ``n`` rows, how often each occurs (at most 65,535), and the first one of each row."""
+    keys = np.sort((row.astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    times = np.minimum(np.diff(np.append(at, len(keys))), 65535).astype("<u2")
+    return (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), times, np.searchsorted(keys[at] >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
 def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids`` (little-endian 32-bit).
 
-    A document is its token ids and ``end_id``.  Each id lies in exactly one piece, and the pieces of a sequence
-    follow each other without gaps from offset 0.  Files of the tokenizer are given by path and read where the
-    tokens are made.
+    A document is its token ids, as the tokenizer file gives them without special tokens put around, and ``end_id``.
+    Each id lies in exactly one piece, and the pieces of a sequence follow each other without gaps from offset 0.
+    Files of the tokenizer are given by path and read where the tokens are made.  Terms are 32-bit hashes of words.
 
     NULL and empty texts are ``end_id`` alone; a NULL id and repeated rows are documents like others; a text of any
-    length is cut into whole windows; an empty table gives no rows; other columns are ignored.
+    length is cut into whole windows; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     source = docs.select(F.col(id_col), F.col(text_col))
     id_type = source.schema.fields[0].dataType.simpleString()
-    names = ["id", "tail", "start", "length", "ids_crc32", "doc_tokens", "ids", "head", "sign", "place"]
+    names = ["id", "tail", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms", "times", "sign", "place"]
+    kinds = [pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 3, *[pa.int64()] * 2]
 
     def cut(batches):
         bpe, place = tokens(tokenizer, ranks, pattern), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1):
+            flat, at = bpe.encode_rows(batch.column(1))
+            flat = np.insert(flat, at[1:], end_id).astype("<u4")
+            at = at + np.arange(len(at))
+            words, begin = bpe.words(flat, np.concatenate([at[:-1], at[1:] - 1]))
+            own = ~np.isin(begin, at[1:] - 1, assume_unique=True)  # the end id is no word
+            words, row = words[own], np.searchsorted(at, begin[own], side="right") - 1
+            sign = np.full(batch.num_rows, np.iinfo(np.int64).max)
+            np.minimum.at(sign, row, (words >> np.uint64(1)).astype(np.int64))
+            terms, times, first = _terms(words, row, batch.num_rows)
             rows, index = [], []
-            for i, text in enumerate(texts(batch.column(1))):
-                ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4")
-                whole = len(ids) // window * window
-                for start in range(0, whole, window):
-                    piece = ids[start : start + window].tobytes()
-                    rows.append((False, start, window, zlib.crc32(piece), len(ids), piece if with_ids else None, None, 0, place))
+            for i, (a, b, f, g, s) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), sign.tolist(), strict=True)):
+                whole = a + (b - a) // window * window
+                for start in range(a, whole, window):
+                    piece = flat[start : start + window].tobytes()
+                    rows.append((False, start - a, window, zlib.crc32(piece), b - a, piece if with_ids else None, None, None, 0, place))
                     index.append(i)
                     place += 1
-                if whole < len(ids):
-                    rest = ids[whole:]
-                    sign = int(bpe.words(ids).min() >> np.uint64(1))
-                    rows.append((True, whole, len(rest), 0, len(ids), rest.tobytes() if with_ids else _narrow(rest), _narrow(ids[:whole]), sign, place))
+                if whole < b:
+                    rest = flat[whole:b]
+                    rows.append((True, whole - a, b - whole, 0, b - a, rest.tobytes() if with_ids else _narrow(rest), terms[f:g].tobytes(), times[f:g].tobytes(), s, place))
                     index.append(i)
                     place += 1
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names[1:]]
-            kinds = [pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 2, *[pa.int64()] * 2]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *arrays], names=names)
 
-    pieces = materialise(source.mapInArrow(cut, f"id {id_type}, tail boolean, start long, length long, ids_crc32 long, doc_tokens long, ids binary, head binary, sign long, place long"), "pieces")
-    tails = pieces.filter("tail").select("id", "start", "length", "doc_tokens", "ids", "head", "sign", "place")
+    pieces = materialise(source.mapInArrow(cut, f"id {id_type}, tail boolean, start long, length long, ids_crc32 long, doc_tokens long, ids binary, terms binary, times binary, sign long, place long"), "pieces")
+    tails = pieces.filter("tail").select("id", "start", "length", "doc_tokens", "ids", "terms", "times", "sign", "place")
     tails = tails.repartitionByRange(partitions(docs.sparkSession), "sign", "place").sortWithinPartitions("sign", "place")
     out_names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
+    out_kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 2]
+
+    def shards(batches):
+        """Tables of at most ``SHARD`` rows and, but for one row, ``POSTINGS`` postings."""
+        held, count, postings = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum([len(x) // 4 for x in batch.column(5).to_pylist()])
+            done = 0
+            while done < batch.num_rows:
+                before = ends[done - 1] if done else 0
+                upto = min(done + SHARD - count, int(np.searchsorted(ends, before + POSTINGS - postings, side="right")))
+                upto = max(upto, done if count else done + 1)
+                held.append(batch.slice(done, upto - done))
+                count, postings = count + upto - done, postings + int((ends[upto - 1] if upto else 0) - before)
+                done = upto
+                if done < batch.num_rows or count == SHARD:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, count, postings = [], 0, 0
+        if count:
+            yield pa.Table.from_batches(held).combine_chunks()
 
     def dealt(batches):
-        bpe = tokens(tokenizer, ranks, pattern)
-        sequence, offset, held = (1 << 62) + (TaskContext.get().partitionId() << 40) - 1, window, []
-
-        def flush():
-            nonlocal sequence, offset
-            table = pa.Table.from_batches(held).combine_chunks()
-            cols = {c: table.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "ids", "head")}
-            ids = [_wide(x, n) for x, n in zip(cols["ids"], cols["length"], strict=True)]
-            heads = map(_wide, cols["head"], cols["start"])
-            shard, rows, index = Shard([bpe.words(np.concatenate([h, x])) for h, x in zip(heads, ids, strict=True)]), [], []
-            for row, start, length, fresh in fill(shard, cols["length"], window - offset, window):
+        sequence, offset = (1 << 62) + (TaskContext.get().partitionId() << 40) - 1, window
+        for table in shards(batches):
+            column = {c: table.column(c).combine_chunks() for c in table.column_names}
+            lengths, starts, sizes = (column[c].to_pylist() for c in ("length", "start", "doc_tokens"))
+            ids = [_wide(x, n) for x, n in zip(column["ids"].to_pylist(), lengths, strict=True)]
+            (raw, at), (often, _) = flat_bytes(column["terms"]), flat_bytes(column["times"])
+            shard, rows, index = Shard(raw.view("<u4"), often.view("<u2"), np.diff(at) // 4), [], []
+            for row, start, length, fresh in fill(shard, lengths, window - offset, window):
                 if fresh:
                     sequence, offset = sequence + 1, 0
                 piece = ids[row][start : start + length].tobytes()
-                rows.append((cols["start"][row] + start, length, zlib.crc32(piece), cols["doc_tokens"][row], piece if with_ids else None, sequence, offset))
+                rows.append((starts[row] + start, length, zlib.crc32(piece), sizes[row], piece if with_ids else None, sequence, offset))
                 index.append(row)
                 offset += length
-            kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 2]
-            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pa.array(index, pa.int64())), *arrays], names=out_names)
-
-        count = 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, SHARD - count)
-                held.append(part)
-                count += part.num_rows
-                batch = batch.slice(part.num_rows)
-                if count == SHARD:
-                    yield flush()
-                    held, count = [], 0
-        if count:
-            yield flush()
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), out_kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([column["id"].take(pa.array(index, pa.int64())), *arrays], names=out_names)
+        trim()
 
     packed = tails.mapInArrow(dealt, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
     whole = pieces.filter(~F.col("tail")).select("id", "start", "length", "ids_crc32", "doc_tokens", "ids", F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
