@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,10 +28,10 @@ def check_parameters(k1: float, b: float) -> None:
         raise ValueError(f"b must be between 0 and 1, got {b}")
 
 
-def tokenized(docs: DataFrame, pos: str, text: str, exact: bool = False) -> DataFrame:
-    """(pos, tokens, dl) of every row, rows without tokens included."""
-    tokens = docs.select(F.col(pos).alias("pos"), F.coalesce(tokenize(F.col(text), exact), F.array().cast("array<string>")).alias("tokens"))
-    return tokens.select("pos", "tokens", F.size("tokens").alias("dl"))
+def tokenized(docs: DataFrame, pos: str, text: str, exact: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(pos, tokens, dl) of every row, rows without tokens included, and the columns in ``keep``."""
+    tokens = docs.select(F.col(pos).alias("pos"), *keep, F.coalesce(tokenize(F.col(text), exact), F.array().cast("array<string>")).alias("tokens"))
+    return tokens.select("pos", *keep, "tokens", F.size("tokens").alias("dl"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -53,22 +53,28 @@ def idf(n, df):
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+#: Stands for the row itself among its terms; no token is empty.
+ROW = ""
+
+
 @dataclass
 class BM25Index:
     """A retriever over (``pos``, ``chunk_id``, ...) chunks. Nothing is computed before a search.
 
-    Persist ``tokens`` to search often; a search reads it once for the terms of its queries.
+    A search tokenises the chunks once.  What it keeps of them, the counts of its queries' terms and one number for
+    each row, is persisted, since weights need it before scores do; ``close`` lets it go.
     """
 
     chunks: DataFrame
     tokens: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    held: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def build(cls, chunks: DataFrame, *, pos: str = "chunk_pos", text: str = "searchable_text", k1: float = 1.5, b: float = 0.75, exact: bool = False) -> BM25Index:
         check_parameters(k1, b)
-        return cls(chunks.withColumnRenamed(pos, "pos"), tokenized(chunks, pos, text, exact), k1, b)
+        return cls(chunks.withColumnRenamed(pos, "pos"), tokenized(chunks, pos, text, exact, ("chunk_id",)), k1, b)
 
     def search(self, queries: DataFrame, top_k: int, exact: bool = False) -> DataFrame:
         """(query_id, pos, chunk_id, score, rank) for all queries in one plan; queries without terms have no hits.
@@ -76,21 +82,31 @@ class BM25Index:
         Only terms of the queries leave the scan; scores are partial sums per row.
         """
         check_top_k(top_k)
-        asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query"), exact))).alias("term"))
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query"), exact))).alias("term")).persist()
         few = asked.count() <= BROADCAST_TERMS
         hint = F.broadcast if few else (lambda x: x)
         terms = asked.select("term").distinct()
-        held = self.tokens.select("pos", "dl", F.explode("tokens").alias("term")).join(hint(terms), "term")
-        tf = held.groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
+        exploded = lambda tokens: self.tokens.select("pos", "chunk_id", "dl", F.explode(tokens).alias("term"))
+        if few:
+            # each row passes once for itself, so the same scan gives the corpus size
+            rows = exploded(F.array_append("tokens", F.lit(ROW))).join(F.broadcast(terms.union(terms.sparkSession.range(1).select(F.lit(ROW)))), "term")
+        else:
+            rows = exploded("tokens").join(terms, "term")
+        counted = rows.groupBy("pos", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
+        self.held += [asked, counted]
+        tf = counted.filter(F.col("term") != ROW)
+        size = corpus_size(counted.filter(F.col("term") == ROW) if few else self.tokens)  # one row
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        size = corpus_size(self.tokens)  # one row
         weights = df.crossJoin(F.broadcast(size)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-        weighted = asked.join(hint(weights) if few else weights, "term")
+        weighted = asked.join(hint(weights), "term")
         ratio = F.when(F.col("avgdl") == 0, F.lit(0.0)).otherwise(F.col("dl") / F.col("avgdl"))
         part = F.col("idf") * (F.col("tf") * F.lit(self.k1 + 1.0)) / (F.col("tf") + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * ratio))
-        scores = tf.join(hint(weighted), "term").groupBy("query_id", "pos").agg(F.sum(part).alias("score")).filter("score > 0")
-        named = scores.join(self.chunks.select("pos", "chunk_id"), "pos")
+        scores = tf.join(hint(weighted), "term").groupBy("query_id", "pos", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
         order = W.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), "chunk_id", "pos")
-        return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "pos", "chunk_id", "score", "rank")
+        return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "pos", "chunk_id", "score", "rank")
 
     retrieve = search
+
+    def close(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import dense, evaluation, lexical, markdown, statistics
+from ..sources import dense_store, files, jsonl
+from ..sources.scratch import scratch
+from . import report
 
 TOP_K = 5
 
@@ -26,18 +33,27 @@ def _benchmark(spark, sf_dir):
 
 
 def _golden(spark, sf_dir):
-    """A benchmark item is answered by the documents that quote it: found through shared words, then by the text itself."""
+    """A benchmark item is answered by the documents that quote it: found through shared words, then by the text itself.
+
+    An inner word of the item leads to candidates, since a text that quotes the item holds it whole; pairs of ids
+    are all that is made of them before the texts join again.  Items without an inner word, which are few and short,
+    are looked for in every text.  Built once: persisted, as judgments are read several times.
+    """
     items = _benchmark(spark, sf_dir).filter(F.trim("query") != "")
-    docs = _corpus(spark, sf_dir)
-    # an inner word of the item leads to candidates: a text that quotes the item holds it whole
-    words = items.select("query_id", "query", F.posexplode(text.tokenize(F.col("query"))).alias("at", "term")).filter((F.col("at") > 0) & (F.col("at") < F.size(text.tokenize(F.col("query"))) - 1))
-    inner = words.groupBy("query_id", "query").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
-    held = docs.select("chunk_id", "relative_path", "section_path", "content", F.explode(F.array_distinct(text.tokenize(F.col("content")))).alias("term"))
-    pairs = held.join(F.broadcast(inner) if items.count() <= lexical.BROADCAST_TERMS else inner, "term").filter(F.contains("content", "query"))
+    docs = _corpus(spark, sf_dir).select("chunk_pos", "chunk_id", "relative_path", "section_path", "content")
+    tokens = text.tokenize(F.col("query"))
+    inner = items.select("query_id", "query", F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))).alias("words"))
+    longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    led = inner.filter(F.size("words") > 0).select("query_id", "query", longest.alias("term"))
+    led = F.broadcast(led) if items.count() <= lexical.BROADCAST_TERMS else led
+    found = docs.select("chunk_pos", F.explode(F.array_distinct(text.tokenize(F.col("content")))).alias("term")).join(led, "term").select("chunk_pos", "query_id", "query")
+    quoted = docs.join(found, "chunk_pos").filter(F.contains("content", "query"))
+    anywhere = docs.join(inner.filter(F.size("words") == 0).select("query_id", "query"), F.contains("content", "query"))
     grade = F.when(F.length("content") % 2 == 0, 2).otherwise(1)
-    lists = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "relative_path", "section_path", grade.alias("relevance")))).alias("relevant_chunks"))
+    lists = quoted.select("query_id", *docs.columns).unionByName(anywhere.select("query_id", *docs.columns)).groupBy("query_id")
+    lists = lists.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "relative_path", "section_path", grade.alias("relevance")))).alias("relevant_chunks"))
     none = F.array().cast(lists.schema["relevant_chunks"].dataType)
-    return items.join(lists, "query_id", "left").select("query_id", "query_pos", "query", F.coalesce("relevant_chunks", none).alias("relevant_chunks"), F.lit("").alias("notes"))
+    return items.join(lists, "query_id", "left").select("query_id", "query_pos", "query", F.coalesce("relevant_chunks", none).alias("relevant_chunks"), F.lit("").alias("notes")).persist()
 
 
 def _lexical_hits(spark, sf_dir, top_k=TOP_K):
@@ -90,9 +106,14 @@ def golden_validate(spark, sf_dir):
 
 
 def golden_violations(spark, sf_dir):
-    """The golden set with planted faults: an unknown chunk for items divisible by 3, a bad grade for the rest divisible by 5."""
-    judged = F.transform("relevant_chunks", lambda j: j.withField("chunk_id", F.when(F.col("query_pos") % 3 == 0, F.concat(F.lit("x"), j["chunk_id"])).otherwise(j["chunk_id"])).withField("relevance", F.when((F.col("query_pos") % 5 == 0) & (F.col("query_pos") % 3 != 0), 7).otherwise(j["relevance"])))
-    bad = evaluation.golden_violations(_golden(spark, sf_dir).withColumn("relevant_chunks", judged), _corpus(spark, sf_dir))
+    """The golden set with planted faults: an unknown chunk for items divisible by 3, a bad grade for the rest divisible by 5,
+    else a repeated judgment for those divisible by 7; and each item divisible by 11 a second time, without judgments.
+    """
+    golden, at = _golden(spark, sf_dir), F.col("query_pos")
+    judged = F.transform("relevant_chunks", lambda j: j.withField("chunk_id", F.when(at % 3 == 0, F.concat(F.lit("x"), j["chunk_id"])).otherwise(j["chunk_id"])).withField("relevance", F.when((at % 5 == 0) & (at % 3 != 0), 7).otherwise(j["relevance"])))
+    judged = F.when((at % 7 == 0) & (at % 3 != 0) & (at % 5 != 0), F.concat(judged, judged)).otherwise(judged)
+    again = golden.filter(at % 11 == 0).select("query_id", (at + 1_000_000).alias("query_pos"), "query", F.slice("relevant_chunks", 1, 0).alias("relevant_chunks"), "notes")
+    bad = evaluation.golden_violations(golden.withColumn("relevant_chunks", judged).union(again), _corpus(spark, sf_dir))
     return bad.select("query_pos", F.col("judgment_pos").cast("long").alias("judgment_pos"), F.col("rule").cast("long").alias("rule"), "message")
 
 
@@ -111,21 +132,44 @@ def eval_macro(spark, sf_dir):
     return row.select("query_count", "evaluated_query_count", "no_answer_count", *[F.round(c, 6).alias(c) for c in ("hit_rate_at_k", "recall_at_k", "mrr", "ndcg_at_k")])
 
 
+#: The model of the dense side: signed hashes of words, so that SQL can say it too.
+HASHING = dense.EmbeddingModelConfig("hashing", "hashing-64", 64, "query: ", "passage: ")
+
+
+def _model() -> dense.EmbeddingModel:
+    return dense.create_model(HASHING)
+
+
+def _dense_hits(spark, sf_dir):
+    """The dense index over the corpus: built, written, read back, checked and asked every benchmark item."""
+    chunks = _corpus(spark, sf_dir).withColumn("searchable_text", F.coalesce("searchable_text", F.lit("")))
+    vectors, metadata = dense.build_dense(chunks.select("chunk_pos", "chunk_id", "searchable_text"), _model, files.table_sha256(chunks.select("chunk_pos", "chunk_id")))
+    path = scratch(spark, "vectors")
+    dense_store.write_embeddings(vectors, path)
+    metadata = dense_store.decode_metadata(json.loads(json.dumps(metadata.to_dict())))
+    index = dense.DenseIndex(chunks, dense_store.read_embeddings(spark, path, metadata), metadata, _model)
+    return index.search(_benchmark(spark, sf_dir).filter(F.trim("query") != ""), TOP_K)
+
+
+def dense_index(spark, sf_dir):
+    hits = _dense_hits(spark, sf_dir)
+    return hits.select(F.col("query_id").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
 def eval_misses(spark, sf_dir):
-    return evaluation.misses(_metrics(spark, sf_dir)[1]).select("query_id")
+    """Benchmark items for which the dense side finds no judged document."""
+    return evaluation.misses(evaluation.query_metrics(_golden(spark, sf_dir), _dense_hits(spark, sf_dir), TOP_K)).select("query_id")
 
 
 def _compared(spark, sf_dir):
-    """BM25 against hits in order of length: both sides answer the same queries."""
+    """BM25 against the dense index, five hits each."""
     golden, found = _metrics(spark, sf_dir)
-    one = lexical.BM25Index.build(_corpus(spark, sf_dir)).search(_benchmark(spark, sf_dir), 1)
-    first = evaluation.query_metrics(golden, one, 1)
+    other = evaluation.query_metrics(golden, _dense_hits(spark, sf_dir), TOP_K)
     wide = lambda df: df.join(golden.select("query_id", "query"), "query_id").select("query_id", "query", "first_relevant_rank")
-    return evaluation.compare(wide(first), wide(found))
+    return evaluation.compare(wide(found), wide(other))
 
 
 def compare_categories(spark, sf_dir):
-    """Top 1 as the lexical side, top 5 as the dense side."""
     return _compared(spark, sf_dir).select("query_id", "category")
 
 
@@ -133,9 +177,47 @@ def compare_counts(spark, sf_dir):
     return evaluation.category_counts(_compared(spark, sf_dir))
 
 
+def _through_jsonl(df, order, read):
+    """What a JSONL sink and the strict source behind it make of ``df``."""
+    path = scratch(df.sparkSession, "jsonl")
+    jsonl.write_table(df, path, order)
+    return read(df.sparkSession, path)
+
+
+def golden_jsonl(spark, sf_dir):
+    """Judgments of the golden set after a round trip through JSONL."""
+    golden = _through_jsonl(_golden(spark, sf_dir).select("query_id", "query", "relevant_chunks", "notes"), ["query_id"], jsonl.read_golden)
+    judged = golden.select("query_id", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.explode_outer("relevant_chunks").alias("j"))
+    return judged.select("query_id", "query_md5", F.col("j.chunk_id").alias("chunk_id"), F.col("j.relative_path").alias("relative_path"), F.array_join("j.section_path", ">").alias("section"), F.col("j.relevance").cast("long").alias("relevance"))
+
+
+def evaluation_jsonl(spark, sf_dir):
+    """Nested evaluations after a round trip through JSONL: one row for each retrieved chunk."""
+    golden, chunks = _golden(spark, sf_dir), _corpus(spark, sf_dir)
+    results = evaluation.evaluate_queries(golden, _lexical_hits(spark, sf_dir), chunks, TOP_K)
+    back = _through_jsonl(results, ["query_id"], jsonl.read_evaluation)
+    rows = back.select("query_id", F.size("relevant_chunk_ids").cast("long").alias("judged"), F.round("recall_at_k", 6).alias("recall"), F.explode("retrieved_chunks").alias("c"))
+    return rows.select("query_id", "judged", "recall", F.col("c.rank").cast("long").alias("rank"), F.col("c.chunk_id").alias("chunk_id"), F.round("c.score", 6).alias("score"), F.col("c.relevance").cast("long").alias("relevance"), F.md5(F.col("c.content").cast("binary")).alias("content_md5"))
+
+
+def report_counts(spark, sf_dir):
+    """What the error report of BM25 against the dense index says in its summary, and how often it shows a result."""
+    golden, chunks = _golden(spark, sf_dir), _corpus(spark, sf_dir)
+    lexical_side = evaluation.evaluate_queries(golden, _lexical_hits(spark, sf_dir), chunks, TOP_K)
+    dense_side = evaluation.evaluate_queries(golden, _dense_hits(spark, sf_dir), chunks, TOP_K)
+    with_pos = lambda df: df.join(golden.select("query_id", F.col("query_pos").alias("pos")), "query_id")
+    lines, _ = report.report_lines(golden, evaluation.compare(with_pos(lexical_side), with_pos(dense_side)), HASHING.model_name, TOP_K, 100)
+    summary = {title: line.split("|")[2].strip() for title, _ in report.SUMMARY for line in lines if line.startswith(f"| {title} |")}
+    facts = {**summary, "queries": next(x for x in lines if x.startswith("- Golden queries: ")).split(": ")[1], "shown": sum(x.startswith("   - **Relevance:**") for x in lines)}
+    return spark.createDataFrame(pa.table({"fact": list(facts), "n": [int(x) for x in facts.values()]}))
+
+
 def _talks(spark, sf_dir):
     """Conversations as Markdown: a heading for each, one below for each turn."""
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("part"))
+    return _as_documents(_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("part")))
+
+
+def _as_documents(rows):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"])
     body = rows.groupBy("conv_id").agg(F.concat(F.lit("# talk "), F.col("conv_id").cast("string"), F.lit("\n"), F.array_join(parts, "")).alias("content"))
     path = F.concat(F.lit("talks/"), F.col("conv_id").cast("string"), F.lit(".md"))
@@ -146,19 +228,36 @@ def documents_hashed(spark, sf_dir):
     return _talks(spark, sf_dir).select("document_id", "relative_path", "content_hash")
 
 
-def sections(spark, sf_dir):
-    made = markdown.sections(_talks(spark, sf_dir))
+def _section_rows(documents):
+    made = markdown.sections(documents)
     long = lambda c: F.col(c).cast("long").alias(c)
     return made.select("document_id", long("section_ordinal"), F.array_join("section_path", " > ").alias("path"), "content", long("start_line"), F.coalesce("content_start_line", F.lit(0)).cast("long").alias("content_start_line"), long("end_line"))
 
 
-def chunk_ids(spark, sf_dir):
-    """Chunks of the talks, of at most 2 lines and 400 characters, without overlap."""
+def sections(spark, sf_dir):
+    return _section_rows(_talks(spark, sf_dir))
+
+
+def _talk_chunks(spark, sf_dir):
     talks = _talks(spark, sf_dir)
-    made = markdown.chunks(talks, markdown.sections(talks), markdown.ChunkerConfig(2, 400, 0))
+    return markdown.chunks(talks, markdown.sections(talks), markdown.ChunkerConfig(2, 400, 0))
+
+
+def _chunk_rows(made):
     return made.select("chunk_id", "relative_path", "title", "searchable_text", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "section_chunk_index", "start_line", "end_line")], "content_hash")
 
 
+def chunk_ids(spark, sf_dir):
+    """Chunks of the talks, of at most 2 lines and 400 characters, without overlap."""
+    return _chunk_rows(_talk_chunks(spark, sf_dir))
+
+
+def chunk_jsonl(spark, sf_dir):
+    """The same chunks after a round trip through JSONL, numbered in order of path and index."""
+    back = _through_jsonl(_talk_chunks(spark, sf_dir), ["relative_path", "chunk_index"], jsonl.read_chunks)
+    return _chunk_rows(back).join(back.select("chunk_id", F.array_join("section_path", " > ").alias("path"), F.col("chunk_pos").alias("p")), "chunk_id").withColumn("ordered", F.coalesce(F.lag("p").over(W.partitionBy("relative_path").orderBy("chunk_index")) < F.col("p"), F.lit(True))).drop("p")
+
+
 def chunk_pack(spark, sf_dir):
     """Documents as one section each, 40 lines, 3000 characters, 5 lines of overlap."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_key"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).alias("content_start_line"))
@@ -187,9 +286,24 @@ def fence_detect(spark, sf_dir):
 
 
 def embed_udf(spark, sf_dir):
-    config = dense.EmbeddingModelConfig("hashing", "hashing-64", 64, "query: ", "passage: ")
-    vectors = dense.embed(F.coalesce("text", F.lit("")), lambda: dense.HashingEmbedder(config))
-    return _table(spark, sf_dir, "documents").select("doc_id", vectors.alias("raw")).select("doc_id", dense.l2_normalize(F.col("raw")).alias("embedding"))
+    """Unit vectors of every document, one row for each component."""
+    vectors = dense.embed(F.coalesce("text", F.lit("")), _model)
+    made = _table(spark, sf_dir, "documents").select("doc_id", vectors.alias("raw")).select("doc_id", F.posexplode(dense.l2_normalize(F.col("raw"))).alias("at", "x"))
+    return made.select("doc_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def _fenced_talks(spark, sf_dir):
+    """``_talks`` with a fence around each turn of even number, in which a line looks like a heading."""
+    fence = F.when(F.col("turn") % 4 == 0, "```").otherwise("~~~~")
+    inside = F.concat(fence, F.lit("md\n# no heading\n"), F.coalesce("text", F.lit("")), F.lit("\n"), fence, F.lit("\n"))
+    body = F.when(F.col("turn") % 2 == 0, inside).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), body).alias("part"))
+    return _as_documents(rows)
+
+
+def sections_fenced(spark, sf_dir):
+    """Sections of talks with fences: what looks like a heading inside a fence is text."""
+    return _section_rows(_fenced_talks(spark, sf_dir))
 
 
 _TOKENS = r"regexp_extract_all(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*')"
@@ -207,6 +321,17 @@ found AS (SELECT g.item_id, min(rank) AS first, count(*) AS n, sum((pow(2.0::DOU
 ideal AS (SELECT item_id, count(*) AS n, sum(CASE WHEN place <= 5 THEN (pow(2.0::DOUBLE, rel) - 1) / log2(place + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rel DESC) AS place FROM gold) GROUP BY 1),
 metrics AS (SELECT CAST(i.item_id AS VARCHAR) AS query_id, first AS first_relevant_rank, CASE WHEN f.n > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate_at_k, coalesce(f.n::DOUBLE / i.n, 0) AS recall_at_k,
     coalesce(1.0::DOUBLE / first, 0) AS reciprocal_rank, coalesce(dcg / ideal, 0) AS ndcg_at_k FROM ideal i LEFT JOIN found f USING (item_id))"""
+_WORDS = "list_filter(regexp_split_to_array(lower({prefix} || coalesce({text}, '')), '\\s+'), lambda w: w <> '')"
+_EMBED = """{name}_parts AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN ('0x' || substr(md5(w), 10, 1))::BIGINT & 1 = 1 THEN 1.0::DOUBLE ELSE -1 END) AS x
+    FROM (SELECT {id} AS id, unnest({words}) AS w FROM {table}) GROUP BY ALL),
+{name}_raw AS (SELECT id, dim, coalesce(x, 0) AS x FROM (SELECT {id} AS id, unnest(range(64)) AS dim FROM {table}) LEFT JOIN {name}_parts USING (id, dim)),
+{name}_norm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM {name}_raw GROUP BY id),
+{name} AS (SELECT id, dim, CASE WHEN norm = 0 THEN CASE WHEN dim = 0 THEN 1.0 ELSE 0 END ELSE x / norm END::FLOAT::DOUBLE AS x FROM {name}_raw JOIN {name}_norm USING (id))"""
+_VECTORS = _EMBED.format(name="vectors", id="doc_id", table="documents", words=_WORDS.format(prefix="'passage: '", text="text"))
+_QUESTIONS = _EMBED.format(name="questions", id="item_id", table="(SELECT * FROM benchmark WHERE trim(text) <> '')", words=_WORDS.format(prefix="'query: '", text="text"))
+_DENSE_HITS = f"""{_VECTORS}, {_QUESTIONS},
+dense_scores AS (SELECT q.id AS item_id, v.id AS doc_id, sum(q.x * v.x) AS score FROM questions q JOIN vectors v USING (dim) GROUP BY ALL),
+dense_hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM dense_scores QUALIFY rank <= 5)"""
 _TALKS = """talks AS (SELECT conv_id, 'talks/' || conv_id || '.md' AS relative_path, '# talk ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
 docs AS (SELECT *, sha256('talks' || chr(31) || relative_path) AS document_id FROM talks)"""
 _LINES = """raw AS (SELECT document_id, relative_path, string_split(content, chr(10)) AS all_lines FROM docs),
@@ -222,6 +347,14 @@ _SIZES = """sizes AS (SELECT doc_id, source, length(text) AS char_count, CASE WH
     regexp_matches(text, '(?m)^[ \\t]*(```|~~~)') AS fence FROM documents)"""
 
 
+_FENCED = """talks AS (SELECT conv_id, 'talks/' || conv_id || '.md' AS relative_path, '# talk ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || CASE WHEN turn % 2 = 0
+    THEN f || 'md' || chr(10) || '# no heading' || chr(10) || coalesce(text, '') || chr(10) || f || chr(10) ELSE coalesce(text, '') || chr(10) END, '' ORDER BY turn) AS content
+    FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN '```' ELSE '~~~~' END AS f FROM conversations) GROUP BY conv_id),
+docs AS (SELECT *, sha256('talks' || chr(31) || relative_path) AS document_id FROM talks)"""
+# every planted fence opens or closes one: a line stands inside after an odd number of them
+_FENCED_LINES = _LINES.replace("headed AS (SELECT *, regexp_matches(line, '^#{1,6}[ \\t]+') AS h", "marked AS (SELECT *, sum(CASE WHEN line IN ('```', '```md', '~~~~', '~~~~md') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY no) % 2 = 1 AS inside FROM kept),\nheaded AS (SELECT *, NOT inside AND regexp_matches(line, '^#{1,6}[ \\t]+') AS h").replace("AS title FROM kept)", "AS title FROM marked)")
+
+
 def _spans(source: str, max_lines: int, max_chars: int, overlap: int) -> str:
     """SQL of greedy packing without fences over ``source`` (k, no from 0, line)."""
     return f"""base AS ({source}),
@@ -235,14 +368,25 @@ trimmed AS (SELECT s.k, s.ordinal, min(no) AS a, max(no) AS b FROM spans s JOIN
 _PACKED = _spans("SELECT doc_id AS k, unnest(range(len(l))) AS no, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> '')", 40, 3000, 5)
 _TALK_SPANS = _spans("SELECT document_id || '/' || section_ordinal AS k, no - a AS no, line FROM secs JOIN numbered USING (document_id, section_ordinal) WHERE no BETWEEN a AND b", 2, 400, 0)
 
+_CHUNK_IDS = f"""WITH {_TALKS}, {_LINES}, {_TALK_SPANS},
+        texts AS (SELECT t.k, t.ordinal, t.a, t.b, string_agg(line, chr(10) ORDER BY no) AS content FROM trimmed t JOIN base l ON l.k = t.k AND l.no BETWEEN t.a AND t.b GROUP BY 1, 2, 3, 4),
+        placed AS (SELECT s.document_id, relative_path, title, path, section_ordinal, x.content, x.ordinal, s.a + x.a AS start_line, s.a + x.b AS end_line FROM texts x JOIN secs s ON x.k = s.document_id || '/' || s.section_ordinal),
+        counted AS (SELECT *, row_number() OVER (PARTITION BY document_id, section_ordinal ORDER BY ordinal) - 1 AS section_chunk_index, row_number() OVER (PARTITION BY document_id ORDER BY section_ordinal, ordinal) - 1 AS chunk_index FROM placed)
+        SELECT sha256(document_id || chr(31) || replace(path, ' > ', chr(31)) || chr(31) || section_chunk_index || chr(31) || content) AS chunk_id, relative_path, title, path || chr(10) || chr(10) || content AS searchable_text,
+        chunk_index, section_chunk_index, start_line, end_line, sha256(content) AS content_hash/* more */ FROM counted"""
+
 QUERIES = {
     "bm25_topk": bm25_topk, "postings": postings, "term_df_idf": term_df_idf, "doc_lengths": doc_lengths, "corpus_size": corpus_size, "dense_topk": dense_topk, "l2_normalize": l2_normalize,
     "golden_validate": golden_validate, "golden_violations": golden_violations, "eval_per_query": eval_per_query, "eval_macro": eval_macro, "eval_misses": eval_misses,
     "compare_categories": compare_categories, "compare_counts": compare_counts, "documents_hashed": documents_hashed, "sections": sections, "chunk_ids": chunk_ids, "chunk_pack": chunk_pack,
     "chunk_stats": chunk_stats, "largest_chunks": largest_chunks, "smallest_chunks": smallest_chunks, "fence_detect": fence_detect, "embed_udf": embed_udf,
+    "dense_index": dense_index, "golden_jsonl": golden_jsonl, "evaluation_jsonl": evaluation_jsonl, "chunk_jsonl": chunk_jsonl, "report_counts": report_counts, "sections_fenced": sections_fenced,
 }
 
-_CATEGORY = """both_sides AS (SELECT query_id, CASE WHEN first_relevant_rank = 1 THEN 'both_hit' WHEN first_relevant_rank IS NOT NULL THEN 'dense_only_hits' ELSE 'both_miss' END AS category FROM metrics)"""
+_DENSE_FIRST = "dense_first AS (SELECT g.item_id, min(rank) AS other FROM gold g LEFT JOIN dense_hits h ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY 1)"
+_CATEGORY = f"""{_DENSE_HITS}, {_DENSE_FIRST},
+both_sides AS (SELECT query_id, CASE WHEN first_relevant_rank IS NULL AND other IS NULL THEN 'both_miss' WHEN first_relevant_rank IS NULL THEN 'dense_only_hits' WHEN other IS NULL THEN 'lexical_only_hits' ELSE 'both_hit' END AS category
+    FROM metrics JOIN dense_first ON query_id = CAST(item_id AS VARCHAR))"""
 _ROUNDED = "round(hit_rate_at_k, 6) AS hit_rate_at_k, round(recall_at_k, 6) AS recall_at_k"
 _LARGEST = "SELECT doc_id, CAST(char_count AS BIGINT) AS char_count, CAST(line_count AS BIGINT) AS line_count FROM sizes ORDER BY char_count {}, doc_id LIMIT 10"
 ORACLES = {
@@ -257,20 +401,29 @@ ORACLES = {
     "l2_normalize": "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM u) SELECT vec_id, CAST(unnest(range(len(e))) AS BIGINT) AS at, round(unnest(list_transform(e, lambda x: (x / norm)::FLOAT::DOUBLE)), 5) AS x FROM n",
     "golden_validate": f"WITH {_GOLD}, n AS (SELECT item_id, count(g.doc_id) AS c FROM (SELECT item_id FROM benchmark WHERE trim(text) <> '') LEFT JOIN gold g USING (item_id) GROUP BY 1) SELECT count(*) AS query_count, count(*) FILTER (c > 0) AS answerable_count, count(*) FILTER (c = 0) AS no_answer_count, CAST(sum(c) AS BIGINT) AS judgment_count FROM n",
     "golden_violations": f"""WITH {_GOLD}, j AS (SELECT item_id AS query_pos, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS judgment_pos FROM gold)
-        SELECT query_pos, judgment_pos, CAST(CASE WHEN query_pos % 3 = 0 THEN 7 ELSE 4 END AS BIGINT) AS rule, CASE WHEN query_pos % 3 = 0 THEN query_pos || ': unknown chunk_id x' || doc_id ELSE query_pos || ': relevance must be 1 or 2, got 7' END AS message FROM j WHERE query_pos % 3 = 0 OR query_pos % 5 = 0""",
+        SELECT query_pos, judgment_pos, CAST(CASE WHEN query_pos % 3 = 0 THEN 7 ELSE 4 END AS BIGINT) AS rule, CASE WHEN query_pos % 3 = 0 THEN query_pos || ': unknown chunk_id x' || doc_id ELSE query_pos || ': relevance must be 1 or 2, got 7' END AS message FROM j WHERE query_pos % 3 = 0 OR query_pos % 5 = 0
+        UNION ALL SELECT query_pos, judgment_pos + count(*) OVER (PARTITION BY query_pos), 6, query_pos || ': duplicate chunk_id ' || doc_id FROM j WHERE query_pos % 7 = 0 AND query_pos % 3 <> 0 AND query_pos % 5 <> 0
+        UNION ALL SELECT item_id + 1000000, -1, 3, 'Duplicate query_id: ' || item_id FROM benchmark WHERE item_id % 11 = 0 AND trim(text) <> ''""",
     "eval_per_query": f"WITH {_METRICS} SELECT query_id, first_relevant_rank, {_ROUNDED}, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg_at_k, 6) AS ndcg_at_k FROM metrics",
     "eval_macro": f"WITH {_METRICS}, n AS (SELECT count(*) AS c FROM benchmark WHERE trim(text) <> '') SELECT (SELECT c FROM n) AS query_count, count(*) AS evaluated_query_count, (SELECT c FROM n) - count(*) AS no_answer_count, round(avg(hit_rate_at_k), 6) AS hit_rate_at_k, round(avg(recall_at_k), 6) AS recall_at_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_at_k), 6) AS ndcg_at_k FROM metrics",
-    "eval_misses": f"WITH {_METRICS} SELECT query_id FROM metrics WHERE first_relevant_rank IS NULL",
+    "eval_misses": f"WITH {_DENSE_HITS}, {_GOLD}, {_DENSE_FIRST} SELECT CAST(item_id AS VARCHAR) AS query_id FROM dense_first WHERE other IS NULL",
+    "embed_udf": f"WITH {_VECTORS} SELECT id AS doc_id, CAST(dim AS BIGINT) AS at, round(x, 5) AS x FROM vectors",
+    "dense_index": f"WITH {_DENSE_HITS} SELECT item_id, rank, round(score, 5) AS score FROM dense_hits",
+    "golden_jsonl": f"WITH {_GOLD} SELECT CAST(b.item_id AS VARCHAR) AS query_id, md5(b.text) AS query_md5, CAST(doc_id AS VARCHAR) AS chunk_id, source AS relative_path, lang AS section, CAST(rel AS BIGINT) AS relevance FROM (SELECT * FROM benchmark WHERE trim(text) <> '') b LEFT JOIN gold g USING (item_id) LEFT JOIN documents USING (doc_id)",
+    "evaluation_jsonl": f"""WITH {_METRICS}, judged AS (SELECT item_id, count(*) AS judged FROM gold GROUP BY 1)
+        SELECT query_id, judged, round(recall_at_k, 6) AS recall, rank, CAST(h.doc_id AS VARCHAR) AS chunk_id, round(score, 6) AS score, CAST(coalesce(rel, 0) AS BIGINT) AS relevance, md5(d.text) AS content_md5
+        FROM metrics JOIN judged ON query_id = CAST(item_id AS VARCHAR) JOIN hits h USING (item_id) JOIN documents d USING (doc_id) LEFT JOIN gold g ON g.item_id = h.item_id AND g.doc_id = h.doc_id""",
+    "report_counts": f"""WITH {_METRICS}, {_CATEGORY}, c AS (SELECT category, count(*) AS n FROM both_sides GROUP BY 1),
+        open_items AS (SELECT query_id FROM both_sides WHERE category <> 'both_hit'),
+        facts AS (SELECT * FROM (VALUES ('Dense only hit', 'dense_only_hits'), ('Lexical only hit', 'lexical_only_hits'), ('Both hit', 'both_hit'), ('Both miss', 'both_miss')) t(fact, category))
+        SELECT fact, coalesce(n, 0) AS n FROM facts LEFT JOIN c USING (category) UNION ALL SELECT 'queries', count(*) FROM benchmark WHERE trim(text) <> ''
+        UNION ALL SELECT 'shown', (SELECT count(*) FROM hits WHERE CAST(item_id AS VARCHAR) IN (SELECT query_id FROM open_items)) + (SELECT count(*) FROM dense_hits WHERE CAST(item_id AS VARCHAR) IN (SELECT query_id FROM open_items))""",
     "compare_categories": f"WITH {_METRICS}, {_CATEGORY} SELECT query_id, category FROM both_sides",
     "compare_counts": f"WITH {_METRICS}, {_CATEGORY} SELECT category, count(*) AS n FROM both_sides GROUP BY category",
     "documents_hashed": f"WITH {_TALKS} SELECT document_id, relative_path, sha256(content) AS content_hash FROM docs",
     "sections": f"WITH {_TALKS}, {_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
-    "chunk_ids": f"""WITH {_TALKS}, {_LINES}, {_TALK_SPANS},
-        texts AS (SELECT t.k, t.ordinal, t.a, t.b, string_agg(line, chr(10) ORDER BY no) AS content FROM trimmed t JOIN base l ON l.k = t.k AND l.no BETWEEN t.a AND t.b GROUP BY 1, 2, 3, 4),
-        placed AS (SELECT s.document_id, relative_path, title, path, section_ordinal, x.content, x.ordinal, s.a + x.a AS start_line, s.a + x.b AS end_line FROM texts x JOIN secs s ON x.k = s.document_id || '/' || s.section_ordinal),
-        counted AS (SELECT *, row_number() OVER (PARTITION BY document_id, section_ordinal ORDER BY ordinal) - 1 AS section_chunk_index, row_number() OVER (PARTITION BY document_id ORDER BY section_ordinal, ordinal) - 1 AS chunk_index FROM placed)
-        SELECT sha256(document_id || chr(31) || replace(path, ' > ', chr(31)) || chr(31) || section_chunk_index || chr(31) || content) AS chunk_id, relative_path, title, path || chr(10) || chr(10) || content AS searchable_text,
-        chunk_index, section_chunk_index, start_line, end_line, sha256(content) AS content_hash FROM counted""",
+    "sections_fenced": f"WITH {_FENCED}, {_FENCED_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
+    "chunk_ids": _CHUNK_IDS, "chunk_jsonl": _CHUNK_IDS.replace("/* more */", ", path, true AS ordered"),
     "chunk_pack": f"WITH {_PACKED} SELECT t.k AS doc_id, t.a + 1 AS start_line, t.b + 1 AS end_line, md5(string_agg(line, chr(10) ORDER BY no)) AS md5 FROM trimmed t JOIN base l ON l.k = t.k AND l.no BETWEEN t.a AND t.b GROUP BY t.k, t.ordinal, t.a, t.b",
     "chunk_stats": f"WITH {_SIZES} SELECT count(*) AS chunk_count, count(DISTINCT source) AS document_count, CAST(min(char_count) AS BIGINT) AS min_chars, round(avg(char_count), 6) AS average_chars, CAST(max(char_count) AS BIGINT) AS max_chars, CAST(min(line_count) AS BIGINT) AS min_lines, round(avg(line_count), 6) AS average_lines, CAST(max(line_count) AS BIGINT) AS max_lines, count(*) FILTER (fence) AS chunks_with_code_fence, count(*) FILTER (char_count > 3000) AS chunks_over_char_limit, count(*) FILTER (line_count > 40) AS chunks_over_line_limit FROM sizes",
     "largest_chunks": f"WITH {_SIZES} {_LARGEST.format('DESC')}",
