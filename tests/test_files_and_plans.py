@@ -143,12 +143,17 @@ def test_vectors_round_trip(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    docs = spark.createDataFrame([("d", "s", "a.md", "# A\nx", "h1")], schemas.DOCUMENTS)
-    docs.write.mode("append").parquet(str(source))
-    for content, h in (("# A\nx", "h1"), ("# A\nnew", "h2")):
-        spark.createDataFrame([("d", "s", "a.md", content, h)], schemas.DOCUMENTS).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema(docs.schema).parquet(str(source))
-        incremental.chunk_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert [r["content"] for r in incremental.latest_chunks(spark, str(tmp_path / "out")).collect()] == ["new"]
-    assert spark.read.parquet(str(tmp_path / "out") + "/epoch=*").count() == 2
+    """New, changed, reverted and emptied documents: only a content other than the last one is written."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*versions):
+        spark.createDataFrame([(d, "s", f"{d}.md", text, str(hash(text))) for d, text in versions], schemas.DOCUMENTS).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schemas.DOCUMENTS).parquet(source)
+        incremental.chunk_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+        return {(r["document_id"], r["content"]) for r in incremental.latest_chunks(spark, out).collect()}
+
+    assert arrive(("d", "# A\nx"), ("e", "# E\nsame")) == {("d", "x"), ("e", "same")}
+    assert arrive(("d", "# A\nnew"), ("e", "# E\nsame")) == {("d", "new"), ("e", "same")}
+    assert arrive(("d", "# A\nx")) == {("d", "x"), ("e", "same")}
+    assert arrive(("d", "")) == {("e", "same")}
+    assert spark.read.parquet(f"{out}/versions").groupBy("document_id").count().filter("document_id = 'e'").first()["count"] == 1
