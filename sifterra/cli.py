@@ -6,8 +6,9 @@ import argparse
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from . import console
 from .operators.dense import EmbeddingModel
 from .operators.markdown import ChunkerConfig
 from .plans import pipelines, report
@@ -20,25 +21,6 @@ def session() -> SparkSession:
     return spark
 
 
-def _shown(hits: DataFrame, limit: int) -> None:
-    rows = hits.collect()  # top_k rows
-    if not rows:
-        print("No results.")
-    for r in rows:
-        section = " > ".join(r["section_path"]) or "<no heading>"
-        print(f"{r['rank']}. score={r['score']:.4f} {r['relative_path']} [{section}] lines {r['start_line']}-{r['end_line']}\n   {r['chunk_id']}")
-        if limit:
-            text = r["content"]
-            print(text if len(text) <= limit else text[:limit].rstrip() + "...")
-
-
-def _means(row) -> None:
-    for name in ("query_count", "evaluated_query_count", "no_answer_count"):
-        print(f"{name}: {row[name]}")
-    for name in ("hit_rate_at_k", "recall_at_k", "mrr", "ndcg_at_k"):
-        print(f"{name}: {row[name]:.4f}")
-
-
 def _maker(a: argparse.Namespace):
     from .operators.dense import EmbeddingModelConfig, HashingEmbedder, SentenceTransformerModel
 
@@ -55,45 +37,43 @@ def _index(spark, a):
     return pipelines.load_dense_index(spark, a.chunks, a.embeddings, a.metadata, pipelines.model_maker(config, a.batch_size, a.device))
 
 
-def run(spark: SparkSession, a: argparse.Namespace) -> None:
+def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """The lines that a command shows."""
+    rows = lambda hits: [r.asDict() for r in hits.collect()]  # noqa: E731  top_k rows
     if a.command == "index":
         r = pipelines.build_chunks(spark, a.root, a.output, source_name=a.source_name, config=ChunkerConfig(a.max_lines, a.max_chars, a.overlap_lines, a.max_fence_overlap_lines))
-        print(f"Documents: {r.documents}\nSections: {r.sections}\nChunks: {r.chunks}\nOutput: {r.output_path}")
-    elif a.command == "stats":
-        for key, value in pipelines.chunk_file_statistics(spark, a.chunks, max_chars=a.max_chars, max_lines=a.max_lines, largest_limit=a.largest_limit, smallest_limit=a.smallest_limit).items():
-            if isinstance(value, list):
-                print(f"{key}:")
-                for i, c in enumerate(value, 1):
-                    print(f"  {i}. {c['char_count']} chars, {c['line_count']} lines: {c['relative_path']} [{' > '.join(c['section_path']) or '<no heading>'}] {c['start_line']}-{c['end_line']}")
-            else:
-                print(f"{key}: {value:.2f}" if isinstance(value, float) else f"{key}: {value}")
-    elif a.command == "validate-golden":
-        for key, value in pipelines.validate_golden_files(spark, a.golden, a.chunks).items():
-            print(f"{key}: {value}")
-    elif a.command == "lexical-search":
-        _shown(pipelines.lexical_search(spark, a.chunks, a.query, a.top_k, k1=a.k1, b=a.b), a.content_limit)
-    elif a.command == "lexical-evaluate":
-        _means(pipelines.evaluate_lexical(spark, a.golden, a.chunks, a.top_k, k1=a.k1, b=a.b)[1].first())
-    elif a.command == "dense-index":
-        m = pipelines.build_dense_index(spark, a.chunks, a.embeddings, a.metadata, _maker(a))
-        print(f"Model: {m.embedding_model.model_name}\nDimension: {m.embedding_model.dimension}\nEmbeddings: {a.embeddings}\nMetadata: {a.metadata}")
-    elif a.command == "dense-search":
-        _shown(pipelines.dense_search(_index(spark, a), a.query, a.top_k), a.content_limit)
-    elif a.command == "dense-evaluate":
-        _means(pipelines.evaluate_dense(spark, a.golden, _index(spark, a), a.top_k)[1].first())
-    elif a.command == "retrieval-analyze":
+        return console.pairs({"Documents": r.documents, "Sections": r.sections, "Chunks": r.chunks, "Output": r.output_path})
+    if a.command == "stats":
+        return console.statistics(pipelines.chunk_file_statistics(spark, a.chunks, max_chars=a.max_chars, max_lines=a.max_lines, largest_limit=a.largest_limit, smallest_limit=a.smallest_limit), a.max_chars, a.max_lines)
+    if a.command == "lexical-search":
+        return console.hits(rows(pipelines.lexical_search(spark, a.chunks, a.query, a.top_k, k1=a.k1, b=a.b)), a.content_limit, False)
+    if a.command == "dense-search":
+        return console.hits(rows(pipelines.dense_search(_index(spark, a), a.query, a.top_k)), a.content_limit, True)
+    if a.command == "retrieval-dump":
+        n, written = pipelines.dump_lexical(spark, a.golden, a.chunks, a.output, a.top_k, only_misses=a.only_misses)
+        return console.pairs({"Evaluated queries": n, "Written queries": written, "Output": a.output})
+    headline = [f"\x1b[32m{console.HEADLINES[a.command]}\x1b[0m"]
+    if a.command == "validate-golden":
+        r = pipelines.validate_golden_files(spark, a.golden, a.chunks)
+        return headline + console.pairs({"Queries": r["query_count"], "Answerable queries": r["answerable_count"], "No-answer queries": r["no_answer_count"], "Relevance judgments": r["judgment_count"]})
+    if a.command == "lexical-evaluate":
+        return headline + console.means(pipelines.evaluate_lexical(spark, a.golden, a.chunks, a.top_k, k1=a.k1, b=a.b)[1].first(), a.top_k)
+    if a.command == "dense-evaluate":
+        return headline + console.means(pipelines.evaluate_dense(spark, a.golden, _index(spark, a), a.top_k)[1].first(), a.top_k)
+    if a.command == "dense-index":
+        m = pipelines.build_dense_index(spark, a.chunks, a.embeddings, a.metadata, _maker(a)).embedding_model
+        n = jsonl.read_chunks(spark, a.chunks).count()
+        return headline + console.pairs({"Model": m.model_name, "Chunks": n, "Dimension": m.dimension, "Embeddings": a.embeddings, "Metadata": a.metadata})
+    if a.command == "retrieval-analyze":
         make = pipelines.model_maker(dense_store.read_metadata(a.metadata).embedding_model, a.batch_size, a.device) if a.metadata else None
-        for key, value in pipelines.analyze(spark, a.golden, a.chunks, a.retriever, a.output_root, a.top_k, k1=a.k1, b=a.b, embeddings_path=a.embeddings, metadata_path=a.metadata, make=make).items():
-            print(f"{key}: {value}")
-    elif a.command == "retrieval-compare":
-        for key, value in pipelines.compare_files(spark, a.lexical, a.dense, a.output_dir).items():
-            print(f"{key}: {value}")
-    elif a.command == "retrieval-report":
-        read = lambda path: jsonl.read_evaluation(spark, path)
-        path, counts = report.write_report(jsonl.read_golden(spark, a.golden), read(a.lexical), read(a.dense), a.metadata, a.output_root, a.top_k, a.content_limit)
-        print(f"Report: {path}")
-        for key, value in counts.items():
-            print(f"{key}: {value}")
+        r = pipelines.analyze(spark, a.golden, a.chunks, a.retriever, a.output_root, a.top_k, k1=a.k1, b=a.b, embeddings_path=a.embeddings, metadata_path=a.metadata, make=make)
+        return headline + console.pairs({"Retriever": a.retriever, "Top-K": a.top_k, "Queries": r["query_count"], "Misses": r["miss_count"], "Results": r["results_path"], "Misses file": r["misses_path"]})
+    if a.command == "retrieval-compare":
+        return headline + console.categories(pipelines.compare_files(spark, a.lexical, a.dense, a.output_dir)) + [f"Output: {a.output_dir}"]
+    read = lambda path: jsonl.read_evaluation(spark, path)
+    golden = jsonl.read_golden(spark, a.golden)
+    path, counts = report.write_report(golden, read(a.lexical), read(a.dense), a.metadata, a.output_root, a.top_k, a.content_limit)
+    return headline + console.pairs({"Queries": golden.count(), "Answerable queries": sum(counts.values())}) + console.categories(counts) + [f"Output: {path}"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -105,7 +85,10 @@ def parser() -> argparse.ArgumentParser:
         for x in positional:
             p.add_argument(x)
         for flag, default in options:
-            p.add_argument(flag, default=default, type=type(default) if default is not None else str)
+            if isinstance(default, bool):
+                p.add_argument(flag, action="store_true")
+            else:
+                p.add_argument(flag, default=default, type=type(default) if default is not None else str)
 
     chunks, top_k, bm25 = ("--chunks", "data/chunks.jsonl"), ("--top-k", 5), (("--k1", 1.5), ("--b", 0.75))
     dense = (("--embeddings", "data/dense/embeddings"), ("--metadata", "data/dense/metadata.json"), ("--batch-size", 32), ("--device", "cpu"))
@@ -120,15 +103,16 @@ def parser() -> argparse.ArgumentParser:
     command("retrieval-analyze", ["golden", "chunks"], ("--retriever", "lexical"), ("--output-root", "data/analysis"), top_k, *bm25, ("--embeddings", None), ("--metadata", None), *dense[2:])
     command("retrieval-compare", ["lexical", "dense"], ("--output-dir", "data/comparison"))
     command("retrieval-report", ["golden", "lexical", "dense", "metadata"], ("--output-root", "data/reports"), top_k, ("--content-limit", 1500))
+    command("retrieval-dump", ["golden", "chunks"], ("--output", "artifacts/retrieval_evaluation.jsonl"), top_k, ("--only-misses", False))
     return top
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        run(session(), args)
+        print("\n".join(run(session(), args)))
     except (ValueError, OSError) as error:
-        print(f"\x1b[31mError: {error}\x1b[0m", file=sys.stderr)
+        print(f"\x1b[31m{console.FAILURES[args.command]}: {error}\x1b[0m", file=sys.stderr)
         return 1
     return 0
 

@@ -124,6 +124,15 @@ def analyze(spark: SparkSession, golden_path: str, chunks_path: str, retriever:
     return {"query_count": n, "miss_count": missed, "results_path": str(folder / "results.jsonl"), "misses_path": str(folder / "misses.jsonl")}
 
 
+def dump_lexical(spark: SparkSession, golden_path: str, chunks_path: str, output: str | Path, top_k: int = 5, *, only_misses: bool = False) -> tuple[int, int]:
+    """One JSON line for each answerable query of a BM25 evaluation, or for those without a hit; evaluated and written queries."""
+    results = evaluate_lexical(spark, golden_path, chunks_path, top_k)[0].persist()
+    n = results.count()
+    written = jsonl.write_file(results.filter("hit_rate_at_k = 0") if only_misses else results, output, ["pos"])
+    results.unpersist()
+    return n, written
+
+
 def compare_files(spark: SparkSession, lexical_path: str, dense_path: str, output_dir: str | Path) -> dict[str, int]:
     """One file for each category; its rows hold both results."""
     compared = evaluation.compare(jsonl.read_evaluation(spark, lexical_path), jsonl.read_evaluation(spark, dense_path)).persist()
