@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .lexical import RANK_DECIMALS, check_top_k
 
 SCHEMA_VERSION = 2
-#: Queries that travel to the vectors at once.
-QUERY_BLOCK = 512
+#: Queries that are multiplied at once, and bytes of queries that travel to the vectors for one scan.
+QUERY_BLOCK, QUERY_BYTES = 512, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -174,29 +174,44 @@ def build_dense(chunks: DataFrame, make: Callable[[], EmbeddingModel], chunks_sh
     return raw.withColumn("embedding", l2_normalize(F.col("embedding"))), DenseMetadata(config, chunks_sha256)
 
 
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of a stated query set, ``QUERY_BYTES`` of vectors at a time."""
+    ids, vectors, held = [], [], 0
+    for row in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        ids.append(row["query_id"])
+        vectors.append(np.array(row["embedding"], np.float64))
+        held += vectors[-1].nbytes
+        if held >= QUERY_BYTES:
+            yield ids, np.array(vectors)
+            ids, vectors, held = [], [], 0
+    if ids:
+        yield ids, np.array(vectors)
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, *, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk_pos, score, rank): exact inner products of unit vectors, best ``top_k`` of each query.
 
-    Queries go out in blocks of ``query_block``; within a task only each query's best rows leave an Arrow batch, so
-    what is shuffled is tasks x queries x ``top_k`` at most. Equal scores go by the higher position.
+    Queries go out ``QUERY_BYTES`` at a time, with one scan of the vectors for each; within a task only each query's
+    best rows leave an Arrow batch, so what is shuffled is batches x queries x ``top_k`` at most. Equal scores go by the
+    higher position.
     """
     check_top_k(top_k)
     spark, found = vectors.sparkSession, None
-    asked = queries.select("query_id", "embedding").orderBy("query_id").collect()  # a stated query set
-    for at in range(0, len(asked), query_block):
-        part = asked[at : at + query_block]
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in part], np.array([r["embedding"] for r in part], np.float64)))
+    for part in _blocks(queries):
+        shared = spark.sparkContext.broadcast(part)
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
             for batch in batches:
-                if len(batch):
-                    pos = batch["chunk_pos"].to_numpy()
-                    scores = matrix @ np.array(batch["embedding"].tolist(), np.float64).T
+                if not len(batch):
+                    continue
+                pos, held = batch["chunk_pos"].to_numpy(), np.array(batch["embedding"].tolist(), np.float64).T
+                for at in range(0, len(names), query_block):
+                    scores = matrix[at : at + query_block] @ held
                     key = np.where(np.isnan(scores), np.inf, np.round(scores, RANK_DECIMALS))
-                    for i, name in enumerate(names):
-                        rows = np.lexsort((-pos, -key[i]))[:top_k]
-                        yield pd.DataFrame({"query_id": name, "chunk_pos": pos[rows], "score": scores[i, rows]})
+                    rows = [np.lexsort((-pos, -k))[:top_k] for k in key]
+                    some = names[at : at + query_block]
+                    yield pd.DataFrame({"query_id": np.repeat(np.array(some, object), [len(r) for r in rows]), "chunk_pos": np.concatenate([pos[r] for r in rows]), "score": np.concatenate([s[r] for s, r in zip(scores, rows, strict=True)])})
 
         kind = queries.schema["query_id"].dataType.simpleString()
         some = vectors.select("chunk_pos", "embedding").mapInPandas(best, f"query_id {kind}, chunk_pos {vectors.schema['chunk_pos'].dataType.simpleString()}, score double")
