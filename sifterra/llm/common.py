@@ -23,12 +23,17 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch: with long texts Spark's default of 10,000 fills a worker's memory.
-BATCH_ROWS = 1_000
+#: What bounds memory where rows hold whole texts: rows of an Arrow batch and of a batch of the Parquet reader.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Set ``BATCHES`` in the session: Spark's defaults (10,000 and 4,096 rows) fill a worker's memory with long texts.
+
+    The settings stay: plans are run after this returns.  They change no result.
+    """
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +146,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def small_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A table of the driver's rows. It goes by Arrow: rows given as Python objects start Python workers of another kind."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def global_prefix(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     """Add ``__row`` (global row index) and ``__before`` (sum of ``value`` in all rows before).
 
@@ -170,7 +180,7 @@ def global_prefix(df: DataFrame, order: list, value: str, name: str) -> DataFram
     for t in sorted(totals, key=lambda t: t["__part"]):
         offsets.append((t["__part"], rows, total))
         rows, total = rows + t["rows"], total + t["total"]
-    start = spark.createDataFrame(offsets, "__part int, __rows0 long, __sum0 long")
     # one row per partition: bounded by the partition count
+    start = small_table(spark, {"__part": pa.array([o[0] for o in offsets], pa.int32()), "__rows0": pa.array([o[1] for o in offsets], pa.int64()), "__sum0": pa.array([o[2] for o in offsets], pa.int64())})
     out = local.join(F.broadcast(start), "__part")
     return out.select(*df.columns, (F.col("__at") + F.col("__rows0")).alias("__row"), (F.col("__sum") + F.col("__sum0")).alias("__before"))

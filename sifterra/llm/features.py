@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .kernels import binaries, slices
 
-REMEMBERED = 300_000
+#: Words whose numbers a worker remembers.
+REMEMBERED = 50_000
 
 
 class Hashed(dict):

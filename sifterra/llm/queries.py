@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, jaccard_join, langid, line_rules, mixing, packing, quality_fm, sharding, toxicity, vector_dedup
-from .common import fold, held_out, table
+from .common import fold, held_out, small_table, table
 
 
 def _trained_on(modulus: int, remainder: int):
@@ -96,7 +97,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS ta
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    extra = small_table(spark, {"conv_id": pa.array([-7, -7]), "turn": pa.array([0, 1]), "role": pa.array(["user", "assistant"]), "text": pa.array([control] * 2)})
     files = public_tokenizer()
     segments, paths = chat_tree.build_tree(rows.unionByName(extra), **files)
     back = chat_tree.read_back(segments, paths, tokenizer=files["tokenizer"])

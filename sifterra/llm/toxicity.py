@@ -32,7 +32,8 @@ UNITS = 8_192
 EVIDENCE = 60.0
 #: A lexicon unit is so many times as frequent under one label.
 SURE = 100.0
-REMEMBERED = 300_000
+#: Words whose units a worker remembers.
+REMEMBERED = 50_000
 
 
 class Units(dict):

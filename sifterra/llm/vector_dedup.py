@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_table
 from .components import components, find
 
 #: Sampled points that may become pivots, and points of a block.
@@ -247,8 +247,9 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
     meet = np.zeros((len(sizes), len(sizes)), bool)
     a, b = np.nonzero(bound <= theta + SLACK)
     meet[np.array(group_of)[a], np.array(group_of)[b]] = True
-    groups = spark.createDataFrame([(int(r["cell"]), int(g), int(blocks[g])) for r, g in zip(table, group_of, strict=True)], "cell long, grp long, blocks long")
-    partners = spark.createDataFrame([(int(x), int(y), int(blocks[y])) for x, y in np.argwhere(meet)], "grp long, other long, others long")
+    groups = small_table(spark, {"cell": pa.array([r["cell"] for r in table], pa.int64()), "grp": pa.array(group_of, pa.int64()), "blocks": pa.array(blocks[group_of], pa.int64())})
+    one, two = np.nonzero(meet)
+    partners = small_table(spark, {"grp": pa.array(one, pa.int64()), "other": pa.array(two, pa.int64()), "others": pa.array(blocks[two], pa.int64())})
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(block["raw"]), kind).reshape(len(block), -1)
