@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .kernels import flat_bytes, mix, texts
+from .kernels import binaries, flat_bytes, mix, texts
 
 #: Remembered parts, and most ids of one; a part of more than 15 bytes isn't remembered.
 SLOTS, MOST_IDS, MOST_BYTES = 1 << 18, 6, 15
@@ -23,6 +25,8 @@ SLOTS, MOST_IDS, MOST_BYTES = 1 << 18, 6, 15
 SOLID = np.zeros(256, bool)
 SOLID[33:127] = SOLID[128:] = True
 SOLID[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+#: Bytes of a text that are encoded at a time, and where a text may be cut.
+PIECE, SAFE = 1 << 22, re.compile(rb"[!-~](?= )")
 #: Low bytes of a word of eight.
 MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
@@ -33,6 +37,20 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _pieces(text: pa.Array) -> Iterator[pa.Array]:
+    """One text in pieces of ``PIECE`` bytes and a little more, so that memory doesn't follow its length."""
+    raw, start = binaries(text)[0] or b"", 0
+    while len(raw) - start > PIECE and (found := SAFE.search(raw, start + PIECE - 1)):
+        yield pa.array([raw[start : found.end()]], pa.binary()).view(pa.string())
+        start = found.end()
+    yield pa.array([raw[start:]], pa.binary()).view(pa.string())
+
+
+def _refused(error: BaseException) -> bool:
+    """Whether the fast way doesn't take a text: broken UTF-8, and a few extreme texts on which the Rust side panics."""
+    return type(error).__name__ in ("PanicException", "ValueError", "UnicodeDecodeError")
+
+
 class Tokens:
     """Ids as the tokenizer file gives them (without special tokens put around), fast where ``ranks`` and ``pattern`` are given.
 
@@ -81,8 +99,8 @@ class Tokens:
         if self.fast is not None:
             try:
                 return np.array(self.fast.encode_ordinary(text), np.uint32)
-            except BaseException as error:  # the Rust side panics on a few extreme texts
-                if type(error).__name__ not in ("PanicException", "ValueError"):
+            except BaseException as error:
+                if not _refused(error):
                     raise
         return np.array(self.literal.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -92,22 +110,30 @@ class Tokens:
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _row(self, text: pa.Array) -> np.ndarray:
+        """Ids of one text without added tokens."""
+        ids = [np.zeros(0, np.uint32)]
+        for piece in _pieces(text):
+            try:
+                ids.append(self._parts(piece)[0])
+            except BaseException as error:
+                if not _refused(error):
+                    raise
+                ids.append(self._one(next(texts(piece))))
+        return np.concatenate(ids)
+
     def encode_rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, and the first id of each row (one more at the end); NULL is empty."""
-        plain = np.ones(len(column), bool)
+        plain = np.full(len(column), self.fast is not None)
         for token in self.added:
             plain &= ~pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
-        if self.fast is None:
-            plain[:] = False
-        if plain.all():
+        if plain.all() and (pc.max(pc.binary_length(column)).as_py() or 0) <= PIECE:
             try:
                 return self._parts(column)
-            except BaseException as error:  # broken UTF-8, and a few extreme texts on which the Rust side panics
-                if type(error).__name__ not in ("PanicException", "ValueError", "UnicodeDecodeError"):
+            except BaseException as error:
+                if not _refused(error):
                     raise
-                if len(column) == 1:
-                    plain[:] = False
-        rows = [self.encode_rows(column.slice(i, 1))[0] if ok else self._one(next(texts(column.slice(i, 1)))) for i, ok in enumerate(plain.tolist())]
+        rows = [self._row(column.slice(i, 1)) if ok else self._one(next(texts(column.slice(i, 1)))) for i, ok in enumerate(plain.tolist())]
         return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *map(len, rows)])
 
     def _parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
