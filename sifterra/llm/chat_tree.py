@@ -11,7 +11,7 @@ intervals of the order that it may attend to: its ancestors'.
 from __future__ import annotations
 
 import hashlib
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +19,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import global_prefix, materialise
-from .packing import tokens
+from .bpe import tokens
+from .common import global_prefix, materialise, spread_join
 
 #: Fixed strings of the template.
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 LOSS_ROLE = "assistant"
-#: Every character that begins a control string, and the escape sign itself.
-SPECIAL = re.compile(r"[\\#<:]")
-ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*)</turn>\n", re.DOTALL)
+#: The escape sign itself, and every other character that begins a control string.
+ESCAPE, SPECIAL = "\\", "#<:"
 
 
 def escape(text: str) -> str:
-    return SPECIAL.sub(r"\\\g<0>", text)
+    text = text.replace(ESCAPE, ESCAPE * 2)
+    for sign in SPECIAL:
+        text = text.replace(sign, ESCAPE + sign)
+    return text
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1", text)
+    """The text that ``escape`` was given. A run of escape signs begins a pair, so pairs are found from the left."""
+    pieces = text.split(ESCAPE * 2)
+    for sign in SPECIAL:
+        pieces = [p.replace(ESCAPE + sign, sign) for p in pieces]
+    return ESCAPE.join(pieces)
+
+
+def find_control(formatted: str, control: str, at: int) -> int:
+    """Where ``control`` stands next without an escape sign before it, or an error."""
+    while (found := formatted.find(control, at)) >= 0:
+        signs = found
+        while signs > at and formatted[signs - 1] == ESCAPE:
+            signs -= 1
+        if (found - signs) % 2 == 0:
+            return found
+        at = found + 1
+    raise ValueError(f"no {control!r} after {at}")
 
 
 def parts(role: str, text: str) -> tuple[str, str, str]:
@@ -48,11 +65,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation; anything else in it is an error."""
     turns, at = [], 0
     while at < len(formatted):
-        m = TURN.match(formatted, at)
-        if m is None:
+        if not formatted.startswith(OPEN, at):
             raise ValueError(f"not a turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        role = at + len(OPEN)
+        middle = find_control(formatted, MIDDLE, role)
+        text = middle + len(MIDDLE)
+        close = find_control(formatted, CLOSE, text)
+        turns.append((unescape(formatted[role:middle]), unescape(formatted[text:close])))
+        at = close + len(CLOSE)
     return turns
 
 
@@ -87,7 +107,7 @@ def build_tree(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     talks = materialise(talks.mapInArrow(chained, T.StructType([*talks.schema.fields, T.StructField("names", T.ArrayType(T.BinaryType()))])), "talks")
     passing = talks.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     # a segment begins where the number of conversations that pass changes
-    steps = talks.select("conv", F.posexplode("names").alias("at", "name")).join(passing, "name")
+    steps = spread_join(talks.select("conv", F.posexplode("names").alias("at", "name")), materialise(passing.withColumn("rows", F.col("n")), "passing"), ["name"], n="rows", by="conv")
     counted = steps.groupBy("conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("n")).withColumnRenamed("conv", "same")
     begins = F.filter(F.sequence(F.lit(0), F.size("n") - 1), lambda i: (i == 0) | (F.element_at("n", i + 1) != F.element_at("n", F.greatest(i, F.lit(1)))))
     cut = talks.join(counted, F.col("conv").eqNullSafe(F.col("same"))).select("conv", "turns", "names", begins.alias("begins"))
@@ -96,9 +116,8 @@ def build_tree(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     cut = materialise(cut.select("conv", "turns", "begins", "ends", "path"), "talk-paths")
 
     # one row for each distinct segment, whatever the number of conversations that hold it
-    held = cut.select("turns", "begins", "ends", "path", F.posexplode("path").alias("depth", "segment"))
-    piece = F.slice("turns", F.element_at("begins", F.col("depth") + 1) + 1, F.element_at("ends", F.col("depth") + 1) - F.element_at("begins", F.col("depth") + 1))
-    held = held.select("segment", F.slice("path", 1, F.col("depth") + 1).alias("path"), piece.alias("turns"))
+    piece = lambda b, i: F.struct(F.slice("path", 1, i + 1).alias("path"), F.slice("turns", b + 1, F.element_at("ends", i + 1) - b).alias("turns"))
+    held = cut.select(F.explode(F.transform("begins", piece)).alias("piece")).select(F.element_at("piece.path", -1).alias("segment"), "piece.path", "piece.turns")
     distinct = held.groupBy("segment").agg(F.min("path").alias("path"), F.any_value("turns").alias("turns"))
 
     def tokenised(batches):
@@ -124,8 +143,9 @@ def build_tree(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     order = global_prefix(made.select("segment", "path", "size"), [F.col("path")], "size", "dfs")
     places = materialise(order.select("segment", "path", "size", F.col("__before").alias("dfs_start")), "dfs-places")
     above = places.select("segment", F.posexplode("path").alias("depth", "ancestor")).filter(F.col("segment") != F.col("ancestor"))
-    known = places.select(F.col("segment").alias("ancestor"), "dfs_start", "size")
-    spans = above.join(known, "ancestor").groupBy("segment").agg(
+    below = above.groupBy("ancestor").agg(F.count("*").alias("below"))
+    known = materialise(places.select(F.col("segment").alias("ancestor"), "dfs_start", "size").join(below, "ancestor"), "dfs-ancestors")
+    spans = spread_join(above, known, ["ancestor"], n="below", by="segment").groupBy("segment").agg(
         F.sum("size").alias("position_start"), F.transform(F.array_sort(F.collect_list(F.struct("depth", "dfs_start", "size"))), lambda x: F.struct(x["dfs_start"].alias("from"), (x["dfs_start"] + x["size"]).alias("to"))).alias("attends")
     )
     segments = made.select("segment", "token_ids", "loss").join(places.select("segment", "dfs_start"), "segment").join(spans, "segment", "left")
@@ -134,14 +154,23 @@ def build_tree(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     return segments, cut.select(F.col("conv").alias(conv_col), F.col("path").alias("segments"))
 
 
+@lru_cache(maxsize=1)
+def decoder(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
 def read_back(segments: DataFrame, paths: DataFrame, *, tokenizer: str, conv_col: str = "conv_id") -> DataFrame:
     """Conversations decoded from the segments alone: ``formatted`` text, ``turns`` as parsed, ``loss_text`` under the mask."""
     steps = paths.select(F.col(conv_col).alias("conv"), F.posexplode("segments").alias("depth", "segment"))
-    gathered = steps.join(segments.select("segment", "token_ids", "loss"), "segment").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "token_ids", "loss"))).alias("pieces"))
+    used = steps.groupBy("segment").agg(F.count("*").alias("rows"))
+    held = materialise(segments.select("segment", "token_ids", "loss").join(used, "segment"), "segments-read")
+    gathered = spread_join(steps, held, ["segment"], n="rows", by="conv").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "token_ids", "loss"))).alias("pieces"))
     schema = T.StructType([T.StructField("conv", gathered.schema["conv"].dataType), *T._parse_datatype_string("formatted string, turns array<struct<role: string, text: string>>, loss_text string").fields])
 
     def decoded(batches):
-        slow = tokens(tokenizer, None, None).slow
+        slow = decoder(tokenizer)
         for batch in batches:
             texts, turns, losses = [], [], []
             for pieces in batch.column(1).to_pylist():

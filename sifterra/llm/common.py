@@ -1,13 +1,14 @@
-"""What the operators share: tables, shared storage, global order and prefix sums.
+"""What the operators share: tables, shared storage, joins of hot keys, global order and prefix sums.
 
 Intermediate tables go to the folder in ``spark.checkpoint.dir``, which every
-executor and the driver see; a local folder is used only when it is unset, as
-in tests.  Nothing here depends on how many rows a key holds.
+executor and the driver see; only a driver whose executors are its own threads
+may do without that setting.  Nothing here depends on how many rows a key holds.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -42,19 +43,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new local one only where none is set."""
+    """The cluster's shared folder; without one an error, but for local mode, which gets a temporary folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not conf:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='sifterra-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one: ``clear`` deletes what results no longer need."""
+    return f"{shared_dir(spark)}/sifterra/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application wrote to the shared folder. Results that still read one must be saved before."""
+    _delete(spark, work_dir(spark))
+
+
 def materialise(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/sifterra/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sifterra_path = path
@@ -67,13 +85,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and that nothing reads any more."""
-    path = getattr(df, "_sifterra_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_sifterra_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 #: Rows of ids (some 50 bytes each) up to which they are broadcast; beyond, both sides are shuffled. Results are the same.
@@ -103,28 +120,50 @@ class IdFilter:
         return (self.held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def drop_rows(docs: DataFrame, bad: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """``docs`` without the rows whose ``keys`` (expressions over ``docs``) stand in ``bad``, NULL equal to NULL.
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... so that no name can clash with an operator's own, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def drop_rows(docs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` stands in ``bad`` (one column); rows with a NULL key stay.
 
     A bounded filter first tells which rows may be bad: only their texts are shuffled for the exact anti-join.
+    No rows or no bad keys give ``docs`` back; columns may have any names.
     """
-    bad = materialise(bad.select(*keys).distinct(), "bad-keys")
-    passing = IdFilter(bad.select(F.xxhash64(*keys).alias("id")))
-    names = {name: f"__key_{i}" for i, name in enumerate(keys)}
-    marked = docs.withColumns({names[k]: e for k, e in keys.items()})
-    at = F.pmod(F.xxhash64(F.xxhash64(*names.values())), F.lit(passing.bits))
+    plain, names = positional(docs)
+    at = names[key]
+    bad = materialise(bad.toDF("__bad").filter("__bad is not null").distinct(), "bad-keys")
+    passing = IdFilter(bad.select(F.xxhash64("__bad").alias("id")))
 
     @F.pandas_udf("boolean")
     def maybe(x: pd.Series) -> pd.Series:
         return pd.Series(passing.wanted(x.to_numpy()))
 
-    marked = marked.withColumn("__maybe", maybe(at))
-    other = bad.select(*[F.col(k).alias(f"__bad_{i}") for i, k in enumerate(keys)])
-    same = None
-    for i, k in enumerate(keys):
-        one = F.col(names[k]).eqNullSafe(F.col(f"__bad_{i}"))
-        same = one if same is None else same & one
-    return marked.filter(~F.col("__maybe")).unionByName(marked.filter("__maybe").join(other, same, "left_anti")).select(*docs.columns)
+    marked = plain.withColumn("__maybe", maybe(F.pmod(F.xxhash64(F.xxhash64(at)), F.lit(passing.bits))))
+    clear = marked.filter(~F.col("__maybe"))
+    checked = marked.filter("__maybe").join(bad, F.col(at) == F.col("__bad"), "left_anti")
+    return clear.union(checked).drop("__maybe").toDF(*docs.columns)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], *, n: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each key and in ``n`` how many rows of ``left`` have it.
+
+    A key with more than a quarter of a partition's share of the rows is dealt to several tasks by a hash of
+    the column ``by``.  There are at most four such keys for each partition; they and their numbers of tasks are
+    broadcast, and without any this is a plain join.  ``how`` is "inner" or "left".
+    """
+    parts = 4 * partitions(left.sparkSession)
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    if not total or most * parts <= total:
+        return left.join(right.drop(n), keys, how)
+    hot = right.filter(F.col(n) * parts > total).select(*keys, F.ceil(F.col(n) * parts / F.lit(total)).cast("int").alias("__tasks"))
+    hot = F.broadcast(materialise(hot, "hot-keys"))
+    tasks = F.coalesce("__tasks", F.lit(1))
+    left = left.join(hot, keys, "left").withColumn("__task", F.pmod(F.xxhash64(by), tasks).cast("int")).drop("__tasks")
+    right = right.join(hot, keys, "left").withColumn("__task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("__tasks", n)
+    return left.join(right, [*keys, "__task"], how).drop("__task")
 
 
 def partitions(spark: SparkSession) -> int:

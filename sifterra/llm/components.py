@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, spread_join
 
 
 def find(parent: dict[int, int], x: int) -> int:
@@ -40,9 +40,10 @@ def components(links: DataFrame) -> DataFrame:
     """(``node``, ``component``) for every node but the smallest of each component.
 
     ``links`` holds two columns of long ids in any order, repeats allowed.  The
-    component is its smallest id.  Each round is two joins and two aggregates
-    whose partial minima keep a hub of any degree to one row per task; a round
-    ends in a written table, so a lost executor costs one round at most.
+    component is its smallest id.  Each round is two joins and two aggregates.
+    Partial minima keep a hub of any degree to one row per task in the latter,
+    and the joins deal a hub's links to several tasks.  What a round makes is
+    written, so a lost executor costs a part of one round at most.
     """
     a, b = (F.col(c) for c in links.columns[:2])
     edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -50,12 +51,13 @@ def components(links: DataFrame) -> DataFrame:
     before = _mark(current)
     while before[0]:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(current)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, ["u"], n="n", by="v").filter(F.col("v") > F.col("u"))
+        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, lowest, ["u"], n="n", by="v").filter(F.col("v") > F.col("m"))
+        after = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(current, large)
         current, now = after, _mark(after)
         if now == before:
             break

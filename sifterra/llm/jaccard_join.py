@@ -24,9 +24,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import IdFilter, discard, drop_rows, materialise, release
+from .common import BROADCAST_IDS, IdFilter, discard, drop_rows, materialise, positional, release, spread_join
 from .components import components, find
 from .kernels import mix, shingle_sets, slices, trim
 
@@ -35,8 +36,6 @@ ORDERS = 3
 SKETCH = 1 << 20
 #: Tokens that a task gathers before it counts them.
 GATHERED = 2_000_000
-#: Rows of ids and flags (some 50 bytes each) that are broadcast rather than shuffling sets twice.
-BROADCAST_ROWS = 200_000
 #: Documents compared with one leader at a time.
 LEADER_BLOCK = 64
 #: Tokens of either side of a block (8 bytes each).
@@ -193,8 +192,8 @@ def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
 
 
 def if_small(rows: DataFrame) -> DataFrame:
-    """A materialised table of ids, to be broadcast if it has at most ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """A materialised table of ids and flags, broadcast rather than shuffling sets twice if it has at most ``BROADCAST_IDS`` rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 class _Flat:
@@ -286,7 +285,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     summary = materialise(summarise(light, width), "shingle-sets")
     classes = spark.sparkContext.broadcast(frequency_classes(summary))
     rows = summary.filter("doc").drop("doc")
-    groups = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("head"))
+    groups = materialise(rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "equal-sets")
     heads = groups.select(F.col("head").alias("id")).distinct()
 
     first = materialise(prefixes(light, width, num, den, classes).join(heads, "id", "left_semi"), "prefixes")
@@ -305,7 +304,8 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     leaders = banded.groupBy("token", "band").agg(F.count("*").alias("size"), F.min(one).alias("l1"), F.max(one).alias("l2"), F.min(hashed)["one"].alias("l3"), F.max(hashed)["one"].alias("l4")).filter("size > 1")
     leaders = leaders.select("token", "band", "size", F.array_distinct(F.array("l1", "l2", "l3", "l4")).alias("leaders"))
     leaders = materialise(leaders, "list-leaders")
-    banded = materialise(banded.join(leaders.filter("size > 2"), ["token", "band"]), "banded-lists")
+    listed = leaders.filter("size > 2").withColumn("rows", F.col("size"))
+    banded = materialise(spread_join(banded, listed, ["token", "band"], n="rows", by="id"), "banded-lists")
     discard(shared)
 
     # every document against the leaders of its lists, first under the other orders, then by sets
@@ -316,13 +316,17 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(pairs.filter("id <> leader").filter(alike).groupBy(F.least("id", "leader").alias("low"), F.greatest("id", "leader").alias("high")).agg(F.min("leader").alias("leader")), "leader-pairs")
     pairs = pairs.select("leader", F.when(F.col("leader") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("id"))
     other = materialise(fetch(light, pairs.select("id").union(pairs.select("leader")).distinct(), width, num, den, classes, False), "other-orders")
+    led = pairs.groupBy("leader").agg(F.count("*").alias("rows"))
     lead = other.select(F.col("id").alias("leader"), F.col("p2").alias("l2"), F.col("p3").alias("l3"), F.col("need").alias("l_need"))
+    led = materialise(led, "led")
+    lead = materialise(lead.join(if_small(led), "leader"), "leaders")
     enough = F.size(F.array_intersect("p3", "l3")) >= F.least("need", "l_need")
-    passed = materialise(other.join(if_small(pairs), "id").join(lead, "leader").filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
-    discard(other)
+    met = spread_join(other.join(if_small(pairs), "id"), lead, ["leader"], n="rows", by="id")
+    passed = materialise(met.filter(F.arrays_overlap("p2", "l2") & enough).select("leader", "id").distinct(), "passed-pairs")
+    discard(other, lead, led)
     release(spark)
-    salts = passed.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_BLOCK).alias("salts"))
-    salted = passed.join(salts, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    salts = materialise(passed.groupBy("leader").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / LEADER_BLOCK).alias("salts")), "leader-salts")
+    salted = spread_join(passed, salts, ["leader"], n="rows", by="id").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
     members = salted.select("leader", "salt", "id", F.lit(False).alias("first")).union(salted.select("leader", "salt", F.col("leader").alias("id"), F.lit(True)).distinct())
     members = materialise(members.withColumn("component", F.col("id")), "leader-blocks")
     sets = fetch(light, members.select("id").distinct(), width, num, den, classes, True)
@@ -336,13 +340,13 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     labelled = banded.filter(F.col("size") > F.size("leaders") + 1).join(found, banded["id"] == node, "left").select("token", "band", "id", component)
     labelled = materialise(labelled, "labelled-lists")
     per = labelled.groupBy("token", "band", "component").agg(F.count("*").alias("c"))
-    largest = per.groupBy("token", "band").agg(F.max(F.struct("c", (-F.col("component")).alias("k")))["k"].alias("k"), F.count("*").alias("several")).filter("several > 1")
+    largest = per.groupBy("token", "band").agg(F.max(F.struct("c", (-F.col("component")).alias("k")))["k"].alias("k"), F.count("*").alias("several"), F.sum("c").alias("rows")).filter("several > 1")
     # lists with the same largest component are compared once, together
-    open_rows = labelled.join(largest, ["token", "band"]).select((-F.col("k")).alias("largest"), "band", "id", "component").distinct()
+    open_rows = spread_join(labelled, materialise(largest.drop("several"), "open-largest"), ["token", "band"], n="rows", by="id").select((-F.col("k")).alias("largest"), "band", "id", "component").distinct()
     open_rows = materialise(open_rows.withColumn("minor", F.col("component") != F.col("largest")), "open-lists")
     tokens = F.exp((F.col("band") + 1) * F.lit(step))  # no set of the band has more
-    blocks = open_rows.groupBy("largest", "band").agg(F.ceil(F.count("*") * tokens / BLOCK_TOKENS).alias("blocks"), F.ceil(F.count_if("minor") * tokens / MINOR_TOKENS).alias("minors"))
-    blocked = open_rows.join(blocks, ["largest", "band"])
+    blocks = open_rows.groupBy("largest", "band").agg(F.count("*").alias("rows"), F.ceil(F.count("*") * tokens / BLOCK_TOKENS).alias("blocks"), F.ceil(F.count_if("minor") * tokens / MINOR_TOKENS).alias("minors"))
+    blocked = spread_join(open_rows, materialise(blocks, "open-sizes"), ["largest", "band"], n="rows", by="id")
     h, upto = F.xxhash64("id"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     sides = [
         blocked.select("largest", "band", "id", "component", F.lit(False).alias("first"), F.pmod(h, F.col("blocks")).alias("x"), upto("minors").alias("y")),
@@ -356,18 +360,29 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sets = fetch(light, left.select("id").distinct(), width, num, den, classes, True)
     far = sets.join(if_small(left), "id").groupBy("unit", "part").applyInPandas(lambda block: verify(block, num, den), "a long, b long")
     linked = components(near.union(far))
+    discard(leaders, banded, passed, salts, members, near, found, labelled, open_rows, units, left)
 
-    component = F.when(F.col("n") > 0, F.coalesce("component", "head", "id")).otherwise(F.col("id"))
-    of_row = rows.join(groups, ["n", "f1", "f2"], "left").join(linked, F.col("head") == F.col("node"), "left")
-    return of_row.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    # by then one row for each set: the copies of a set are dealt out, and rows without a set need no join
+    of_set = materialise(groups.join(linked, F.col("head") == F.col("node"), "left").select("n", "f1", "f2", "copies", F.coalesce("component", "head").alias("component")), "set-components")
+    held = spread_join(rows.filter("n > 0"), of_set, ["n", "f1", "f2"], n="copies", by="id").select("id", "n", F.coalesce("component", "id").alias("component"))
+    of_row = held.union(rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+    return of_row.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is the smallest of its group of near copies; a repeated id stays once, rows with a NULL id all stay."""
+    """The rows whose id is the smallest of its group of near copies.
+
+    Of rows that repeat both id and text one stays, the least by a hash of all its columns; rows that repeat an id
+    with another text all stay or go together.  Rows with a NULL id, and rows without words, all stay.  An empty
+    table gives no rows; other columns may have any names and stay as they are.
+    """
     verdict = materialise(join_similar(docs, id_col=id_col, text_col=text_col, **options), "near-verdict")
-    gone = verdict.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = drop_rows(docs, gone, {id_col: F.col(id_col)})
-    repeated = verdict.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
-    return kept
+    kept = drop_rows(docs, verdict.filter(F.col("component_id") < F.col(id_col)).select(id_col), id_col)
+    repeated = materialise(verdict.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    plain, names = positional(kept)
+    several = plain.join(repeated.toDF("__id"), F.col(names[id_col]) == F.col("__id"), "left_semi")
+    first = F.row_number().over(W.partitionBy(names[id_col], names[text_col]).orderBy(F.xxhash64(*names.values())))
+    several = several.withColumn("__nth", first).filter("__nth = 1").drop("__nth").toDF(*kept.columns)
+    return drop_rows(kept, repeated, id_col).union(several)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_table
+from .common import materialise, small_table, spread_join
 from .components import components, find
 
 #: Sampled points that may become pivots, and points of a block.
@@ -200,8 +200,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     counts = found.filter(~F.col("forest")).groupBy("id").agg(F.sum("n").alias("n"))
     linked = components(found.filter("forest").select("id", "root"))
     of_point = points.join(counts, "id", "left").join(linked, F.col("id") == F.col("node"), "left")
-    of_point = of_point.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    known = rows.filter(good).join(of_point, "v").select("id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
+    of_point = of_point.select("v", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    known = spread_join(rows.filter(good), materialise(of_point, "point-verdicts"), ["v"], n="weight", by="id").select("id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     alone = rows.filter(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return known.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
