@@ -8,11 +8,11 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise
+from .common import discard, materialise, positional, spread_join
 from .kernels import BLANK, binaries, flat_bytes, hashed_words, slices, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -94,19 +94,23 @@ def hashed_lines(docs: DataFrame, *, text_col: str, host_col: str) -> DataFrame:
     return source.mapInArrow(scan, f"__host {source.schema.fields[0].dataType.simpleString()}, __content binary, __lines array<long>")
 
 
-def frequent_lines(docs: DataFrame, *, text_col: str, host_col: str, max_share: float, min_documents: int) -> DataFrame:
-    """(``__h``, ``__gone``): the hashed lines of each host that pass both limits, broadcast while they are few."""
+def host_key(host: Column) -> Column:
+    """A text for each host that also tells NULL from empty."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
+def frequent_lines(docs: DataFrame, *, text_col: str, host_col: str, max_share: float, min_documents: int) -> tuple[DataFrame, bool]:
+    """(``__host``, ``__gone``, ``__rows``): the hashed lines of each host that pass both limits and the host's rows; and whether they are few."""
     host = F.col("__host")
-    facts = materialise(hashed_lines(docs, text_col=text_col, host_col=host_col), "line-facts")
-    contents = facts.select(host, "__content").distinct().groupBy(host).agg(F.count("*").alias("__contents")).select(host.alias("__h"), "__contents")
+    facts = materialise(hashed_lines(docs, text_col=text_col, host_col=host_col).withColumn("__host", host_key(host)), "line-facts")
+    contents = facts.groupBy(host, "__content").agg(F.count("*").alias("n")).groupBy(host).agg(F.count("*").alias("contents"), F.sum("n").alias("__rows"))
     held = facts.select(host, "__content", F.explode("__lines").alias("line")).distinct().groupBy(host, "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > min_documents)
-    frequent = held.join(contents, host.eqNullSafe(F.col("__h"))).filter(F.col("documents") > F.col("__contents") * max_share)
-    frequent = materialise(frequent.select("__h", "line"), "frequent-lines")
-    few = frequent.count() <= BROADCAST_LINES
+    frequent = held.join(contents, "__host").filter(F.col("documents") > F.col("contents") * max_share)
+    frequent = materialise(frequent.select("__host", "line", "__rows"), "frequent-lines")
     # a host has at most 1 / max_share times the lines of its mean document
-    lists = frequent.groupBy("__h").agg(F.collect_list("line").alias("__gone"))
+    lists = frequent.groupBy("__host", "__rows").agg(F.collect_list("line").alias("__gone"))
     discard(facts)
-    return F.broadcast(lists) if few else lists
+    return lists, frequent.count() <= BROADCAST_LINES
 
 
 def clean(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -114,8 +118,13 @@ def clean(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
 
     Words are runs of anything but ASCII blanks; NULL text has none and stays NULL.
     """
-    gone = frequent_lines(docs, text_col=text_col, host_col=host_col, max_share=max_share, min_documents=min_documents)
-    source = docs.join(gone, F.col(host_col).eqNullSafe(F.col("__h")), "left").select(*docs.columns, "__gone")
+    lists, few = frequent_lines(docs, text_col=text_col, host_col=host_col, max_share=max_share, min_documents=min_documents)
+    named = docs.withColumn("__host", host_key(F.col(host_col)))
+    if few:
+        source = named.join(F.broadcast(lists), "__host", "left")
+    else:
+        source = spread_join(named, materialise(lists, "host-lines"), ["__host"], n="__rows", by=text_col, how="left")
+    source = source.select(*docs.columns, "__gone")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{x}", T.LongType()) for x in FIGURES)])
     at_text = docs.columns.index(text_col)
 
@@ -173,6 +182,11 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def keep_good(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that pass ``apply_rules``, their texts without frequent lines; other columns stay as they are."""
-    return judge(docs, **options).filter("__kept").select(*docs.columns)
+def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that pass ``apply_rules``, their texts without frequent lines; other columns stay as they are, whatever their names.
+
+    NULL and empty texts fail; an empty table gives no rows.
+    """
+    plain, names = positional(docs)
+    kept = judge(plain, text_col=names[text_col], host_col=names[host_col], **limits).filter("__kept")
+    return kept.select(*plain.columns).toDF(*docs.columns)

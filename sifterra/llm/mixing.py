@@ -48,7 +48,7 @@ def source_rates(sizes: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: str = "mix-1", cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """Input rows with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
+    """``row`` (a struct of the input's columns, whatever their names), ``size``, ``source_size``, ``target`` and ``copies``.
 
     A document is taken floor(rate) times plus once more when a number hashed
     from (seed, id) falls under the fraction, so reruns agree.  The size is the
@@ -57,26 +57,23 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     NULL text has size 0; NULL source is a source of its own, last in order; a
     NULL id hashes as the empty string; repeated rows get equal decisions; a
     source without words keeps each row once and takes no words; an empty
-    table gives no rows.  Only columns that begin with ``__`` are added.
+    table gives no rows.
     """
     rates = materialise(source_rates(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), cycle=cycle, most=most), "source-rates")
     few = rates.count() <= BROADCAST_SOURCES
-    rates = rates.select(F.col("source").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    same = F.col(source_col).eqNullSafe(F.col("__src"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col(f"row.{source_col}").eqNullSafe(F.col("source"))
     if few:
-        joined = docs.join(F.broadcast(rates), same)
+        joined = rows.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = docs.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, same & (F.col("__salt") == F.col("__salt2"))).drop("__salt", "__salt2")
-    whole = F.floor("__rate")
-    extra = chance(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col("__rate") - whole
-    return joined.withColumn("__size", word_count(F.col(text_col))).withColumn("__copies", (whole + extra.cast("int")).cast("int")).drop("__src", "__rate")
-
-
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus itself: every row as many times as it is taken."""
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return mixed.filter(F.col("__copies") > 0).select(*columns, times.alias("__copy")).drop("__copy")
+        salted = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = rows.withColumn("salt", F.pmod(F.xxhash64(f"row.{id_col}"), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, same & (F.col("salt") == F.col("salt2")))
+    whole = F.floor("rate")
+    extra = chance(seed, F.coalesce(F.col(f"row.{id_col}").cast("string"), F.lit(""))) < F.col("rate") - whole
+    return joined.select("row", word_count(F.col(f"row.{text_col}")).alias("size"), "source_size", "target", (whole + extra.cast("int")).cast("int").alias("copies"))
 
 
+def emit(mixed: DataFrame) -> DataFrame:
+    """The mixed corpus itself: every row of ``mix``'s input as many times as it is taken; no rows for none."""
+    return mixed.filter(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -129,7 +129,10 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, *, id_col
 
 
 def keep_scored(docs: DataFrame, model: FactorisationMachine | None, least: float, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``, in one narrow pass; columns stay as they are."""
+    """The rows of ``docs`` with a score of at least ``least``, in one narrow pass; columns stay as they are, whatever their names.
+
+    NULL texts are scored as empty ones; without a model, and of an empty table, every row stays.
+    """
     shared, known = docs.sparkSession.sparkContext.broadcast(model), Hashed(WORD_BINS)
     at, length = docs.columns.index(text_col), docs.columns.index(length_col)
 

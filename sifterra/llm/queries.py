@@ -69,9 +69,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs)
-    return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.round("__target", 6).alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").cast("long").alias("copies")
-    )
+    return mixed.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
 OP7_SQL = r"""
