@@ -1,10 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Lexicon voters hold words or word beginnings that training rows tie to one
-label; pattern voters look at a text's form.  A generative model estimates how
-often each voter says what under either label, and which voters repeat each
-other; its posterior labels then train a linear classifier over lexical units
-and votes, which scores texts.
+label; pattern voters look at a text's form.  Labels are used for nothing else:
+from the votes' majority on, a generative model estimates how often each voter
+says what under either label, and which voters repeat each other; its posterior
+labels then train a linear classifier over lexical units and votes, which
+scores texts.
 """
 
 from __future__ import annotations
@@ -58,31 +59,36 @@ class Units(dict):
 
 @dataclass
 class LabelModel:
-    """P(vote | label) per voter, each voter's weight after discounting those that repeat it, and the prior."""
+    """P(vote | label) per voter, the voters' correlation inside a label as far as it counts, and the prior."""
 
     prior: float
     given: np.ndarray  # voter, label, vote + 1
-    weight: np.ndarray
     correlation: np.ndarray
 
+    def weights(self, votes: np.ndarray) -> np.ndarray:
+        """Of each vote, by row: a voter shares its weight with those that speak along and repeat it."""
+        return 1.0 / (1.0 + (votes != 0) @ np.abs(self.correlation))
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.given)
-        gap = np.zeros(len(votes))
-        for j in range(votes.shape[1]):
-            said = (logs[j, 1] - logs[j, 0]) * [1, 0, 1]  # who abstains says nothing
-            gap += self.weight[j] * said[votes[:, j] + 1]
+        said = (logs[:, 1] - logs[:, 0]) * [1, 0, 1]  # who abstains says nothing
+        gap = (self.weights(votes) * said[np.arange(votes.shape[1])[None, :], votes + 1]).sum(axis=1)
         return sigmoid(gap + np.log(self.prior / (1 - self.prior)))
 
 
+def majority(votes: np.ndarray) -> np.ndarray:
+    """What most of those who vote say, softly; a row on which nobody votes is taken for clean, as most rows are. No label is looked at."""
+    return np.where(votes.sum(axis=1) > 0, 0.9, 0.1)
+
+
 def fit_label_model(votes: np.ndarray, start: np.ndarray, *, rounds: int = 12, linked: float = 0.15) -> LabelModel:
     """Expectation maximisation from the soft labels ``start``.
 
-    Between rounds the votes' correlation inside each label is measured; a voter that agrees with others
-    beyond what the label explains shares its weight with them.
+    Each round estimates how voters vote under either label and their correlation beyond what the label explains
+    (over ``linked``), and from both the next soft labels.
     """
     n, m = votes.shape
     q = start.astype(float)
-    weight, correlation = np.ones(m), np.zeros((m, m))
     model = None
     for _ in range(rounds):
         given = np.empty((m, 2, 3))
@@ -98,10 +104,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, *, rounds: int = 12, l
             scale = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
             joint += cov / scale[:, None] / scale[None, :] / 2
         np.fill_diagonal(joint, 0)
-        joint[-1] = joint[:, -1] = 0  # the last voter sums up others by its making and isn't discounted for that
-        correlation = joint
-        weight = 1.0 / (1.0 + np.where(np.abs(joint) > linked, np.abs(joint), 0).sum(axis=1))
-        model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), given, weight, correlation)
+        model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), given, np.where(np.abs(joint) > linked, joint, 0))
         after = model.posterior(votes)
         if np.abs(after - q).max() < 1e-4:
             break
@@ -129,7 +132,7 @@ class ToxicityModel:
         said = np.unique(said[said >= 0])
         out[said] = self.side[said]
         out[len(self.side) : -1] = np.where(form > self.limits, self.pattern_side, 0)
-        out[-1] = 1 if (out[: len(self.side)] > 0).any() else -1  # the toxic lexicons together
+        out[-1] = 0 if (out[: len(self.side)] > 0).any() else -1  # speaks when no toxic lexicon does
         return out
 
     def raw(self, numbers: np.ndarray, form: np.ndarray) -> float:
@@ -197,7 +200,7 @@ def fit(numbers: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, *, ste
     at, row = at[held], row[held]
     starts = np.searchsorted(row, np.arange(len(numbers) + 1))
     votes = np.array([model.votes(at[a:b], form) for a, b, form in zip(starts[:-1], starts[1:], forms, strict=True)])
-    model.label_model = fit_label_model(votes, np.where(labels == 1, 0.9, 0.1))
+    model.label_model = fit_label_model(votes, majority(votes[:, :n_lexicons]))
     soft = model.label_model.posterior(votes)
     # logistic regression on the posterior labels, classes at equal weight
     rows = Rows([], [])

@@ -1,7 +1,7 @@
 """Every operator against a plain version, and on odd rows: NULLs, empties, ties, repeats, clashing columns."""
 
-import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +13,7 @@ from sifterra.llm.common import held_out
 from sifterra.llm.queries import public_tokenizer
 
 #: Names that the operators use inside, as extra columns of the input.
-CLASHES = ["id", "n", "u", "v", "score", "size", "token", "group", "shard", "component_id", "row", "at", "text_key"]
+CLASHES = ["id", "n", "u", "v", "score", "size", "token", "group", "shard", "component_id", "row", "at", "text_key", "__size", "__target", "__copies", "__src", "__maybe", "__key_0", "__bad", "__task", "__tasks", "__host", "__gone", "__n_words", "__kept", "__id", "__nth", "__rank", "copies", "c0", "c1"]
 
 
 def table(spark, rows, extra=True):
@@ -242,7 +242,8 @@ def test_mixing(odd, none, spark):
     rows = [(i, prose(rng, rng.randint(1, 30)), rng.choice(["a", "b", "c", "tiny", None]) if i > 5 else "tiny") for i in range(3000)]
     rows += [(9000 + i, "w " * 40, "small") for i in range(4)]
     docs = table(spark, rows)
-    got = mixing.mix(docs).select("doc_id", "source", "__size", "__source_size", "__target", "__copies").collect()
+    flat = lambda mixed: mixed.select("row.doc_id", "row.source", *[F.col(c).alias(f"__{c}") for c in ("size", "source_size", "target", "copies")])
+    got = flat(mixing.mix(docs)).collect()
     sizes, taken, target = {}, {}, {}
     for r in got:
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["__size"]
@@ -264,18 +265,18 @@ def test_mixing(odd, none, spark):
         assert target[s] == pytest.approx(want)
         assert taken[s] == pytest.approx(want, rel=0.12)
     assert "small" in capped
-    again = {(r["doc_id"], r["__copies"]) for r in mixing.mix(docs.repartition(7)).collect()}
+    again = {(r["doc_id"], r["__copies"]) for r in flat(mixing.mix(docs.repartition(7))).collect()}
     assert again == {(r["doc_id"], r["__copies"]) for r in got}
-    out = mixing.emit(mixing.mix(docs), docs.columns)
+    out = mixing.emit(mixing.mix(docs))
     assert out.columns == docs.columns and out.count() == sum(r["__copies"] for r in got)
-    assert mixing.mix(odd).count() == 13 and mixing.mix(none).count() == 0 and mixing.emit(mixing.mix(none), none.columns).count() == 0
+    assert mixing.mix(odd).count() == 13 and mixing.mix(none).count() == 0 and mixing.emit(mixing.mix(none)).count() == 0
 
 
 def test_mixing_many_sources(spark, monkeypatch):
     docs = table(spark, [(i, "a b", f"s{i % 7}" if i % 5 else None) for i in range(200)])
-    few = {(r["doc_id"], r["__copies"]) for r in mixing.mix(docs).collect()}
+    few = {(r["row"]["doc_id"], r["copies"]) for r in mixing.mix(docs).collect()}
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert {(r["doc_id"], r["__copies"]) for r in mixing.mix(docs).collect()} == few
+    assert {(r["row"]["doc_id"], r["copies"]) for r in mixing.mix(docs).collect()} == few
 
 
 def check_shards(rows, n, texts):
@@ -315,7 +316,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizer()["tokenizer"])
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -347,32 +347,88 @@ def test_packing(odd, none, spark, window):
     assert packing.pack(none, **public_tokenizer()).count() == 0
 
 
-def test_fast_ids_equal_the_tokenizers():
-    made = packing.Tokens(**public_tokenizer())
-    for text in ["Hello  world\n\n x", "naïve ß 漢字 🙂", "<|endoftext|> y", "a" * 3000, "   \t ", "don't 123,456"]:
-        assert made.encode(text).tolist() == ids_of(text)[:-1]
+ODD_TEXTS = ["Hello  world\n\n x", "naïve ß 漢字 🙂", "<|endoftext|> y", "abc <|endoftext|> def", "a" * 3000, "   \t ", "don't 123,456", "", " x", "x  ", "　 y　 é à", " a\n b "]
+
+
+@pytest.mark.parametrize("piece", [3, 40, 1 << 22])
+def test_ids_of_long_texts_and_broken_bytes(monkeypatch, piece):
+    import pyarrow as pa
+
+    from sifterra.llm import bpe
+
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    made = packing.tokens(**public_tokenizer())
+    text = "; ".join(ODD_TEXTS[:2] + ODD_TEXTS[4:]) * 20
+    raw = b"good \xff\xfe bad  words " * 5
+    flat, at = made.encode_rows(pa.array([text.encode(), None, raw, b"end"], pa.binary()).view(pa.string()))
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of(x)[:-1] for x in (text, "", raw.decode("utf-8", "replace"), "end")]
+
+
+@pytest.mark.parametrize("fast", [True, False])
+def test_ids_equal_the_tokenizers(fast):
+    import pyarrow as pa
+
+    files = public_tokenizer()
+    made = packing.tokens(**files) if fast else packing.tokens(files["tokenizer"], None, None)
+    want = [ids_of(text)[:-1] for text in ODD_TEXTS]
+    for _ in range(2):  # the second time from the table of known parts
+        flat, at = made.encode_rows(pa.array([*ODD_TEXTS, None]))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [*want, []]
+    assert [made.encode(text).tolist() for text in ODD_TEXTS] == want
+    assert made.encode_literal("<|endoftext|>").tolist() == made.literal.encode("<|endoftext|>", add_special_tokens=False).ids != want[2][:1]
+
+
+def test_ids_of_random_texts():
+    import pyarrow as pa
+
+    rng, made = random.Random(1), packing.tokens(**public_tokenizer())
+    alphabet = [*"ab1 .,'\n\t é\u00a0\u3000漢😀\u2003\x1c\x85sd", "  ", " 's", "ll"]
+    for _ in range(1500):
+        column = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3)]
+        flat, at = made.encode_rows(pa.array(column))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [made.fast.encode_ordinary(x) for x in column]
+
+
+def bm25_shard(words):
+    pairs = [np.unique(w & np.uint64(0xFFFFFFFF), return_counts=True) for w in words]
+    return packing.Shard(np.concatenate([p[0] for p in pairs]).astype("<u4"), np.concatenate([p[1] for p in pairs]).astype("<u2"), np.array([len(p[0]) for p in pairs]))
 
 
 def test_packing_neighbours_share_words():
     groups = [[f"g{g}w{i}" for i in range(20)] for g in range(4)]
     words = [np.array([zlib.crc32(w.encode()) for w in random.Random(i).sample(groups[i % 4], 12)], np.uint64) for i in range(40)]
-    shard = packing.Shard(words)
+    shard = bm25_shard(words)
     shard.free[0] = False
     assert all(x % 4 == 0 for x in shard.neighbours(0))
 
 
-def test_packing_scores_every_shared_term():
+@pytest.mark.parametrize("dense", [10, 1000])
+def test_packing_scores_every_shared_term(monkeypatch, dense):
+    """All unused rows that share a term, in the order of brute-force BM25, by postings and by the dense table."""
+    monkeypatch.setattr(packing, "DENSE", dense)
     rng = random.Random(8)
-    words = [np.array(sorted({zlib.crc32(f"{i % 3}-{rng.randint(0, 300)}".encode()) for _ in range(150)} | {zlib.crc32(f"all{k}".encode()) for k in range(20)}), np.uint64) for i in range(90)]
-    shard, mean = packing.Shard(words), np.mean([len(w) for w in words])
-    df = {t: sum(t in w for w in map(set, words)) for t in {t for w in words for t in w.tolist()}}
+    words = [np.array([zlib.crc32(f"{i % 3}-{rng.randint(0, 300)}".encode()) for _ in range(150)] + [zlib.crc32(f"all{k}".encode()) for k in range(20)], np.uint64) for i in range(90)]
+    words[5] = np.array([zlib.crc32(b"lonely")], np.uint64)
+    shard, mean = bm25_shard(words), np.mean([len(w) for w in words])
+    count = [{t: w.tolist().count(t) for t in w.tolist()} for w in words]
+    df = {t: sum(t in c for c in count) for t in {t for c in count for t in c}}
     idf = {t: np.log1p((len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     shard.free[::4] = False
     for seed in range(0, 90, 4):
-        own = set(words[seed].tolist())
-        score = {i: sum(idf[t] for t in own.intersection(w.tolist())) * (packing.K1 + 1) / (1 + packing.K1 * (1 - packing.B + packing.B * len(w) / mean)) for i, w in enumerate(words) if i % 4}
-        best = sorted(score.values(), reverse=True)[: packing.NEIGHBOURS]
-        assert [score[i] for i in shard.neighbours(seed)] == pytest.approx(best)
+        score = {i: sum(idf[t] * c[t] * (packing.K1 + 1) / (c[t] + packing.K1 * (1 - packing.B + packing.B * len(words[i]) / mean)) for t in set(count[seed]).intersection(c)) for i, c in enumerate(count) if i % 4}
+        order = list(shard.neighbours(seed))
+        assert set(order) == {i for i, x in score.items() if x > 0} and 5 not in order
+        assert [score[i] for i in order] == pytest.approx(sorted((x for x in score.values() if x > 0), reverse=True), rel=1e-5)
+
+
+def test_packing_asks_the_seed_until_the_window_is_full():
+    rows = [[1, 2, 3], [9, 8, 7], [1, 5, 6], [2, 4, 5], [3, 9, 8], [20, 21, 22]]
+    shard = bm25_shard([np.array(x, np.uint64) for x in rows])
+    got = list(packing.fill(shard, [30] * 6, 0, 100))
+    first = [row for row, *_ in got[:4]]
+    # the window's first row leads to rows 2, 3 and 4 alone, though row 4 is nearer to row 1
+    assert first[0] == 0 and set(first[1:]) == {2, 3, 4} and [g[3] for g in got[:4]] == [True, False, False, False]
+    assert got[3][2] == 10 and got[4][:2] == (got[3][0], 10) and got[4][3]
 
 
 def test_packing_places_short_rests_by_the_whole_text(spark):
@@ -389,8 +445,10 @@ def test_packing_places_short_rests_by_the_whole_text(spark):
 
 
 def test_words_begin_at_blanks():
-    made = packing.Tokens(**public_tokenizer())
-    count = lambda text: len(made.words(made.encode(text)))
+    made = packing.tokens(**public_tokenizer())
+    plain = packing.tokens(public_tokenizer()["tokenizer"], None, None)
+    assert (made.begins == plain.begins).all()
+    count = lambda text: len(made.words(made.encode(text), np.zeros(1, np.int64))[0])
     assert (count(" time year people"), count("time\nyear, day"), count(" naïve 漢字 x")) == (3, 4, 3)
 
 
@@ -443,13 +501,26 @@ def test_chat_tree(spark):
 
 
 def test_chat_escapes():
-    for text in ["", "\\", "</turn>", "### ", "a: b", "\\\\<#", "x\n"]:
+    rng = random.Random(3)
+    for text in ["", "\\", "</turn>", "### ", "a: b", "\\\\<#", "x\n", "\\</turn>\n", *("".join(rng.choices(["\\", "#", "<", ":", " ", "</turn>\n", "### ", "a"], k=rng.randint(1, 12))) for _ in range(500))]:
         assert chat_tree.unescape(chat_tree.escape(text)) == text
         assert chat_tree.parse("".join(chat_tree.parts(text, text))) == [(text, text)]
     with pytest.raises(ValueError, match="not a turn"):
         chat_tree.parse("### user: a</turn>\nrest")
 
 
+def test_long_chat_turns():
+    """A turn of ten million characters is matched without a record of the way there."""
+    import tracemalloc
+
+    text = "ab\\# <: " * 1_250_000
+    made = "".join(chat_tree.parts("user", text))
+    tracemalloc.start()
+    assert chat_tree.parse(made) == [("user", text)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def labelled(spark, make, n=500):
     rng = random.Random(7)
     rows = [(i, make(rng, i % 2), "s") for i in range(n)]
@@ -467,7 +538,7 @@ def test_toxicity(odd, none, spark):
     model = toxicity.fit_toxicity(docs, labels, train)
     scored = toxicity.score_toxicity(docs, model).join(labels, "doc_id").filter(held_out(F.col("doc_id"), 3, 1)).collect()
     assert np.mean([(r["score"] >= 0.7) == (r["toxic"] == 1) for r in scored]) > 0.97
-    assert abs(model.label_model.correlation).max() > 0.15 and (model.label_model.weight <= 1).all()
+    assert abs(model.label_model.correlation).max() > 0.15
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(odd, model).collect()}
     assert len(got) == 12 and all(0 <= s <= 1 for s in got.values()) and got[3] == got[4]
     assert toxicity.score_toxicity(none, model).count() == 0
@@ -476,17 +547,53 @@ def test_toxicity(odd, none, spark):
 
 
 def test_label_model_finds_accuracies():
+    """Voters of known accuracy, two of them repeated: found without labels, and a repeated vote counts once."""
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 4000)
     votes = np.stack([np.where(rng.random(4000) < p, np.where(rng.random(4000) < a, 2 * y - 1, 1 - 2 * y), 0) for p, a in ((0.8, 0.95), (0.8, 0.9), (0.8, 0.8), (0.8, 0.7))], axis=1)
     votes = np.concatenate([votes, votes[:, 1:2], votes[:, :1]], axis=1)
-    model = toxicity.fit_label_model(votes, np.where(y == 1, 0.7, 0.3))
+    model = toxicity.fit_label_model(votes, toxicity.majority(votes))
     right = [model.given[j, 1, 2] / (model.given[j, 1, 2] + model.given[j, 1, 0]) for j in range(4)]
     assert np.allclose(right, [0.95, 0.9, 0.8, 0.7], atol=0.05)
-    assert model.correlation[1, 4] > 0.8 and model.weight[1] < 0.7 < model.weight[2]
+    assert model.correlation[1, 4] > 0.8 and abs(model.correlation[2, 3]) < 0.2
+    weight = model.weights(votes)
+    spoken = votes[:, 1] != 0
+    assert weight[spoken, 1].max() < 0.7 < weight[votes[:, 2] != 0, 2].min()
+    alone = model.weights(np.where(np.arange(6) == 1, votes, 0))
+    assert (alone[:, 1] == 1).all()
     assert ((model.posterior(votes) > 0.5) == (y == 1)).mean() > 0.92
 
 
+def test_toxicity_against_brute_force(spark):
+    """The query's scores are the linear classifier's, text by text, over units and votes."""
+    docs, labels = labelled(spark, lambda rng, y: prose(rng, rng.randint(1, 60)) + (" vile awful" if y else ""))
+    model = toxicity.fit_toxicity(docs, labels, train)
+    for r in toxicity.score_toxicity(docs, model).join(docs.select("doc_id", "text"), "doc_id").limit(60).collect():
+        words = {w.strip(".,").lower() for w in r["text"].split()}
+        units = {u for w in words for u in toxicity.Units()[w]}
+        at = [i for i, u in enumerate(model.units.tolist()) if u in units]
+        form = np.array(toxicity.structure(r["text"].encode(), r["text"].encode().split()))
+        lexicon = np.zeros(len(model.side), np.int64)
+        for i in at:
+            if model.voter[i] >= 0:
+                lexicon[model.voter[i]] = model.side[model.voter[i]]
+        votes = [*lexicon, *np.where(form > model.limits, model.pattern_side, 0), 0 if (lexicon > 0).any() else -1]
+        raw = model.bias + sum(model.weights[i] for i in at) + float(np.dot(model.vote_weights, votes))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
+def test_quality_against_brute_force(spark):
+    """The query's scores are the factorisation machine's, pair by pair."""
+    docs, labels = labelled(spark, lambda rng, y: prose(rng, rng.randint(1, 12)) + (" $$$ ###" if y else ""), n=200)
+    model = quality_fm.fit_quality(docs, labels, train)
+    known = quality_fm.Hashed(quality_fm.WORD_BINS)
+    for r in quality_fm.score_quality(docs, model).join(docs.select("doc_id", "text", "n_chars"), "doc_id").limit(15).collect():
+        numbers, values = quality_fm._row(r["text"].encode(), r["n_chars"], known)
+        raw = model.bias + sum(model.linear[n] * x for n, x in zip(numbers, values, strict=True))
+        raw += sum(model.factors[numbers[i]] @ model.factors[numbers[j]] * values[i] * values[j] for i in range(len(numbers)) for j in range(i))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
 def test_quality(odd, none, spark):
     docs, labels = labelled(spark, lambda rng, y: " ".join(w + "$$$" if rng.random() < 0.6 else w for w in prose(rng, 60).split()) if y else prose(rng, rng.randint(20, 80)))
     model = quality_fm.fit_quality(docs, labels, train)
@@ -530,8 +637,45 @@ def test_languages(odd, none, spark):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
-def test_ngrams_do_not_depend_on_pieces(monkeypatch):
-    text = " ".join("".join(random.Random(i).choices("abcé", k=6)) for i in range(500))
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 100])
+def test_ngrams_do_not_depend_on_pieces(monkeypatch, piece):
+    text = " ".join("".join(random.Random(i).choices("abcéΣ1", k=6)) for i in range(300)) + "  !"
     whole = langid.counts(text)
-    assert whole.sum() > 3 * 0.8 * len(text.replace(" ", ""))
-    assert hashlib.sha256(langid.counts(text).tobytes()).digest() == hashlib.sha256(whole.tobytes()).digest()
+    plain = re.sub("[^a-zà-ɏα-ω]+", " ", f" {text.lower()} ")
+    assert whole.sum() == sum(len(plain) - n + 1 for n in (1, 2, 3)) - 1  # the first gap is no n-gram
+    monkeypatch.setattr(langid, "PIECE", piece)
+    assert (langid.counts(text) == whole).all()
+    assert langid.has_letter("½a") and not langid.has_letter("½²Ⅷ 1_")
+
+
+def test_languages_against_brute_force(spark):
+    """The query's predictions are those of the nearest centroid, taken text by text."""
+    rng, rows = random.Random(15), []
+    letters = {"xx": "abcde", "yy": "defgh", "zz": "åöüßñ"}
+    for i in range(240):
+        name = list(letters)[i % 3]
+        rows.append((i, " ".join("".join(rng.choices(letters[name], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))), name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit_languages(docs, lambda c: ~held_out(c, 4, 2), per_language=64)
+    again = langid.fit_languages(docs.repartition(3), lambda c: ~held_out(c, 4, 2), per_language=64)
+    assert np.allclose(model.vectors, again.vectors) and model.languages == again.languages and set(model.languages) == set(letters)
+    for r in langid.identify(docs, model).collect():
+        v = np.log1p(langid.counts(rows[r["doc_id"]][1])) * model.idf
+        cosines = model.vectors @ (v / np.linalg.norm(v))
+        assert r["score"] == pytest.approx(cosines.max()) and model.languages[int(cosines.argmax())] == r["lang_pred"]
+
+
+def test_minor_clusters():
+    """A mislabelled cluster goes, a language's second script stays."""
+    at = lambda *x: np.array(x) / np.linalg.norm(x)
+    found = [("a", at(1, 0, 0), 0.95, 0.5), ("b", at(0, 1, 0), 0.92, 0.5), ("b", at(0.99, 0.1, 0), 0.05, 0.5), ("b", at(0, 0.1, 1), 0.03, 0.5)]
+    model = langid.settled(found, np.ones(3))
+    assert model.languages == ["a", "b", "b"] and model.vectors[:, 2].max() > 0.9 and (model.vectors[1:, 0] < 0.5).all()
+
+
+def test_language_samples(spark):
+    docs = spark.range(4000).select(F.col("id").alias("__id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("common").alias("__lang"))
+    sizes = {r["__name"]: r["count"] for r in langid.sampled(docs.repartition(7), 320).groupBy("__name").count().collect()}
+    assert sizes["common"] == 320 and 30 <= sizes["rare"] <= 40
+    pick = lambda df: {r["__id"] for r in langid.sampled(df, 320).collect()}
+    assert pick(docs.repartition(3)) == pick(docs)
