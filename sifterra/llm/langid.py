@@ -19,7 +19,7 @@ from .kernels import mix
 
 #: Most training documents of a language; they are the least hashes of each of ``SAMPLE_CLASSES`` hash classes.
 SAMPLE_PER_LANGUAGE = 1_500
-SAMPLE_CLASSES = 16
+SAMPLE_CLASSES = 64
 #: Hashed n-grams of one, two and three letters.
 BINS = 1 << 12
 SIZES = (1, 2, 3)
