@@ -11,12 +11,14 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,3 +225,47 @@ def global_prefix(df: DataFrame, order: list, value: str, name: str) -> DataFram
     start = small_table(spark, {"__part": pa.array([o[0] for o in offsets], pa.int32()), "__rows0": pa.array([o[1] for o in offsets], pa.int64()), "__sum0": pa.array([o[2] for o in offsets], pa.int64())})
     out = local.join(F.broadcast(start), "__part")
     return out.select(*df.columns, (F.col("__at") + F.col("__rows0")).alias("__row"), (F.col("__sum") + F.col("__sum0")).alias("__before"))
+
+
+def next_row(df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``df`` with the struct ``next``: the row that follows by descending integer ``key``, after the last one the first.
+
+    NULL keys come last, equal keys go by a hash of the row. The rows are dealt into ranges whose bounds, one small row
+    for each, meet on the driver; the first row of a range is also sent to the range before it, so no range looks
+    beyond itself and whole rows are shuffled once. ``then`` may add columns to the dealt rows, which ``next`` holds too.
+    """
+    spark, wanted = df.sparkSession, 4 * partitions(df.sparkSession)
+    placed = df.withColumn("__k", F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))).withColumn("__t", F.xxhash64(*df.columns))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    light = placed.select("__k", "__t").repartitionByRange(wanted, "__k", "__t").sortWithinPartitions("__k", "__t")
+    heads = light.mapInArrow(first, "__k long, __t long").toArrow()  # one row per range
+    ks, ts = (heads[c].to_numpy() for c in ("__k", "__t"))
+    order = np.lexsort((ts, ks))
+    ks, ts, n = ks[order], ts[order], len(ks)
+
+    @F.pandas_udf("long")
+    def place(k: pd.Series, t: pd.Series) -> pd.Series:
+        """Twice the row's range, plus one for a row at its very beginning."""
+        k, t = k.to_numpy(), t.to_numpy()
+        low, high = np.searchsorted(ks, k, "left"), np.searchsorted(ks, k, "right")
+        at = low.copy()
+        for a, b in set(zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)):
+            mine = (low == a) & (high == b)
+            at[mine] = a + np.searchsorted(ts[a:b], t[mine], "right")
+        at -= 1
+        return pd.Series(2 * at + ((ks[at] == k) & (ts[at] == t)))
+
+    dealt = placed.withColumn("__place", place("__k", "__t"))
+    rows = dealt.withColumn("__part", F.shiftright("__place", 1)).withColumn("__after", F.lit(False))
+    ahead = dealt.filter(F.col("__place") % 2 == 1).dropDuplicates(["__place"])
+    ahead = ahead.withColumn("__part", F.pmod(F.shiftright("__place", 1) - 1, F.lit(max(1, n)))).withColumn("__after", F.lit(True))
+    whole = then(rows.union(ahead).repartition("__part"))
+    columns = [c for c in whole.columns if c not in ("__k", "__t", "__place", "__part", "__after")]
+    follows = F.lead(F.struct(*columns)).over(W.partitionBy("__part").orderBy("__after", "__k", "__t"))
+    return whole.withColumn("next", follows).filter(~F.col("__after")).select(*columns, "next")

@@ -30,6 +30,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The multiplier's powers 0 to n - 1 modulo 2^64."""
+    return _powers(n)[0]
+
+
 def _byte_values(fold: bool) -> np.ndarray:
     values = mix(np.arange(1, 257, dtype=np.uint64), 5)
     if fold:

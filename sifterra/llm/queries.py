@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, jaccard_join, langid, line_rules, mixing, packing, quality_fm, sharding, toxicity, vector_dedup
-from .common import fold, held_out, small_table, table
+from . import chat_tree, fill_middle, jaccard_join, langid, line_rules, mixing, packing, periodic_runs, quality_fm, scaled_sketch, sharding, toxicity, vector_dedup
+from .common import WORD_PATTERN, fold, held_out, next_row, small_table, table, word_count
 
 
 def _trained_on(modulus: int, remainder: int):
@@ -165,5 +165,53 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(429496
     'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut, crc
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op9_chat_tree": op9_chat_tree, "op10_sharding": op10_sharding}
-ORACLES = {"op10_sharding": OP10_SQL, "op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which get a planted one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    sized = docs.withColumn("h", h).withColumn("n", F.when(F.col("h") % 10 == 0, word_count(F.col("text")).cast("int")))
+    g = F.floor(F.col("h") / 10)
+    drawn = sized.filter("n > 0").withColumn("a", F.pmod(g, F.col("n")).cast("int")).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    planted = drawn.select("doc_id", periodic_runs.repeat_tail(F.col("text"), F.col("n"), F.col("a"), F.col("p"), WORD_PATTERN).alias("text"))
+    rest = sized.filter("n IS NULL OR n = 0").select("doc_id", "text")
+    found = periodic_runs.find_runs(rest.union(planted))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"), chat_tree.digest(lines).alias("runs_sha256"), chat_tree.digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", chat_tree.digest(F.col("output")).alias("output_sha256"), chat_tree.digest(back).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+draws AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM docs),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, '<P>' || substring(text, 1, a) AS p, '<M>' || substring(text, a + 1, b - a) AS m, '<S>' || substring(text, b + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN s || p || m ELSE p || s || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = next_row(docs, "doc_id", lambda rows: rows.withColumn("fingerprint", scaled_sketch.fingerprint(F.col("text"))))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("next.text", F.lit(1), third))
+    both = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("following"))
+    both = both.withColumn("edited_fingerprint", scaled_sketch.fingerprint(F.col("edited")))
+    near = lambda other: scaled_sketch.likeness(F.col("fingerprint"), F.col(other))
+    return both.select("doc_id", "n_chars", chat_tree.digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("following").alias("near_next"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op9_chat_tree": op9_chat_tree, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_fill_middle": op12_fill_middle, "op13_scaled_sketch": op13_scaled_sketch}
+ORACLES = {"op12_fill_middle": OP12_SQL, "op10_sharding": OP10_SQL, "op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
