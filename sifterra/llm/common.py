@@ -11,7 +11,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -227,12 +227,12 @@ def global_prefix(df: DataFrame, order: list, value: str, name: str) -> DataFram
     return out.select(*df.columns, (F.col("__at") + F.col("__rows0")).alias("__row"), (F.col("__sum") + F.col("__sum0")).alias("__before"))
 
 
-def next_row(df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def next_row(df: DataFrame, key: str) -> DataFrame:
     """``df`` with the struct ``next``: the row that follows by descending integer ``key``, after the last one the first.
 
     NULL keys come last, equal keys go by a hash of the row. The rows are dealt into ranges whose bounds, one small row
     for each, meet on the driver; the first row of a range is also sent to the range before it, so no range looks
-    beyond itself and whole rows are shuffled once. ``then`` may add columns to the dealt rows, which ``next`` holds too.
+    beyond itself and whole rows are shuffled once, by the window.
     """
     spark, wanted = df.sparkSession, 4 * partitions(df.sparkSession)
     placed = df.withColumn("__k", F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))).withColumn("__t", F.xxhash64(*df.columns))
@@ -265,7 +265,5 @@ def next_row(df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] = l
     rows = dealt.withColumn("__part", F.shiftright("__place", 1)).withColumn("__after", F.lit(False))
     ahead = dealt.filter(F.col("__place") % 2 == 1).dropDuplicates(["__place"])
     ahead = ahead.withColumn("__part", F.pmod(F.shiftright("__place", 1) - 1, F.lit(max(1, n)))).withColumn("__after", F.lit(True))
-    whole = then(rows.union(ahead).repartition("__part"))
-    columns = [c for c in whole.columns if c not in ("__k", "__t", "__place", "__part", "__after")]
-    follows = F.lead(F.struct(*columns)).over(W.partitionBy("__part").orderBy("__after", "__k", "__t"))
-    return whole.withColumn("next", follows).filter(~F.col("__after")).select(*columns, "next")
+    follows = F.lead(F.struct(*df.columns)).over(W.partitionBy("__part").orderBy("__after", "__k", "__t"))
+    return rows.union(ahead).withColumn("next", follows).filter(~F.col("__after")).select(*df.columns, "next")

@@ -203,12 +203,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 
 def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = next_row(docs, "doc_id", lambda rows: rows.withColumn("fingerprint", scaled_sketch.fingerprint(F.col("text"))))
+    pairs = next_row(docs, "doc_id")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("next.text", F.lit(1), third))
-    both = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("following"))
-    both = both.withColumn("edited_fingerprint", scaled_sketch.fingerprint(F.col("edited")))
+    print_ = lambda c: scaled_sketch.fingerprint(F.col(c))
+    both = pairs.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.text").alias("other"))
+    both = both.select("*", print_("text").alias("fingerprint"), print_("edited").alias("edited_fingerprint"), print_("other").alias("following"))
     near = lambda other: scaled_sketch.likeness(F.col("fingerprint"), F.col(other))
     return both.select("doc_id", "n_chars", chat_tree.digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("following").alias("near_next"))
 
