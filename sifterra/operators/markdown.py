@@ -1,20 +1,27 @@
 """Markdown documents to sections, and sections to chunks.
 
-The line automaton becomes sets: fences are folded over the few fence lines of a
-document, headings become running windows, and chunk borders are columns of
-each line that depend on the start alone, so one fold picks those in use.
-Every step shuffles by the document or section, never by anything larger.
+A document is a row, and so are its sections and chunks: lines are arrays that
+never leave their row, so nothing is shuffled.  The walk from line to line that
+SQL has no words for sees only what it needs: for sections the few lines that
+look like fences or headings, for chunks the lengths of lines.  Documents kept
+as tables of lines, of any length, go through ``line_sections``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids, text
+from . import outline
 
 
 @dataclass(frozen=True)
@@ -36,27 +43,31 @@ class ChunkerConfig:
                 raise ValueError(message)
 
 
-def fences(lines: DataFrame, key: str) -> DataFrame:
-    """(key, ``fences``): code fences as [open, close] line positions, ``close`` NULL for one that never ends.
+#: Lines of a document that stay together where documents come as lines.
+BLOCK = 8192
 
-    Only fence lines are gathered. A fence ends with the same sign at least as often as it began.
-    """
-    mark = F.regexp_extract("line", text.FENCE, 1)
-    marked = lines.select(key, "pos", mark.alias("mark")).filter(F.col("mark") != "")
-    gathered = marked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.substring("mark", 1, 1).alias("sign"), F.length("mark").alias("n")))).alias("marks"))
-    start = F.struct(F.lit("").alias("sign"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("open"), F.array().cast("array<struct<open:int,close:int>>").alias("done"))
 
-    def step(state: Column, m: Column) -> Column:
-        opens, closes = state["sign"] == "", (state["sign"] == m["sign"]) & (m["n"] >= state["n"])
-        return F.struct(
-            F.when(opens, m["sign"]).when(closes, F.lit("")).otherwise(state["sign"]).alias("sign"),
-            F.when(opens, m["n"]).when(closes, F.lit(0)).otherwise(state["n"]).alias("n"),
-            F.when(opens, m["pos"]).when(closes, F.lit(None).cast("int")).otherwise(state["open"]).alias("open"),
-            F.when(~opens & closes, F.concat(state["done"], F.array(F.struct(state["open"].alias("open"), m["pos"].alias("close"))))).otherwise(state["done"]).alias("done"),
-        )
+def _structural(lines: Column) -> Column:
+    """(number, line) of the lines that may matter, as an array."""
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike(outline.STRUCTURAL), F.struct(i.alias("pos"), x.alias("line"))))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def _rows(cells: pd.Series) -> Iterator[list[tuple[int, str]]]:
+    for cell in cells:
+        yield [] if cell is None else [(x["pos"], x["line"]) for x in cell]
+
 
-    last = lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["open"].alias("open"), F.lit(None).cast("int").alias("close")))))
-    return gathered.select(key, F.aggregate("marks", start, step, last).alias("fences"))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])))
+def _headings(cells: pd.Series) -> pd.Series:
+    """Headings outside of fences with the titles above them, from ``_structural`` lines."""
+    found = [[{"pos": p, "path": [t for _, t in s.stack]} for p, event, s in outline.walk(outline.State(), rows) if event == "heading"] for rows in _rows(cells)]
+    return pd.Series(found, dtype=object)
+
+
+def _full(lines: Column) -> Column:
+    """For each line 1 if it isn't blank, else 0."""
+    return F.transform(lines, lambda x: (~text.is_blank(x)).cast("int"))
 
 
 def sections(documents: DataFrame) -> DataFrame:
@@ -65,80 +76,110 @@ def sections(documents: DataFrame) -> DataFrame:
     Headings begin in the first column and are not looked for inside fences. Text before the first heading is a
     section without a path. A section stays if it has a path or content.
     """
-    lines = documents.select("document_id", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
-    held = lines.join(fences(lines, "document_id"), "document_id", "left")
-    inside = F.coalesce(F.exists("fences", lambda f: (F.col("pos") > f["open"]) & (f["close"].isNull() | (F.col("pos") < f["close"]))), F.lit(False))
-    is_heading = F.col("line").rlike(text.HEADING) & ~inside
-    level = F.when(is_heading, F.length(F.regexp_extract("line", text.HEADING, 1)))
-    title = F.when(is_heading, text.strip(F.regexp_extract("line", text.HEADING, 2)))
-    marked = held.select("document_id", "pos", "line", level.alias("level"), title.alias("title"))
-    so_far = W.partitionBy("document_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = [F.last(F.when(F.col("level") == i, F.struct("pos", "title")), ignorenulls=True).over(so_far).alias(f"h{i}") for i in range(1, 7)]
-    ordinal = F.count("level").over(so_far).cast("int").alias("section_ordinal")
-    placed = marked.select("document_id", "pos", "line", "level", ordinal, *last)
-    # a heading is on the stack unless one of its level or above came later
-    shown = [F.when(F.col(f"h{i}").isNotNull() & (F.col(f"h{i}")["pos"] >= F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{j}")["pos"], F.lit(-1)) for j in range(1, i + 1)])), F.col(f"h{i}")["title"]) for i in range(1, 7)]
-    body, full = F.col("level").isNull(), ~text.is_blank(F.col("line"))
-    grouped = placed.groupBy("document_id", "section_ordinal").agg(
-        F.min("pos").alias("first"),
-        F.min_by(F.array_compact(F.array(*shown)), "pos").alias("section_path"),
-        F.min(F.when(body & full, F.col("pos"))).alias("from"),
-        F.max(F.when(body & full, F.col("pos"))).alias("to"),
-        F.sort_array(F.collect_list(F.when(body, F.struct("pos", "line")))).alias("lines"),
-    )
-    kept = F.filter("lines", lambda x: (x["pos"] >= F.col("from")) & (x["pos"] <= F.col("to")))
-    out = grouped.select(
-        "document_id", "section_ordinal", "section_path",
-        F.when(F.col("from").isNull(), "").otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("content"),
-        (F.col("first") + 1).alias("start_line"), (F.col("from") + 1).alias("content_start_line"),
-        F.coalesce(F.col("to") + 1, F.col("first") + 1).alias("end_line"),
+    lines = documents.filter("content IS NOT NULL").select("document_id", text.split_lines(F.col("content")).alias("lines"))
+    headed = lines.select("document_id", "lines", _headings(_structural(F.col("lines"))).alias("headings"))
+    first = F.array(F.struct(F.lit(-1).alias("pos"), F.array().cast("array<string>").alias("path")))
+    headed = headed.select("document_id", "lines", F.concat(first, "headings").alias("headings"))
+
+    def cut(h: Column, i: Column) -> Column:
+        upto = F.coalesce(F.try_element_at("headings", i + 2)["pos"], F.size("lines"))
+        body = F.slice("lines", h["pos"] + 2, upto - h["pos"] - 1)
+        return F.struct(i.alias("section_ordinal"), h["path"].alias("section_path"), h["pos"].alias("first"), body.alias("body"), _full(body).alias("full"))
+
+    return _trimmed(headed.select("document_id", F.inline(F.transform("headings", cut))))
+
+
+def _trimmed(parts: DataFrame) -> DataFrame:
+    """Sections of (document_id, section_ordinal, section_path, ``first``: line of the heading, ``body``, ``full``)."""
+    lead, trail = F.array_position("full", 1) - 1, F.array_position(F.reverse("full"), 1) - 1
+    start = F.when(F.array_contains("full", 1), F.col("first") + 2 + lead)
+    kept = F.size("body") - lead - trail
+    out = parts.select(
+        "document_id", "section_ordinal", "section_path", F.when(start.isNull(), "").otherwise(F.array_join(F.slice("body", lead.cast("int") + 1, F.greatest(kept, F.lit(0)).cast("int")), "\n")).alias("content"),
+        F.greatest(F.col("first") + 1, F.lit(1)).alias("start_line"), start.cast("int").alias("content_start_line"), F.coalesce(start + kept - 1, F.col("first") + 1).cast("int").alias("end_line"),
     )
     return out.filter((F.size("section_path") > 0) | (F.col("content") != ""))
 
 
-def chunk_spans(sections: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
-    """(section key, ``ordinal``, ``content``, ``start_line``, ``end_line``): chunks of each section, untitled and unnumbered.
+def line_sections(lines: DataFrame) -> DataFrame:
+    """``sections`` of documents that come as lines (document_id, ``pos`` from 0, ``line``), of any length and in any order.
+
+    Lines are dealt to blocks of ``BLOCK``; the headings that ``outline`` finds, and one entry for each block that a
+    section runs into, join them there, so a task holds no more than a block and, at the end, one section's text.
+    """
+    lines = lines.select("document_id", F.col("pos").cast("int").alias("pos"), "line")
+    heads = outline.outline(lines, "document_id").filter("event = 'heading'").select("document_id", F.col("pos").cast("int").alias("pos"), "ordinal", "path")
+    sizes = lines.groupBy("document_id").agg(F.max("pos").alias("last"))
+    upto = F.coalesce(F.lead("pos").over(W.partitionBy("document_id").orderBy("pos")) - 1, F.col("last"))
+    reach = heads.join(sizes, "document_id").select("document_id", "pos", "ordinal", "path", upto.alias("upto"))
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    entry = F.struct("ordinal", "path", F.col("pos").alias("first"))
+    starts = reach.select("document_id", F.explode(F.sequence(block("pos"), block("upto"))).alias("block"), "pos", entry.alias("head"))
+    starts = starts.select("document_id", "block", F.greatest("pos", F.col("block") * BLOCK - 1).alias("pos"), F.lit(None).cast("string").alias("line"), "head")
+    plain = lines.select("document_id", block("pos").alias("block"), "pos", "line", F.lit(None).cast(starts.schema["head"].dataType).alias("head"))
+    before = W.partitionBy("document_id", "block").orderBy("pos", F.col("line").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = plain.union(starts).withColumn("head", F.last("head", ignorenulls=True).over(before)).filter(F.col("line").isNotNull() & (F.col("head").isNull() | (F.col("pos") > F.col("head.first"))))
+    none = F.struct(F.lit(0).alias("ordinal"), F.array().cast("array<string>").alias("path"), F.lit(-1).alias("first"))
+    gathered = placed.withColumn("head", F.coalesce("head", none)).groupBy("document_id", F.col("head.ordinal").alias("section_ordinal")).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("body"))
+    every = heads.select("document_id", F.col("ordinal").alias("section_ordinal"), "path", F.col("pos").alias("first"))
+    whole = every.join(gathered, ["document_id", "section_ordinal"], "full")
+    body = F.transform(F.coalesce("body", F.array().cast(gathered.schema["body"].dataType)), lambda x: x["line"])
+    parts = whole.select("document_id", "section_ordinal", F.coalesce("path", none["path"]).alias("section_path"), F.coalesce("first", F.lit(-1)).alias("first"), body.alias("body"))
+    return _trimmed(parts.withColumn("full", _full(F.col("body"))))
+
+
+def spans_of(sizes: np.ndarray, rows: list[tuple[int, str]], config: ChunkerConfig) -> list[tuple[int, int]]:
+    """[from, to) line ranges of a section's chunks, from the lengths of its lines and the lines that may be fences.
+
+    Visits the chunks, not the lines: where a chunk must end is looked up in the running sums of lengths.
+    """
+    opens, closes, total = [], [], len(sizes)
+    for pos, event, state in outline.walk(outline.State(), rows):
+        if event == "open":
+            opens.append(pos)
+            closes.append(total)
+        elif event == "close":
+            closes[-1] = pos
+    sums = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out, start = [], 0
+    while start < total:
+        fit = int(np.searchsorted(sums, sums[start] + config.max_chars + 1, side="right")) - 1
+        end = min(max(start + 1, min(fit, start + config.max_lines)), total)
+        at = bisect_left(opens, end) - 1
+        if end < total and at >= 0 and end <= closes[at]:
+            end = min(closes[at] + 1, total)
+        out.append((start, end))
+        if end >= total:
+            break
+        back = end - config.overlap_lines
+        at = bisect_right(opens, back) - 1
+        if at >= 0 and back <= closes[at] < total:
+            back = opens[at] if closes[at] - opens[at] + 1 <= config.max_fence_overlap_lines else closes[at] + 1
+        start = back if back > start else end
+    return out
+
+
+def chunk_spans(sections: DataFrame, config: ChunkerConfig = ChunkerConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """(section key, ``ordinal``, ``content``, ``start_line``, ``end_line``, ``keep``): chunks of each section, untitled and unnumbered.
 
     ``sections`` needs ``section_key``, ``content`` and ``content_start_line``.
     """
-    lines = sections.select("section_key", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
-    lines = lines.join(fences(lines, "section_key"), "section_key", "left").select("section_key", "pos", F.length("line").alias("n"), "fences")
-    by = W.partitionBy("section_key").orderBy("pos")
-    whole = W.partitionBy("section_key")
-    lines = lines.select("section_key", "pos", "fences", F.sum(F.col("n") + 1).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("sum"), F.count("*").over(whole).cast("int").alias("total"), "n")
-    # how many of the next lines still fit: sums only grow, so those that fit come first
-    nexts = F.collect_list("sum").over(by.rowsBetween(1, config.max_lines - 1)) if config.max_lines > 1 else F.array().cast("array<bigint>")
-    lines = lines.select("section_key", "pos", "fences", "total", (F.col("sum") - F.col("n") - 1).alias("before"), nexts.alias("nexts"))
-    fit = F.size(F.filter("nexts", lambda s: s - F.col("before") - 1 <= config.max_chars))
-    lines = lines.select("section_key", "pos", "fences", "total", (F.col("pos") + 1 + fit).alias("limit"))
-    around = F.try_element_at(F.filter(F.coalesce("fences", F.array().cast("array<struct<open:int,close:int>>")), lambda f: (f["open"] < F.col("limit")) & (f["close"].isNull() | (F.col("limit") <= f["close"]))), F.lit(1))
-    lines = lines.withColumn("around", F.when(F.col("limit") < F.col("total"), around))
-    end = F.when(F.col("around").isNull(), F.least("limit", "total")).otherwise(F.coalesce(F.col("around")["close"] + 1, F.col("total")))
-    lines = lines.select("section_key", "pos", "fences", "total", end.alias("end"))
-    back = F.col("end") - config.overlap_lines
-    closed = F.try_element_at(F.filter(F.coalesce("fences", F.array().cast("array<struct<open:int,close:int>>")), lambda f: f["close"].isNotNull() & (f["open"] <= back) & (back <= f["close"])), F.lit(1))
-    lines = lines.withColumn("closed", closed)
-    short = F.col("closed")["close"] - F.col("closed")["open"] + 1 <= config.max_fence_overlap_lines
-    start = F.when(F.col("closed").isNull(), back).when(short, F.col("closed")["open"]).otherwise(F.col("closed")["close"] + 1)
-    lines = lines.select("section_key", "pos", "total", "end", F.when(start > F.col("pos"), start).otherwise(F.col("end")).alias("next"))
-    steps = lines.groupBy("section_key").agg(F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("pos", "end", "next"))).alias("steps"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("spans"))
-
-    def walk(state: Column, s: Column) -> Column:
-        hit = state["at"] == s["pos"]
-        return F.struct(
-            F.when(hit, F.when(s["end"] >= F.col("total"), -1).otherwise(s["next"])).otherwise(state["at"]).alias("at"),
-            F.when(hit, F.concat(state["spans"], F.array(F.struct(s["pos"].alias("from"), s["end"].alias("to"))))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    spans = steps.select("section_key", F.posexplode(F.aggregate("steps", begin, walk, lambda s: s["spans"])).alias("ordinal", "span"))
-    cut = sections.select("section_key", "content_start_line", text.split_lines(F.col("content")).alias("all")).join(spans, "section_key")
-    cut = cut.select("section_key", "ordinal", "content_start_line", F.col("span.from").alias("from"), F.slice("all", F.col("span.from") + 1, F.col("span.to") - F.col("span.from")).alias("lines"))
-    cut = cut.withColumn("full", F.transform("lines", lambda x: (~text.is_blank(x)).cast("int"))).filter(F.array_contains("full", 1))
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])))
+    def spans(sizes: pd.Series, marked: pd.Series) -> pd.Series:
+        cut = [spans_of(np.asarray(n, np.int64), rows, config) for n, rows in zip(sizes, _rows(marked), strict=True)]
+        return pd.Series([[{"from": a, "to": b} for a, b in x] for x in cut], dtype=object)
+
+    lines = sections.select("section_key", "content_start_line", *keep, text.split_lines(F.col("content")).alias("all"))
+    fences = F.filter(_structural(F.col("all")), lambda x: x["line"].rlike(text.FENCE))
+    lines = lines.withColumn("spans", spans(F.transform("all", F.length), fences))
+    part = lambda s, i: F.struct(i.alias("ordinal"), s["from"].alias("from"), F.slice("all", s["from"] + 1, s["to"] - s["from"]).alias("lines"))
+    cut = lines.select("section_key", "content_start_line", *keep, F.inline(F.transform("spans", part)))
+    cut = cut.withColumn("full", _full(F.col("lines"))).filter(F.array_contains("full", 1))
     lead, trail = F.array_position("full", 1) - 1, F.array_position(F.reverse("full"), 1) - 1
     first = F.col("content_start_line") + F.col("from") + F.col("lead")
     cut = cut.withColumn("lead", lead.cast("int")).withColumn("kept", F.size("lines") - F.col("lead") - trail.cast("int"))
-    return cut.select("section_key", "ordinal", F.array_join(F.slice("lines", F.col("lead") + 1, F.col("kept")), "\n").alias("content"), first.cast("int").alias("start_line"), (first + F.col("kept") - 1).cast("int").alias("end_line"))
+    return cut.select("section_key", "ordinal", F.array_join(F.slice("lines", F.col("lead") + 1, F.col("kept")), "\n").alias("content"), first.cast("int").alias("start_line"), (first + F.col("kept") - 1).cast("int").alias("end_line"), *keep)
 
 
 def chunks(documents: DataFrame, sections: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
@@ -147,12 +188,13 @@ def chunks(documents: DataFrame, sections: DataFrame, config: ChunkerConfig = Ch
     keyed = sections.withColumn("section_key", F.struct("document_id", "section_ordinal"))
     wrong = F.raise_error(F.lit("Non-empty section must have content_start_line")).cast("int")
     full = keyed.filter(~text.is_blank(F.col("content"))).withColumn("content_start_line", F.coalesce("content_start_line", wrong))
-    spans = chunk_spans(full, config).filter(~text.is_separator_only(F.col("content")))
-    whole = spans.join(full.select("section_key", "section_path"), "section_key").join(known, F.col("section_key.document_id") == known["document_id"], "left")
+    spans = chunk_spans(full, config, ["section_path"]).filter(~text.is_separator_only(F.col("content")))
+    whole = spans.select("*", F.col("section_key.document_id").alias("key"), F.col("section_key.section_ordinal").alias("section_ordinal"))
+    whole = whole.join(known, F.col("key") == known["document_id"], "left")
     missing = F.raise_error(F.lit("Section document_id does not match Document document_id")).cast("string")
     whole = whole.withColumn("relative_path", F.when(F.col("document_id").isNull(), missing).otherwise(F.col("relative_path")))
-    per_section = W.partitionBy("section_key").orderBy("ordinal")
-    per_document = W.partitionBy("document_id").orderBy(F.col("section_key.section_ordinal"), "ordinal")
+    per_section = W.partitionBy("key", "section_ordinal").orderBy("ordinal")
+    per_document = W.partitionBy("key").orderBy("section_ordinal", "ordinal")
     numbered = whole.select("*", (F.row_number().over(per_section) - 1).alias("section_chunk_index"), (F.row_number().over(per_document) - 1).alias("chunk_index"))
     path, content = F.col("section_path"), F.col("content")
     return numbered.select(

@@ -8,10 +8,12 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from .scratch import materialise
 
 
 def _object(value: object, what: str = "JSON value") -> dict:
@@ -70,39 +72,88 @@ def evaluation_record(value: object) -> dict:
     return {"query_id": _string(record, "query_id"), "query": _string(record, "query"), "relevant_chunk_ids": judged, "retrieved_chunks": [found(x) for x in retrieved], "first_relevant_rank": first} | numbers
 
 
+#: Splits of files up to which their numbers of lines are broadcast; beyond, both sides are shuffled.
+BROADCAST_SPLITS = 100_000
+
+
+def split_lines(spark: SparkSession, path: str, decode: Callable[[Iterator[str]], Iterator[tuple]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, splits) of a text file or a folder of them.
+
+    ``decode`` makes one tuple of ``schema`` of each line. ``rows`` has them with ``split`` (file, first byte) and ``at``,
+    the line's place in its split; a task reads many splits, and the engine deals them in any order, so only what a
+    split says of itself is used. ``splits`` has ``split``, its ``lines`` and ``before``: the lines of all splits before it,
+    by part number where files are named by it, by name and by first byte. Lines are read and decoded once, into a
+    table in the shared folder.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at = None, 0
+        for batch in batches:
+            places = []
+            for split in zip(batch["file_path"].tolist(), batch["file_block_start"].tolist(), strict=True):
+                now, at = split, at + 1 if split == now else 0
+                places.append(at)
+            columns = zip(*decode(iter(batch["value"].tolist())), strict=True) if len(batch) else [()] * len(schema)
+            made = {f.name: pd.Series(list(c), dtype=object) for f, c in zip(schema, columns, strict=True)}
+            yield pd.DataFrame({"file": batch["file_path"], "byte": batch["file_block_start"], "at": pd.Series(places, dtype="int64")} | made)
+
+    kind = T._parse_datatype_string("file string, byte long, at long")
+    rows = materialise(lines.mapInPandas(number, T.StructType([*kind, *schema])), "lines")
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    order = W.orderBy(F.regexp_extract("file", "^(.*)/", 1), part.asc_nulls_last(), "file", "byte")
+    # one row for each split
+    splits = rows.groupBy("file", "byte").agg(F.count("*").alias("lines")).withColumn("before", F.sum("lines").over(order) - F.col("lines"))
+    return rows, splits
+
+
+def line_numbers(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """``rows`` with ``number``: the line's place among all lines, from 0."""
+    splits = materialise(splits.select("file", "byte", "before"), "splits")
+    small = splits.count() <= BROADCAST_SPLITS
+    return rows.join(F.broadcast(splits) if small else splits, ["file", "byte"]).withColumn("number", F.col("before") + F.col("at")).drop("file", "byte", "before", "at")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(``number``, ``line``) of a text file or a folder of them, numbered from 0 in order of files and bytes."""
+    return line_numbers(*split_lines(spark, path, lambda lines: ((x,) for x in lines), T._parse_datatype_string("line string")))
+
+
 def read_jsonl(spark: SparkSession, path: str, record: Callable[[object], dict], schema: str, what: str, pos: str = "pos") -> DataFrame:
-    """Checked records of a JSONL file with their order in ``pos`` (ascending, not dense). Blank lines are skipped.
+    """Checked records of a JSONL file, or of a folder of them, with the number of their line (from 0) in ``pos``. Blank lines are skipped.
 
-    The first bad line, in file order, raises ValueError with its number. The check is a pass of its own, so a
-    result is all good or nothing.
+    The first bad line, in order of files and lines, raises ValueError with its number (from 1), so a result is all good
+    or nothing. Each line is decoded once, by the pass that finds its errors.
     """
     kind = T._parse_datatype_string(schema)
     names = [f.name for f in kind.fields]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for at, line in zip(batch["pos"], batch["value"], strict=True):
-                if not line.strip():
-                    continue
-                try:
-                    value = json.loads(line)
-                except ValueError:
-                    rows.append({"pos": at, "error": "Invalid JSONL at line {}"})
-                    continue
-                try:
-                    rows.append({"pos": at, "error": None} | record(value))
-                except (TypeError, ValueError, KeyError) as error:
-                    rows.append({"pos": at, "error": f"Invalid {what} at line {{}}: {error}"})
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="int64" if c == "pos" else object) for c in ("pos", "error", *names)})
-
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
-    parsed = lines.mapInPandas(decode, T.StructType([T.StructField("pos", T.LongType()), T.StructField("error", T.StringType()), *kind.fields]))
-    bad = parsed.filter(F.col("error").isNotNull()).orderBy("pos").select("pos", "error").limit(1).collect()
-    if bad:
-        number = lines.filter(F.col("pos") <= bad[0]["pos"]).count()
-        raise ValueError(bad[0]["error"].format(number))
-    return parsed.select(F.col("pos").alias(pos), *names)
+    empty = (None,) * len(names)
+
+    def decode(lines: Iterator[str]) -> Iterator[tuple]:
+        """(blank, error, fields)"""
+        for line in lines:
+            if not line.strip():
+                yield (True, None, *empty)
+                continue
+            try:
+                value = json.loads(line)
+            except ValueError:
+                yield (False, "Invalid JSONL at line {}", *empty)
+                continue
+            try:
+                made = record(value)
+            except (TypeError, ValueError, KeyError) as error:
+                yield (False, f"Invalid {what} at line {{}}: {error}", *empty)
+            else:
+                yield (False, None, *(made[n] for n in names))
+
+    flags = [T.StructField("blank", T.BooleanType()), T.StructField("error", T.StringType())]
+    rows, splits = split_lines(spark, path, decode, T.StructType([*flags, *kind]))
+    placed = line_numbers(rows, splits)
+    bad = placed.filter("error IS NOT NULL").agg(F.min_by("error", "number").alias("error"), F.min("number").alias("number")).first()
+    if bad["error"] is not None:
+        raise ValueError(bad["error"].replace("{}", str(bad["number"] + 1), 1))
+    return placed.filter("NOT blank").select(F.col("number").alias(pos), *names)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def as_rows(frame: pd.DataFrame) -> list:
-    tidy = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    tidy = lambda v: None if not isinstance(v, list) and pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
     return sorted((tuple(map(tidy, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
 
