@@ -265,5 +265,7 @@ def next_row(df: DataFrame, key: str) -> DataFrame:
     rows = dealt.withColumn("__part", F.shiftright("__place", 1)).withColumn("__after", F.lit(False))
     ahead = dealt.filter(F.col("__place") % 2 == 1).dropDuplicates(["__place"])
     ahead = ahead.withColumn("__part", F.pmod(F.shiftright("__place", 1) - 1, F.lit(max(1, n)))).withColumn("__after", F.lit(True))
-    follows = F.lead(F.struct(*df.columns)).over(W.partitionBy("__part").orderBy("__after", "__k", "__t"))
-    return rows.union(ahead).withColumn("next", follows).filter(~F.col("__after")).select(*df.columns, "next")
+    # each column by itself: a struct of them would be made before the shuffle and travel beside them
+    beside = W.partitionBy("__part").orderBy("__after", "__k", "__t")
+    led = rows.union(ahead).withColumns({f"__next{i}": F.lead(c).over(beside) for i, c in enumerate(df.columns)}).filter(~F.col("__after"))
+    return led.select(*df.columns, F.struct(*[F.col(f"__next{i}").alias(c) for i, c in enumerate(df.columns)]).alias("next"))
