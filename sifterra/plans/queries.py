@@ -228,14 +228,13 @@ def documents_hashed(spark, sf_dir):
     return _talks(spark, sf_dir).select("document_id", "relative_path", "content_hash")
 
 
-def _section_rows(documents):
-    made = markdown.sections(documents)
+def _section_rows(made):
     long = lambda c: F.col(c).cast("long").alias(c)
     return made.select("document_id", long("section_ordinal"), F.array_join("section_path", " > ").alias("path"), "content", long("start_line"), F.coalesce("content_start_line", F.lit(0)).cast("long").alias("content_start_line"), long("end_line"))
 
 
 def sections(spark, sf_dir):
-    return _section_rows(_talks(spark, sf_dir))
+    return _section_rows(markdown.sections(_talks(spark, sf_dir)))
 
 
 def _talk_chunks(spark, sf_dir):
@@ -303,7 +302,43 @@ def _fenced_talks(spark, sf_dir):
 
 def sections_fenced(spark, sf_dir):
     """Sections of talks with fences: what looks like a heading inside a fence is text."""
-    return _section_rows(_fenced_talks(spark, sf_dir))
+    return _section_rows(markdown.sections(_fenced_talks(spark, sf_dir)))
+
+
+def sections_lines(spark, sf_dir):
+    """The same documents as a table of lines, through the path for documents of any length."""
+    talks = _fenced_talks(spark, sf_dir)
+    lines = talks.select("document_id", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
+    return _section_rows(markdown.line_sections(lines))
+
+
+#: At most 4 lines and 300 characters, 2 lines of overlap, none with fences of more than 3 lines.
+FENCED = markdown.ChunkerConfig(4, 300, 2, 3)
+
+
+def chunk_fenced(spark, sf_dir):
+    """Talks whose even turns stand in fences, as one section each; every fifth talk leaves its last fence open."""
+    rows = _table(spark, sf_dir, "conversations").withColumn("last", F.max("turn").over(W.partitionBy("conv_id")))
+    fence = F.when(F.col("turn") % 4 == 0, "```").otherwise("~~~~")
+    end = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= F.col("last") - 1), "").otherwise(F.concat(fence, F.lit("\n")))
+    # a line of the turn for each of its sentences, so that fences are short and long
+    words = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))
+    body = F.when(F.col("turn") % 2 == 0, F.concat(fence, F.lit("md\n"), words, F.lit("\n"), end)).otherwise(F.concat(words, F.lit("\n")))
+    talks = _as_documents(rows.select("conv_id", "turn", body.alias("part"))).withColumn("conv_id", F.regexp_extract("relative_path", r"(-?\d+)\.md", 1).cast("long"))
+    made = markdown.chunk_spans(talks.select(F.col("conv_id").alias("section_key"), "content", F.lit(1).alias("content_start_line")), FENCED)
+    return made.select(F.col("section_key").alias("conv_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
+def jsonl_positions(spark, sf_dir):
+    """Documents in order of id as lines of 12 files that grow and of 12 that shrink: the number of each one's line."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), F.array().cast("array<string>").alias("relevant_chunks"), F.lit("").alias("notes"), "doc_id")
+    last, found = F.lit(docs.agg(F.max("doc_id")).first()[0]), []
+    for name, at in (("rising", F.col("doc_id")), ("falling", last - F.col("doc_id"))):
+        file = F.floor(12 * F.sqrt(at / last)) * (1 if name == "rising" else -1)
+        path = scratch(spark, name)
+        jsonl.as_json(docs.withColumn("file", file).repartitionByRange(12, "file").sortWithinPartitions("file", "doc_id").drop("file", "doc_id")).write.text(path)
+        found.append(jsonl.read_golden(spark, path).select(F.lit(name).alias("files"), F.col("query_id").cast("long").alias("doc_id"), F.col("query_pos").alias("line"), F.md5(F.col("query").cast("binary")).alias("md5")))
+    return found[0].union(found[1])
 
 
 _TOKENS = r"regexp_extract_all(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*')"
@@ -365,6 +400,24 @@ spans AS (WITH RECURSIVE walk(k, a, e, total, ordinal) AS (SELECT k, no, e, tota
 trimmed AS (SELECT s.k, s.ordinal, min(no) AS a, max(no) AS b FROM spans s JOIN base l ON l.k = s.k AND l.no >= s.a AND l.no < s.e AND trim(l.line, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1, 2)"""
 
 
+_FENCED_TALKS = """parts AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '```' ELSE '~~~~' END AS f, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS w, conv_id % 5 = 0 AND turn >= max(turn) OVER (PARTITION BY conv_id) - 1 AS open FROM conversations),
+talks AS (SELECT conv_id, '# talk ' || conv_id || chr(10) || string_agg(CASE WHEN turn % 2 = 0 THEN f || 'md' || chr(10) || w || chr(10) || CASE WHEN open THEN '' ELSE f || chr(10) END ELSE w || chr(10) END, '' ORDER BY turn) AS content FROM parts GROUP BY conv_id),
+all_lines AS (SELECT conv_id AS k, unnest(l) AS line, unnest(range(len(l))) AS no, len(l) AS c FROM (SELECT conv_id, string_split(content, chr(10)) AS l FROM talks)),
+base AS (SELECT k, no, line FROM all_lines WHERE no < c - 1),
+marks AS (SELECT k, no, row_number() OVER (PARTITION BY k ORDER BY no) AS r, lead(no) OVER (PARTITION BY k ORDER BY no) AS close FROM base WHERE regexp_matches(line, '^(```|~~~~)(md)?$')),
+fences AS (SELECT k, no AS open, close FROM marks WHERE r % 2 = 1)"""
+_FENCED_SPANS = f"""WITH RECURSIVE {_FENCED_TALKS},
+sums AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY k ORDER BY no) AS s, count(*) OVER (PARTITION BY k) AS total FROM base),
+fits AS (SELECT a.k, a.no, a.total, least(a.total, a.no + 1 + (SELECT count(*) FROM sums b WHERE b.k = a.k AND b.no > a.no AND b.no < a.no + 4 AND b.s - (a.s - length(a.line) - 1) - 1 <= 300)) AS e FROM sums a),
+ends AS (SELECT n.k, n.no, n.total, CASE WHEN f.open IS NOT NULL THEN coalesce(f.close + 1, n.total) ELSE n.e END AS e
+    FROM fits n LEFT JOIN fences f ON f.k = n.k AND n.e < n.total AND f.open < n.e AND (f.close IS NULL OR n.e <= f.close)),
+backs AS (SELECT n.*, CASE WHEN f.open IS NULL THEN n.e - 2 WHEN f.close - f.open + 1 <= 3 THEN f.open ELSE f.close + 1 END AS b
+    FROM ends n LEFT JOIN fences f ON f.k = n.k AND f.close IS NOT NULL AND n.e - 2 BETWEEN f.open AND f.close),
+spans AS (SELECT k, no, e, total, b, 0 AS ordinal FROM backs WHERE no = 0
+    UNION ALL SELECT n.k, n.no, n.e, n.total, n.b, w.ordinal + 1 FROM spans w JOIN backs n ON n.k = w.k AND n.no = CASE WHEN w.b > w.no THEN w.b ELSE w.e END WHERE w.e < w.total),
+trimmed AS (SELECT s.k, s.ordinal, min(l.no) AS a, max(l.no) AS b FROM spans s JOIN base l ON l.k = s.k AND l.no >= s.no AND l.no < s.e AND trim(l.line, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1, 2)
+SELECT t.k AS conv_id, t.a + 1 AS start_line, t.b + 1 AS end_line, md5(string_agg(line, chr(10) ORDER BY no)) AS md5 FROM trimmed t JOIN base l ON l.k = t.k AND l.no BETWEEN t.a AND t.b GROUP BY t.k, t.ordinal, t.a, t.b"""
+
 _PACKED = _spans("SELECT doc_id AS k, unnest(range(len(l))) AS no, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> '')", 40, 3000, 5)
 _TALK_SPANS = _spans("SELECT document_id || '/' || section_ordinal AS k, no - a AS no, line FROM secs JOIN numbered USING (document_id, section_ordinal) WHERE no BETWEEN a AND b", 2, 400, 0)
 
@@ -381,6 +434,7 @@ QUERIES = {
     "compare_categories": compare_categories, "compare_counts": compare_counts, "documents_hashed": documents_hashed, "sections": sections, "chunk_ids": chunk_ids, "chunk_pack": chunk_pack,
     "chunk_stats": chunk_stats, "largest_chunks": largest_chunks, "smallest_chunks": smallest_chunks, "fence_detect": fence_detect, "embed_udf": embed_udf,
     "dense_index": dense_index, "golden_jsonl": golden_jsonl, "evaluation_jsonl": evaluation_jsonl, "chunk_jsonl": chunk_jsonl, "report_counts": report_counts, "sections_fenced": sections_fenced,
+    "sections_lines": sections_lines, "chunk_fenced": chunk_fenced, "jsonl_positions": jsonl_positions,
 }
 
 _DENSE_FIRST = "dense_first AS (SELECT g.item_id, min(rank) AS other FROM gold g LEFT JOIN dense_hits h ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY 1)"
@@ -423,6 +477,8 @@ ORACLES = {
     "documents_hashed": f"WITH {_TALKS} SELECT document_id, relative_path, sha256(content) AS content_hash FROM docs",
     "sections": f"WITH {_TALKS}, {_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
     "sections_fenced": f"WITH {_FENCED}, {_FENCED_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
+    "chunk_fenced": _FENCED_SPANS,
+    "jsonl_positions": "SELECT files, doc_id, row_number() OVER (PARTITION BY files ORDER BY doc_id) - 1 AS line, md5(coalesce(text, '')) AS md5 FROM documents, (VALUES ('rising'), ('falling')) t(files)",
     "chunk_ids": _CHUNK_IDS, "chunk_jsonl": _CHUNK_IDS.replace("/* more */", ", path, true AS ordered"),
     "chunk_pack": f"WITH {_PACKED} SELECT t.k AS doc_id, t.a + 1 AS start_line, t.b + 1 AS end_line, md5(string_agg(line, chr(10) ORDER BY no)) AS md5 FROM trimmed t JOIN base l ON l.k = t.k AND l.no BETWEEN t.a AND t.b GROUP BY t.k, t.ordinal, t.a, t.b",
     "chunk_stats": f"WITH {_SIZES} SELECT count(*) AS chunk_count, count(DISTINCT source) AS document_count, CAST(min(char_count) AS BIGINT) AS min_chars, round(avg(char_count), 6) AS average_chars, CAST(max(char_count) AS BIGINT) AS max_chars, CAST(min(line_count) AS BIGINT) AS min_lines, round(avg(line_count), 6) AS average_lines, CAST(max(line_count) AS BIGINT) AS max_lines, count(*) FILTER (fence) AS chunks_with_code_fence, count(*) FILTER (char_count > 3000) AS chunks_over_char_limit, count(*) FILTER (line_count > 40) AS chunks_over_line_limit FROM sizes",
@@ -430,3 +486,4 @@ ORACLES = {
     "smallest_chunks": f"WITH {_SIZES} {_LARGEST.format('ASC')}",
     "fence_detect": "WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ' ' || chr(9) || '```' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?m)^[ \\t]*(```|~~~)') AS fenced, NOT regexp_matches(regexp_replace(t, '(?m)^\\s*(---|\\*\\*\\*|___)\\s*$', '', 'g'), '\\S') AS separator_only, CAST(CASE WHEN length(t) <= 100 THEN length(t) ELSE length(regexp_replace(t[:100], '\\s+$', '')) + 3 END AS BIGINT) AS shown, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: length(r))), 0))) AS fence FROM b",
 }
+ORACLES["sections_lines"] = ORACLES["sections_fenced"]
