@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import materialise
 from .lexical import RANK_DECIMALS, check_top_k
 
 SCHEMA_VERSION = 2
-#: Queries that are multiplied at once, and bytes of queries that travel to the vectors for one scan.
+#: Queries that are multiplied at once, and bytes of queries (as doubles) that a task holds.
 QUERY_BLOCK, QUERY_BYTES = 512, 64 << 20
 
 
@@ -174,50 +178,102 @@ def build_dense(chunks: DataFrame, make: Callable[[], EmbeddingModel], chunks_sh
     return raw.withColumn("embedding", l2_normalize(F.col("embedding"))), DenseMetadata(config, chunks_sha256)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and vectors of a stated query set, ``QUERY_BYTES`` of vectors at a time."""
-    ids, vectors, held = [], [], 0
-    for row in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        ids.append(row["query_id"])
-        vectors.append(np.array(row["embedding"], np.float64))
-        held += vectors[-1].nbytes
-        if held >= QUERY_BYTES:
-            yield ids, np.array(vectors)
-            ids, vectors, held = [], [], 0
-    if ids:
-        yield ids, np.array(vectors)
-
-
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, *, query_block: int = QUERY_BLOCK) -> DataFrame:
+class TopK:
+    """Best rows of some queries over the batches of vectors that pass by: by rounded score, then by the higher position."""
+
+    def __init__(self, names: Sequence, matrix: np.ndarray, k: int):
+        self.names, self.matrix, self.k = names, matrix, k
+        self.query, self.pos, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, pos: np.ndarray, held: np.ndarray, query_block: int = QUERY_BLOCK) -> None:
+        """Vectors as rows of ``held``; those that can't be among a query's best are left out before anything is sorted."""
+        query, at, score = [self.query], [self.pos], [self.score]
+        for first in range(0, len(self.names), query_block):
+            scores = self.matrix[first : first + query_block] @ held.T
+            scores[np.isnan(scores)] = np.inf
+            if scores.shape[1] > self.k:
+                # whatever rounds to the k-th score stays
+                least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+                q, v = np.nonzero(scores >= (least - 2 * 10.0**-RANK_DECIMALS)[:, None])
+            else:
+                q, v = np.nonzero(np.ones(scores.shape, bool))
+            query.append(q + first)
+            at.append(pos[v])
+            score.append(scores[q, v])
+        q, p, s = np.concatenate(query), np.concatenate(at), np.concatenate(score)
+        order = np.lexsort((-p, -np.round(s, RANK_DECIMALS), q))
+        q, p, s = q[order], p[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < self.k
+        self.query, self.pos, self.score = q[best], p[best], s[best]
+
+    def rows(self) -> dict[str, list | np.ndarray]:
+        score = np.where(np.isinf(self.score), np.nan, self.score)
+        return {"query_id": [self.names[i] for i in self.query.tolist()], "chunk_pos": self.pos, "score": score}
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as doubles; lists of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_pos, score, rank): exact inner products of unit vectors, best ``top_k`` of each query.
 
-    Queries go out ``QUERY_BYTES`` at a time, with one scan of the vectors for each; within a task only each query's
-    best rows leave an Arrow batch, so what is shuffled is batches x queries x ``top_k`` at most. Equal scores go by the
-    higher position.
+    Queries of ``query_bytes`` at most are broadcast to one scan of the vectors. More of them meet the vectors on a grid:
+    a cell is a block of queries of that size and a part of the vectors, which stream past it. Either way each task sends
+    on ``top_k`` rows of each of its queries, and these are merged for each query. Equal scores go by the higher position.
     """
     check_top_k(top_k)
-    spark, found = vectors.sparkSession, None
-    for part in _blocks(queries):
-        shared = spark.sparkContext.broadcast(part)
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
+    spark = vectors.sparkSession
+    asked = materialise(queries.select("query_id", "embedding"), "queries")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    total = 8 * size["n"] * (size["width"] or 0)
+    kind, pos_kind = queries.schema["query_id"].dataType, vectors.schema["chunk_pos"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("chunk_pos", pos_kind), T.StructField("score", T.DoubleType())])
+    if not size["n"]:
+        return spark.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
+    arrow = pa.schema([("query_id", to_arrow_type(kind)), ("chunk_pos", to_arrow_type(pos_kind)), ("score", pa.float64())])
+    if total <= query_bytes:
+        rows = asked.toArrow()
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_pylist(), _matrix(rows["embedding"].combine_chunks())))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = TopK(*shared.value, top_k)
+            for batch in batches:
+                if batch.num_rows:
+                    best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+            yield pa.RecordBatch.from_pydict(best.rows(), schema=arrow)
+
+        found = vectors.select("chunk_pos", "embedding").mapInArrow(scan, schema)
+    else:
+        across = -(-total // query_bytes)
+        down = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // across))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select(block("query_id", across).alias("i"), every(down).alias("j"), "query_id", F.lit(None).cast(pos_kind).alias("chunk_pos"), "embedding")
+        right = vectors.select(every(across).alias("i"), block("chunk_pos", down).alias("j"), F.lit(None).cast(kind).alias("query_id"), "chunk_pos", F.col("embedding").cast(asked.schema["embedding"].dataType))
+        cells = left.union(right).withColumn("cell", F.col("i") * down + F.col("j")).drop("i", "j")
+        dealt = cells.repartitionById(across * down, F.col("cell")).sortWithinPartitions("cell", F.col("chunk_pos").isNotNull())
+
+        def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Queries of the cell come first, then its vectors."""
+            names, held, best = [], [], None
             for batch in batches:
-                if not len(batch):
-                    continue
-                pos, held = batch["chunk_pos"].to_numpy(), np.array(batch["embedding"].tolist(), np.float64).T
-                for at in range(0, len(names), query_block):
-                    scores = matrix[at : at + query_block] @ held
-                    key = np.where(np.isnan(scores), np.inf, np.round(scores, RANK_DECIMALS))
-                    rows = [np.lexsort((-pos, -k))[:top_k] for k in key]
-                    some = names[at : at + query_block]
-                    yield pd.DataFrame({"query_id": np.repeat(np.array(some, object), [len(r) for r in rows]), "chunk_pos": np.concatenate([pos[r] for r in rows]), "score": np.concatenate([s[r] for s, r in zip(scores, rows, strict=True)])})
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        some = vectors.select("chunk_pos", "embedding").mapInPandas(best, f"query_id {kind}, chunk_pos {vectors.schema['chunk_pos'].dataType.simpleString()}, score double")
-        found = some if found is None else found.union(some)
-    if found is None:
-        found = queries.limit(0).select("query_id", F.lit(0).cast("long").alias("chunk_pos"), F.lit(0.0).alias("score"))
+                asks = pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False)
+                if asks.any():
+                    some = batch.filter(pa.array(asks))
+                    names += some.column(0).to_pylist()
+                    held.append(_matrix(some.column(2)))
+                if not asks.all() and names:
+                    best = best or TopK(names, np.concatenate(held), top_k)
+                    some = batch.filter(pa.array(~asks))
+                    best.add(some.column(1).to_numpy(), _matrix(some.column(2)))
+            if best:
+                yield pa.RecordBatch.from_pydict(best.rows(), schema=arrow)
+
+        found = dealt.select("query_id", "chunk_pos", "embedding").mapInArrow(cell, schema)
     order = W.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), F.desc("chunk_pos"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 

@@ -153,7 +153,7 @@ def _dense_hits(spark, sf_dir):
 
 def dense_index(spark, sf_dir):
     hits = _dense_hits(spark, sf_dir)
-    return hits.select(F.col("query_id").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    return hits.select(F.col("query_id").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("pos").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
 def eval_misses(spark, sf_dir):
@@ -462,7 +462,7 @@ ORACLES = {
     "eval_macro": f"WITH {_METRICS}, n AS (SELECT count(*) AS c FROM benchmark WHERE trim(text) <> '') SELECT (SELECT c FROM n) AS query_count, count(*) AS evaluated_query_count, (SELECT c FROM n) - count(*) AS no_answer_count, round(avg(hit_rate_at_k), 6) AS hit_rate_at_k, round(avg(recall_at_k), 6) AS recall_at_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_at_k), 6) AS ndcg_at_k FROM metrics",
     "eval_misses": f"WITH {_DENSE_HITS}, {_GOLD}, {_DENSE_FIRST} SELECT CAST(item_id AS VARCHAR) AS query_id FROM dense_first WHERE other IS NULL",
     "embed_udf": f"WITH {_VECTORS} SELECT id AS doc_id, CAST(dim AS BIGINT) AS at, round(x, 5) AS x FROM vectors",
-    "dense_index": f"WITH {_DENSE_HITS} SELECT item_id, rank, round(score, 5) AS score FROM dense_hits",
+    "dense_index": f"WITH {_DENSE_HITS} SELECT item_id, rank, doc_id, round(score, 5) AS score FROM dense_hits",
     "golden_jsonl": f"WITH {_GOLD} SELECT CAST(b.item_id AS VARCHAR) AS query_id, md5(b.text) AS query_md5, CAST(doc_id AS VARCHAR) AS chunk_id, source AS relative_path, lang AS section, CAST(rel AS BIGINT) AS relevance FROM (SELECT * FROM benchmark WHERE trim(text) <> '') b LEFT JOIN gold g USING (item_id) LEFT JOIN documents USING (doc_id)",
     "evaluation_jsonl": f"""WITH {_METRICS}, judged AS (SELECT item_id, count(*) AS judged FROM gold GROUP BY 1)
         SELECT query_id, judged, round(recall_at_k, 6) AS recall, rank, CAST(h.doc_id AS VARCHAR) AS chunk_id, round(score, 6) AS score, CAST(coalesce(rel, 0) AS BIGINT) AS relevance, md5(d.text) AS content_md5

@@ -120,6 +120,25 @@ def hit_table(spark, **found):
     return spark.createDataFrame([(q, c, i) for q, cs in found.items() for i, c in enumerate(cs, 1)], "query_id string, chunk_id string, rank int")
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 20, 1600, 160])
+def test_top_k_on_a_grid(spark, query_bytes):
+    """One block of queries that is broadcast, and grids of several blocks, against sorting every score."""
+    rng = np.random.default_rng(3)
+    held = rng.integers(-2, 3, (300, 4)).astype(np.float64)
+    held = np.concatenate([held[np.abs(held).sum(axis=1) > 0], held[:5] + 0.5])
+    held = (held / np.linalg.norm(held, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(held)], "chunk_pos long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(held[:40])], "query_id string, embedding array<float>")
+    for k in (1, 7, 1000):
+        got = {}
+        for r in dense.cosine_top_k(asked, table, k, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_pos"], round(r["score"], 9)))
+        scores = held[:40].astype(np.float64) @ held.astype(np.float64).T
+        for i, row in enumerate(scores):
+            best = sorted(range(len(held)), key=lambda j: (-round(row[j], 9), -j))[:k]  # noqa: B023
+            assert got[f"q{i}"] == [(n, 10 * j, round(row[j], 9)) for n, j in enumerate(best, 1)]
+
+
 def test_metrics(spark):
     golden = golden_table(spark, ("q0", "x", [("a", 2), ("b", 1), ("c", 1)]), ("q1", "x", [("a", 2), ("b", 1)]), ("q2", "x", []), ("q3", "x", [("z", 1)]), ("q4", "x", [("a", 0)]))
     hits = hit_table(spark, q0=["a", "x", "b"], q1=["x", "a", "b"], q2=["a"], q4=["a"])
