@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,4 +138,7 @@ def category(lexical_rank, dense_rank):
 
 
 def category_counts(compared: DataFrame) -> DataFrame:
-    return compared.groupBy("category").agg(F.count("*").alias("n"))
+    """(``category``, ``n``) of all categories, also of those that don't occur."""
+    every = compared.sparkSession.createDataFrame(pa.table({"category": list(CATEGORIES)}))
+    found = compared.groupBy("category").agg(F.count("*").alias("n"))
+    return every.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))

@@ -10,7 +10,7 @@ as tables of lines, of any length, go through ``line_sections``.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,33 +70,33 @@ def _full(lines: Column) -> Column:
     return F.transform(lines, lambda x: (~text.is_blank(x)).cast("int"))
 
 
-def sections(documents: DataFrame) -> DataFrame:
-    """Sections of (document_id, content): path of headings, trimmed content and its line numbers.
+def sections(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Sections of (document_id, content, ``keep``): path of headings, trimmed content and its line numbers.
 
     Headings begin in the first column and are not looked for inside fences. Text before the first heading is a
     section without a path. A section stays if it has a path or content.
     """
-    lines = documents.filter("content IS NOT NULL").select("document_id", text.split_lines(F.col("content")).alias("lines"))
-    headed = lines.select("document_id", "lines", _headings(_structural(F.col("lines"))).alias("headings"))
+    lines = documents.filter("content IS NOT NULL").select("document_id", *keep, text.split_lines(F.col("content")).alias("lines"))
+    headed = lines.select("document_id", *keep, "lines", _headings(_structural(F.col("lines"))).alias("headings"))
     first = F.array(F.struct(F.lit(-1).alias("pos"), F.array().cast("array<string>").alias("path")))
-    headed = headed.select("document_id", "lines", F.concat(first, "headings").alias("headings"))
+    headed = headed.select("document_id", *keep, "lines", F.concat(first, "headings").alias("headings"))
 
     def cut(h: Column, i: Column) -> Column:
         upto = F.coalesce(F.try_element_at("headings", i + 2)["pos"], F.size("lines"))
         body = F.slice("lines", h["pos"] + 2, upto - h["pos"] - 1)
         return F.struct(i.alias("section_ordinal"), h["path"].alias("section_path"), h["pos"].alias("first"), body.alias("body"), _full(body).alias("full"))
 
-    return _trimmed(headed.select("document_id", F.inline(F.transform("headings", cut))))
+    return _trimmed(headed.select("document_id", *keep, F.inline(F.transform("headings", cut))), keep)
 
 
-def _trimmed(parts: DataFrame) -> DataFrame:
+def _trimmed(parts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Sections of (document_id, section_ordinal, section_path, ``first``: line of the heading, ``body``, ``full``)."""
     lead, trail = F.array_position("full", 1) - 1, F.array_position(F.reverse("full"), 1) - 1
     start = F.when(F.array_contains("full", 1), F.col("first") + 2 + lead)
     kept = F.size("body") - lead - trail
     out = parts.select(
         "document_id", "section_ordinal", "section_path", F.when(start.isNull(), "").otherwise(F.array_join(F.slice("body", lead.cast("int") + 1, F.greatest(kept, F.lit(0)).cast("int")), "\n")).alias("content"),
-        F.greatest(F.col("first") + 1, F.lit(1)).alias("start_line"), start.cast("int").alias("content_start_line"), F.coalesce(start + kept - 1, F.col("first") + 1).cast("int").alias("end_line"),
+        F.greatest(F.col("first") + 1, F.lit(1)).alias("start_line"), start.cast("int").alias("content_start_line"), F.coalesce(start + kept - 1, F.col("first") + 1).cast("int").alias("end_line"), *keep,
     )
     return out.filter((F.size("section_path") > 0) | (F.col("content") != ""))
 
@@ -182,23 +182,41 @@ def chunk_spans(sections: DataFrame, config: ChunkerConfig = ChunkerConfig(), ke
     return cut.select("section_key", "ordinal", F.array_join(F.slice("lines", F.col("lead") + 1, F.col("kept")), "\n").alias("content"), first.cast("int").alias("start_line"), (first + F.col("kept") - 1).cast("int").alias("end_line"), *keep)
 
 
-def chunks(documents: DataFrame, sections: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
-    """Numbered chunks of all documents. Sections of unknown documents are an error."""
-    known = documents.select("document_id", "source_name", "relative_path")
+def _full_sections(sections: DataFrame) -> DataFrame:
     keyed = sections.withColumn("section_key", F.struct("document_id", "section_ordinal"))
     wrong = F.raise_error(F.lit("Non-empty section must have content_start_line")).cast("int")
-    full = keyed.filter(~text.is_blank(F.col("content"))).withColumn("content_start_line", F.coalesce("content_start_line", wrong))
-    spans = chunk_spans(full, config, ["section_path"]).filter(~text.is_separator_only(F.col("content")))
-    whole = spans.select("*", F.col("section_key.document_id").alias("key"), F.col("section_key.section_ordinal").alias("section_ordinal"))
-    whole = whole.join(known, F.col("key") == known["document_id"], "left")
-    missing = F.raise_error(F.lit("Section document_id does not match Document document_id")).cast("string")
-    whole = whole.withColumn("relative_path", F.when(F.col("document_id").isNull(), missing).otherwise(F.col("relative_path")))
+    return keyed.filter(~text.is_blank(F.col("content"))).withColumn("content_start_line", F.coalesce("content_start_line", wrong))
+
+
+def _numbered(spans: DataFrame) -> DataFrame:
+    """Chunk rows of spans with (section_key, section_path, document_id, source_name, relative_path)."""
+    placed = spans.select("*", F.col("section_key.document_id").alias("key"), F.col("section_key.section_ordinal").alias("section_ordinal"))
     per_section = W.partitionBy("key", "section_ordinal").orderBy("ordinal")
     per_document = W.partitionBy("key").orderBy("section_ordinal", "ordinal")
-    numbered = whole.select("*", (F.row_number().over(per_section) - 1).alias("section_chunk_index"), (F.row_number().over(per_document) - 1).alias("chunk_index"))
+    numbered = placed.select("*", (F.row_number().over(per_section) - 1).alias("section_chunk_index"), (F.row_number().over(per_document) - 1).alias("chunk_index"))
     path, content = F.col("section_path"), F.col("content")
     return numbered.select(
         ids.chunk_id(F.col("document_id"), path, F.col("section_chunk_index"), content).alias("chunk_id"), "document_id", "source_name", "relative_path",
         F.try_element_at(path, F.lit(-1)).alias("title"), "section_path", "content", text.searchable(path, content).alias("searchable_text"),
         "chunk_index", "section_chunk_index", "start_line", "end_line", ids.content_hash(content).alias("content_hash"),
     )
+
+
+def _text_spans(sections: DataFrame, config: ChunkerConfig, keep: Sequence[str]) -> DataFrame:
+    return chunk_spans(_full_sections(sections), config, keep).filter(~text.is_separator_only(F.col("content")))
+
+
+def chunks(documents: DataFrame, sections: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
+    """Numbered chunks of all documents. Sections of unknown documents are an error."""
+    known = documents.select("document_id", "source_name", "relative_path")
+    spans = _text_spans(sections, config, ["section_path"])
+    whole = spans.join(known, F.col("section_key.document_id") == known["document_id"], "left")
+    missing = F.raise_error(F.lit("Section document_id does not match Document document_id")).cast("string")
+    return _numbered(whole.withColumn("relative_path", F.when(F.col("document_id").isNull(), missing).otherwise(F.col("relative_path"))))
+
+
+def chunk_documents(documents: DataFrame, config: ChunkerConfig = ChunkerConfig(), watch: Callable[[DataFrame], DataFrame] = lambda sections: sections) -> DataFrame:
+    """``chunks`` of all sections of ``documents`` in one pass, with one shuffle, that of the numbers. ``watch`` may observe the sections."""
+    names = ["source_name", "relative_path"]
+    made = watch(sections(documents, names))
+    return _numbered(_text_spans(made, config, ["section_path", *names]).withColumn("document_id", F.col("section_key.document_id")))

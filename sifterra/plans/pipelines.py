@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass
 from enum import StrEnum
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, markdown, statistics
 from ..operators.dense import DenseIndex, DenseMetadata, EmbeddingModel, EmbeddingModelConfig, build_dense, create_model
 from ..operators.lexical import BM25Index, check_top_k
 from ..sources import dense_store, files, jsonl
+from ..sources.scratch import materialise, scratch
 
 
 class RetrieverType(StrEnum):
@@ -40,13 +42,12 @@ def build_chunks(spark: SparkSession, root: str | Path, output: str | Path, *, s
         raise FileNotFoundError(f"Repository path does not exist: {root}")
     if not Path(root).is_dir():
         raise NotADirectoryError(f"Repository path is not a directory: {root}")
-    documents = files.scan_documents(spark, root, source_name).persist()
-    sections = markdown.sections(documents).persist()
-    chunks = markdown.chunks(documents, sections, config)
-    n = jsonl.write_file(chunks, output, ["relative_path", "chunk_index"])
-    result = IndexingResult(documents.count(), sections.count(), n, str(output))
-    sections.unpersist(), documents.unpersist()
-    return result
+    seen = {name: Observation(name) for name in ("documents", "sections")}
+    documents = files.scan_documents(spark, root, source_name).observe(seen["documents"], F.count(F.lit(1)).alias("n"))
+    chunks = markdown.chunk_documents(documents, config, lambda sections: sections.observe(seen["sections"], F.count(F.lit(1)).alias("n")))
+    # the pass that writes the table counts; the file is made of the table
+    n = jsonl.write_file(materialise(chunks, "chunks"), output, ["relative_path", "chunk_index"])
+    return IndexingResult(seen["documents"].get["n"], seen["sections"].get["n"], n, str(output))
 
 
 def _asked(spark: SparkSession, query: str) -> DataFrame:
@@ -133,12 +134,28 @@ def dump_lexical(spark: SparkSession, golden_path: str, chunks_path: str, output
     return n, written
 
 
+def write_compared(compared: DataFrame, path: str) -> None:
+    """All categories in one write: a folder ``category=<name>`` of JSON lines for each, its files in order of position."""
+    order = ["category", "pos", "query_id"]
+    rows = compared.repartitionByRange(*order).sortWithinPartitions(*order)
+    value = F.to_json(F.struct("query_id", "query", "lexical_result", "dense_result"), {"ignoreNullFields": "false"})
+    rows.select("category", value.alias("value")).write.mode("overwrite").partitionBy("category").text(path)
+
+
 def compare_files(spark: SparkSession, lexical_path: str, dense_path: str, output_dir: str | Path) -> dict[str, int]:
-    """One file for each category; its rows hold both results."""
-    compared = evaluation.compare(jsonl.read_evaluation(spark, lexical_path), jsonl.read_evaluation(spark, dense_path)).persist()
-    rows = lambda c: compared.filter(F.col("category") == c).drop("category")
-    counts = {c: jsonl.write_file(rows(c).select("pos", "query_id", "query", "lexical_result", "dense_result"), Path(output_dir) / f"{c}.jsonl", ["pos", "query_id"]) for c in evaluation.CATEGORIES}
-    compared.unpersist()
+    """One file for each category; its rows hold both results. The written folders are joined file by file, line by line."""
+    output_dir, counts = Path(output_dir), {}
+    compared = evaluation.compare(jsonl.read_evaluation(spark, lexical_path), jsonl.read_evaluation(spark, dense_path))
+    folder = scratch(spark, "compared")
+    write_compared(compared, folder)
+    lines = jsonl.read_categories(spark, folder)
+    output_dir.mkdir(parents=True, exist_ok=True)
+    with ExitStack() as stack:
+        out = {c: stack.enter_context((output_dir / f"{c}.jsonl").open("w", encoding="utf-8", newline="\n")) for c in evaluation.CATEGORIES}
+        counts = dict.fromkeys(evaluation.CATEGORIES, 0)
+        for row in lines.orderBy("category", "number").toLocalIterator():
+            out[row["category"]].write(row["line"] + "\n")
+            counts[row["category"]] += 1
     return counts
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions import ids, text
 from ..operators import dense, evaluation, lexical, markdown, statistics
 from ..sources import dense_store, files, jsonl
 from ..sources.scratch import scratch
-from . import report
+from . import pipelines, report
 
 TOP_K = 5
 
@@ -341,6 +342,55 @@ def jsonl_positions(spark, sf_dir):
     return found[0].union(found[1])
 
 
+def compare_sinks(spark, sf_dir):
+    """The comparison after one write into a folder for each category, read back with the places of its lines."""
+    compared = _compared(spark, sf_dir).withColumn("pos", F.col("query_id").cast("long"))
+    path = scratch(spark, "compared")
+    pipelines.write_compared(compared, path)
+    lines = jsonl.read_categories(spark, path).withColumn("query_id", F.get_json_object("line", "$.query_id").cast("long"))
+    rank = lambda side: F.coalesce(F.get_json_object("line", f"$.{side}_result.first_relevant_rank").cast("long"), F.lit(0)).alias(side)
+    place = F.row_number().over(W.partitionBy("category").orderBy("number"))
+    return lines.select("category", place.cast("long").alias("place"), "query_id", rank("lexical"), rank("dense"))
+
+
+def scan_tree(spark, sf_dir):
+    """Talks written as files, some below hidden folders, beside files that are out of scope; scanned again."""
+    talks = _as_documents(_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\r\n\n"), F.coalesce("text", F.lit("")), F.lit("\r")).alias("part")))
+    name = F.regexp_extract("relative_path", r"(-?\d+)\.md", 1)
+    at = F.when(name.cast("long") % 3 == 0, F.concat(F.lit("_deep/.hidden/"), name, F.lit(".MD"))).otherwise(F.concat(F.lit("talks/"), name, F.lit(".md")))
+    decoys = F.array(at, *[F.concat(F.lit(a), name, F.lit(b)) for a, b in (("talks/node_modules/", ".md"), ("talks/x_plan", ".md"), ("talks/", ".txt"))])
+    root = scratch(spark, "tree").removeprefix("file://")
+    files.write_tree(talks.select(F.explode(F.when(name.cast("long") % 5 == 0, decoys).otherwise(F.array(at))).alias("relative_path"), "content"), root)
+    return files.scan_documents(spark, root, "talks").select("document_id", "relative_path", "content_hash")
+
+
+def index_counts(spark, sf_dir):
+    """What indexing the talks counts while it writes their chunks: documents, sections and chunks of one pass."""
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("documents", "sections", "chunks")}
+    talks = _talks(spark, sf_dir).observe(seen["documents"], F.count(F.lit(1)).alias("n"))
+    chunks = markdown.chunk_documents(talks, markdown.ChunkerConfig(2, 400, 0), lambda made: made.observe(seen["sections"], F.count(F.lit(1)).alias("n")))
+    chunks.observe(seen["chunks"], F.count(F.lit(1)).alias("n")).write.parquet(scratch(spark, "chunks"))
+    return spark.createDataFrame(pa.table({"what": list(seen), "n": [x.get["n"] for x in seen.values()]}))
+
+
+def matrix_file(spark, sf_dir):
+    """Unit vectors written to one matrix file by byte ranges and mapped again: the components that differ, and sums of some."""
+    vectors = _unit_vectors(spark, sf_dir).select("chunk_pos", "chunk_id", "embedding")
+    path = scratch(spark, "matrix").removeprefix("file://") + ".npy"
+    dense_store.export_npy(vectors, path)
+    ids_ = vectors.select((F.row_number().over(W.orderBy("chunk_pos")) - 1).cast("long").alias("chunk_pos"), "chunk_id")
+    back = dense_store.import_npy(spark, path, ids_, len(vectors.first()["embedding"]))
+    return back.select(F.col("chunk_id").cast("long").alias("vec_id"), F.posexplode("embedding").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def dense_topk_grid(spark, sf_dir):
+    """``dense_topk`` with blocks of a few queries, so that queries and vectors meet on a grid."""
+    vectors = _unit_vectors(spark, sf_dir)
+    asked = vectors.filter(F.col("chunk_pos") % 100 == 0).select(F.col("chunk_pos").alias("query_id"), "embedding")
+    found = dense.cosine_top_k(asked, vectors, TOP_K, query_bytes=1 << 11)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_pos").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 _TOKENS = r"regexp_extract_all(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*')"
 _DOC_TOKENS = f"toks AS (SELECT doc_id, coalesce({_TOKENS}, []) AS t FROM documents)"
 _HITS = f"""{_DOC_TOKENS}, size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
@@ -435,6 +485,7 @@ QUERIES = {
     "chunk_stats": chunk_stats, "largest_chunks": largest_chunks, "smallest_chunks": smallest_chunks, "fence_detect": fence_detect, "embed_udf": embed_udf,
     "dense_index": dense_index, "golden_jsonl": golden_jsonl, "evaluation_jsonl": evaluation_jsonl, "chunk_jsonl": chunk_jsonl, "report_counts": report_counts, "sections_fenced": sections_fenced,
     "sections_lines": sections_lines, "chunk_fenced": chunk_fenced, "jsonl_positions": jsonl_positions,
+    "compare_sinks": compare_sinks, "scan_tree": scan_tree, "index_counts": index_counts, "matrix_file": matrix_file, "dense_topk_grid": dense_topk_grid,
 }
 
 _DENSE_FIRST = "dense_first AS (SELECT g.item_id, min(rank) AS other FROM gold g LEFT JOIN dense_hits h ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY 1)"
@@ -473,7 +524,13 @@ ORACLES = {
         SELECT fact, coalesce(n, 0) AS n FROM facts LEFT JOIN c USING (category) UNION ALL SELECT 'queries', count(*) FROM benchmark WHERE trim(text) <> ''
         UNION ALL SELECT 'shown', (SELECT count(*) FROM hits WHERE CAST(item_id AS VARCHAR) IN (SELECT query_id FROM open_items)) + (SELECT count(*) FROM dense_hits WHERE CAST(item_id AS VARCHAR) IN (SELECT query_id FROM open_items))""",
     "compare_categories": f"WITH {_METRICS}, {_CATEGORY} SELECT query_id, category FROM both_sides",
-    "compare_counts": f"WITH {_METRICS}, {_CATEGORY} SELECT category, count(*) AS n FROM both_sides GROUP BY category",
+    "compare_counts": f"WITH {_METRICS}, {_CATEGORY} SELECT category, count(query_id) AS n FROM (VALUES ('dense_only_hits'), ('lexical_only_hits'), ('both_hit'), ('both_miss')) t(category) LEFT JOIN both_sides USING (category) GROUP BY category",
+    "compare_sinks": f"WITH {_METRICS}, {_CATEGORY} SELECT category, row_number() OVER (PARTITION BY category ORDER BY CAST(query_id AS BIGINT)) AS place, CAST(query_id AS BIGINT) AS query_id, coalesce(first_relevant_rank, 0) AS lexical, coalesce(other, 0) AS dense FROM both_sides JOIN metrics USING (query_id) JOIN dense_first ON query_id = CAST(item_id AS VARCHAR)",
+    "scan_tree": """WITH talks AS (SELECT CASE WHEN conv_id % 3 = 0 THEN '_deep/.hidden/' || conv_id || '.MD' ELSE 'talks/' || conv_id || '.md' END AS relative_path,
+        '# talk ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id)
+        SELECT sha256('talks' || chr(31) || relative_path) AS document_id, relative_path, sha256(content) AS content_hash FROM talks""",
+    "index_counts": f"""{_CHUNK_IDS.split(" SELECT sha256(document_id ||")[0].replace("/* more */", "")}
+        SELECT 'documents' AS what, (SELECT count(*) FROM docs) AS n UNION ALL SELECT 'sections', (SELECT count(*) FROM secs WHERE path IS NOT NULL OR content <> '') UNION ALL SELECT 'chunks', (SELECT count(*) FROM counted)""",
     "documents_hashed": f"WITH {_TALKS} SELECT document_id, relative_path, sha256(content) AS content_hash FROM docs",
     "sections": f"WITH {_TALKS}, {_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
     "sections_fenced": f"WITH {_FENCED}, {_FENCED_LINES} SELECT document_id, section_ordinal, path, content, start_line, coalesce(a, 0) AS content_start_line, coalesce(b, start_line) AS end_line FROM secs",
@@ -487,3 +544,4 @@ ORACLES = {
     "fence_detect": "WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ' ' || chr(9) || '```' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?m)^[ \\t]*(```|~~~)') AS fenced, NOT regexp_matches(regexp_replace(t, '(?m)^\\s*(---|\\*\\*\\*|___)\\s*$', '', 'g'), '\\S') AS separator_only, CAST(CASE WHEN length(t) <= 100 THEN length(t) ELSE length(regexp_replace(t[:100], '\\s+$', '')) + 3 END AS BIGINT) AS shown, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: length(r))), 0))) AS fence FROM b",
 }
 ORACLES["sections_lines"] = ORACLES["sections_fenced"]
+ORACLES["dense_topk_grid"], ORACLES["matrix_file"] = ORACLES["dense_topk"], ORACLES["l2_normalize"]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dense import SCHEMA_VERSION, DenseMetadata, EmbeddingModelConfig
+from .scratch import materialise
 
 
 def write_embeddings(embeddings: DataFrame, path: str) -> None:
@@ -26,21 +29,73 @@ def read_embeddings(spark: SparkSession, path: str, metadata: DenseMetadata) ->
 
 
 def export_npy(embeddings: DataFrame, path: str | Path) -> None:
-    """A single-precision matrix in order of position, for tools outside; it has to fit on the driver."""
-    rows = embeddings.orderBy("chunk_pos").select("embedding").toPandas()["embedding"]
-    np.save(path, np.array(rows.tolist(), np.float32).reshape(len(rows), -1))
-
-
-def import_npy(spark: SparkSession, path: str | Path, chunk_ids: list[str], dimension: int) -> DataFrame:
-    matrix = np.load(path, allow_pickle=False)
+    """A single-precision matrix in order of position, on a file system that all executors share.
+
+    Rows have a fixed width, so each task writes its own bytes: a range of positions, behind the rows of the ranges before it.
+    """
+    spark, path = embeddings.sparkSession, Path(path)
+    ranged = embeddings.select("chunk_pos", F.col("embedding").cast("array<float>").alias("embedding")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_pos").sortWithinPartitions("chunk_pos")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(done, done + n)), batch.column(1)], names=["part", "at", "embedding"])
+            done += n
+
+    rows = materialise(ranged.mapInArrow(number, "part long, at long, embedding array<float>"), "matrix")
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).orderBy("part").collect()  # one row for each range
+    widths = {w for p in parts for w in (p["low"], p["high"])}
+    if len(widths) > 1:
+        raise ValueError("Dense embeddings must be a two-dimensional matrix")
+    width, total, before = widths.pop() if widths else 0, 0, {}
+    for p in parts:
+        before[p["part"]], total = total, total + p["n"]
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("wb") as file:
+        np.lib.format.write_array_header_1_0(file, {"descr": "<f4", "fortran_order": False, "shape": (total, width)})
+        head = file.tell()
+        file.truncate(head + 4 * total * width)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with path.open("r+b") as file:
+            for batch in batches:
+                held = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(batch.num_rows, width)
+                at = np.array([before[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
+                # neighbours in the file are written together
+                for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                    if len(some):
+                        file.seek(head + 4 * width * int(at[some[0]]))
+                        file.write(held[some].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    rows.mapInArrow(write, "done long").count()
+
+
+def import_npy(spark: SparkSession, path: str | Path, chunk_ids: Sequence[str] | DataFrame, dimension: int) -> DataFrame:
+    """(chunk_pos, chunk_id, embedding) of a matrix file; each task maps its own rows. ``chunk_ids``: in order, or a table of (chunk_pos, chunk_id) numbered from 0."""
+    matrix = np.load(path, allow_pickle=False, mmap_mode="r")
     if matrix.ndim != 2:
         raise ValueError("Dense embeddings must be a two-dimensional matrix")
-    if len(matrix) != len(chunk_ids):
+    n = chunk_ids.count() if isinstance(chunk_ids, DataFrame) else len(chunk_ids)
+    if len(matrix) != n:
         raise ValueError("Dense embeddings row count does not match chunk IDs count")
     if matrix.shape[1] != dimension:
         raise ValueError("Dense embeddings dimension does not match index metadata")
-    table = pd.DataFrame({"chunk_pos": range(len(matrix)), "chunk_id": chunk_ids, "embedding": matrix.astype(np.float32).tolist()})
-    return spark.createDataFrame(table, "chunk_pos long, chunk_id string, embedding array<float>")
+    name = str(path)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.load(name, allow_pickle=False, mmap_mode="r")
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            flat = pa.array(np.asarray(held[at[0] : at[-1] + 1], np.float32).ravel()) if len(at) else pa.array([], pa.float32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dimension, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["chunk_pos", "embedding"])
+
+    table = spark.range(n).mapInArrow(rows, "chunk_pos long, embedding array<float>")
+    if not isinstance(chunk_ids, DataFrame):
+        chunk_ids = spark.createDataFrame(pa.table({"chunk_pos": pa.array(range(n), pa.int64()), "chunk_id": pa.array(chunk_ids, pa.string())}))
+    return table.join(chunk_ids.select("chunk_pos", "chunk_id"), "chunk_pos").select("chunk_pos", "chunk_id", "embedding")
 
 
 def write_metadata(metadata: DenseMetadata, path: str | Path) -> None:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .. import schemas
 from ..functions import ids
 from ..functions.text import universal_newlines
 
@@ -22,7 +23,6 @@ EXCLUDED_DIRS = (
     ".runtime", ".cache", ".clinerules", "qdrant_storage", "node_modules", "data", "0 images",
 )
 EXCLUDED_FILES = ("*_plan*.md",)
-FILES_PER_TASK = 256
 
 
 @dataclass(frozen=True)
@@ -42,29 +42,92 @@ def wanted(relative: str, config: ScannerConfig) -> bool:
     )
 
 
+@dataclass
+class Subtree(InputPartition):
+    """A folder below the root, with all that is in it or with its own files alone."""
+
+    path: str
+    deep: bool
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, root: str, config: ScannerConfig, tasks: int):
+        self.root, self.config, self.tasks = root, config, tasks
+
+    def partitions(self) -> list[Subtree]:
+        """Folders are opened level by level until there are enough of them; what lies below is listed by the tasks."""
+        level, out = [""], []
+        while level and len(level) < self.tasks:
+            below = []
+            for folder in level:
+                with os.scandir(os.path.join(self.root, folder)) as entries:
+                    below += [os.path.join(folder, e.name) for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.config.excluded_dir_names]
+            out += [Subtree(folder, False) for folder in level]
+            level = below
+        return out + [Subtree(folder, True) for folder in level]
+
+    def read(self, partition: Subtree) -> Iterator[tuple[str, str]]:
+        for folder, folders, names in os.walk(os.path.join(self.root, partition.path)):
+            folders[:] = [] if not partition.deep else sorted(set(folders) - self.config.excluded_dir_names)
+            for name in sorted(names):
+                path = Path(folder, name)
+                relative = path.relative_to(self.root).as_posix()
+                if wanted(relative, self.config) and path.is_file():
+                    yield relative, path.read_bytes().decode("utf-8")
+
+
+class TreeSource(DataSource):
+    """``spark.read.format("text_tree")``: (relative_path, content) of a file tree, hidden names included.
+
+    Options: ``path``, and as JSON lists ``extensions``, ``excluded_dirs`` and ``excluded_files``; ``tasks`` folders at
+    least are dealt out, if there are so many.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_tree"
+
+    def schema(self) -> str:
+        return "relative_path string, content string"
+
+    def reader(self, schema: object) -> TreeReader:
+        given = lambda name, default: json.loads(self.options.get(name, json.dumps(sorted(default))))
+        plain = ScannerConfig()
+        config = ScannerConfig(
+            frozenset(given("extensions", plain.included_extensions)), frozenset(given("excluded_dirs", plain.excluded_dir_names)), tuple(given("excluded_files", plain.excluded_file_patterns)),
+        )
+        return TreeReader(self.options["path"], config, int(self.options.get("tasks", "64")))
+
+
 def scan_documents(spark: SparkSession, root: str | Path, source_name: str, config: ScannerConfig = ScannerConfig()) -> DataFrame:
     """Documents of a tree on a file system that driver and executors share, in no particular order.
 
-    Names are listed on the driver, since Spark's own listing drops names that begin with ``_`` or ``.``; bytes are
-    read and decoded on the executors. Bad UTF-8 is an error. Line ends become ``\\n`` before hashing.
+    Spark's own listing drops names that begin with ``_`` or ``.``, so ``TreeSource`` reads the tree: the driver sees the
+    upper folders only, tasks list and read the rest. Bad UTF-8 is an error. Line ends become ``\\n`` before hashing.
     """
     base = Path(root).resolve()
     if not base.exists():
         raise FileNotFoundError(f"Repository root does not exist: {root}")
     if not base.is_dir():
         raise NotADirectoryError(f"Repository root is not a directory: {root}")
-    names = sorted(r for p in base.rglob("*") if p.is_file() and wanted(r := p.relative_to(base).as_posix(), config))
-    if not names:
-        return spark.createDataFrame([], schemas.DOCUMENTS)
-    listed = spark.createDataFrame(pd.DataFrame({"relative_path": names})).repartition(max(1, -(-len(names) // FILES_PER_TASK)))
+    spark.dataSource.register(TreeSource)
+    reader = spark.read.format(TreeSource.name()).option("tasks", 4 * spark.sparkContext.defaultParallelism)
+    for name, value in (("extensions", config.included_extensions), ("excluded_dirs", config.excluded_dir_names), ("excluded_files", config.excluded_file_patterns)):
+        reader = reader.option(name, json.dumps(sorted(value)))
+    return _identified(reader.load(str(base)).withColumn("content", universal_newlines(F.col("content"))), source_name)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name in batch["relative_path"]:
-                yield pd.DataFrame({"relative_path": [name], "content": [(base / name).read_bytes().decode("utf-8")]})
 
-    raw = listed.mapInPandas(read, "relative_path string, content string").withColumn("content", universal_newlines(F.col("content")))
-    return _identified(raw, source_name)
+def write_tree(documents: DataFrame, root: str | Path) -> None:
+    """Files of (relative_path, content) below a folder that all executors share, written by the tasks."""
+    base = Path(root)
+
+    def write(rows: Iterator) -> None:
+        for row in rows:
+            path = base / row["relative_path"]
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(row["content"].encode())
+
+    documents.select(ids.normalize_relative_path(F.col("relative_path")).alias("relative_path"), "content").foreachPartition(write)
 
 
 def load_documents(spark: SparkSession, path: str, source_name: str, *, pattern: str = "*.md") -> DataFrame:

@@ -119,6 +119,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return line_numbers(*split_lines(spark, path, lambda lines: ((x,) for x in lines), T._parse_datatype_string("line string")))
 
 
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """(``category``, ``number``, ``line``) of a folder that was written with a folder ``category=<name>`` for each; numbers ascend within one."""
+    rows, splits = split_lines(spark, path, lambda lines: ((x,) for x in lines), T._parse_datatype_string("line string"))
+    named = rows.withColumn("category", F.regexp_extract("file", "/category=([^/]*)/", 1))
+    return line_numbers(named, splits).select("category", "number", "line")
+
+
 def read_jsonl(spark: SparkSession, path: str, record: Callable[[object], dict], schema: str, what: str, pos: str = "pos") -> DataFrame:
     """Checked records of a JSONL file, or of a folder of them, with the number of their line (from 0) in ``pos``. Blank lines are skipped.
 
