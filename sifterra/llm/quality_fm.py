@@ -102,7 +102,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training: Callable[[Column],
         rows = [_row(text, n, known) for text, n in zip(raw, extras[0], strict=True)]
         return [[r[0].astype(np.int32).tobytes() for r in rows], [r[1].astype(np.float32).tobytes() for r in rows], np.array(extras[1], np.int32)]
 
-    got = score_texts(joined, "__id", "__text", ["__n", "__y"], "numbers binary, amounts binary, y int", features).orderBy("__id").limit(2 * sample).collect()
+    got = score_texts(joined, "__id", "__text", ["__n", "__y"], "numbers binary, amounts binary, y int", features)
+    # one row for each sampled id; where ids repeat, a sample by hash again
+    got = got.orderBy(F.xxhash64("__id", "numbers", "amounts"), "__id").limit(2 * sample).collect()
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None

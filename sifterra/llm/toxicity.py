@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Lexicon voters hold words or word beginnings that training rows tie to one
-label; pattern voters look at a text's form.  Labels are used for nothing else:
-from the votes' majority on, a generative model estimates how often each voter
+label; pattern voters look at a text's form, and speak for the label under which
+it is more frequent.  Labels are used for nothing else: from the votes' majority on, a generative model estimates how often each voter
 says what under either label, and which voters repeat each other; its posterior
 labels then train a linear classifier over lexical units and votes, which
 scores texts.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,15 +23,14 @@ from .features import N_STRUCTURE, Rows, bounded_sample, score_texts, sigmoid, s
 
 #: Most training rows of either label.
 SAMPLE_PER_LABEL = 4_000
-#: Kinds of lexical units: whole word, then its first 4, 5 and 6 letters.
+#: Kinds of lexical units: whole word, then its first 4, 5 and 6 letters. A beginning of several words is one more unit.
 BEGINNINGS = (0, 4, 5, 6)
+SEVERAL = len(BEGINNINGS) - 1
 KIND_BITS = 28
 #: Groups that each kind's lexicon is dealt to, one voter each.
 GROUPS = 4
-#: Most units that the classifier weighs.
-UNITS = 8_192
-#: Least likelihood-ratio statistic of a unit.
-EVIDENCE = 60.0
+#: How many of all units may pass for evidence by chance, which sets the least likelihood-ratio statistic of one.
+BY_CHANCE = 0.01
 #: A lexicon unit is so many times as frequent under one label.
 SURE = 100.0
 #: Words whose units a worker remembers.
@@ -144,25 +144,34 @@ class ToxicityModel:
 
 def parse(text: bytes, known: Units) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct units and its form."""
-    units: set[int] = set()
-    for found in map(known.__getitem__, set(text.decode("utf-8", "replace").split())):
-        units.update(found)
-    return np.fromiter(units, np.int64, len(units)), np.array(structure(text, text.split()))
+    words = text.decode("utf-8", "replace").split()
+    found = np.fromiter(chain.from_iterable(map(known.__getitem__, set(words))), np.int64)
+    units, times = np.unique(found, return_counts=True)
+    often = units[(times > 1) & (units >= 1 << KIND_BITS)] + (SEVERAL << KIND_BITS)
+    return np.concatenate([units, often]), np.array(structure(text, text.split()))
 
 
-def copy_weights(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+def copy_weights(flat: np.ndarray, row: np.ndarray, n: int, *, hashes: int = 16) -> np.ndarray:
     """One over the size of each row's group of near copies.
 
-    Copies of one text would make its chance words look like evidence. Rows are grouped by the least hash of their
-    units that few rows hold; near copies mostly agree on it, other rows hardly ever.
+    Copies of one text would make its chance words look like evidence. Rows are compared by least hashes of their units
+    that few rows hold: a row belongs to the first row with which it shares one of them, if they share at least half.
     """
     often = np.bincount(flat)[flat]
     rare = often <= max(3, n // 50)
-    least = np.full(n, np.iinfo(np.uint64).max)
-    np.minimum.at(least, row[rare], mix(flat[rare].astype(np.uint64), 40))
-    alone = least == np.iinfo(np.uint64).max  # without such units a row is nobody's copy
-    least[alone] = np.arange(n, dtype=np.uint64)[alone]
-    _, where, size = np.unique(least, return_inverse=True, return_counts=True)
+    signs = np.tile(np.arange(n, dtype=np.uint64)[:, None], (1, hashes))  # without such units a row is nobody's copy
+    held = np.unique(row[rare])
+    for i in range(hashes):
+        least = np.full(n, np.iinfo(np.uint64).max)
+        np.minimum.at(least, row[rare], mix(flat[rare].astype(np.uint64), 40 + i))
+        signs[held, i] = least[held]
+    group = np.arange(n)
+    for i in [*range(hashes), *range(hashes)]:
+        _, first, where = np.unique(signs[:, i], return_index=True, return_inverse=True)
+        leader = first[where]
+        alike = (signs == signs[leader]).mean(axis=1) >= 0.5
+        group = np.minimum(group, np.where(alike, group[leader], group))
+    _, where, size = np.unique(group, return_inverse=True, return_counts=True)
     return 1.0 / size[where]
 
 
@@ -174,25 +183,25 @@ def fit(numbers: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, *, ste
     positive, negative = max(1.0, counted[labels == 1].sum()), max(1.0, counted[labels == 0].sum())
     hit = np.bincount(where, counted[row] * (labels[row] == 1))
     miss = np.bincount(where, counted[row] * (labels[row] == 0))
-    rate1, rate0 = (hit + 0.5) / positive, (miss + 0.5) / negative
-    gap = np.log(rate1 / rate0)
-    # the likelihood ratio against "no tie", which a few chance hits among millions of units don't reach
+    # the rarer side counts as what it is less one standard deviation, so that few rows don't hide a sure unit
+    least = lambda n: np.maximum(0.0, n - np.sqrt(n))
+    toxic_gap = np.log((hit + 0.5) / positive * negative / (least(miss) + 0.5))
+    clean_gap = np.log((miss + 0.5) / negative * positive / (least(hit) + 0.5))
+    # the likelihood ratio against "no tie", whose tail falls as exp(-x / 2): the more units are tried, the more is asked of one
     share = positive / (positive + negative)
     seen = np.maximum(hit + miss, 1e-9)
     strength = 2 * (hit * np.log(np.maximum(hit, 1e-9) / (seen * share)) + miss * np.log(np.maximum(miss, 1e-9) / (seen * (1 - share))))
-    picked = np.sort(np.argsort(-strength, kind="stable")[:UNITS])
-    picked = picked[strength[picked] > EVIDENCE]
-    units, gap = present[picked], gap[picked]
+    picked = np.flatnonzero(strength > 2 * np.log(len(present) / BY_CHANCE))
+    units = present[picked]
     # a lexicon takes units that are nearly always of one label, at equal class sizes
-    sure = np.where(gap > np.log(SURE), 1, np.where(gap < -np.log(SURE), -1, 0))
+    sure = np.where(toxic_gap[picked] > np.log(SURE), 1, np.where(clean_gap[picked] > np.log(SURE), -1, 0))
     kind, group = units >> KIND_BITS, units % GROUPS
     voter = np.where(sure != 0, (kind * GROUPS + group) * 2 + (sure > 0), -1)
-    n_lexicons = len(BEGINNINGS) * GROUPS * 2
+    n_lexicons = (len(BEGINNINGS) + SEVERAL) * GROUPS * 2
     side = np.where(np.arange(n_lexicons) % 2 == 1, 1, -1)
     limits = np.quantile(forms, 0.9, axis=0)
     over = forms > limits
-    toxic_share = (over & (labels == 1)[:, None]).sum(axis=0) / positive
-    clean_share = (over & (labels == 0)[:, None]).sum(axis=0) / negative
+    toxic_share, clean_share = (counted * (labels == 1)) @ over / positive, (counted * (labels == 0)) @ over / negative
     model = ToxicityModel(units, np.zeros(len(units)), voter, side, limits, np.where(toxic_share > clean_share, 1, -1), np.zeros(n_lexicons + forms.shape[1] + 1), 0.0, None)
     at = np.searchsorted(units, flat)
     at[at == len(units)] = 0
@@ -231,7 +240,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Callable[[Column]
 
     # two numbers for each of at most 2 * per_label rows
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(marked), "__id")
-    got = score_texts(joined, "__id", "__text", ["__y"], "units binary, form binary, y int", features).orderBy("__id").limit(4 * per_label).collect()
+    got = score_texts(joined, "__id", "__text", ["__y"], "units binary, form binary, y int", features)
+    # one row for each sampled id; where ids repeat, a sample by hash again
+    got = got.orderBy(F.xxhash64("__id", "units"), "__id").limit(4 * per_label).collect()
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None

@@ -679,3 +679,33 @@ def test_language_samples(spark):
     assert sizes["common"] == 320 and 30 <= sizes["rare"] <= 40
     pick = lambda df: {r["__id"] for r in langid.sampled(df, 320).collect()}
     assert pick(docs.repartition(3)) == pick(docs)
+
+
+def test_copies_share_one_weight_and_others_keep_theirs():
+    rng = random.Random(21)
+    base = [rng.randrange(10**6) for _ in range(60)]
+    copies = [sorted({*base[: 60 - i % 4], 10**7 + i}) for i in range(30)]
+    common = list(range(2 * 10**7, 2 * 10**7 + 40))  # in every row, so no sign of a copy
+    others = [sorted({rng.randrange(10**6) for _ in range(60)} | {3 * 10**7 + i % 3}) for i in range(200)]
+    rows = [np.array(sorted(x + common)) for x in copies + others]
+    flat, row = np.unique(np.concatenate(rows), return_inverse=True)[1], np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    weights = toxicity.copy_weights(flat, row, len(rows))
+    assert weights[:30].sum() < 3 and weights[30:].min() == 1.0
+
+
+def test_few_toxic_rows_are_enough():
+    """Thirty toxic rows of one language, marked by words of one beginning with changing ends: the lexicon finds most of the held-out ones."""
+    rng = random.Random(22)
+    known, made = toxicity.Units(), []
+    for i in range(700):
+        words = [f"{rng.choice('abcdefgh')}{rng.choice('klmn')}{rng.randrange(500)}x" for _ in range(80)]
+        toxic = i % 10 == 0
+        if toxic:
+            words += [f"vilest{rng.choice('abcdefghijklm')}{rng.choice('opqr')}" for _ in range(4)]
+        rng.shuffle(words)
+        made.append((*toxicity.parse(" ".join(words).encode(), known), int(toxic)))
+    train, rest = made[:350], made[350:]
+    model = toxicity.fit([m[0] for m in train], np.array([m[1] for m in train]), np.array([m[2] for m in train]))
+    scores = np.array([1 / (1 + np.exp(-model.raw(m[0], m[1]))) for m in rest])
+    truth = np.array([m[2] for m in rest])
+    assert (scores[truth == 1] >= 0.7).mean() >= 0.9 and (scores[truth == 0] >= 0.7).mean() <= 0.02
