@@ -151,14 +151,15 @@ def parse(text: bytes, known: Units) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([units, often]), np.array(structure(text, text.split()))
 
 
-def copy_weights(flat: np.ndarray, row: np.ndarray, n: int, *, hashes: int = 16) -> np.ndarray:
+def copy_weights(flat: np.ndarray, row: np.ndarray, n: int, *, hashes: int = 32) -> np.ndarray:
     """One over the size of each row's group of near copies.
 
     Copies of one text would make its chance words look like evidence. Rows are compared by least hashes of their units
-    that few rows hold: a row belongs to the first row with which it shares one of them, if they share at least half.
+    that at most half of the rows hold: a row belongs to the first row with which it shares one of them, if they share
+    six in ten.
     """
     often = np.bincount(flat)[flat]
-    rare = often <= max(3, n // 50)
+    rare = often <= max(3, n // 2)
     signs = np.tile(np.arange(n, dtype=np.uint64)[:, None], (1, hashes))  # without such units a row is nobody's copy
     held = np.unique(row[rare])
     for i in range(hashes):
@@ -169,7 +170,7 @@ def copy_weights(flat: np.ndarray, row: np.ndarray, n: int, *, hashes: int = 16)
     for i in [*range(hashes), *range(hashes)]:
         _, first, where = np.unique(signs[:, i], return_index=True, return_inverse=True)
         leader = first[where]
-        alike = (signs == signs[leader]).mean(axis=1) >= 0.5
+        alike = (signs == signs[leader]).mean(axis=1) >= 0.6
         group = np.minimum(group, np.where(alike, group[leader], group))
     _, where, size = np.unique(group, return_inverse=True, return_counts=True)
     return 1.0 / size[where]
