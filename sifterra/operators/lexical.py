@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from ..functions.text import tokenize
 BROADCAST_TERMS = 100_000
 #: Decimals of the ranking key: equal texts must tie whatever the order of summation.
 RANK_DECIMALS = 9
+#: Positions of a block of postings.
+BLOCK_ROWS = 64
 
 
 def check_top_k(top_k: int) -> None:
@@ -53,6 +56,13 @@ def idf(n, df):
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def best_chunks(scores: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, pos, chunk_id, score, rank) of the best ``top_k`` positive scores of each query."""
+    order = W.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), "chunk_id", "pos")
+    ranked = scores.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return ranked.select("query_id", "pos", "chunk_id", "score", "rank")
+
+
 #: Stands for the row itself among its terms; no token is empty.
 ROW = ""
 
@@ -76,12 +86,11 @@ class BM25Index:
         check_parameters(k1, b)
         return cls(chunks.withColumnRenamed(pos, "pos"), tokenized(chunks, pos, text, exact, ("chunk_id",)), k1, b)
 
-    def search(self, queries: DataFrame, top_k: int, exact: bool = False) -> DataFrame:
-        """(query_id, pos, chunk_id, score, rank) for all queries in one plan; queries without terms have no hits.
+    def _matched(self, queries: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+        """(query_id, term) of the queries, (pos, chunk_id, term, part) of the chunks that hold one of the terms, and how the first is joined.
 
-        Only terms of the queries leave the scan; scores are partial sums per row.
+        ``part`` is what the term adds to the score of a query that has it. Only terms of the queries leave the scan.
         """
-        check_top_k(top_k)
         asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query"), exact))).alias("term")).persist()
         few = asked.count() <= BROADCAST_TERMS
         hint = F.broadcast if few else (lambda x: x)
@@ -98,12 +107,42 @@ class BM25Index:
         size = corpus_size(counted.filter(F.col("term") == ROW) if few else self.tokens)  # one row
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         weights = df.crossJoin(F.broadcast(size)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-        weighted = asked.join(hint(weights), "term")
         ratio = F.when(F.col("avgdl") == 0, F.lit(0.0)).otherwise(F.col("dl") / F.col("avgdl"))
         part = F.col("idf") * (F.col("tf") * F.lit(self.k1 + 1.0)) / (F.col("tf") + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * ratio))
-        scores = tf.join(hint(weighted), "term").groupBy("query_id", "pos", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
-        order = W.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), "chunk_id", "pos")
-        return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "pos", "chunk_id", "score", "rank")
+        return asked, tf.join(hint(weights), "term").select("pos", "chunk_id", "term", part.alias("part")), hint
+
+    def search(self, queries: DataFrame, top_k: int, exact: bool = False) -> DataFrame:
+        """(query_id, pos, chunk_id, score, rank) for all queries in one plan; queries without terms have no hits. Scores are partial sums per row."""
+        check_top_k(top_k)
+        asked, parts, hint = self._matched(queries, exact)
+        scores = parts.join(hint(asked), "term").groupBy("query_id", "pos", "chunk_id").agg(F.sum("part").alias("score"))
+        return best_chunks(scores, top_k)
+
+    def search_bounded(self, queries: DataFrame, top_k: int, exact: bool = False, *, rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+        """(the rows of ``search``, (query_id, ``blocks``, ``visited``)): blocks of postings that can't matter are skipped.
+
+        A block is a term's postings in a range of ``rows`` positions, with the largest part among them. The sum of
+        those bounds what a query can score in a range. The ranges with the highest bounds are scored first; all others
+        whose bound is below the k-th score found there are never opened. Every term counts in the ranges that are.
+        """
+        check_top_k(top_k)
+        asked, parts, hint = self._matched(queries, exact)
+        place = F.floor(F.col("pos") / rows).alias("range")
+        blocks = parts.groupBy("term", place).agg(F.max("part").alias("top"), F.collect_list(F.struct("pos", "chunk_id", "part")).alias("rows")).persist()
+        bounds = blocks.select("term", "range", "top").join(hint(asked), "term").groupBy("query_id", "range").agg(F.sum("top").alias("bound"), F.count("*").alias("terms")).persist()
+        self.held += [blocks, bounds]
+
+        def scored(pairs: DataFrame) -> DataFrame:
+            opened = pairs.select("query_id", "range").join(hint(asked), "query_id").join(blocks, ["term", "range"])
+            return opened.select("query_id", F.inline("rows")).groupBy("query_id", "pos", "chunk_id").agg(F.sum("part").alias("score"))
+
+        order = W.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+        first = bounds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top_k)
+        least = best_chunks(scored(first), top_k).filter(F.col("rank") == top_k).select("query_id", F.col("score").alias("least"))
+        # sums of the same parts in another order differ by far less
+        left = bounds.join(hint(least), "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.lit(1e-6)))
+        counts = bounds.groupBy("query_id").agg(F.sum("terms").alias("blocks")).join(left.groupBy("query_id").agg(F.sum("terms").alias("visited")), "query_id", "left")
+        return best_chunks(scored(left), top_k), counts.select("query_id", "blocks", F.coalesce("visited", F.lit(0)).alias("visited"))
 
     retrieve = search
 

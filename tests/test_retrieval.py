@@ -120,6 +120,24 @@ def hit_table(spark, **found):
     return spark.createDataFrame([(q, c, i) for q, cs in found.items() for i, c in enumerate(cs, 1)], "query_id string, chunk_id string, rank int")
 
 
+def test_bounded_search(spark):
+    """Blocks are skipped, and hits and scores stay those of the whole search, ties included."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 400) for _ in range(600)] + ["rare pair of words", "rare pair"] * 3
+    chunks = chunk_table(spark, texts, [f"c{i % 590:04d}x{i}" for i in range(len(texts))])
+    queries = ask(spark, "rare pair", "w1 w2 w3", "w7 w350", "nothing", "w1", "")
+    index = lexical.BM25Index.build(chunks)
+    for k in (1, 3, 50):
+        hits, counts = index.search_bounded(queries, k, rows=8)
+        key = lambda r: (r["query_id"], r["rank"], r["pos"], r["chunk_id"], round(r["score"], 9))
+        assert sorted(map(key, hits.collect())) == sorted(map(key, index.search(queries, k).collect()))
+        total = counts.agg(F.sum("blocks").alias("blocks"), F.sum("visited").alias("visited")).first()
+        assert k > 3 or total["visited"] < total["blocks"]
+    index.close()
+    with pytest.raises(ValueError, match="top_k"):
+        index.search_bounded(queries, 0)
+
+
 @pytest.mark.parametrize("query_bytes", [1 << 20, 1600, 160])
 def test_top_k_on_a_grid(spark, query_bytes):
     """One block of queries that is broadcast, and grids of several blocks, against sorting every score."""
