@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Characters that end a line, and those that count as white space (fixed values of Unicode).
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
@@ -49,15 +50,52 @@ def casefold(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokenize_exact(texts: pd.Series) -> pd.Series:
-    token = re.compile(r"[^\W_]+(?:[_-][^\W_]+)*")
-    return texts.map(lambda t: None if t is None else token.findall(t.casefold()))
+def _as_class(code_points: Iterable[int]) -> str:
+    """Inside of a character class: ranges of code points."""
+    out: list[list[int]] = []
+    for c in sorted(code_points):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+@functools.cache
+def _python_token() -> str:
+    """``TOKEN`` with Python's letters and digits: the JVM's classes, and what the two disagree about."""
+    mine, others = [], []
+    for c in range(sys.maxunicode + 1):
+        if not 0xD800 <= c < 0xE000:
+            (mine if chr(c).isalnum() else others).append(chr(c))
+    row = SparkSession.active().createDataFrame(pa.table({"mine": ["".join(mine)], "others": ["".join(others)]}))
+    known = row.select(F.regexp_replace("mine", r"[\p{L}\p{N}]", "").alias("more"), F.regexp_replace("others", r"[^\p{L}\p{N}]", "").alias("less")).first()
+    more, less = (_as_class(map(ord, x)) for x in known)
+    letter = rf"[\p{{L}}\p{{N}}{more}]"
+    letter = f"[{letter}&&[^{less}]]" if less else letter
+    return f"{letter}+(?:[_-]{letter}+)*"
+
+
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other, what they fold to, and those that fold to several."""
+    folded = {chr(c): chr(c).casefold() for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+    one = {a: b for a, b in folded.items() if len(b) == 1}
+    return "".join(one), "".join(one.values()), {a: b for a, b in folded.items() if len(b) > 1}
+
+
+def casefold_exact(text: Column) -> Column:
+    """Python's full case folding, character by character."""
+    source, target, several = _folds()
+    spread = functools.reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), several.items(), text)
+    return F.translate(F.when(text.rlike(f"[{_as_class(map(ord, several))}]"), spread).otherwise(text), source, target)
 
 
 def tokenize(text: Column, exact: bool = False) -> Column:
-    """Tokens in order. ``exact`` follows Python's full case folding and its newer Unicode tables, by Arrow batches."""
-    return _tokenize_exact(text) if exact else F.regexp_extract_all(casefold(text), F.lit(TOKEN), F.lit(0))
+    """Tokens in order. ``exact`` follows Python's full case folding and its newer Unicode tables, natively too."""
+    if exact:
+        return F.regexp_extract_all(casefold_exact(text), F.lit(_python_token()), F.lit(0))
+    return F.regexp_extract_all(casefold(text), F.lit(TOKEN), F.lit(0))
 
 
 def is_separator_only(content: Column) -> Column:
