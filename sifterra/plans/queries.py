@@ -208,16 +208,31 @@ def evaluation_jsonl(spark, sf_dir):
     return rows.select("query_id", "judged", "recall", F.col("c.rank").cast("long").alias("rank"), F.col("c.chunk_id").alias("chunk_id"), F.round("c.score", 6).alias("score"), F.col("c.relevance").cast("long").alias("relevance"), F.md5(F.col("c.content").cast("binary")).alias("content_md5"))
 
 
-def report_counts(spark, sf_dir):
-    """What the error report of BM25 against the dense index says in its summary, and how often it shows a result."""
+def _both_sides(spark, sf_dir):
+    """Whole evaluations of BM25 and of the dense index, compared."""
     golden, chunks = _golden(spark, sf_dir), _corpus(spark, sf_dir)
     lexical_side = evaluation.evaluate_queries(golden, _lexical_hits(spark, sf_dir), chunks, TOP_K)
     dense_side = evaluation.evaluate_queries(golden, _dense_hits(spark, sf_dir), chunks, TOP_K)
     with_pos = lambda df: df.join(golden.select("query_id", F.col("query_pos").alias("pos")), "query_id")
-    lines, _ = report.report_lines(golden, evaluation.compare(with_pos(lexical_side), with_pos(dense_side)), HASHING.model_name, TOP_K, 100)
-    summary = {title: line.split("|")[2].strip() for title, _ in report.SUMMARY for line in lines if line.startswith(f"| {title} |")}
-    facts = {**summary, "queries": next(x for x in lines if x.startswith("- Golden queries: ")).split(": ")[1], "shown": sum(x.startswith("   - **Relevance:**") for x in lines)}
-    return spark.createDataFrame(pa.table({"fact": list(facts), "n": [int(x) for x in facts.values()]}))
+    return golden, evaluation.compare(with_pos(lexical_side), with_pos(dense_side))
+
+
+def report_counts(spark, sf_dir):
+    """What the error report of BM25 against the dense index says in its summary, and how often its parts show a result."""
+    golden, compared = _both_sides(spark, sf_dir)
+    titles = F.create_map(*[F.lit(x) for title, key in report.SUMMARY for x in (key, title)])
+    summary = evaluation.category_counts(compared).select(titles[F.col("category")].alias("fact"), "n")
+    asked = evaluation.golden_counts(golden).select(F.lit("queries").alias("fact"), F.col("query_count").alias("n"))
+    lines = report.query_parts(compared, TOP_K, 100).select(F.explode("lines").alias("line"))
+    shown = lines.agg(F.lit("shown").alias("fact"), F.count_if(F.col("line").startswith("   - **Relevance:**")).alias("n"))
+    return summary.union(asked).union(shown)
+
+
+def report_text(spark, sf_dir):
+    """The report's part of every query that a side missed: its lines and their digest."""
+    parts = report.query_parts(_both_sides(spark, sf_dir)[1], TOP_K, 100)
+    whole = parts.withColumn("text", F.array_join("lines", "\n"))
+    return whole.select("query_id", "category", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 def _talks(spark, sf_dir):
@@ -492,7 +507,7 @@ QUERIES = {
     "chunk_stats": chunk_stats, "largest_chunks": largest_chunks, "smallest_chunks": smallest_chunks, "fence_detect": fence_detect, "embed_udf": embed_udf,
     "dense_index": dense_index, "golden_jsonl": golden_jsonl, "evaluation_jsonl": evaluation_jsonl, "chunk_jsonl": chunk_jsonl, "report_counts": report_counts, "sections_fenced": sections_fenced,
     "sections_lines": sections_lines, "chunk_fenced": chunk_fenced, "jsonl_positions": jsonl_positions,
-    "compare_sinks": compare_sinks, "scan_tree": scan_tree, "index_counts": index_counts, "matrix_file": matrix_file, "dense_topk_grid": dense_topk_grid, "bm25_bounded": bm25_bounded,
+    "compare_sinks": compare_sinks, "scan_tree": scan_tree, "index_counts": index_counts, "matrix_file": matrix_file, "dense_topk_grid": dense_topk_grid, "bm25_bounded": bm25_bounded, "report_text": report_text,
 }
 
 _DENSE_FIRST = "dense_first AS (SELECT g.item_id, min(rank) AS other FROM gold g LEFT JOIN dense_hits h ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY 1)"
@@ -553,3 +568,19 @@ ORACLES = {
 ORACLES["sections_lines"] = ORACLES["sections_fenced"]
 ORACLES["dense_topk_grid"], ORACLES["matrix_file"] = ORACLES["dense_topk"], ORACLES["l2_normalize"]
 ORACLES["bm25_bounded"] = ORACLES["bm25_topk"]
+_SHOWN = """shown AS (SELECT doc_id, source, lang, shown, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(shown, '`+'), lambda x: length(x))), 0) + 1)) AS fence
+    FROM (SELECT doc_id, source, lang, CASE WHEN length(text) <= 100 THEN text ELSE regexp_replace(substring(text, 1, 100), '\\s+$', '') || chr(10) || chr(10) || '<content truncated>' END AS shown FROM documents))"""
+_SIDE = """{name}_side AS (SELECT h.item_id, string_agg(rank || '. `' || h.doc_id || '` — score `' || printf('%.6f', h.score) || '`' || chr(10) || '   - **Relevance:** ' || coalesce(rel, 0) || CASE WHEN rel > 0 THEN ' (релевантный по golden)' ELSE ' (не размечен как релевантный)' END || chr(10)
+        || '   - **Path:** `' || source || '`' || chr(10) || '   - **Section:** ' || coalesce(nullif(lang, ''), '<no heading>') || chr(10) || chr(10) || '<details>' || chr(10) || '<summary>Показать content</summary>' || chr(10) || chr(10)
+        || fence || 'text' || chr(10) || shown || chr(10) || fence || chr(10) || chr(10) || '</details>' || chr(10), chr(10) ORDER BY rank) AS body
+    FROM {hits} h JOIN shown USING (doc_id) LEFT JOIN gold g ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY h.item_id)"""
+_PART = """'#### {title} top-5' || chr(10) || chr(10) || '**Первый релевантный rank:** ' || coalesce(CAST({rank} AS VARCHAR), 'не найден') || chr(10) || chr(10) || coalesce({name}_side.body, 'Нет результатов.' || chr(10))"""
+_GUESS = " ".join(f"WHEN '{key}' THEN '{guess}'" for _, key, guess in report.GROUPS)
+ORACLES["report_text"] = f"""WITH {_METRICS}, {_CATEGORY}, {_SHOWN}, {_SIDE.format(name="lexical", hits="hits")}, {_SIDE.format(name="dense", hits="dense_hits")},
+judged_ids AS (SELECT item_id, string_agg('- `' || doc_id || '`', chr(10) ORDER BY CAST(doc_id AS VARCHAR)) AS ids FROM gold GROUP BY 1),
+whole AS (SELECT query_id, category, '### query-id: `' || query_id || '`' || chr(10) || chr(10) || '**Запрос:** ' || b.text || chr(10) || chr(10) || '**Golden chunks:**' || chr(10) || chr(10) || ids || chr(10) || chr(10)
+    || '**Автоматическая гипотеза:** ' || CASE category {_GUESS} END || chr(10) || chr(10) || {_PART.format(title="BM25", name="lexical", rank="first_relevant_rank")} || chr(10) || {_PART.format(title="Dense", name="dense", rank="other")} || chr(10)
+    || '{chr(10).join(report.TODO)}' AS text
+    FROM both_sides JOIN metrics USING (query_id) JOIN benchmark b ON query_id = CAST(b.item_id AS VARCHAR) JOIN judged_ids USING (item_id) JOIN dense_first USING (item_id)
+    LEFT JOIN lexical_side USING (item_id) LEFT JOIN dense_side USING (item_id) WHERE category <> 'both_hit')
+SELECT query_id, category, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, md5(text) AS md5 FROM whole"""

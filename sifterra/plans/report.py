@@ -1,10 +1,11 @@
-"""The Markdown error report of a comparison: a few rows of text, made on the driver."""
+"""The Markdown error report of a comparison. The part of each query is made where its row is; the driver writes them one after another."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_fence, truncate
@@ -31,52 +32,76 @@ def block(title: str, *lines: str) -> list[str]:
     return [title, "", *lines, ""] if lines else [title, ""]
 
 
-def result_lines(name: str, result: dict, top_k: int) -> list[str]:
-    rank = result["first_relevant_rank"]
-    out = block(f"#### {name} top-{top_k}", f"**Первый релевантный rank:** {'не найден' if rank is None else rank}")
-    if not result["retrieved_chunks"]:
-        return [*out, "Нет результатов.", ""]
-    for c in result["retrieved_chunks"]:
-        label = "релевантный по golden" if c["relevance"] > 0 else "не размечен как релевантный"
-        out += [
-            f"{c['rank']}. `{c['chunk_id']}` — score `{c['score']:.6f}`", f"   - **Relevance:** {c['relevance']} ({label})",
-            f"   - **Path:** `{c['relative_path']}`", f"   - **Section:** {' > '.join(c['section_path']) or '<no heading>'}", "",
-            "<details>", "<summary>Показать content</summary>", "", f"{c['fence']}text", *c["content"].split("\n"), c["fence"], "", "</details>", "",
-        ]
-    return out
+def _texts(*lines: str | Column) -> Column:
+    return F.array(*[x if isinstance(x, Column) else F.lit(x) for x in lines])
 
 
-def report_lines(golden: DataFrame, compared: DataFrame, model_name: str, top_k: int, content_limit: int) -> tuple[list[str], dict[str, int]]:
-    counts = dict.fromkeys(evaluation.CATEGORIES, 0) | {r["category"]: r["n"] for r in evaluation.category_counts(compared).collect()}
+def _said(*parts: str | Column) -> Column:
+    return F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
+
+
+def result_lines(name: str, result: Column, top_k: int, content_limit: int) -> Column:
+    """Lines of one retriever's result for a query."""
+
+    def chunk(c: Column) -> Column:
+        shown = truncate(c["content"], content_limit, HIDDEN, CUT)
+        fence = code_fence(shown)
+        label = F.when(c["relevance"] > 0, "релевантный по golden").otherwise("не размечен как релевантный")
+        section = F.when(F.size(c["section_path"]) > 0, F.array_join(c["section_path"], " > ")).otherwise("<no heading>")
+        section = F.when(section == "", "<no heading>").otherwise(section)
+        head = _texts(
+            _said(c["rank"], ". `", c["chunk_id"], "` — score `", F.format_string("%.6f", c["score"]), "`"), _said("   - **Relevance:** ", c["relevance"], " (", label, ")"),
+            _said("   - **Path:** `", c["relative_path"], "`"), _said("   - **Section:** ", section), "", "<details>", "<summary>Показать content</summary>", "", _said(fence, "text"),
+        )
+        return F.concat(head, F.split(shown, "\n", -1), _texts(fence, "", "</details>", ""))
+
+    rank = F.coalesce(result["first_relevant_rank"].cast("string"), F.lit("не найден"))
+    head = _texts(f"#### {name} top-{top_k}", "", _said("**Первый релевантный rank:** ", rank), "")
+    found = result["retrieved_chunks"]
+    return F.concat(head, F.when(F.size(found) == 0, _texts("Нет результатов.", "")).otherwise(F.flatten(F.transform(found, chunk))))
+
+
+def query_parts(compared: DataFrame, top_k: int, content_limit: int) -> DataFrame:
+    """(``part``, ``category``, ``pos``, ``query_id``, ``lines``) of every query that at least one retriever missed."""
+    order = {key: i for i, (_, key, _) in enumerate(GROUPS)}
+    part = F.coalesce(*[F.when(F.col("category") == key, i) for key, i in order.items()])
+    guess = F.coalesce(*[F.when(F.col("category") == key, text) for _, key, text in GROUPS])
+    one, two = F.col("lexical_result"), F.col("dense_result")
+    lines = F.concat(
+        _texts(_said("### query-id: `", F.col("query_id"), "`"), "", _said("**Запрос:** ", F.col("query")), "", "**Golden chunks:**", ""),
+        F.transform(one["relevant_chunk_ids"], lambda c: _said("- `", c, "`")), _texts("", _said("**Автоматическая гипотеза:** ", guess), ""),
+        result_lines("BM25", one, top_k, content_limit), result_lines("Dense", two, top_k, content_limit), _texts(*TODO),
+    )
+    return compared.filter(F.col("category").isin(*order)).select(part.alias("part"), "category", "pos", "query_id", lines.alias("lines"))
+
+
+def report_lines(golden: DataFrame, compared: DataFrame, model_name: str, top_k: int, content_limit: int) -> tuple[Iterator[str], dict[str, int]]:
+    """The report line by line, of which the driver holds one query's at a time, and the number of queries in each category."""
+    counts = {r["category"]: r["n"] for r in evaluation.category_counts(compared).collect()}
     total = evaluation.golden_counts(golden).first()
     if sum(counts.values()) != total["answerable_count"]:
         raise ValueError(f"Comparison query count does not match answerable golden query count: {sum(counts.values())} != {total['answerable_count']}")
-    lines = block("# Retrieval Error Analysis") + block(
-        "## Контекст", f"- Golden queries: {total['query_count']}", f"- Answerable queries: {total['answerable_count']}", f"- Top-K: {top_k}", "- Lexical retriever: BM25", f"- Dense retriever: `{model_name}`"
-    )
-    lines += block("## Сводка", "| Группа | Количество |", "|---|---:|", *(f"| {title} | {counts[key]} |" for title, key in SUMMARY))
-    lines += block("## Категории ошибок", *(f"- `{c}`" for c in CATEGORIES))
-
-    def shown(side: str):
-        cut = lambda c: truncate(c["content"], content_limit, HIDDEN, CUT)
-        found = F.transform(f"{side}.retrieved_chunks", lambda c: c.withField("fence", code_fence(cut(c))).withField("content", cut(c)))
-        return F.col(side).withField("retrieved_chunks", found).alias(side)
-
-    texts = compared.filter(F.col("category") != "both_hit").select("pos", "query_id", "query", "category", shown("lexical_result"), shown("dense_result")).orderBy("pos", "query_id")
-    rows = [r.asDict(recursive=True) for r in texts.toLocalIterator()]
-    for title, key, guess in GROUPS:
-        lines += block(f"## {title}")
-        own = [r for r in rows if r["category"] == key]
-        if not own:
-            lines += ["В этой группе нет запросов.", ""]
-        for r in own:
-            lines += block(f"### query-id: `{r['query_id']}`", f"**Запрос:** {r['query']}", "", "**Golden chunks:**", "", *(f"- `{c}`" for c in r["lexical_result"]["relevant_chunk_ids"]))
-            lines += [f"**Автоматическая гипотеза:** {guess}", ""]
-            lines += result_lines("BM25", r["lexical_result"], top_k) + result_lines("Dense", r["dense_result"], top_k) + list(TODO)
-    lines += block("## Итоговые наблюдения")
-    for name in OPEN_SECTIONS:
-        lines += block(f"### {name}", "TODO")
-    return lines, counts
+
+    def lines() -> Iterator[str]:
+        yield from block("# Retrieval Error Analysis") + block(
+            "## Контекст", f"- Golden queries: {total['query_count']}", f"- Answerable queries: {total['answerable_count']}", f"- Top-K: {top_k}", "- Lexical retriever: BM25", f"- Dense retriever: `{model_name}`"
+        )
+        yield from block("## Сводка", "| Группа | Количество |", "|---|---:|", *(f"| {title} | {counts[key]} |" for title, key in SUMMARY))
+        yield from block("## Категории ошибок", *(f"- `{c}`" for c in CATEGORIES))
+        parts = query_parts(compared, top_k, content_limit).orderBy("part", "pos", "query_id").toLocalIterator()
+        row = next(parts, None)
+        for i, (title, _, _) in enumerate(GROUPS):
+            yield from block(f"## {title}")
+            if row is None or row["part"] != i:
+                yield from ("В этой группе нет запросов.", "")
+            while row is not None and row["part"] == i:
+                yield from row["lines"]
+                row = next(parts, None)
+        yield from block("## Итоговые наблюдения")
+        for name in OPEN_SECTIONS:
+            yield from block(f"### {name}", "TODO")
+
+    return lines(), counts
 
 
 def write_report(golden: DataFrame, lexical: DataFrame, dense: DataFrame, metadata_path: str | Path, output_root: str | Path, top_k: int, content_limit: int = 1_500) -> tuple[Path, dict[str, int]]:
@@ -89,5 +114,13 @@ def write_report(golden: DataFrame, lexical: DataFrame, dense: DataFrame, metada
     lines, counts = report_lines(golden, evaluation.compare(lexical, dense), name, top_k, content_limit)
     path = Path(output_root) / f"top_{top_k}" / "error_analysis.md"
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text("\n".join(lines).rstrip() + "\n", encoding="utf-8")
+    blank = 0
+    with path.open("w", encoding="utf-8", newline="\n") as file:
+        for line in lines:
+            # blank lines at the very end are left out
+            if line.strip():
+                file.write("\n" * blank + line + "\n")
+                blank = 0
+            else:
+                blank += 1
     return path, counts
