@@ -2,8 +2,9 @@
 
 Equal vectors are one point with a weight.  A bounded sample gives pivots; a
 point belongs to the cell of its nearest pivot at the smallest halving radius
-that covers it, and pairs of cells whose covering radii keep them apart are
-never brought together.  Cells are packed or cut into blocks of bounded size, a
+that covers it; cells too large for a block are cut again by pivots of their own.
+Pairs of cells whose covering radii keep them apart are never brought together,
+large ones wholly within reach of each other are not compared.  Cells are packed or cut into blocks of bounded size, a
 cover tree is built once for each block, and every remaining pair of blocks is
 one task that walks both trees: node pairs beyond reach are pruned, node pairs
 wholly within reach are counted without looking at their points.  No pair of
@@ -13,20 +14,24 @@ vectors leaves a task, only link counts and a spanning forest.
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, small_table, spread_join
+from .common import BROADCAST_IDS, materialise, small_table, spread_join
 from .components import components, find
 
 #: Sampled points that may become pivots, and points of a block.
 PIVOTS, BLOCK = 256, 3_072
 #: Halvings of the radius for cells.
 LEVELS = 6
+#: How often large cells are cut, and about how many sampled points all cells that are cut get together.
+ROUNDS, SAMPLED = 5, 16_384
 #: Points that a tree node keeps undivided.
 LEAF = 48
 #: Cosines so near the threshold are taken again with exact sums.
@@ -190,12 +195,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     infinite = F.lit(float("inf"))
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite)) & F.exists("v", lambda x: x != 0)
     points = materialise(rows.filter(good).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "points")
-    found = None
-    for length in sorted(r[0] for r in points.select(F.size("v")).distinct().collect()):
-        part = _links(points.filter(F.size("v") == length), threshold, kind)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "id long, n long, root long, forest boolean")
+    found = _links(points, threshold, kind)
     found = materialise(found, "vector-links")
     counts = found.filter(~F.col("forest")).groupBy("id").agg(F.sum("n").alias("n"))
     linked = components(found.filter("forest").select("id", "root"))
@@ -206,60 +206,162 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return known.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+class Cells:
+    """The cells of all rounds, on the driver: a row for each, with its centre and how far its points are from it.
+
+    A cell is apart from another, or wholly within reach of it, if their centres and reaches say so. Only cells of
+    vectors of one length are compared; those of a later round only if the cells that they are cut from are not apart.
+    """
+
+    def __init__(self, theta: float):
+        self.theta, self.length, self.centre, self.facts, self.children = theta, [], [], [], {}
+
+    def add(self, parent: int, length: int, centre: np.ndarray | None, facts: tuple) -> int:
+        """``facts``: points, weight, least and most reach, smallest id."""
+        self.length.append(length)
+        self.centre.append(centre)
+        self.facts.append(facts)
+        self.children.setdefault(parent, []).append(len(self.facts) - 1)
+        return len(self.facts) - 1
+
+    def tight(self, cell: int) -> bool:
+        """Whether all points of the cell link with each other."""
+        return 2 * self.facts[cell][3] < self.theta - SLACK
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of cells without children that may hold links, of which both orders and each cell with itself; which of them are wholly within reach)."""
+        found, whole = [], []
+        for root in self.children.get(-1, []):
+            roots = np.array(self.children.get(root, []), np.int64)
+            some = max(1, (1 << 15) // max(1, len(roots)))
+            stack = [np.stack([np.repeat(x, len(roots)), np.tile(roots, len(x))], axis=1) for x in (roots[i : i + some] for i in range(0, len(roots), some))]
+            centres: dict[int, np.ndarray] = {}
+            while stack:
+                both = stack.pop()
+                if len(both) > 1 << 15:
+                    stack += np.array_split(both, 1 + (len(both) >> 15))
+                    continue
+                if not len(both):
+                    continue
+                names, where = np.unique(both, return_inverse=True)
+                where = where.reshape(both.shape)
+                held = np.array([centres.setdefault(c, self.centre[c]) for c in names.tolist()])
+                least, most = (np.array([self.facts[c][k] for c in names.tolist()]) for k in (2, 3))
+                gap = angles(np.einsum("ij,ij->i", held[where[:, 0]], held[where[:, 1]]))
+                gap[both[:, 0] == both[:, 1]] = 0.0
+                (la, lb), (ma, mb) = least[where].T, most[where].T
+                near = np.maximum(gap - ma - mb, np.maximum(lb - gap - ma, la - gap - mb)) <= self.theta + SLACK
+                near |= both[:, 0] == both[:, 1]
+                inner = np.array([c in self.children for c in names.tolist()])[where].any(axis=1)
+                done = near & ~inner
+                found.append(both[done])
+                whole.append((gap + ma + mb < self.theta - SLACK)[done])
+                for a, b in both[near & inner].tolist():
+                    x, y = self.children.get(a, [a]), self.children.get(b, [b])
+                    stack.append(np.stack([np.repeat(x, len(y)), np.tile(y, len(x))], axis=1))
+        return (np.concatenate(found), np.concatenate(whole)) if found else (np.zeros((0, 2), np.int64), np.zeros(0, bool))
+
+
 def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
-    """(id, n, root, forest): link counts and forest links among vectors of one length."""
+    """(id, n, root, forest): link counts and forest links among vectors of equal lengths.
+
+    Cells of more than ``BLOCK`` points that don't all link with each other are cut again, by pivots of their own, until
+    cuts no longer help; what is left of such sizes is dealt to blocks by hash. A cell wholly within reach of itself or
+    of another large one needs no comparison.
+    """
     spark, theta = points.sparkSession, float(np.arccos(threshold))
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()  # a fixed number of rows
-    pivots = unit(np.array([r["v"] for r in sample]))
-    apart: list[int] = []
-    for i in range(len(pivots)):
-        if not apart or angles(pivots[apart] @ pivots[i]).min() > theta / 2:
-            apart.append(i)
-    shared = spark.sparkContext.broadcast(pivots[apart])
-
-    def to_cells(batches):
+    cells = Cells(theta)
+
+    def as_bytes(batches):
         for batch in batches:
-            raw = _matrix(batch.column(0), kind)
-            if len(raw):
-                gap = angles(unit(raw) @ shared.value.T)
-                nearest, reach = gap.argmin(axis=1), gap.min(axis=1)
-                level = np.clip(np.floor(np.log2(np.pi / np.maximum(reach, 1e-9))), 0, LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in raw], pa.binary()), *batch.columns[1:], pa.array(nearest * (LEVELS + 1) + level.astype(np.int64)), pa.array(reach)], names=["raw", "id", "weight", "cell", "reach"])
-
-    cells = materialise(points.select("v", "id", "weight").mapInArrow(to_cells, "raw binary, id long, weight long, cell long, reach double"), "cells")
-    table = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("least"), F.max("reach").alias("most")).orderBy("cell").collect()
-    if not table:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            ends = np.cumsum(batch.column(0).value_lengths().to_numpy()) * np.dtype(kind).itemsize
+            vectors = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), *batch.columns[1:]], names=["raw", "id", "weight", "cell"])
+
+    pending = points.select("v", "id", "weight", F.size("v").cast("long").alias("cell")).mapInArrow(as_bytes, "raw binary, id long, weight long, cell long")
+    # cells of the start: one for each length of vectors
+    root = {r[0]: cells.add(-1, r[0], None, (r[1], 0, 0.0, np.pi, 0)) for r in points.groupBy(F.size("v")).count().orderBy(F.size("v")).collect()}
+    cut, settled = {length: c for length, c in root.items()}, []
+    for turn in range(ROUNDS):
+        if not cut:
+            break
+        most = max(8, min(PIVOTS, SAMPLED // len(cut)))
+        nth = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+        sample = pending.withColumn("nth", nth).filter(F.col("nth") <= most).select("cell", "raw").collect()  # a bounded number of rows
+        rows: dict[int, list[bytes]] = {}
+        for r in sample:
+            rows.setdefault(r["cell"], []).append(bytes(r["raw"]))
+        pivots = {}
+        for key, held in rows.items():
+            held = unit(np.array([np.frombuffer(x, kind) for x in sorted(held, key=zlib.crc32)]))
+            kept: list[int] = []
+            for i in range(len(held)):
+                if not kept or angles(held[kept] @ held[i]).min() > (theta / 2 if turn == 0 else 1e-6):
+                    kept.append(i)
+            pivots[key] = held[kept]
+        shared = spark.sparkContext.broadcast(pivots)
+
+        def to_cells(batches, shared=shared):
+            for batch in batches:
+                raw, key = batch.column(0).to_pylist(), batch.column(3).to_numpy()
+                nearest, level, reach = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key))
+                for k in np.unique(key).tolist():
+                    mine = np.flatnonzero(key == k)
+                    gap = angles(unit(np.frombuffer(b"".join(raw[i] for i in mine.tolist()), kind).reshape(len(mine), -1)) @ shared.value[k].T)
+                    nearest[mine], reach[mine] = gap.argmin(axis=1), gap.min(axis=1)
+                    level[mine] = np.clip(np.floor(np.log2(np.pi / np.maximum(reach[mine], 1e-9))), 0, LEVELS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array(level), pa.array(reach)], names=["raw", "id", "weight", "cell", "pivot", "level", "reach"])
+
+        placed = materialise(pending.mapInArrow(to_cells, "raw binary, id long, weight long, cell long, pivot long, level long, reach double"), "cells")
+        facts = placed.groupBy("cell", "pivot", "level").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("reach").alias("least"), F.max("reach").alias("most"), F.min("id").alias("first"))
+        made, following = [], {}
+        for r in facts.orderBy("cell", "pivot", "level").collect():  # a bounded number of cells for each that was cut
+            parent = cut[r["cell"]]
+            new = cells.add(parent, cells.length[parent], pivots[r["cell"]][r["pivot"]], (r["n"], r["w"], r["least"], r["most"], r["first"]))
+            again = r["n"] > BLOCK and not cells.tight(new) and r["n"] <= 0.9 * cells.facts[parent][0] and turn + 1 < ROUNDS
+            made.append((r["cell"], r["pivot"], r["level"], new, again))
+            if again:
+                following[new] = new
+        named = small_table(spark, {n: pa.array([m[i] for m in made], t) for i, (n, t) in enumerate((("cell", pa.int64()), ("pivot", pa.int64()), ("level", pa.int64()), ("new", pa.int64()), ("again", pa.bool_())))})
+        named = placed.join(F.broadcast(named) if len(made) <= BROADCAST_IDS else named, ["cell", "pivot", "level"]).select("raw", "id", "weight", F.col("new").alias("cell"), "again")
+        settled.append(named.filter(~F.col("again")).drop("again"))
+        pending, cut = named.filter("again").drop("again"), following
+    if not root:
         return spark.createDataFrame([], "id long, n long, root long, forest boolean")
-    # at most pivots * levels cells: packed into groups, or one group of several blocks when large
-    table.sort(key=lambda r: (-(r["cell"] % (LEVELS + 1)), r["cell"]))
-    group_of, group, held = [], -1, BLOCK
-    for r in table:
-        if held + r["n"] > BLOCK:
-            group, held = group + 1, 0
-        group_of.append(group)
-        held += r["n"]
-    sizes = np.bincount(group_of, [r["n"] for r in table]).astype(int)
+    table = settled[0]
+    for more in settled[1:]:
+        table = table.union(more)
+    leaves = [c for c in range(len(cells.facts)) if cells.centre[c] is not None and c not in cells.children]
+    # packed into groups of vectors of one length, or one group of several blocks when large
+    group_of, group, held, before = {}, -1, BLOCK, None
+    for c in sorted(leaves, key=lambda c: (cells.length[c], c)):
+        n = cells.facts[c][0]
+        if held + n > BLOCK or cells.length[c] != before:
+            group, held, before = group + 1, 0, cells.length[c]
+        group_of[c] = group
+        held += n
+    sizes = np.bincount([group_of[c] for c in leaves], [cells.facts[c][0] for c in leaves]).astype(int)
     blocks = np.ceil(sizes / BLOCK).astype(int)
-    where = np.array([r["cell"] // (LEVELS + 1) for r in table])
-    least, most = (np.array([r[c] for r in table]) for c in ("least", "most"))
-    gap = angles(shared.value @ shared.value.T)[np.ix_(where, where)]
-    bound = np.maximum(gap - most[:, None] - most[None, :], np.maximum(least[None, :] - gap - most[:, None], least[:, None] - gap - most[None, :]))
-    meet = np.zeros((len(sizes), len(sizes)), bool)
-    a, b = np.nonzero(bound <= theta + SLACK)
-    meet[np.array(group_of)[a], np.array(group_of)[b]] = True
-    groups = small_table(spark, {"cell": pa.array([r["cell"] for r in table], pa.int64()), "grp": pa.array(group_of, pa.int64()), "blocks": pa.array(blocks[group_of], pa.int64())})
-    one, two = np.nonzero(meet)
-    partners = small_table(spark, {"grp": pa.array(one, pa.int64()), "other": pa.array(two, pa.int64()), "others": pa.array(blocks[two], pa.int64())})
+    both, whole = cells.pairs()
+    large = np.array([cells.facts[c][0] > BLOCK for c in range(len(cells.facts))])
+    whole &= large[both].all(axis=1)  # these have groups of their own
+    compared = both[~whole]
+    meet = np.unique(np.stack([np.array([group_of[c] for c in side.tolist()], np.int64) for side in compared.T], axis=1), axis=0) if len(compared) else np.zeros((0, 2), np.int64)
+    groups = small_table(spark, {"cell": pa.array(leaves, pa.int64()), "grp": pa.array([group_of[c] for c in leaves], pa.int64()), "blocks": pa.array(blocks[[group_of[c] for c in leaves]], pa.int64())})
+    partners = small_table(spark, {"grp": pa.array(meet[:, 0], pa.int64()), "other": pa.array(meet[:, 1], pa.int64()), "others": pa.array(blocks[meet[:, 1]] if len(meet) else [], pa.int64())})
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(block["raw"]), kind).reshape(len(block), -1)
         packed = pickle.dumps((raw, block["id"].to_numpy(), block["weight"].to_numpy(), CoverTree(unit(raw))), protocol=5)
         return pd.DataFrame({"grp": block["grp"].iloc[:1].to_numpy(), "part": block["part"].iloc[:1].to_numpy(), "block": [packed]})
 
-    dealt = cells.join(F.broadcast(groups), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    needed = bounded(groups, len(leaves)).join(bounded(partners.select("grp").distinct(), len(meet)), "grp", "left_semi")
+    dealt = table.join(F.broadcast(needed) if len(leaves) <= BROADCAST_IDS else needed, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
     trees = materialise(dealt.select("grp", "part", "raw", "id", "weight").groupBy("grp", "part").applyInPandas(build, "grp long, part long, block binary"), "cover-trees")
     mine = F.struct("grp", "part")
-    met = trees.join(F.broadcast(partners), "grp").withColumn("other_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    met = trees.join(bounded(partners, len(meet)), "grp").withColumn("other_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     other = F.struct(F.col("other").alias("grp"), F.col("other_part").alias("part"))
     met = met.select(F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), "block")
 
@@ -273,9 +375,31 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
         dual.run()
         return dual.result()
 
-    return met.groupBy("one", "two").applyInPandas(walk, "id long, n long, root long, forest boolean")
-
-
-def _matrix(column: pa.Array, kind: type) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    walked = met.groupBy("one", "two").applyInPandas(walk, "id long, n long, root long, forest boolean")
+    return walked.union(_whole(table, cells, both[whole])) if whole.any() else walked
+
+
+def _whole(table: DataFrame, cells: Cells, pairs: np.ndarray) -> DataFrame:
+    """Links of large cells wholly within each other's reach: every point with every other, counted by the cells' weights."""
+    parent: dict[int, int] = {}
+    others, own = dict.fromkeys(np.unique(pairs).tolist(), 0), set()
+    for a, b in pairs.tolist():
+        x, y = find(parent, a), find(parent, b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+        if a == b:
+            own.add(a)
+        else:
+            others[a] += cells.facts[b][1]  # both orders of a pair are given
+    first: dict[int, int] = {}
+    for c in others:
+        r = find(parent, c)
+        first[r] = min(first.get(r, cells.facts[c][4]), cells.facts[c][4])
+    named = small_table(table.sparkSession, {
+        "cell": pa.array(others, pa.int64()), "n": pa.array([n + (cells.facts[c][1] if c in own else 0) for c, n in others.items()], pa.int64()),
+        "own": pa.array([c in own for c in others], pa.bool_()), "root": pa.array([first[find(parent, c)] for c in others], pa.int64()),
+    })
+    rows = table.join(F.broadcast(named) if len(others) <= BROADCAST_IDS else named, "cell")
+    counted = rows.select("id", (F.col("n") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("n"), F.lit(-1).cast("long").alias("root"), F.lit(False).alias("forest"))
+    joined = rows.filter("id <> root").select("id", F.lit(0).cast("long").alias("n"), "root", F.lit(True).alias("forest"))
+    return counted.union(joined)
