@@ -128,6 +128,11 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop_rows(docs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     """``docs`` without the rows whose ``key`` stands in ``bad`` (one column); rows with a NULL key stay.
 

@@ -102,7 +102,7 @@ def spherical_clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray
 
 def language_centroids(totals: list[bytes], idf: np.ndarray, k: int) -> list[tuple[bytes, float, float]]:
     """(vector, share, reach) of each cluster of one language's documents."""
-    rows = weighed(np.array([np.frombuffer(x, np.uint16) for x in totals]).astype(np.float32), idf.astype(np.float32))
+    rows = weighed(np.array([np.frombuffer(x, np.uint32) for x in totals]).astype(np.float32), idf.astype(np.float32))
     centres = spherical_clusters(rows, k)
     cosines = rows @ centres.T
     owner, best = np.argmax(cosines, axis=1), np.max(cosines, axis=1)
@@ -152,7 +152,7 @@ def fit_languages(docs: DataFrame, training: Callable[[Column], Column], *, id_c
     joined = known.join(F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked, "__id").filter((F.col("__lang") == F.col("__name")) & F.col("__text").isNotNull())
 
     def features(raw: list[bytes], extras: list[list]):
-        totals = [np.minimum(counts(x.decode("utf-8", "replace")), 65535).astype(np.uint16).tobytes() for x in raw]
+        totals = [counts(x.decode("utf-8", "replace")).astype(np.uint32).tobytes() for x in raw]
         return [totals, extras[0]]
 
     vectors = materialise(score_texts(joined, "__id", "__text", ["__lang"], "totals binary, lang string", features), "language-vectors")
@@ -161,7 +161,7 @@ def fit_languages(docs: DataFrame, training: Callable[[Column], Column], *, id_c
         n, df = 0, np.zeros(BINS, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                df += np.frombuffer(x.as_py(), np.uint16) > 0
+                df += np.frombuffer(x.as_py(), np.uint32) > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BINS)), pa.array(np.concatenate([[n], df]))], names=["bin", "n"])
 

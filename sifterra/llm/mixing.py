@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_prefix, materialise, word_count
+from .common import global_prefix, materialise, quoted, word_count
 
 #: Up to so many sources the rate table is broadcast (a row holds a name and five numbers); beyond, the join is salted.
 BROADCAST_SOURCES = 10_000
@@ -59,19 +59,19 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     source without words keeps each row once and takes no words; an empty
     table gives no rows.
     """
-    rates = materialise(source_rates(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), cycle=cycle, most=most), "source-rates")
+    rates = materialise(source_rates(docs.select(F.col(quoted(source_col)).alias("source"), word_count(F.col(quoted(text_col))).alias("size")), cycle=cycle, most=most), "source-rates")
     few = rates.count() <= BROADCAST_SOURCES
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    same = F.col(f"row.{source_col}").eqNullSafe(F.col("source"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
+    same = F.col("row").getField(source_col).eqNullSafe(F.col("source"))
     if few:
         joined = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = rows.withColumn("salt", F.pmod(F.xxhash64(f"row.{id_col}"), F.lit(SALTS)).cast("int"))
+        left = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("row").getField(id_col)), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, same & (F.col("salt") == F.col("salt2")))
     whole = F.floor("rate")
-    extra = chance(seed, F.coalesce(F.col(f"row.{id_col}").cast("string"), F.lit(""))) < F.col("rate") - whole
-    return joined.select("row", word_count(F.col(f"row.{text_col}")).alias("size"), "source_size", "target", (whole + extra.cast("int")).cast("int").alias("copies"))
+    extra = chance(seed, F.coalesce(F.col("row").getField(id_col).cast("string"), F.lit(""))) < F.col("rate") - whole
+    return joined.select("row", word_count(F.col("row").getField(text_col)).alias("size"), "source_size", "target", (whole + extra.cast("int")).cast("int").alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -121,10 +121,10 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def _terms(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 32-bit terms of each of ``n`` rows, how often each occurs (at most 65,535), and the first one of each row."""
+    """Distinct 32-bit terms of each of ``n`` rows, how often each occurs, and the first one of each row."""
     keys = np.sort((row.astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    times = np.minimum(np.diff(np.append(at, len(keys))), 65535).astype("<u2")
+    times = np.diff(np.append(at, len(keys))).astype("<u4")
     return (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), times, np.searchsorted(keys[at] >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern:
             lengths, starts, sizes = (column[c].to_pylist() for c in ("length", "start", "doc_tokens"))
             ids = [_wide(x, n) for x, n in zip(column["ids"].to_pylist(), lengths, strict=True)]
             (raw, at), (often, _) = flat_bytes(column["terms"]), flat_bytes(column["times"])
-            shard, rows, index = Shard(raw.view("<u4"), often.view("<u2"), np.diff(at) // 4), [], []
+            shard, rows, index = Shard(raw.view("<u4"), often.view("<u4"), np.diff(at) // 4), [], []
             for row, start, length, fresh in fill(shard, lengths, window - offset, window):
                 if fresh:
                     sequence, offset = sequence + 1, 0

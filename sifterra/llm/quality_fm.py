@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import positional
 from .features import N_STRUCTURE, Hashed, Rows, bounded_sample, score_texts, sigmoid, structure
 from .kernels import binaries, slices
 
@@ -147,4 +148,5 @@ def keep_scored(docs: DataFrame, model: FactorisationMachine | None, least: floa
                 batch = batch.filter(pa.array(scores >= least))
             yield batch
 
-    return docs.mapInArrow(scan, docs.schema)
+    plain, _ = positional(docs)
+    return plain.mapInArrow(scan, plain.schema).toDF(*docs.columns)

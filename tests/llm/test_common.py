@@ -85,3 +85,20 @@ def test_hot_groups_in_every_operator(spark):
     segments, paths = chat_tree.build_tree(spark.createDataFrame(talks, "conv_id long, turn long, role string, text string"), **files)
     back = chat_tree.read_back(segments, paths, tokenizer=files["tokenizer"])
     assert {r["conv_id"]: [t["text"] for t in r["turns"]] for r in back.collect()} == {c: [x[3] for x in talks if x[0] == c] for c in range(60)}
+
+
+def test_names_with_dots(spark):
+    """Columns whose names hold dots and back quotes pass through the operators that keep them."""
+    from sifterra.llm import jaccard_join, line_rules, mixing, quality_fm
+
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    rows = [(i, " ".join(word(7 * i + j * j) for j in range(80)), "s.1" if i % 2 else None, 9, "x", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "n_chars", "a.b", "c`d.e"])
+    out = mixing.emit(mixing.mix(docs))
+    assert out.columns == docs.columns and {r["a.b"] for r in out.collect()} == {"x"}
+    for kept in (quality_fm.keep_scored(docs, None, 0.3), line_rules.keep_good(docs), jaccard_join.keep_one(docs, width=5, threshold=(80, 100))):
+        assert kept.columns == docs.columns and {r["c`d.e"] for r in kept.collect()} == {"y"}
+    renamed = docs.withColumnsRenamed({"text": "t.x", "source": "s.x", "doc_id": "i.x"})
+    mixed = mixing.mix(renamed, text_col="t.x", source_col="s.x", id_col="i.x").collect()
+    plain = mixing.mix(docs).collect()
+    assert sorted((r["row"]["i.x"], r["size"], r["copies"]) for r in mixed) == sorted((r["row"]["doc_id"], r["size"], r["copies"]) for r in plain)

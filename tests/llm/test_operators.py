@@ -391,7 +391,7 @@ def test_ids_of_random_texts():
 
 def bm25_shard(words):
     pairs = [np.unique(w & np.uint64(0xFFFFFFFF), return_counts=True) for w in words]
-    return packing.Shard(np.concatenate([p[0] for p in pairs]).astype("<u4"), np.concatenate([p[1] for p in pairs]).astype("<u2"), np.array([len(p[0]) for p in pairs]))
+    return packing.Shard(np.concatenate([p[0] for p in pairs]).astype("<u4"), np.concatenate([p[1] for p in pairs]).astype("<u4"), np.array([len(p[0]) for p in pairs]))
 
 
 def test_packing_neighbours_share_words():
