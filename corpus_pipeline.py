@@ -32,14 +32,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """NULL and empty texts have no shingles and stay; of equal rows one stays; columns may have any names."""
     return jaccard_join.keep_one(docs, width=5, threshold=(80, 100))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """NULL texts have size 0, a NULL source is a source of its own; no rows give none."""
     return mixing.emit(mixing.mix(docs))
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, NULL texts as their end id alone; no rows give none."""
     return packing.pack(docs, **public_tokenizer())
 
 
