@@ -35,7 +35,8 @@ def powers(n: int) -> np.ndarray:
     return _powers(n)[0]
 
 
-def _byte_values(fold: bool) -> np.ndarray:
+def byte_values(fold: bool) -> np.ndarray:
+    """A 64-bit number for each byte; with ``fold`` A-Z have those of a-z."""
     values = mix(np.arange(1, 257, dtype=np.uint64), 5)
     if fold:
         values[65:91] = values[97:123]
@@ -58,7 +59,7 @@ def hashed_words(column: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     hash is a polynomial over its bytes, taken as a difference of running sums.
     """
     data, at = flat_bytes(column)
-    n, values = len(data), _byte_values(fold)
+    n, values = len(data), byte_values(fold)
     blank = BLANK[data]
     begins, stops = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]]
     after_blank, before_blank = np.ones(n, bool), np.ones(n, bool)

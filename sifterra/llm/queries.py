@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat_tree, fill_middle, jaccard_join, langid, line_rules, mixing, packing, periodic_runs, quality_fm, scaled_sketch, sharding, toxicity, vector_dedup
 from .common import WORD_PATTERN, fold, held_out, next_row, small_table, table, word_count
+from .kernels import MULTIPLIER, byte_values
 
 
 def _trained_on(modulus: int, remainder: int):
@@ -184,6 +185,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: crc32 in SQL: ``crc`` has the table ``t``; the sum of the bytes of an expression follows.
+CRC_SQL = """bits(n, i, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE i = 8)"""
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM docs, crc),
+cuts AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+planted AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END AS w FROM cuts),
+words AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM planted),
+same AS (SELECT x.r, y.i - x.i AS p, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS g FROM same),
+stretches AS (SELECT r, p, min(i) AS s, max(i) + p + 1 AS e FROM islands GROUP BY r, p, g HAVING count(*) + p >= greatest(24, 3 * p)),
+runs AS (SELECT r, s, e, min(p) AS q FROM stretches GROUP BY r, s, e),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY (e - s)::DOUBLE / q DESC, s, q) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM runs),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, e - s AS length, q AS period, 1000 * (e - s) // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256, n AS n_words
+FROM planted LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN left_over USING (r)
+"""
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_middle.restore(F.col("form"), F.col("output"))
@@ -214,5 +238,47 @@ def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_chars", chat_tree.digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("following").alias("near_next"))
 
 
+
+def _fold64(rows: str, value: str, salt: int, name: str) -> str:
+    """SQL of the finalised 64-bit hash ``value`` of every row of ``rows``, as the column ``name``."""
+    shift = lambda x: f"xor({x}, {x} >> 33)"
+    times = lambda x, k: f"(({x}::UHUGEINT * {k}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    first = f"SELECT *, xor({value}, {salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF}::UBIGINT) AS x0 FROM {rows}"
+    second = f"SELECT *, {times(shift('x0'), 0xFF51AFD7ED558CCD)} AS x1 FROM ({first})"
+    third = f"SELECT *, {times(shift('x1'), 0xC4CEB9FE1A85EC53)} AS x2 FROM ({second})"
+    return f"SELECT * EXCLUDE (x0, x1, x2), {shift('x2')} AS {name} FROM ({third})"
+
+
+def _op13_sql() -> str:
+    """The kernels' hashes said in SQL: bytes by table, words by polynomial, shingles by polynomial over words."""
+    table = "([" + ", ".join(str(int(x)) for x in byte_values(True)) + "]::UBIGINT[])"
+    m, size = int(MULTIPLIER), 18446744073709551616
+    horner = lambda values: f"list_reduce(list_prepend(0::UHUGEINT, list_transform({values}, lambda x: x::UHUGEINT)), lambda a, x: (a * {m}::UHUGEINT % {size}::UHUGEINT + x) % {size}::UHUGEINT)::UBIGINT"
+    width, lowest = scaled_sketch.WIDTH, ((1 << 64) - 1) // scaled_sketch.SCALE
+    shingled = " UNION ALL ".join(
+        f"({_fold64(f'(SELECT r, kind, {horner('w')} AS g FROM runs WHERE k = {k})', 'g', k, 'hash')})" for k in range(1, width + 1)
+    )
+    return rf"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS r, count(*) OVER () AS total, doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (SELECT d.r, d.doc_id, d.text, substring(d.text, 1, length(d.text) - length(d.text) // 3) || substring(e.text, 1, length(d.text) // 3) AS edited FROM docs d JOIN docs e ON e.r = d.r % d.total + 1),
+texts AS (SELECT r, 0 AS kind, text FROM pairs UNION ALL SELECT r, 1, edited FROM pairs),
+words AS (SELECT r, kind, unnest(regexp_extract_all(text, '[^ 	-]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^ 	-]+'), 1) AS i FROM texts),
+known AS (SELECT word, {horner(f"list_transform(list_reverse(regexp_extract_all(hex(encode(word)), '..')), lambda x: {table}[('0x' || x)::INTEGER + 1])")} AS p, octet_length(encode(word)) AS n FROM (SELECT DISTINCT word FROM words)),
+hashed AS ({_fold64(f"(SELECT word, ((p::UHUGEINT + n::UHUGEINT) % {size}::UHUGEINT)::UBIGINT AS p FROM known)", "p", 1, "h")}),
+lists AS (SELECT r, kind, list(h ORDER BY i) AS hs FROM words JOIN hashed USING (word) GROUP BY r, kind),
+runs AS (SELECT r, kind, CASE WHEN len(hs) < {width} THEN len(hs) ELSE {width} END AS k, unnest(list_transform(range(1, greatest(len(hs) - {width}, 0) + 2), lambda i: hs[i : i + {width} - 1])) AS w FROM lists),
+shingles AS (SELECT DISTINCT r, kind, hash FROM ({shingled})),
+kept AS (SELECT r, kind, hash FROM (SELECT *, min(hash) OVER (PARTITION BY r, kind) AS least FROM shingles) WHERE hash < {lowest}::UBIGINT OR (hash = least AND least >= {lowest}::UBIGINT)),
+prints AS (SELECT r, kind, list_sort(list_distinct(list(format('{{:010x}}', hash >> 24)))) AS p FROM kept GROUP BY r, kind),
+both_prints AS (SELECT pairs.*, coalesce(a.p, []) AS own, coalesce(b.p, []) AS other FROM pairs LEFT JOIN prints a ON a.r = pairs.r AND a.kind = 0 LEFT JOIN prints b ON b.r = pairs.r AND b.kind = 1),
+led AS (SELECT *, coalesce(lead(own) OVER (ORDER BY r), first_value(own) OVER (ORDER BY r)) AS following FROM both_prints)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+    CASE WHEN least(len(own), len(other)) > 0 THEN len(list_intersect(own, other)) / least(len(own), len(other)) WHEN len(own) = len(other) THEN 1.0::DOUBLE ELSE 0 END AS near_edited,
+    CASE WHEN least(len(own), len(following)) > 0 THEN len(list_intersect(own, following)) / least(len(own), len(following)) WHEN len(own) = len(following) THEN 1.0::DOUBLE ELSE 0 END AS near_next FROM led
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid, "op3_quality_fm": op3_quality_fm, "op4_vector_dedup": op4_vector_dedup, "op5_packing": op5_packing, "op6_jaccard_join": op6_jaccard_join, "op8_line_rules": op8_line_rules, "op7_mixing": op7_mixing, "op9_chat_tree": op9_chat_tree, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_fill_middle": op12_fill_middle, "op13_scaled_sketch": op13_scaled_sketch}
-ORACLES = {"op12_fill_middle": OP12_SQL, "op10_sharding": OP10_SQL, "op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op11_periodic_runs": OP11_SQL, "op13_scaled_sketch": OP13_SQL, "op12_fill_middle": OP12_SQL, "op10_sharding": OP10_SQL, "op9_chat_tree": OP9_SQL, "op4_vector_dedup": OP4_SQL, "op8_line_rules": OP8_SQL, "op7_mixing": OP7_SQL}
