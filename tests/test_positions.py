@@ -59,3 +59,32 @@ def test_wide_and_shuffled_splits_agree(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(jsonl, "BROADCAST_SPLITS", bound)
         got = [(r["query_pos"], r["query_id"]) for r in jsonl.read_golden(spark, path).orderBy("query_pos").collect()]
         assert got == rows
+
+
+def test_matrix_bytes_and_subtrees(spark, tmp_path):
+    """A matrix file written by ranges has NumPy's own bytes; a tree's folders are dealt out level by level."""
+    import numpy as np
+
+    from sifterra.sources import dense_store, files
+
+    held = np.random.default_rng(1).normal(size=(357, 9)).astype(np.float32)
+    rows = [(3 * i - 40, f"c{i}", v.tolist()) for i, v in enumerate(held)]
+    table = spark.createDataFrame(rows, "chunk_pos long, chunk_id string, embedding array<float>").repartition(7)
+    dense_store.export_npy(table, tmp_path / "m.npy")
+    np.save(tmp_path / "n.npy", held)
+    assert (tmp_path / "m.npy").read_bytes() == (tmp_path / "n.npy").read_bytes()
+    back = dense_store.import_npy(spark, tmp_path / "m.npy", [r[1] for r in rows], 9).orderBy("chunk_pos").collect()
+    assert [r["chunk_id"] for r in back] == [r[1] for r in rows] and np.array_equal(np.array([r["embedding"] for r in back], np.float32), held)
+    dense_store.export_npy(table.limit(0), tmp_path / "e.npy")
+    assert np.load(tmp_path / "e.npy").shape == (0, 0)
+
+    made = {f"a/{i}/x{i}.md" for i in range(4)} | {"a/0/_h/.d/y.md", "top.md", "b/.hidden.md"}
+    for name in made | {"a/node_modules/z.md", "b/q_plan.md", "b/c/t.txt"}:
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(name)
+    for tasks in (1, 3, 100):
+        reader = files.TreeReader(str(tmp_path / "tree"), files.ScannerConfig(), tasks)
+        parts = reader.partitions()
+        assert sorted(x for p in parts for x in reader.read(p)) == sorted((n, n) for n in made)
+        assert tasks == 1 or len(parts) > 3
+    assert {r["relative_path"] for r in files.scan_documents(spark, tmp_path / "tree", "s").collect()} == made
