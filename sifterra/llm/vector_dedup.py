@@ -5,9 +5,10 @@ point belongs to the cell of its nearest pivot at the smallest halving radius
 that covers it; cells too large for a block are cut again by pivots of their own.
 Pairs of cells whose covering radii keep them apart are never brought together,
 large ones wholly within reach of each other are not compared.  Cells are packed or cut into blocks of bounded size, a
-cover tree is built once for each block, and every remaining pair of blocks is
-one task that walks both trees: node pairs beyond reach are pruned, node pairs
-wholly within reach are counted without looking at their points.  No pair of
+cover tree is built once for each block.  The upper nodes of all trees are compared
+on a grid first; every pair of blocks with nodes in reach of each other is one task
+that walks both trees: node pairs beyond reach are pruned, node pairs wholly within
+reach are counted without looking at their points.  No pair of
 vectors leaves a task, only link counts and a spanning forest.
 """
 
@@ -32,6 +33,8 @@ PIVOTS, BLOCK = 256, 3_072
 LEVELS = 6
 #: How often large cells are cut, and about how many sampled points all cells that are cut get together.
 ROUNDS, SAMPLED = 5, 16_384
+#: Blocks whose upper nodes are compared together, and rows of nodes at a time.
+CHUNK, NODES = 64, 1_024
 #: Points that a tree node keeps undivided.
 LEAF = 48
 #: Cosines so near the threshold are taken again with exact sums.
@@ -89,6 +92,17 @@ class CoverTree:
         self.children = [np.array(below.get(n, []), np.int64) for n in range(len(self.centre))]
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
 
+    def frontier(self, most: float) -> np.ndarray:
+        """The topmost nodes of a radius of at most ``most``, and leaves above it: together they hold all points."""
+        out, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            if self.radius[node] <= most or not len(self.children[node]):
+                out.append(node)
+            else:
+                stack += self.children[node].tolist()
+        return np.array(out, np.int64)
+
 
 class Dual:
     """Link counts and a spanning forest between two blocks, or within one."""
@@ -348,22 +362,58 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
     whole &= large[both].all(axis=1)  # these have groups of their own
     compared = both[~whole]
     meet = np.unique(np.stack([np.array([group_of[c] for c in side.tolist()], np.int64) for side in compared.T], axis=1), axis=0) if len(compared) else np.zeros((0, 2), np.int64)
-    groups = small_table(spark, {"cell": pa.array(leaves, pa.int64()), "grp": pa.array([group_of[c] for c in leaves], pa.int64()), "blocks": pa.array(blocks[[group_of[c] for c in leaves]], pa.int64())})
-    partners = small_table(spark, {"grp": pa.array(meet[:, 0], pa.int64()), "other": pa.array(meet[:, 1], pa.int64()), "others": pa.array(blocks[meet[:, 1]] if len(meet) else [], pa.int64())})
+    # blocks are numbered through; chunks of them hold vectors of one length
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    width = np.zeros(len(sizes), np.int64)
+    for c in leaves:
+        width[group_of[c]] = cells.length[c]
+    of_group = np.array([group_of[c] for c in leaves], np.int64)
+    groups = small_table(spark, {"cell": pa.array(leaves, pa.int64()), "grp": pa.array(of_group), "blocks": pa.array(blocks[of_group], pa.int64()), "first": pa.array(first[of_group], pa.int64()), "width": pa.array(width[of_group])})
+    partners = small_table(spark, {"g": pa.array(meet[:, 0], pa.int64()), "h": pa.array(meet[:, 1], pa.int64())})
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(block["raw"]), kind).reshape(len(block), -1)
-        packed = pickle.dumps((raw, block["id"].to_numpy(), block["weight"].to_numpy(), CoverTree(unit(raw))), protocol=5)
-        return pd.DataFrame({"grp": block["grp"].iloc[:1].to_numpy(), "part": block["part"].iloc[:1].to_numpy(), "block": [packed]})
+        points = unit(raw)
+        tree = CoverTree(points)
+        packed = pickle.dumps((raw, block["id"].to_numpy(), block["weight"].to_numpy(), tree), protocol=5)
+        top = tree.frontier(theta / 4)
+        nodes = pickle.dumps((points[tree.centre[top]].astype(np.float32), tree.radius[top]), protocol=5)
+        return block[["at", "grp", "width"]].iloc[:1].assign(block=[packed], nodes=[nodes])
 
     bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
-    needed = bounded(groups, len(leaves)).join(bounded(partners.select("grp").distinct(), len(meet)), "grp", "left_semi")
-    dealt = table.join(F.broadcast(needed) if len(leaves) <= BROADCAST_IDS else needed, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    trees = materialise(dealt.select("grp", "part", "raw", "id", "weight").groupBy("grp", "part").applyInPandas(build, "grp long, part long, block binary"), "cover-trees")
-    mine = F.struct("grp", "part")
-    met = trees.join(bounded(partners, len(meet)), "grp").withColumn("other_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
-    other = F.struct(F.col("other").alias("grp"), F.col("other_part").alias("part"))
-    met = met.select(F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), "block")
+    needed = groups.join(bounded(partners.select(F.col("g").alias("grp")).distinct(), len(meet)), "grp", "left_semi")
+    dealt = table.join(bounded(needed, len(leaves)), "cell").withColumn("at", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")))
+    trees = materialise(dealt.select("at", "grp", "width", "raw", "id", "weight").groupBy("at").applyInPandas(build, "at long, grp long, width long, block binary, nodes binary"), "cover-trees")
+
+    def pack(chunk: pd.DataFrame) -> pd.DataFrame:
+        parts = [pickle.loads(x) for x in chunk["nodes"]]
+        owner = np.repeat(chunk["at"].to_numpy(), [len(p[1]) for p in parts])
+        group = np.repeat(chunk["grp"].to_numpy(), [len(p[1]) for p in parts])
+        held = pickle.dumps((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), owner, group), protocol=5)
+        return chunk[["width", "chunk"]].iloc[:1].assign(held=[held])
+
+    def reached(pair: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of blocks with nodes in reach of each other; single precision is allowed for."""
+        a, b = (pickle.loads(pair["held"].iloc[k]) for k in (0, -1))
+        found = [np.zeros((0, 4), np.int64)]
+        for i in range(0, len(a[0]), NODES):
+            some = slice(i, i + NODES)
+            near = angles(a[0][some] @ b[0].T) - a[1][some, None] - b[1][None, :] <= theta + 1e-3
+            x, y = np.nonzero(near)
+            found.append(np.unique(np.stack([a[2][some][x], b[2][y], a[3][some][x], b[3][y]], axis=1), axis=0))
+        found = np.unique(np.concatenate(found), axis=0)
+        turned = found[:, 0] > found[:, 1]
+        found[turned] = found[turned][:, [1, 0, 3, 2]]
+        return pd.DataFrame(np.unique(found, axis=0), columns=["one", "two", "g", "h"])
+
+    chunked = trees.select("at", "grp", "width", "nodes", F.floor(F.col("at") / CHUNK).cast("long").alias("chunk"))
+    chunks = materialise(chunked.groupBy("width", "chunk").applyInPandas(pack, "width long, chunk long, held binary"), "tree-nodes")
+    last = int(first[-1] // CHUNK)
+    grid = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    grid = grid.select("width", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "held")
+    near = grid.groupBy("width", "c", "d").applyInPandas(lambda pair: reached(pair) if len(pair) > 1 or pair["c"].iloc[0] == pair["d"].iloc[0] else pd.DataFrame({x: pd.Series([], dtype="int64") for x in ("one", "two", "g", "h")}), "one long, two long, g long, h long")
+    near = near.join(bounded(partners, len(meet)), ["g", "h"], "left_semi").select("one", "two").distinct()
+    met = near.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("at")).join(trees.select("at", "block"), "at").select("one", "two", "block")
 
     def unpack(raw: bytes) -> dict:
         vectors, ids, weight, tree = pickle.loads(raw)
