@@ -14,6 +14,7 @@ vectors leaves a task, only link counts and a spanning forest.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import zlib
 
@@ -35,6 +36,8 @@ LEVELS = 6
 ROUNDS, SAMPLED = 5, 16_384
 #: Blocks whose upper nodes are compared together, and rows of nodes at a time.
 CHUNK, NODES = 64, 1_024
+#: Most upper nodes of a tree: where points are all far from each other the root alone stands for them.
+UPPER = 128
 #: Points that a tree node keeps undivided.
 LEAF = 48
 #: Cosines so near the threshold are taken again with exact sums.
@@ -93,14 +96,16 @@ class CoverTree:
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
 
     def frontier(self, most: float) -> np.ndarray:
-        """The topmost nodes of a radius of at most ``most``, and leaves above it: together they hold all points."""
-        out, stack = [], [0]
-        while stack:
-            node = stack.pop()
-            if self.radius[node] <= most or not len(self.children[node]):
+        """Upper nodes that together hold all points: the widest are opened first, down to a radius of ``most`` and up to ``UPPER`` nodes."""
+        out, heap = [], [(-float(self.radius[0]), 0)]
+        while heap:
+            radius, node = heapq.heappop(heap)
+            below = self.children[node]
+            if -radius <= most or not len(below) or len(out) + len(heap) + len(below) > UPPER:
                 out.append(node)
             else:
-                stack += self.children[node].tolist()
+                for child in below.tolist():
+                    heapq.heappush(heap, (-float(self.radius[child]), child))
         return np.array(out, np.int64)
 
 
