@@ -265,8 +265,8 @@ def _talk_chunks(spark, sf_dir):
     return markdown.chunks(talks, markdown.sections(talks), markdown.ChunkerConfig(2, 400, 0))
 
 
-def _chunk_rows(made):
-    return made.select("chunk_id", "relative_path", "title", "searchable_text", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "section_chunk_index", "start_line", "end_line")], "content_hash")
+def _chunk_rows(made, *more):
+    return made.select("chunk_id", "relative_path", "title", "searchable_text", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "section_chunk_index", "start_line", "end_line")], "content_hash", *more)
 
 
 def chunk_ids(spark, sf_dir):
@@ -277,7 +277,9 @@ def chunk_ids(spark, sf_dir):
 def chunk_jsonl(spark, sf_dir):
     """The same chunks after a round trip through JSONL, numbered in order of path and index."""
     back = _through_jsonl(_talk_chunks(spark, sf_dir), ["relative_path", "chunk_index"], jsonl.read_chunks)
-    return _chunk_rows(back).join(back.select("chunk_id", F.array_join("section_path", " > ").alias("path"), F.col("chunk_pos").alias("p")), "chunk_id").withColumn("ordered", F.coalesce(F.lag("p").over(W.partitionBy("relative_path").orderBy("chunk_index")) < F.col("p"), F.lit(True))).drop("p")
+    # ids repeat where a talk says the same under the same heading twice, so nothing is joined by them
+    before = F.lag("chunk_pos").over(W.partitionBy("relative_path").orderBy("chunk_index"))
+    return _chunk_rows(back.withColumn("ordered", F.coalesce(before < F.col("chunk_pos"), F.lit(True))), F.array_join("section_path", " > ").alias("path"), "ordered")
 
 
 def chunk_pack(spark, sf_dir):
