@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +40,10 @@ CHUNK, NODES = 64, 1_024
 UPPER = 128
 #: Points that a tree node keeps undivided.
 LEAF = 48
+#: Pairs of cells (17 bytes each, a few times over) that the driver holds at most.
+MOST_PAIRS = 1 << 22
+#: Most neighbouring blocks of a side that travel to a task together.
+TOGETHER = 16
 #: Cosines so near the threshold are taken again with exact sums.
 NARROW = 1e-10
 SLACK = 1e-7
@@ -225,6 +229,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return known.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+class TooManyPairs(Exception):
+    """The cells are too many, and too near to each other, to be compared on the driver."""
+
+
 class Cells:
     """The cells of all rounds, on the driver: a row for each, with its centre and how far its points are from it.
 
@@ -248,10 +256,16 @@ class Cells:
         return 2 * self.facts[cell][3] < self.theta - SLACK
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(pairs of cells without children that may hold links, of which both orders and each cell with itself; which of them are wholly within reach)."""
-        found, whole = [], []
+        """(pairs of cells without children that may hold links, of which both orders and each cell with itself; which of them are wholly within reach).
+
+        More than ``MOST_PAIRS`` of them, found or yet to be looked at, are not held.
+        """
+        found, whole, held_pairs = [], [], 0
         for root in self.children.get(-1, []):
             roots = np.array(self.children.get(root, []), np.int64)
+            held_pairs += len(roots) ** 2
+            if held_pairs > MOST_PAIRS:
+                raise TooManyPairs
             some = max(1, (1 << 15) // max(1, len(roots)))
             stack = [np.stack([np.repeat(x, len(roots)), np.tile(roots, len(x))], axis=1) for x in (roots[i : i + some] for i in range(0, len(roots), some))]
             centres: dict[int, np.ndarray] = {}
@@ -273,14 +287,69 @@ class Cells:
                 near |= both[:, 0] == both[:, 1]
                 inner = np.array([c in self.children for c in names.tolist()])[where].any(axis=1)
                 done = near & ~inner
+                held_pairs -= int((~near).sum())
                 found.append(both[done])
                 whole.append((gap + ma + mb < self.theta - SLACK)[done])
                 for a, b in both[near & inner].tolist():
                     x, y = self.children.get(a, [a]), self.children.get(b, [b])
+                    held_pairs += len(x) * len(y) - 1
+                    if held_pairs > MOST_PAIRS:
+                        raise TooManyPairs
                     stack.append(np.stack([np.repeat(x, len(y)), np.tile(y, len(x))], axis=1))
         return (np.concatenate(found), np.concatenate(whole)) if found else (np.zeros((0, 2), np.int64), np.zeros(0, bool))
 
 
+def meetings(spark: SparkSession, cells: Cells, group_of: dict[int, int]) -> DataFrame:
+    """(``g``, ``h``, ``whole``): groups that may hold links with each other, both orders and each group with itself.
+
+    Groups meet if one cell of each does. ``whole`` says of groups of one large cell each that all points link with all.
+    The driver compares cells as long as few pairs are in reach. Where nothing is apart nearly every pair is, so the cells
+    then go to a grid of chunks of groups, and only pairs of groups come out.
+    """
+    try:
+        both, whole = cells.pairs()
+    except TooManyPairs:
+        pass
+    else:
+        whole &= np.array([cells.facts[c][0] > BLOCK for c in range(len(cells.facts))])[both].all(axis=1)  # these have groups of their own
+        names = np.array([group_of.get(c, -1) for c in range(len(cells.facts))], np.int64)
+        n = int(names.max()) + 1
+        found = np.unique(2 * (names[both[:, 0]] * n + names[both[:, 1]]) + whole)
+        return small_table(spark, {"g": pa.array(found // 2 // n), "h": pa.array(found // 2 % n), "whole": pa.array(found % 2 > 0)})
+    theta = cells.theta
+    members: dict[int, list[int]] = {}
+    for c, g in group_of.items():
+        members.setdefault(g, []).append(c)
+    packed, width = [], []
+    for held in members.values():
+        facts = np.array([cells.facts[c][:4] for c in held], np.float64)
+        packed.append(pickle.dumps((np.array([cells.centre[c] for c in held], np.float32), facts[:, 2], facts[:, 3], bool(facts[0, 0] > BLOCK)), protocol=5))
+        width.append(cells.length[held[0]])
+    table = small_table(spark, {"g": pa.array(list(members), pa.int64()), "width": pa.array(width, pa.int64()), "held": pa.array(packed, pa.binary())})
+    chunk = F.floor(F.col("g") / CHUNK).cast("long")
+    grid = table.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(members) // CHUNK)).cast("array<bigint>")))
+    grid = grid.select("g", "width", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "chunk", "held")
+
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        out, (c, d) = [], (pair["c"].iloc[0], pair["d"].iloc[0])
+        sides = [[(g, *pickle.loads(x)) for g, x in zip(some["g"].tolist(), some["held"], strict=True)] for some in (pair[pair["chunk"] == c], pair[pair["chunk"] == d])]
+        for g, centre, least, most, large in sides[0]:
+            for h, others, low, high, wide in sides[1]:
+                if g > h:
+                    continue
+                gap = angles(centre @ others.T)
+                if g == h:
+                    np.fill_diagonal(gap, 0.0)
+                # single precision is allowed for
+                near = np.maximum(gap - most[:, None] - high, np.maximum(low - gap - most[:, None], least[:, None] - gap - high)) <= theta + 1e-3
+                if g == h or near.any():
+                    whole = bool(large and wide and gap[0, 0] + most[0] + high[0] < theta - 1e-3)
+                    out += [(g, h, whole)] if g == h else [(g, h, whole), (h, g, whole)]
+        return pd.DataFrame({k: pd.Series([x[i] for x in out], dtype=t) for i, (k, t) in enumerate((("g", "int64"), ("h", "int64"), ("whole", "bool")))})
+
+    return materialise(grid.groupBy("width", "c", "d").applyInPandas(compare, "g long, h long, whole boolean"), "groups-that-meet")
+
+
 def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
     """(id, n, root, forest): link counts and forest links among vectors of equal lengths.
 
@@ -335,7 +404,8 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
         placed = materialise(pending.mapInArrow(to_cells, "raw binary, id long, weight long, cell long, pivot long, level long, reach double"), "cells")
         facts = placed.groupBy("cell", "pivot", "level").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("reach").alias("least"), F.max("reach").alias("most"), F.min("id").alias("first"))
         made, following = [], {}
-        for r in facts.orderBy("cell", "pivot", "level").collect():  # a bounded number of cells for each that was cut
+        # a bounded number of cells for each that was cut, a batch of them as Python objects at a time
+        for r in (r for batch in facts.orderBy("cell", "pivot", "level").toArrow().to_batches(1_024) for r in batch.to_pylist()):
             parent = cut[r["cell"]]
             new = cells.add(parent, cells.length[parent], pivots[r["cell"]][r["pivot"]], (r["n"], r["w"], r["least"], r["most"], r["first"]))
             again = r["n"] > BLOCK and not cells.tight(new) and r["n"] <= 0.9 * cells.facts[parent][0] and turn + 1 < ROUNDS
@@ -362,11 +432,9 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
         held += n
     sizes = np.bincount([group_of[c] for c in leaves], [cells.facts[c][0] for c in leaves]).astype(int)
     blocks = np.ceil(sizes / BLOCK).astype(int)
-    both, whole = cells.pairs()
-    large = np.array([cells.facts[c][0] > BLOCK for c in range(len(cells.facts))])
-    whole &= large[both].all(axis=1)  # these have groups of their own
-    compared = both[~whole]
-    meet = np.unique(np.stack([np.array([group_of[c] for c in side.tolist()], np.int64) for side in compared.T], axis=1), axis=0) if len(compared) else np.zeros((0, 2), np.int64)
+    meet = meetings(spark, cells, group_of)
+    partners, whole = meet.filter("NOT whole").select("g", "h"), meet.filter("whole")
+    met_wholly = not whole.isEmpty()
     # blocks are numbered through; chunks of them hold vectors of one length
     first = np.concatenate([[0], np.cumsum(blocks)])
     width = np.zeros(len(sizes), np.int64)
@@ -374,7 +442,6 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
         width[group_of[c]] = cells.length[c]
     of_group = np.array([group_of[c] for c in leaves], np.int64)
     groups = small_table(spark, {"cell": pa.array(leaves, pa.int64()), "grp": pa.array(of_group), "blocks": pa.array(blocks[of_group], pa.int64()), "first": pa.array(first[of_group], pa.int64()), "width": pa.array(width[of_group])})
-    partners = small_table(spark, {"g": pa.array(meet[:, 0], pa.int64()), "h": pa.array(meet[:, 1], pa.int64())})
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(block["raw"]), kind).reshape(len(block), -1)
@@ -386,7 +453,7 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
         return block[["at", "grp", "width"]].iloc[:1].assign(block=[packed], nodes=[nodes])
 
     bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
-    needed = groups.join(bounded(partners.select(F.col("g").alias("grp")).distinct(), len(meet)), "grp", "left_semi")
+    needed = groups.join(partners.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi")
     dealt = table.join(bounded(needed, len(leaves)), "cell").withColumn("at", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")))
     trees = materialise(dealt.select("at", "grp", "width", "raw", "id", "weight").groupBy("at").applyInPandas(build, "at long, grp long, width long, block binary, nodes binary"), "cover-trees")
 
@@ -417,44 +484,46 @@ def _links(points: DataFrame, threshold: float, kind: type) -> DataFrame:
     grid = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
     grid = grid.select("width", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "held")
     near = grid.groupBy("width", "c", "d").applyInPandas(lambda pair: reached(pair) if len(pair) > 1 or pair["c"].iloc[0] == pair["d"].iloc[0] else pd.DataFrame({x: pd.Series([], dtype="int64") for x in ("one", "two", "g", "h")}), "one long, two long, g long, h long")
-    near = near.join(bounded(partners, len(meet)), ["g", "h"], "left_semi").select("one", "two").distinct()
-    met = near.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("at")).join(trees.select("at", "block"), "at").select("one", "two", "block")
+    near = materialise(near.join(bounded(partners, len(sizes) ** 2), ["g", "h"], "left_semi").select("one", "two").distinct(), "near-blocks")
+    # neighbouring blocks travel together: a task holds some of both sides and walks all their pairs
+    some = max(1, min(TOGETHER, int(first[-1]) // 32))
+    of = lambda at: F.floor(F.col(at) / some).cast("long")
+    asked = near.select(of("one").alias("i"), of("two").alias("j"), "one", "two")
+    parts = asked.select("i", "j", F.explode(F.array("one", "two")).alias("at")).distinct().join(trees.select("at", "block"), "at")
+    none = lambda kind: F.lit(None).cast(kind)
+    met = asked.select("i", "j", "one", "two", none("long").alias("at"), none("binary").alias("block")).union(parts.select("i", "j", none("long").alias("one"), none("long").alias("two"), "at", "block"))
 
     def unpack(raw: bytes) -> dict:
         vectors, ids, weight, tree = pickle.loads(raw)
         return {"raw": vectors, "unit": unit(vectors), "ids": ids, "weight": weight, "tree": tree}
 
-    def walk(pair: pd.DataFrame) -> pd.DataFrame:
-        held = [unpack(x) for x in pair["block"]]
-        dual = Dual(held[0], held[-1], threshold, len(held) == 1)
-        dual.run()
-        return dual.result()
-
-    walked = met.groupBy("one", "two").applyInPandas(walk, "id long, n long, root long, forest boolean")
-    return walked.union(_whole(table, cells, both[whole])) if whole.any() else walked
-
-
-def _whole(table: DataFrame, cells: Cells, pairs: np.ndarray) -> DataFrame:
-    """Links of large cells wholly within each other's reach: every point with every other, counted by the cells' weights."""
-    parent: dict[int, int] = {}
-    others, own = dict.fromkeys(np.unique(pairs).tolist(), 0), set()
-    for a, b in pairs.tolist():
-        x, y = find(parent, a), find(parent, b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-        if a == b:
-            own.add(a)
-        else:
-            others[a] += cells.facts[b][1]  # both orders of a pair are given
-    first: dict[int, int] = {}
-    for c in others:
-        r = find(parent, c)
-        first[r] = min(first.get(r, cells.facts[c][4]), cells.facts[c][4])
-    named = small_table(table.sparkSession, {
-        "cell": pa.array(others, pa.int64()), "n": pa.array([n + (cells.facts[c][1] if c in own else 0) for c, n in others.items()], pa.int64()),
-        "own": pa.array([c in own for c in others], pa.bool_()), "root": pa.array([first[find(parent, c)] for c in others], pa.int64()),
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs, blocks = rows[rows["at"].isna()], rows[rows["at"].notna()]
+        held = {int(at): unpack(block) for at, block in zip(blocks["at"], blocks["block"], strict=True)}
+        found = []
+        for one, two in zip(pairs["one"].astype("int64").tolist(), pairs["two"].astype("int64").tolist(), strict=True):
+            dual = Dual(held[one], held[two], threshold, one == two)
+            dual.run()
+            found.append(dual.result())
+        return pd.concat(found).groupby(["id", "root", "forest"], as_index=False)["n"].sum()[["id", "n", "root", "forest"]]
+
+    walked = met.groupBy("i", "j").applyInPandas(walk, "id long, n long, root long, forest boolean")
+    return walked.union(_whole(table, cells, group_of, whole)) if met_wholly else walked
+
+
+def _whole(table: DataFrame, cells: Cells, group_of: dict[int, int], pairs: DataFrame) -> DataFrame:
+    """Links of large cells wholly within each other's reach: every point with every other, counted by the cells' weights.
+
+    All points of such a cell are in one component, by way of its partner, and stand with their cell's smallest id.
+    """
+    large = [c for c in group_of if cells.facts[c][0] > BLOCK]
+    facts = small_table(table.sparkSession, {
+        "cell": pa.array(large, pa.int64()), "g": pa.array([group_of[c] for c in large], pa.int64()),
+        "held": pa.array([cells.facts[c][1] for c in large], pa.int64()), "root": pa.array([cells.facts[c][4] for c in large], pa.int64()),
     })
-    rows = table.join(F.broadcast(named) if len(others) <= BROADCAST_IDS else named, "cell")
+    linked = pairs.select("g", "h").join(facts, "g").join(facts.select(F.col("g").alias("h"), F.col("held").alias("others"), F.col("root").alias("to")), "h")
+    named = linked.groupBy("cell", "root").agg(F.sum("others").alias("n"), F.max(F.col("g") == F.col("h")).alias("own"))
+    rows = table.join(F.broadcast(named) if len(large) <= BROADCAST_IDS else named, "cell")
     counted = rows.select("id", (F.col("n") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("n"), F.lit(-1).cast("long").alias("root"), F.lit(False).alias("forest"))
-    joined = rows.filter("id <> root").select("id", F.lit(0).cast("long").alias("n"), "root", F.lit(True).alias("forest"))
-    return counted.union(joined)
+    tree = lambda df, a, b: df.filter(F.col(a) != F.col(b)).select(F.col(a).alias("id"), F.lit(0).cast("long").alias("n"), F.col(b).alias("root"), F.lit(True).alias("forest"))
+    return counted.union(tree(rows, "id", "root")).union(tree(linked, "root", "to"))

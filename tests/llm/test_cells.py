@@ -70,3 +70,28 @@ def test_compared_cells_grow_with_the_clusters(spark, monkeypatch):
         vectors = clusters(rng, n, 150, 64, [0.1, 0.3])
         vector_dedup.near_vectors(table(spark, list(enumerate(vectors)))).count()
     assert seen[1][0] <= 6 * seen[0][0] and max(s[1] for s in seen) <= 150
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_many_pairs_of_cells_are_not_held(spark, monkeypatch, together):
+    """Beyond a bounded number of pairs of cells they are found on a grid, with equal counts and components."""
+    for name, value in (("BLOCK", 25), ("LEAF", 4), ("PIVOTS", 12), ("SAMPLED", 64), ("MOST_PAIRS", 500), ("CHUNK", 5), ("TOGETHER", together)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rng = np.random.default_rng(6)
+    far = rng.normal(size=(300, 8)).astype(np.float32).tolist()
+    vectors = clusters(rng, 3, 90, 8, [0.01]) + far + clusters(rng, 6, 60, 8, [0.05, 0.2, 0.5]) + clusters(rng, 2, 50, 5, [0.02, 0.4]) + [[1.0, 2.0]] * 40 + [[1.0, 2.0 + k / 50] for k in range(60)]
+    rows = [(11 * i + 5, v) for i, v in enumerate(vectors)]
+    met, stopped, pairs = [], [], vector_dedup.Cells.pairs
+
+    def noted(self):
+        try:
+            return pairs(self)
+        except vector_dedup.TooManyPairs:
+            stopped.append(len(self.facts))
+            raise
+
+    monkeypatch.setattr(vector_dedup.Cells, "pairs", noted)
+    whole = vector_dedup._whole
+    monkeypatch.setattr(vector_dedup, "_whole", lambda *given: met.append(given) or whole(*given))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(table(spark, rows)).collect()}
+    assert got == brute(rows) and met and stopped
