@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lexical import check_top_k
+from .lexical import check_top_k, named
 
 
 def judgments(golden: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def macro_averages(golden: DataFrame, metrics: DataFrame) -> DataFrame:
 def evaluate_queries(golden: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     """The nested evaluation of each answerable query. ``hits``: (query_id, pos, chunk_id, score, rank)."""
     grades = judgments(golden).select("query_id", "chunk_id", "relevance")
-    told = hits.join(chunks.select(F.col("chunk_pos").alias("pos"), "relative_path", "section_path", "content"), "pos").join(grades, ["query_id", "chunk_id"], "left")
+    told = named(hits, chunks.select(F.col("chunk_pos").alias("pos"), "relative_path", "section_path", "content"), "pos").join(grades, ["query_id", "chunk_id"], "left")
     fields = F.struct("rank", "chunk_id", "score", F.coalesce("relevance", F.lit(0)).alias("relevance"), "relative_path", "section_path", "content")
     lists = told.groupBy("query_id").agg(F.sort_array(F.collect_list(fields)).alias("found"))  # top_k rows
     shaped = F.transform("found", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["rank"].cast("int").alias("rank"), x["score"].alias("score"), x["relevance"].alias("relevance"), x["relative_path"].alias("relative_path"), x["section_path"].alias("section_path"), x["content"].alias("content")))

@@ -13,6 +13,8 @@ from ..functions.text import tokenize
 
 #: Query terms up to which they are broadcast; beyond, terms are shuffled.
 BROADCAST_TERMS = 100_000
+#: Hits (some 50 bytes each) up to which they are broadcast to the chunks.
+BROADCAST_HITS = 200_000
 #: Decimals of the ranking key: equal texts must tie whatever the order of summation.
 RANK_DECIMALS = 9
 #: Positions of a block of postings.
@@ -31,6 +33,12 @@ def check_parameters(k1: float, b: float) -> None:
         raise ValueError(f"b must be between 0 and 1, got {b}")
 
 
+def named(hits: DataFrame, chunks: DataFrame, pos: str) -> DataFrame:
+    """``hits`` with the columns of their ``chunks``, by ``pos``: up to ``BROADCAST_HITS`` hits go to the chunks, so nothing of other chunks travels."""
+    few = hits.count() <= BROADCAST_HITS
+    return chunks.join(F.broadcast(hits) if few else hits, pos)
+
+
 def tokenized(docs: DataFrame, pos: str, text: str, exact: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(pos, tokens, dl) of every row, rows without tokens included, and the columns in ``keep``."""
     tokens = docs.select(F.col(pos).alias("pos"), *keep, F.coalesce(tokenize(F.col(text), exact), F.array().cast("array<string>")).alias("tokens"))
@@ -42,6 +50,15 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("pos", "dl", F.explode("tokens").alias("term")).groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def counted_terms(tokens: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, term, tf) of every row: equal tokens stand together when sorted, so a row counts its own and nothing is shuffled."""
+    ordered = tokens.select(*columns, F.array_sort("tokens").alias("t")).filter(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = ordered.select(*columns, "t", starts.alias("s"))
+    pairs = F.transform("s", lambda i, nth: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", nth + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return runs.select(*columns, F.inline(pairs))
+
+
 def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(term, df): rows that hold the term."""
     return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -95,13 +112,11 @@ class BM25Index:
         few = asked.count() <= BROADCAST_TERMS
         hint = F.broadcast if few else (lambda x: x)
         terms = asked.select("term").distinct()
-        exploded = lambda tokens: self.tokens.select("pos", "chunk_id", "dl", F.explode(tokens).alias("term"))
-        if few:
-            # each row passes once for itself, so the same scan gives the corpus size
-            rows = exploded(F.array_append("tokens", F.lit(ROW))).join(F.broadcast(terms.union(terms.sparkSession.range(1).select(F.lit(ROW)))), "term")
-        else:
-            rows = exploded("tokens").join(terms, "term")
-        counted = rows.groupBy("pos", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
+        # each row passes once for itself, so the same scan gives the corpus size
+        tokens = self.tokens.withColumn("tokens", F.array_append("tokens", F.lit(ROW))) if few else self.tokens
+        wanted = F.broadcast(terms.union(terms.sparkSession.range(1).select(F.lit(ROW)))) if few else terms
+        # terms of a row go to one task together, where its scores are summed without another shuffle
+        counted = counted_terms(tokens, "pos", "chunk_id", "dl").join(wanted, "term").select("pos", "chunk_id", "dl", "term", "tf").repartition("pos").persist()
         self.held += [asked, counted]
         tf = counted.filter(F.col("term") != ROW)
         size = corpus_size(counted.filter(F.col("term") == ROW) if few else self.tokens)  # one row

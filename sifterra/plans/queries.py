@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import dense, evaluation, lexical, markdown, statistics
 from ..sources import dense_store, files, jsonl
-from ..sources.scratch import scratch
+from ..sources.scratch import bound_batches, materialise, scratch
 from . import pipelines, report
 
 TOP_K = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,9 +37,10 @@ def _benchmark(spark, sf_dir):
 def _golden(spark, sf_dir):
     """A benchmark item is answered by the documents that quote it: found through shared words, then by the text itself.
 
-    An inner word of the item leads to candidates, since a text that quotes the item holds it whole; pairs of ids
-    are all that is made of them before the texts join again.  Items without an inner word, which are few and short,
-    are looked for in every text.  Built once: persisted, as judgments are read several times.
+    An inner word of the item leads to candidates, since a text that quotes the item holds it whole.  Up to
+    ``BROADCAST_TERMS`` items go to the texts, which are looked through where they are read; of more of them pairs of ids
+    are made before the texts join again.  Items without an inner word, which are few and short, are looked for in
+    every text.  Written at once: judgments are few, and read several times.
     """
     items = _benchmark(spark, sf_dir).filter(F.trim("query") != "")
     docs = _corpus(spark, sf_dir).select("chunk_pos", "chunk_id", "relative_path", "section_path", "content")
@@ -46,19 +48,27 @@ def _golden(spark, sf_dir):
     inner = items.select("query_id", "query", F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))).alias("words"))
     longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     led = inner.filter(F.size("words") > 0).select("query_id", "query", longest.alias("term"))
-    led = F.broadcast(led) if items.count() <= lexical.BROADCAST_TERMS else led
-    found = docs.select("chunk_pos", F.explode(F.array_distinct(text.tokenize(F.col("content")))).alias("term")).join(led, "term").select("chunk_pos", "query_id", "query")
-    quoted = docs.join(found, "chunk_pos").filter(F.contains("content", "query"))
+    term = F.explode(F.array_distinct(text.tokenize(F.col("content")))).alias("term")
+    if items.count() <= lexical.BROADCAST_TERMS:
+        quoted = docs.select("*", term).join(F.broadcast(led), "term").drop("term").filter(F.contains("content", "query"))
+    else:
+        found = docs.select("chunk_pos", term).join(led, "term").select("chunk_pos", "query_id", "query")
+        quoted = docs.join(found, "chunk_pos").filter(F.contains("content", "query"))
     anywhere = docs.join(inner.filter(F.size("words") == 0).select("query_id", "query"), F.contains("content", "query"))
     grade = F.when(F.length("content") % 2 == 0, 2).otherwise(1)
     lists = quoted.select("query_id", *docs.columns).unionByName(anywhere.select("query_id", *docs.columns)).groupBy("query_id")
     lists = lists.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "relative_path", "section_path", grade.alias("relevance")))).alias("relevant_chunks"))
     none = F.array().cast(lists.schema["relevant_chunks"].dataType)
-    return items.join(lists, "query_id", "left").select("query_id", "query_pos", "query", F.coalesce("relevant_chunks", none).alias("relevant_chunks"), F.lit("").alias("notes")).persist()
+    golden = items.join(lists, "query_id", "left").select("query_id", "query_pos", "query", F.coalesce("relevant_chunks", none).alias("relevant_chunks"), F.lit("").alias("notes"))
+    return materialise(golden, "golden")
 
 
 def _lexical_hits(spark, sf_dir, top_k=TOP_K):
-    return lexical.BM25Index.build(_corpus(spark, sf_dir)).search(_benchmark(spark, sf_dir), top_k)
+    """Written at once: few rows, which every step behind would search for again."""
+    index = lexical.BM25Index.build(_corpus(spark, sf_dir))
+    hits = materialise(index.search(_benchmark(spark, sf_dir), top_k), "lexical-hits")
+    index.close()
+    return hits
 
 
 def bm25_topk(spark, sf_dir):
@@ -214,7 +224,7 @@ def _both_sides(spark, sf_dir):
     lexical_side = evaluation.evaluate_queries(golden, _lexical_hits(spark, sf_dir), chunks, TOP_K)
     dense_side = evaluation.evaluate_queries(golden, _dense_hits(spark, sf_dir), chunks, TOP_K)
     with_pos = lambda df: df.join(golden.select("query_id", F.col("query_pos").alias("pos")), "query_id")
-    return golden, evaluation.compare(with_pos(lexical_side), with_pos(dense_side))
+    return golden, evaluation.compare(*(materialise(with_pos(x), "side") for x in (lexical_side, dense_side)))
 
 
 def report_counts(spark, sf_dir):

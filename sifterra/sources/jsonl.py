@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .scratch import materialise
+from .scratch import bound_batches, materialise
 
 
 def _object(value: object, what: str = "JSON value") -> dict:
@@ -85,6 +85,7 @@ def split_lines(spark: SparkSession, path: str, decode: Callable[[Iterator[str]]
     by part number where files are named by it, by name and by first byte. Lines are read and decoded once, into a
     table in the shared folder.
     """
+    bound_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,6 +32,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: Spark's default (10,000) fills the Python workers with long texts.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set ``BATCH_ROWS`` in the session, unless it asks for less. The setting stays: plans are run after this returns. It changes no result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that this application wrote here. Results that still read one must be saved before."""
     target = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
