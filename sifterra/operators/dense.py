@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.scratch import materialise
-from .lexical import RANK_DECIMALS, check_top_k
+from ..sources.scratch import bound_batches, materialise
+from .lexical import RANK_DECIMALS, check_top_k, named
 
 SCHEMA_VERSION = 2
 #: Queries that are multiplied at once, and bytes of queries (as doubles) that a task holds.
 QUERY_BLOCK, QUERY_BYTES = 512, 64 << 20
+#: Bytes of vectors (as doubles) of a cell of the grid.
+VECTOR_BYTES = 64 << 20
+#: Vectors that are multiplied at once.
+VECTOR_ROWS = 8_192
 
 
 @dataclass(frozen=True)
@@ -169,6 +173,7 @@ class DenseMetadata:
 
 def build_dense(chunks: DataFrame, make: Callable[[], EmbeddingModel], chunks_sha256: str, *, pos: str = "chunk_pos") -> tuple[DataFrame, DenseMetadata]:
     """(``chunk_pos``, ``chunk_id``, unit ``embedding``) and metadata. Chunk ids must be unique."""
+    bound_batches(chunks.sparkSession)
     config = make().config
     if not chunks_sha256:
         raise ValueError("Chunks hash must not be empty")
@@ -221,9 +226,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_pos, score, rank): exact inner products of unit vectors, best ``top_k`` of each query.
 
-    Queries of ``query_bytes`` at most are broadcast to one scan of the vectors. More of them meet the vectors on a grid:
-    a cell is a block of queries of that size and a part of the vectors, which stream past it. Either way each task sends
-    on ``top_k`` rows of each of its queries, and these are merged for each query. Equal scores go by the higher position.
+    Queries of ``query_bytes`` at most are broadcast to one scan of the vectors. More of them meet the vectors on a grid: a
+    task holds a part of the vectors, past which all queries stream in blocks of that size, so each vector travels once and
+    each query once for each part. Either way a task sends on ``top_k`` rows of each query, and these are merged for each
+    query. Equal scores go by the higher position.
     """
     check_top_k(top_k)
     spark = vectors.sparkSession
@@ -248,30 +254,33 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, *, query_by
 
         found = vectors.select("chunk_pos", "embedding").mapInArrow(scan, schema)
     else:
-        across = -(-total // query_bytes)
-        down = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // across))
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.select(block("query_id", across).alias("i"), every(down).alias("j"), "query_id", F.lit(None).cast(pos_kind).alias("chunk_pos"), "embedding")
-        right = vectors.select(every(across).alias("i"), block("chunk_pos", down).alias("j"), F.lit(None).cast(kind).alias("query_id"), "chunk_pos", F.col("embedding").cast(asked.schema["embedding"].dataType))
-        cells = left.union(right).withColumn("cell", F.col("i") * down + F.col("j")).drop("i", "j")
-        dealt = cells.repartitionById(across * down, F.col("cell")).sortWithinPartitions("cell", F.col("chunk_pos").isNotNull())
+        most = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * most["n"] * (most["width"] or 0) // VECTOR_BYTES))
+        at_once = max(1, query_bytes // (8 * size["width"]))
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = asked.select(every.alias("part"), "query_id", F.lit(None).cast(pos_kind).alias("chunk_pos"), "embedding")
+        right = vectors.select(F.pmod(F.xxhash64("chunk_pos"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast(kind).alias("query_id"), "chunk_pos", F.col("embedding").cast(asked.schema["embedding"].dataType))
+        dealt = left.union(right).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("chunk_pos").isNull())
 
         def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Queries of the cell come first, then its vectors."""
-            names, held, best = [], [], None
+            """Vectors of the part come first, then the queries, which are done with once they have passed."""
+            pos, held = [], []
             for batch in batches:
                 asks = pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False)
-                if asks.any():
-                    some = batch.filter(pa.array(asks))
-                    names += some.column(0).to_pylist()
-                    held.append(_matrix(some.column(2)))
-                if not asks.all() and names:
-                    best = best or TopK(names, np.concatenate(held), top_k)
+                if not asks.all():
                     some = batch.filter(pa.array(~asks))
-                    best.add(some.column(1).to_numpy(), _matrix(some.column(2)))
-            if best:
-                yield pa.RecordBatch.from_pydict(best.rows(), schema=arrow)
+                    pos.append(some.column(1).to_numpy())
+                    held.append(_matrix(some.column(2)))
+                if asks.any() and held:
+                    if len(held) > 1:
+                        pos, held = [np.concatenate(pos)], [np.concatenate(held)]
+                    some = batch.filter(pa.array(asks))
+                    for first in range(0, some.num_rows, at_once):
+                        block = some.slice(first, at_once)
+                        best = TopK(block.column(0).to_pylist(), _matrix(block.column(2)), top_k)
+                        for low in range(0, len(pos[0]), VECTOR_ROWS):
+                            best.add(pos[0][low : low + VECTOR_ROWS], held[0][low : low + VECTOR_ROWS])
+                        yield pa.RecordBatch.from_pydict(best.rows(), schema=arrow)
 
         found = dealt.select("query_id", "chunk_pos", "embedding").mapInArrow(cell, schema)
     order = W.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), F.desc("chunk_pos"))
@@ -289,8 +298,8 @@ class DenseIndex:
             raise ValueError("Dense index embeddings must be normalized")
         if metadata.embedding_model != self.model.config:
             raise ValueError("Embedding model configuration does not match dense index metadata")
-        both = chunks.select("chunk_pos", F.col("chunk_id").alias("a")).join(embeddings.select("chunk_pos", F.col("chunk_id").alias("b"), "embedding"), "chunk_pos", "full")
-        facts = both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("ids"), F.count_if(F.size("embedding") != metadata.embedding_model.dimension).alias("dims")).first()
+        both = chunks.select("chunk_pos", F.col("chunk_id").alias("a")).join(embeddings.select("chunk_pos", F.col("chunk_id").alias("b"), F.size("embedding").alias("width")), "chunk_pos", "full")
+        facts = both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("ids"), F.count_if(F.col("width") != metadata.embedding_model.dimension).alias("dims")).first()
         if facts["rows"]:
             raise ValueError("Dense embeddings row count does not match chunks count")
         if facts["dims"]:
@@ -305,7 +314,8 @@ class DenseIndex:
         blank = F.when(F.trim(F.col("query")) == "", F.raise_error(F.lit("Query must not be empty")).cast("string")).otherwise(F.col("query"))
         vectors = queries.select("query_id", embed(blank, self.make, query=True).alias("raw"))
         vectors = vectors.select("query_id", l2_normalize(F.col("raw"), "Query embedding must not be a zero vector").alias("embedding"))
-        hits = cosine_top_k(vectors, self.embeddings, top_k)
-        return hits.join(self.chunks.select("chunk_pos", "chunk_id"), "chunk_pos").select("query_id", F.col("chunk_pos").alias("pos"), "chunk_id", "score", "rank")
+        # written at once: few rows, which every step behind would search for again
+        hits = materialise(cosine_top_k(vectors, self.embeddings, top_k), "dense-hits")
+        return named(hits, self.chunks.select("chunk_pos", "chunk_id"), "chunk_pos").select("query_id", F.col("chunk_pos").alias("pos"), "chunk_id", "score", "rank")
 
     retrieve = search
