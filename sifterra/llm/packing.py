@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ WINDOW = 1024
 SHARD, POSTINGS = 2_048, 1_000_000
 #: A term of more documents is a row of a dense table.
 DENSE = 128
+#: Postings that are weighed at a time.
+BLOCK = 1 << 16
 #: Neighbours that are put in order at first; the others follow if these do not fill the window.
 FIRST = 16
 K1, B = 1.5, 0.75
@@ -39,29 +42,49 @@ class Shard:
     """BM25 over the words of a few thousand rows."""
 
     def __init__(self, terms: np.ndarray, times: np.ndarray, held: np.ndarray):
-        """``terms``: distinct 32-bit terms of a row, row after row; ``times``: how often; ``held``: how many terms a row has."""
+        """``terms``: distinct 32-bit terms of a row, row after row; ``times``: how often; ``held``: how many terms a row has.
+
+        Postings are in narrow types, and each array goes once it is used: a worker has several at its peak.
+        """
         n = len(held)
-        doc = np.repeat(np.arange(n), held)
-        length = np.bincount(doc, times, n)
-        order = (np.sort((terms.astype(np.uint64) << np.uint64(32)) | np.arange(len(terms), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        terms, doc, tf = terms[order], doc[order], times[order].astype(np.float64)
-        fresh = np.concatenate([np.ones(min(1, len(terms)), bool), terms[1:] != terms[:-1]])
+        first = np.concatenate([[0], np.cumsum(held)])
+        length = np.diff(np.concatenate([[0], np.cumsum(times, dtype=np.int64)])[first]).astype(np.float64)
+        norm = K1 * (1 - B + B * length / max(1e-9, length.mean()))
+        keys = terms.astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= np.arange(len(terms), dtype=np.uint32)
+        keys.sort()
+        order = keys.astype(np.uint32)
+        keys >>= np.uint64(32)
+        fresh = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+        del keys
         df = np.diff(np.append(np.flatnonzero(fresh), len(terms)))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1e-9, length.mean())))
         # a term of one row leads nowhere
-        shared = np.repeat(df > 1, df)
-        self.df = df[df > 1]
-        self.doc, self.impact = doc[shared], impact[shared]
-        self.start = np.cumsum(self.df) - self.df
-        term = np.repeat(np.arange(len(self.df)), self.df)
-        self.term = term[np.argsort(self.doc, kind="stable")]
-        self.row = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
-        wide = self.df > DENSE
+        order = order[np.repeat(df > 1, df)]
+        self.df = df = df[df > 1]
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        doc = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), held)[order]
+        tf = times[order]
+        del order, fresh
+        term = np.repeat(np.arange(len(df), dtype=np.uint32), df)
+        self.term = term[np.argsort(doc, kind="stable")]
+        self.row = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+        # the postings of the terms with a row of the table stand only there
+        wide = df > DENSE
         self.dense = np.where(wide, np.cumsum(wide) - 1, -1)
         self.table = np.zeros((int(wide.sum()), n), np.float32)
-        often = wide[term]
-        self.table[self.dense[term[often]], self.doc[often]] = self.impact[often]
+        self.start = np.cumsum(np.where(wide, 0, df)) - np.where(wide, 0, df)
+        rare = ~wide[term]
+        self.doc, self.impact = doc[rare], np.empty(int(rare.sum()))
+        done = 0
+        for a in range(0, len(doc), BLOCK):
+            t, d, f, r = (x[a : a + BLOCK] for x in (term, doc, tf, rare))
+            f = f.astype(np.float64)
+            impact = idf[t] * f * (K1 + 1) / (f + norm[d])
+            upto = done + int(np.count_nonzero(r))
+            self.impact[done:upto] = impact[r]
+            self.table[self.dense[t[~r]], d[~r]] = impact[~r]
+            done = upto
         self.free = np.ones(n, bool)
         self.at = 0
 
@@ -128,6 +151,27 @@ def _terms(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), times, np.searchsorted(keys[at] >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
+def shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SHARD`` rows and, but for one row, ``POSTINGS`` postings, 4 bytes each in column ``at``; none is kept here."""
+    held, count, postings = [], 0, 0
+    for batch in batches:
+        ends = np.cumsum(np.array(pc.binary_length(batch.column(at)), np.int64) // 4)
+        done = 0
+        while done < batch.num_rows:
+            before = ends[done - 1] if done else 0
+            upto = min(done + SHARD - count, int(np.searchsorted(ends, before + POSTINGS - postings, side="right")))
+            upto = max(upto, done if count else done + 1)
+            held.append(batch.slice(done, upto - done))
+            count, postings = count + upto - done, postings + int((ends[upto - 1] if upto else 0) - before)
+            done = upto
+            if done < batch.num_rows or count == SHARD:
+                full, held, count, postings = [pa.concat_batches(held)], [], 0, 0
+                yield full.pop()
+    if count:
+        full, held = [pa.concat_batches(held)], []
+        yield full.pop()
+
+
 def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids`` (little-endian 32-bit).
 
@@ -178,42 +222,31 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern:
     out_names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
     out_kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 2]
 
-    def shards(batches):
-        """Tables of at most ``SHARD`` rows and, but for one row, ``POSTINGS`` postings."""
-        held, count, postings = [], 0, 0
-        for batch in batches:
-            ends = np.cumsum([len(x) // 4 for x in batch.column(5).to_pylist()])
-            done = 0
-            while done < batch.num_rows:
-                before = ends[done - 1] if done else 0
-                upto = min(done + SHARD - count, int(np.searchsorted(ends, before + POSTINGS - postings, side="right")))
-                upto = max(upto, done if count else done + 1)
-                held.append(batch.slice(done, upto - done))
-                count, postings = count + upto - done, postings + int((ends[upto - 1] if upto else 0) - before)
-                done = upto
-                if done < batch.num_rows or count == SHARD:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                    held, count, postings = [], 0, 0
-        if count:
-            yield pa.Table.from_batches(held).combine_chunks()
+    def shard(table, room):
+        """Row, whether a window begins, and the columns but for the sequence, for each piece of one shard; ``room`` is what the open window has left."""
+        column = {c: table.column(c) for c in ("length", "start", "doc_tokens", "ids", "terms", "times")}
+        lengths, starts, sizes = (column[c].to_pylist() for c in ("length", "start", "doc_tokens"))
+        (raw, at), (often, _) = flat_bytes(column["terms"]), flat_bytes(column["times"])
+        index = Shard(raw.view("<u4"), often.view("<u4"), np.diff(at) // 4)
+        for row, start, length, fresh in fill(index, lengths, room, window):
+            piece = _wide(column["ids"][row].as_buffer(), lengths[row])[start : start + length].tobytes()
+            yield row, fresh, (starts[row] + start, length, zlib.crc32(piece), sizes[row], piece if with_ids else None)
 
     def dealt(batches):
+        tokens.cache_clear()  # workers are kept, and these need no tokenizer
+        trim()
         sequence, offset = (1 << 62) + (TaskContext.get().partitionId() << 40) - 1, window
-        for table in shards(batches):
-            column = {c: table.column(c).combine_chunks() for c in table.column_names}
-            lengths, starts, sizes = (column[c].to_pylist() for c in ("length", "start", "doc_tokens"))
-            ids = [_wide(x, n) for x, n in zip(column["ids"].to_pylist(), lengths, strict=True)]
-            (raw, at), (often, _) = flat_bytes(column["terms"]), flat_bytes(column["times"])
-            shard, rows, index = Shard(raw.view("<u4"), often.view("<u4"), np.diff(at) // 4), [], []
-            for row, start, length, fresh in fill(shard, lengths, window - offset, window):
+        for table in shards(batches, 5):
+            rows, index = [], []
+            for row, fresh, piece in shard(table, window - offset):
                 if fresh:
                     sequence, offset = sequence + 1, 0
-                piece = ids[row][start : start + length].tobytes()
-                rows.append((starts[row] + start, length, zlib.crc32(piece), sizes[row], piece if with_ids else None, sequence, offset))
+                rows.append((*piece, sequence, offset))
                 index.append(row)
-                offset += length
+                offset += piece[1]
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), out_kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([column["id"].take(pa.array(index, pa.int64())), *arrays], names=out_names)
+            yield pa.RecordBatch.from_arrays([table.column("id").take(pa.array(index, pa.int64())), *arrays], names=out_names)
+            del rows, index, arrays, table
         trim()
 
     packed = tails.mapInArrow(dealt, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
